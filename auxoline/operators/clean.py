@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auxoline.functions.scalar import differs, is_member, round_even, zscore
+from auxoline.session import durable
 
 # Fixed value: last age of the childhood window.
 MAX_AGE = 10
@@ -28,11 +29,22 @@ RENAMES = {
 PREGNANT_CODES = (2, 4)
 LACTATING_CODES = (3,)
 
-# Rules of the row and subject filters.
-EARLY_HEIGHT = F.col("Ht_Ave_Use").isNotNull() & (round_even("Age_Yrs", 3) <= MAX_AGE + 1)
-HAS_SBP = F.col("SBP_MEAN").isNotNull()
-LAG_OK = differs("Ht_Lag_Flag", 4)
-BAMAKO_OK = is_member("Bamako", (0, 1))
+
+def early_height() -> Column:
+    return F.col("Ht_Ave_Use").isNotNull() & (round_even("Age_Yrs", 3) <= MAX_AGE + 1)
+
+
+def has_sbp() -> Column:
+    return F.col("SBP_MEAN").isNotNull()
+
+
+def lag_ok() -> Column:
+    return differs("Ht_Lag_Flag", 4)
+
+
+def row_ok() -> Column:
+    """The two row filters: lag flag not 4, Bamako 0 or 1."""
+    return lag_ok() & is_member("Bamako", (0, 1))
 
 
 def rename_columns(df: DataFrame) -> DataFrame:
@@ -40,11 +52,11 @@ def rename_columns(df: DataFrame) -> DataFrame:
 
 
 def by_sex_counts(df: DataFrame, facts: dict[str, Column] | None = None) -> DataFrame:
-    """Per (subject, sex): visits, earliest visit and any extra row facts, all map-side combined."""
+    """Per (subject, sex): visits, earliest visit and any extra aggregates, all map-side combined."""
     return df.groupBy("ID", "Sex").agg(
         F.count("*").alias("n"),
         F.min(F.struct("datecomb", "visit_id")).alias("first"),
-        *[F.max(c).alias(k) for k, c in (facts or {}).items()],
+        *[c.alias(k) for k, c in (facts or {}).items()],
     )
 
 
@@ -75,26 +87,59 @@ def recode_sex(df: DataFrame) -> DataFrame:
     )
 
 
-def subject_rules(df: DataFrame) -> DataFrame:
-    """Everything the subject-level filters need, from one aggregation by subject."""
-    facts = {
-        "early_height": EARLY_HEIGHT,
-        "any_sbp": HAS_SBP,
-        "sbp_in_kept": HAS_SBP & LAG_OK & BAMAKO_OK,
+def scaled_columns() -> dict[str, Column]:
+    """Columns that are z-scored or centred, by the name of their constants."""
+    return {
+        "log2T_use": F.log2("T_use"),
+        "Breast_Stage_Use": F.col("Breast_Stage_Use"),
+        "Age": round_even("Age_Yrs", 3),
+        "HT": F.col("Ht_Ave_Use"),
+        "BMI": F.col("BMI"),
+        "Temp": F.col("Temp").cast("double"),
     }
-    return (
-        by_sex_counts(df, facts)
-        .groupBy("ID")
-        .agg(_most_frequent().alias("Sex"), *[F.max(k).alias(k) for k in facts])
+
+
+def subject_facts(df: DataFrame) -> DataFrame:
+    """Everything the subject rules, the modal sex and the centring constants need.
+
+    One aggregation over the visits; per subject it keeps the rule flags and, over the
+    rows the row filters leave, count, sum and sum of squares of every scaled column.
+    """
+    flags = {"early_height": early_height(), "any_sbp": has_sbp(), "sbp_in_kept": has_sbp() & row_ok()}
+    sums: dict[str, Column] = {}
+    for name, col in scaled_columns().items():
+        x = F.when(row_ok(), col)
+        sums |= {f"{name}_n": F.count(x), f"{name}_s": F.sum(x), f"{name}_q": F.sum(x * x)}
+    per_sex = by_sex_counts(df, {k: F.max(c) for k, c in flags.items()} | sums)
+    return per_sex.groupBy("ID").agg(
+        _most_frequent().alias("Sex"),
+        *[F.max(k).alias(k) for k in flags],
+        *[F.sum(k).alias(k) for k in sums],
     )
 
 
-def centering_struct(df: DataFrame, columns: dict[str, Column]) -> Column:
-    """Means and sample standard deviations of ``columns`` as one scalar subquery."""
+def constants(facts: DataFrame, names) -> Column:
+    """Mean and sample SD of scaled columns over the subjects in ``facts``, as one struct subquery."""
     pairs = []
-    for name, col in columns.items():
-        pairs += [F.avg(col).alias(f"{name}_mean"), F.stddev_samp(col).alias(f"{name}_sd")]
-    return df.agg(F.struct(*pairs).alias("c")).scalar()
+    for k in names:
+        n, s, q = (F.sum(f"{k}_{x}") for x in "nsq")
+        pairs += [
+            F.try_divide(s, n).alias(f"{k}_mean"),
+            F.sqrt(F.greatest(F.try_divide(q - F.try_divide(s * s, n), n - 1), F.lit(0.0))).alias(f"{k}_sd"),
+        ]
+    return facts.agg(F.struct(*pairs).alias("c")).scalar()
+
+
+def with_centering(df: DataFrame, columns: dict[str, Column], name: str = "c") -> DataFrame:
+    """Adds one struct column holding mean and sample SD of every entry of ``columns``.
+
+    The constants are one scalar subquery, carried as a column so that it is planned
+    once however many expressions read it.
+    """
+    pairs = []
+    for key, col in columns.items():
+        pairs += [F.avg(col).alias(f"{key}_mean"), F.stddev_samp(col).alias(f"{key}_sd")]
+    return df.withColumn(name, df.agg(F.struct(*pairs).alias("c")).scalar())
 
 
 def clean(cohort: DataFrame) -> DataFrame:
@@ -102,32 +147,30 @@ def clean(cohort: DataFrame) -> DataFrame:
 
     Order of the steps: modal sex; subjects with a height by ``MAX_AGE + 1``;
     subjects with a blood pressure; lag flag not 4; Bamako 0 or 1; z-scores over
-    the rows left; subjects that still have a blood pressure. The three subject
-    rules and the modal sex come from one aggregation and one join by subject.
+    the rows left; subjects that still have a blood pressure; centred columns over the rows left then.
+
+    The visits are read twice: once for the per-subject facts, which are written, and
+    once for the rows themselves. Rules, sex and constants all come from the facts.
     """
-    kept = (
-        cohort.where(LAG_OK & BAMAKO_OK)
-        .drop("Sex")
-        .join(subject_rules(cohort).where("early_height AND any_sbp"), "ID")
-    )
-    kept = rename_columns(recode_sex(kept)).withColumns(
+    facts = durable(subject_facts(cohort)).where("early_height AND any_sbp")
+    kept = facts.where("sbp_in_kept")
+    rows = cohort.where(row_ok()).drop("Sex").join(kept.select("ID", "Sex"), "ID")
+    rows = rename_columns(recode_sex(rows)).withColumns(
         {"Age": round_even("Age_Yrs", 3), "log2T_use": F.log2("T_use")}
     )
-    c = centering_struct(kept, {k: F.col(k) for k in ("log2T_use", "Breast_Stage_Use", "Age")})
-    return (
-        kept.withColumns(
-            {
-                "log2T_use_Z": zscore("log2T_use", c["log2T_use_mean"], c["log2T_use_sd"]),
-                "Breast_Stage_Use_Z": zscore("Breast_Stage_Use", c["Breast_Stage_Use_mean"], c["Breast_Stage_Use_sd"]),
-                "AgeZ": zscore("Age", c["Age_mean"], c["Age_sd"]),
-                "Pregnant": is_member("ReproStat_Corr", PREGNANT_CODES),
-                "Lactating": is_member("ReproStat_Corr", LACTATING_CODES),
-                "Stimulant_No_PerWeek": F.coalesce("Stimulant_No_PerWeek", F.lit(0)),
-            }
-        )
-        .where("sbp_in_kept")
-        .drop("early_height", "any_sbp", "sbp_in_kept")
-    )
+    scaled = {"log2T_use_Z": "log2T_use", "Breast_Stage_Use_Z": "Breast_Stage_Use", "AgeZ": "Age"}
+    centred = {"age_cen": "Age", "HT_cen": "HT", "BMI_cen": "BMI", "temp_cen": "Temp"}
+    rows = rows.withColumns({"z": constants(facts, scaled.values()), "c": constants(kept, centred.values())})
+    return rows.withColumns(
+        {
+            **{z: zscore(x, F.col(f"z.{x}_mean"), F.col(f"z.{x}_sd")) for z, x in scaled.items()},
+            **{m: F.col(x) - F.col(f"c.{x}_mean") for m, x in centred.items()},
+            "age_x": (F.col("Age") - 10) / 10.0,
+            "Pregnant": is_member("ReproStat_Corr", PREGNANT_CODES),
+            "Lactating": is_member("ReproStat_Corr", LACTATING_CODES),
+            "Stimulant_No_PerWeek": F.coalesce("Stimulant_No_PerWeek", F.lit(0)),
+        }
+    ).drop("z", "c")
 
 
 def get_data(cohort: DataFrame, female: int, var: str, others: list[str] | None = None) -> DataFrame:
@@ -151,14 +194,13 @@ def cohort_funnel(cohort: DataFrame) -> DataFrame:
     Rows are first counted per subject (map-side combined), so the subject counts
     need no distinct and no step needs a job of its own.
     """
-    after_lag, after_bamako = LAG_OK, LAG_OK & BAMAKO_OK
     per_subject = cohort.groupBy("ID").agg(
         F.count("*").alias("n_all"),
-        F.max(EARLY_HEIGHT).alias("early"),
-        F.max(HAS_SBP).alias("sbp"),
-        F.count_if(after_lag).alias("n_lag"),
-        F.count_if(after_bamako).alias("n_bamako"),
-        F.max(after_bamako & HAS_SBP).alias("sbp_left"),
+        F.max(early_height()).alias("early"),
+        F.max(has_sbp()).alias("sbp"),
+        F.count_if(lag_ok()).alias("n_lag"),
+        F.count_if(row_ok()).alias("n_bamako"),
+        F.max(row_ok() & has_sbp()).alias("sbp_left"),
     )
     early = F.col("early")
     both = early & F.col("sbp")

@@ -48,7 +48,14 @@ def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def complete_cases(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return df.dropna("any", subset=columns)
+    """Rows with no missing value in ``columns`` (default all), as one predicate per column.
+
+    Separate predicates reach the scan and either side of a join; ``dropna`` is one
+    predicate over all columns and stays where it is.
+    """
+    for c in columns or df.columns:
+        df = df.where(F.col(f"`{c}`").isNotNull())
+    return df
 
 
 def model_sizes(df: DataFrame, by: list[str] | None = None) -> DataFrame:

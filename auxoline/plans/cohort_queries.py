@@ -222,7 +222,7 @@ def ref_age_frame(spark, sf_dir):
 )
 def semi_early_height(spark, sf_dir):
     df = T.cohort(spark, sf_dir, ["ID", "visit_id", "Age_Yrs", "Ht_Ave_Use"])
-    kept = C.subjects_with(df, C.EARLY_HEIGHT)
+    kept = C.subjects_with(df, C.early_height())
     return kept.select("ID", "visit_id", r6("Age_Yrs").alias("age_yrs"), r6("Ht_Ave_Use").alias("ht"))
 
 
@@ -297,21 +297,20 @@ def centering(spark, sf_dir):
 
 @query(
     "zscores",
-    f"""WITH {CLEAN}, m AS (SELECT avg(HT) AS ht, avg(BMI) AS bmi, avg(Temp) AS temp, avg(Age) AS age FROM clean)
+    f"""WITH {CLEAN}, m AS (SELECT avg(HT) AS m_ht, avg(BMI) AS m_bmi, avg(Temp) AS m_temp, avg(Age) AS m_age FROM clean)
     SELECT ID, visit_id, round(log2T_use_Z, 6) + 0.0 AS log2t_z, round(Breast_Stage_Use_Z, 6) + 0.0 AS breast_z,
-    round(AgeZ, 6) + 0.0 AS age_z, round(HT - m.ht, 6) + 0.0 AS ht_cen, round(BMI - m.bmi, 6) + 0.0 AS bmi_cen,
-    round(Temp - m.temp, 6) + 0.0 AS temp_cen, round(clean.Age - m.age, 6) + 0.0 AS age_cen FROM clean, m""",
+    round(AgeZ, 6) + 0.0 AS age_z, round(HT - m_ht, 6) + 0.0 AS ht_cen, round(BMI - m_bmi, 6) + 0.0 AS bmi_cen,
+    round(Temp - m_temp, 6) + 0.0 AS temp_cen, round(Age - m_age, 6) + 0.0 AS age_cen FROM clean, m""",
 )
 def zscores(spark, sf_dir):
     df = cleaned(spark, sf_dir)
-    c = C.centering_struct(df, {k: F.col(k) for k in ("HT", "BMI", "Temp", "Age")})
     return df.select(
         "ID",
         "visit_id",
         r6("log2T_use_Z").alias("log2t_z"),
         r6("Breast_Stage_Use_Z").alias("breast_z"),
         r6("AgeZ").alias("age_z"),
-        *[r6(F.col(k) - c[f"{k}_mean"]).alias(f"{k.lower()}_cen") for k in ("HT", "BMI", "Temp", "Age")],
+        *[r6(c).alias(c.lower()) for c in ("HT_cen", "BMI_cen", "temp_cen", "age_cen")],
     )
 
 
@@ -322,14 +321,14 @@ def zscores(spark, sf_dir):
     round(pow(10, lognummeas), 6) AS nummeas FROM clean, c""",
 )
 def log_roundtrip(spark, sf_dir):
-    df = cleaned(spark, sf_dir)
-    c = C.centering_struct(df, {"t": F.col("log2T_use")})
-    z = df.withColumn("z", zscore("log2T_use", c["t_mean"], c["t_sd"]))
+    df = C.with_centering(cleaned(spark, sf_dir), {"t": F.col("log2T_use")})
+    mean, sd = F.col("c.t_mean"), F.col("c.t_sd")
+    z = df.withColumn("z", zscore("log2T_use", mean, sd))
     return z.select(
         "ID",
         "visit_id",
         r6("log2T_use").alias("log2t"),
-        r6(F.pow(F.lit(2.0), from_zscore("z", c["t_mean"], c["t_sd"]))).alias("t_back"),
+        r6(F.pow(F.lit(2.0), from_zscore("z", mean, sd))).alias("t_back"),
         r6(F.pow(F.lit(10.0), "lognummeas")).alias("nummeas"),
     )
 
@@ -393,7 +392,7 @@ def model_sizes(spark, sf_dir):
     WHERE r = 1""",
 )
 def first_visit(spark, sf_dir):
-    df = cleaned(spark, sf_dir).where(C.HAS_SBP).select("ID", "visit_id", "datecomb", "Age", "SBP_MEAN")
+    df = cleaned(spark, sf_dir).where(C.has_sbp()).select("ID", "visit_id", "datecomb", "Age", "SBP_MEAN")
     return V.pick_visit(df).select("ID", "visit_id", "datecomb", F.col("Age").alias("age"), r6("SBP_MEAN").alias("sbp"))
 
 

@@ -8,7 +8,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 N_IMP = 20
@@ -18,77 +18,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _null_if(cond: Column, value: Column) -> Column:
-    return F.when(~cond, value)
-
-
 # Columns that need the per-visit averages of the line items.
 BODY_COLUMNS = ("Ht_Ave_Use", "WT", "BMI", "T_use")
 
+HEIGHT = "(80 + 3.0D * q)"
+WEIGHT = "(10 + 200.0D * tax + q)"
+MOTHER = "CAST(floor(c_custkey / 3.0D) AS BIGINT)"
+BIRTH = "date_add(DATE '1985-01-01', CAST((c_custkey * 37) % 3650 AS INT))"
+
+COHORT_COLUMNS = {
+    "ID": "c_custkey",
+    "visit_id": "o_orderkey",
+    "datecomb": "CAST(o_orderdate AS DATE)",
+    "Age_Yrs": f"datediff(CAST(o_orderdate AS DATE), {BIRTH}) / 365.25D",
+    "Sex": "CASE WHEN o_orderkey % 17 = 0 THEN 1 - c_custkey % 2 ELSE c_custkey % 2 END",
+    "Ht_Ave_Use": HEIGHT,
+    "WT": WEIGHT,
+    "BMI": f"{WEIGHT} / pow({HEIGHT} / 100.0D, 2.0D)",
+    "SBP_MEAN": "CASE WHEN o_orderstatus <> 'P' THEN 90 + o_totalprice / 10000.0D END",
+    "DBP_MEAN": "CASE WHEN o_orderstatus <> 'P' THEN 50 + o_totalprice / 20000.0D END",
+    "Ht_Lag_Flag": "CASE WHEN NOT startswith(o_orderpriority, '5') THEN CAST(substring(o_orderpriority, 1, 1) AS INT) END",
+    "Bamako": "c_nationkey % 3",
+    "Village": "c_nationkey + 1",
+    "ReproStat_Corr": "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 5 END",
+    "Breast_Stage_Use": "CASE WHEN o_orderkey % 9 <> 0 THEN CAST(1 + o_orderkey % 5 AS DOUBLE) END",
+    "T_use": "CASE WHEN o_orderkey % 11 <> 0 THEN 1 + 100.0D * disc END",
+    "PregMo_Use": "CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 9 END",
+    "lactMo_Use": "CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 24 END",
+    "no_lactmo_info": "CASE WHEN o_orderkey % 8 = 0 THEN 1 END",
+    "Stimulant_No_PerWeek": "CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 4 END",
+    "Wealth_Z": "CASE WHEN o_orderkey % 19 <> 0 THEN c_acctbal / 1000.0D END",
+    "Temp": "20 + o_orderkey % 15",
+    "School": "o_orderkey % 13",
+    "Year": "year(CAST(o_orderdate AS DATE))",
+    "lognummeas_BASE10": "log10(1.0D + o_orderkey % 9)",
+    "MomIdUnique": MOTHER,
+    "Mom_Ht_Ave": f"150 + {MOTHER} % 20",
+    "Dad_Ht_Ave": "CASE WHEN c_custkey % 10 <> 0 THEN 160 + c_custkey % 25 END",
+    "Mom_SBP_Z_Res_USE": f"CASE WHEN {MOTHER} % 12 <> 0 THEN (({MOTHER} * 7) % 21 - 10) / 10.0D END",
+    "Dad_SBP_Z_Res_USE": "CASE WHEN c_custkey % 15 <> 0 THEN ((c_custkey * 3) % 21 - 10) / 10.0D END",
+}
+
 
 def cohort(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """Cohort visits; pass ``columns`` to skip the line-item join where it is not needed."""
-    orders = table(spark, sf_dir, "orders")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    visits = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    body = columns is None or any(c in BODY_COLUMNS for c in columns)
-    if body:
+    wanted = list(COHORT_COLUMNS) if columns is None else columns
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    visits = orders.join(customer, F.expr("o_custkey = c_custkey"))
+    if any(c in BODY_COLUMNS for c in wanted):
         lines = (
             table(spark, sf_dir, "lineitem")
             .groupBy("l_orderkey")
-            .agg(
-                F.avg("l_quantity").alias("q"),
-                F.avg("l_discount").alias("disc"),
-                F.avg("l_tax").alias("tax"),
-            )
+            .agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("disc"), F.avg("l_tax").alias("tax"))
         )
-        visits = visits.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-
-    key, cust = F.col("o_orderkey"), F.col("c_custkey")
-    date = F.col("o_orderdate").cast("date")
-    dob = F.date_add(F.lit("1985-01-01").cast("date"), ((cust * 37) % 3650).cast("int"))
-    mom = F.floor(cust / F.lit(3.0)).cast("bigint")
-    pending = F.col("o_orderstatus") == "P"
-    price = F.col("o_totalprice")
-    cols: dict[str, Column] = {
-        "ID": cust,
-        "visit_id": key,
-        "datecomb": date,
-        "Age_Yrs": F.datediff(date, dob) / F.lit(365.25),
-        "Sex": F.when(key % 17 == 0, 1 - cust % 2).otherwise(cust % 2),
-        "SBP_MEAN": _null_if(pending, 90 + price / 10000.0),
-        "DBP_MEAN": _null_if(pending, 50 + price / 20000.0),
-        "Ht_Lag_Flag": F.when(
-            ~F.col("o_orderpriority").startswith("5"),
-            F.substring("o_orderpriority", 1, 1).cast("int"),
-        ),
-        "Bamako": F.col("c_nationkey") % 3,
-        "Village": F.col("c_nationkey") + 1,
-        "ReproStat_Corr": _null_if(key % 7 == 0, key % 5),
-        "Breast_Stage_Use": _null_if(key % 9 == 0, (1 + key % 5).cast("double")),
-        "PregMo_Use": _null_if(key % 13 == 0, key % 9),
-        "lactMo_Use": _null_if(key % 4 == 0, key % 24),
-        "no_lactmo_info": F.when(key % 8 == 0, F.lit(1)),
-        "Stimulant_No_PerWeek": _null_if(key % 6 == 0, key % 4),
-        "Wealth_Z": _null_if(key % 19 == 0, F.col("c_acctbal") / 1000.0),
-        "Temp": 20 + key % 15,
-        "School": key % 13,
-        "Year": F.year(date),
-        "lognummeas_BASE10": F.log10(1.0 + key % 9),
-        "MomIdUnique": mom,
-        "Mom_Ht_Ave": 150 + mom % 20,
-        "Dad_Ht_Ave": _null_if(cust % 10 == 0, 160 + cust % 25),
-        "Mom_SBP_Z_Res_USE": _null_if(mom % 12 == 0, ((mom * 7) % 21 - 10) / 10.0),
-        "Dad_SBP_Z_Res_USE": _null_if(cust % 15 == 0, ((cust * 3) % 21 - 10) / 10.0),
-    }
-    if body:
-        height, weight = 80 + 3.0 * F.col("q"), 10 + 200.0 * F.col("tax") + F.col("q")
-        cols["Ht_Ave_Use"] = height
-        cols["WT"] = weight
-        cols["BMI"] = weight / F.pow(height / 100.0, F.lit(2.0))
-        cols["T_use"] = _null_if(key % 11 == 0, 1 + 100.0 * F.col("disc"))
-    wanted = list(cols) if columns is None else columns
-    return visits.select([cols[c].alias(c) for c in wanted])
+        visits = visits.join(lines, F.expr("l_orderkey = o_orderkey"), "left")
+    return visits.selectExpr(*[f"{COHORT_COLUMNS[c]} AS {c}" for c in wanted])
+
+
+DAY = "datediff(CAST(ts AS DATE), DATE '2024-01-01')"
+AGE_BIN = f"1 + CAST(floor({DAY} / 3.0D) AS INT)"
 
 
 def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,62 +85,48 @@ def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     One pass sums each residue class; every imputation is then total minus class,
     so the events are read and shuffled once instead of once per imputation.
     """
-    age = (1 + F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 3.0)).cast("int")
     classes = (
         table(spark, sf_dir, "events")
-        .select(F.col("user_id").alias("ID"), age.alias("age"), (F.col("event_id") % N_IMP).alias("k"), "value")
+        .selectExpr("user_id AS ID", f"{AGE_BIN} AS age", f"event_id % {N_IMP} AS k", "value")
         .groupBy("ID", "age", "k")
         .agg(F.sum("value").alias("s"), F.count("value").alias("n"))
         .groupBy("ID", "age")
         .agg(
             F.sum("s").alias("s"),
             F.sum("n").alias("n"),
-            F.map_from_entries(F.collect_list(F.struct("k", F.struct("s", "n")))).alias("left_out"),
+            F.expr("map_from_entries(collect_list(struct(k, struct(s, n))))").alias("left_out"),
         )
     )
-    imp = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(N_IMP - 1).cast("bigint")))
-    out = F.try_element_at("left_out", F.col("imp"))
-    rest_n = F.col("n") - F.coalesce(out["n"], F.lit(0))
-    rest_s = F.col("s") - F.coalesce(out["s"], F.lit(0.0))
-    wobble = (F.col("ID") * 7) % 13 - 6
     return (
-        classes.select("ID", "age", "s", "n", "left_out", imp.alias("imp"))
-        .select("imp", "ID", "age", rest_s.alias("s"), rest_n.alias("n"))
+        classes.selectExpr("*", f"explode(sequence(0L, {N_IMP - 1}L)) AS imp")
+        .selectExpr("imp", "ID", "age", "s", "n", "try_element_at(left_out, imp) AS o")
+        .selectExpr("imp", "ID", "age", "s - coalesce(o.s, 0D) AS s", "n - coalesce(o.n, 0) AS n")
         .where("n > 0")
-        .select(
-            "imp",
-            "ID",
-            "age",
-            (50 + 6.0 * F.col("age") + 0.2 * (F.col("s") / F.col("n")) + wobble * (0.5 + 0.1 * F.col("age"))).alias("value"),
-        )
+        .selectExpr("imp", "ID", "age", "50 + 6.0D * age + 0.2D * (s / n) + ((ID * 7) % 13 - 6) * (0.5D + 0.1D * age) AS value")
     )
 
 
 def visits_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    date = F.col("ts").cast("date")
-    missing = F.col("event_type").isin("error", "signup", "view")
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("ID"),
-        F.col("event_id").alias("visit_id"),
-        date.alias("datecomb"),
-        (8 + F.datediff(date, F.lit("2024-01-01").cast("date")) * F.lit(0.4)).alias("Age"),
-        (F.col("user_id") % 2).alias("Female"),
-        (100 + 0.1 * F.col("value")).alias("HT"),
-        F.when(~missing, F.col("value") / 100.0).alias("y"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "user_id AS ID",
+        "event_id AS visit_id",
+        "CAST(ts AS DATE) AS datecomb",
+        f"8 + {DAY} * 0.4D AS Age",
+        "user_id % 2 AS Female",
+        "100 + 0.1D * value AS HT",
+        "CASE WHEN event_type NOT IN ('error', 'signup', 'view') THEN value / 100.0D END AS y",
     )
 
 
 def growth_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
-    minute = F.hour("ts") * 60 + F.minute("ts")
     return (
         table(spark, sf_dir, "events")
-        .where(F.col("event_id") % 4 == 0)
-        .select(
-            F.col("user_id").alias("ID"),
-            F.col("event_id").alias("visit_id"),
-            (F.col("user_id") % 2).alias("Female"),
-            (1 + 0.3 * (day + minute / 1440.0)).alias("Age"),
-            (60 + 6.0 * (day / 3.0) + ((F.col("user_id") * 7) % 13 - 6) + 0.02 * F.col("value")).alias("HT"),
+        .where("event_id % 4 = 0")
+        .selectExpr(
+            "user_id AS ID",
+            "event_id AS visit_id",
+            "user_id % 2 AS Female",
+            f"1 + 0.3D * ({DAY} + (hour(ts) * 60 + minute(ts)) / 1440.0D) AS Age",
+            f"60 + 6.0D * ({DAY} / 3.0D) + ((user_id * 7) % 13 - 6) + 0.02D * value AS HT",
         )
     )
