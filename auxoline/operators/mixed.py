@@ -1,15 +1,280 @@
-"""stub"""
+"""Linear mixed models by maximum likelihood, for every replicate at once.
+
+Model per mother: random intercept of the mother, intercept of each subject, and a
+subject-by-age component. The visits are reduced once to per-subject sums; each
+optimiser step then works on those sums, whatever the number of visits.
+
+With U_i = [1, age] of subject i and D_i the variances of its own effects, the
+subject's effects are integrated out in closed form (2 x 2 algebra), the results are
+summed per mother, and the mother's effects are integrated out the same way. Every
+reduction is a plain sum, so a mother or subject holding a large share of the rows is
+combined before the shuffle like any other group.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auxoline.operators.linear import FIT_FIELDS
+from auxoline.session import durable
+
+FLOOR, CEILING = -14.0, 8.0
+STENCIL = 0.05
+
 
-def subject_stats(df, by, terms, y):
+def subject_stats(df: DataFrame, by: list[str], terms: dict[str, Column], y: Column) -> DataFrame:
+    """Per (key, mother, subject): n, sums of age and age^2, and of each design column and the
+    outcome (``u``), of their products with age (``w``) and with each other (``zz``)."""
     z = [*terms.values(), y]
-    x = df.select(*by, "mom", "ID", "age_cen", *[c.cast("double").alias(f"z{i}") for i, c in enumerate(z)])
-    a = F.col("age_cen")
+    x = df.select(*by, "mom", "ID", F.col("age_cen").alias("t"), *[c.cast("double").alias(f"z{i}") for i, c in enumerate(z)])
+    q = len(z)
     return x.groupBy(*by, "mom", "ID").agg(
         F.count("*").alias("n"),
-        F.sum(a).alias("a"),
-        F.sum(a * a).alias("aa"),
-        F.array(*[F.sum(f"z{i}") for i in range(len(z))]).alias("u"),
-        F.array(*[F.sum(a * F.col(f"z{i}")) for i in range(len(z))]).alias("w"),
+        F.sum("t").alias("a"),
+        F.sum(F.col("t") * F.col("t")).alias("aa"),
+        F.array(*[F.sum(f"z{i}") for i in range(q)]).alias("u"),
+        F.array(*[F.sum(F.col("t") * F.col(f"z{i}")) for i in range(q)]).alias("w"),
+        F.array(*[F.sum(F.col(f"z{i}") * F.col(f"z{j}")) for i in range(q) for j in range(i, q)]).alias("zz"),
     )
+
+
+def totals(stats: DataFrame, by: list[str], q: int) -> DataFrame:
+    """n and Z'Z of each key, from the subject sums."""
+    size = q * (q + 1) // 2
+    return stats.groupBy(*by).agg(
+        F.sum("n").alias("n"),
+        F.count("*").alias("n_subj"),
+        F.count_if("is_first").alias("n_mothers"),
+        F.array(*[F.sum(F.col("zz")[i]) for i in range(size)]).alias("zz"),
+    )
+
+
+def _two_by_two(p00, p01, p11, d0, d1):
+    """log det(I + P D) and its inverse for stacks of symmetric P and diagonal D."""
+    det = (1 + p00 * d0) * (1 + p11 * d1) - p01 * p01 * d0 * d1
+    t = np.empty((len(p00), 2, 2))
+    t[:, 0, 0], t[:, 0, 1] = (1 + p11 * d1) / det, -p01 * d1 / det
+    t[:, 1, 0], t[:, 1, 1] = -p01 * d0 / det, (1 + p00 * d0) / det
+    return np.log(det), t
+
+
+def _key_groups(pdf: pd.DataFrame, by: list[str]):
+    for key, part in pdf.groupby(by, sort=False):
+        yield key if isinstance(key, tuple) else (key,), part
+
+
+def _removed(v, d0, d1, t):
+    """sum over the stack of V' D T V, upper triangle by rows."""
+    dt = t.copy()
+    dt[:, 0, :] *= np.broadcast_to(d0, (len(t),))[:, None]
+    dt[:, 1, :] *= np.broadcast_to(d1, (len(t),))[:, None]
+    c = np.einsum("sai,sab,sbj->ij", v, dt, v)
+    return c[np.triu_indices(c.shape[0])]
+
+
+def likelihood_parts(stats: DataFrame, by: list[str], q: int, candidates: dict[tuple, np.ndarray], treatment: bool):
+    """log|V| - n log(sigma^2) and Z'Z - Z'V^-1 Z of every key and candidate, collected (a few numbers each).
+
+    ``candidates[key]`` holds rows of log variance ratios (mother, subject, slope).
+    """
+    size = q * (q + 1) // 2
+    mother_cols = [f"g{i}" for i in range(3 + 2 * q)]
+    total_cols = [f"t{i}" for i in range(1 + size)]
+    types = dict(stats.dtypes)
+    head = ", ".join(f"{k} {types[k]}" for k in by)
+
+    def subjects(batches):
+        for pdf in batches:
+            out = []
+            for key, part in _key_groups(pdf, by):
+                if key not in candidates:
+                    continue
+                n, a, aa = (part[c].to_numpy(dtype=float) for c in ("n", "a", "aa"))
+                v = np.stack([np.stack(part["u"].to_numpy()), np.stack(part["w"].to_numpy())], axis=1)
+                moms, code = np.unique(part["mom"].to_numpy(), return_inverse=True)
+                own_slope = (~part["is_first"].to_numpy(dtype=bool)) if treatment else np.ones(len(n), dtype=bool)
+                for k, theta in enumerate(candidates[key]):
+                    _, subj, slope = np.exp(theta)
+                    d0 = np.full(len(n), subj + (slope if treatment else 0.0))
+                    d1 = np.where(own_slope, slope, 0.0)
+                    logdet, t = _two_by_two(n, a, aa, d0, d1)
+                    g = np.stack([np.stack([n, a], -1), np.stack([a, aa], -1)], axis=1)
+                    p, tv = t @ g, t @ v
+                    sums = np.zeros((len(moms), 3 + 2 * q))
+                    np.add.at(sums, code, np.column_stack([p[:, 0, 0], p[:, 0, 1], p[:, 1, 1], tv.reshape(len(n), -1)]))
+                    rows = pd.DataFrame(sums, columns=mother_cols)
+                    rows["mom"] = pd.array(moms, dtype="Int64")
+                    total = pd.DataFrame([np.concatenate([[logdet.sum()], _removed(v, d0, d1, t)])], columns=total_cols)
+                    both = pd.concat([rows, total], ignore_index=True)
+                    for name, value in zip(by, key):
+                        both[name] = value
+                    both["cand"] = k
+                    out.append(both)
+            if out:
+                yield pd.concat(out, ignore_index=True)[[*by, "cand", "mom", *mother_cols, *total_cols]]
+
+    def mothers(batches):
+        for pdf in batches:
+            out = []
+            for key, part in _key_groups(pdf, [*by, "cand"]):
+                extra = part[part["mom"].isna()][total_cols].to_numpy(dtype=float).sum(axis=0)
+                m = part[part["mom"].notna()][mother_cols].to_numpy(dtype=float)
+                theta = candidates[key[:-1]][key[-1]]
+                d0, d1 = np.exp(theta[0]), (np.exp(theta[2]) if treatment else 0.0)
+                logdet, t = _two_by_two(m[:, 0], m[:, 1], m[:, 2], d0, d1)
+                v = m[:, 3:].reshape(len(m), 2, q)
+                out.append([*key, *(extra + np.concatenate([[logdet.sum()], _removed(v, d0, d1, t)]))])
+            yield pd.DataFrame(out, columns=[*by, "cand", *total_cols])
+
+    doubles = ", ".join(f"{c} double" for c in mother_cols + total_cols)
+    per_mother = (
+        stats.mapInPandas(subjects, f"{head}, cand int, mom bigint, {doubles}")
+        .groupBy(*by, "cand", "mom")
+        .agg(*[F.sum(c).alias(c) for c in mother_cols + total_cols])
+    )
+    parts = (
+        per_mother.mapInPandas(mothers, f"{head}, cand int, " + ", ".join(f"{c} double" for c in total_cols))
+        .groupBy(*by, "cand")
+        .agg(*[F.sum(c).alias(c) for c in total_cols])
+    )
+    return {(tuple(r[k] for k in by), r["cand"]): np.array([r[c] for c in total_cols]) for r in parts.collect()}
+
+
+def _unpack(upper, q):
+    m = np.zeros((q, q))
+    m[np.triu_indices(q)] = upper
+    return m + np.triu(m, 1).T
+
+
+def profile(zz: np.ndarray, n: int, part: np.ndarray) -> dict:
+    """Coefficients and maximised log-likelihood given the variance ratios."""
+    q = zz.shape[0]
+    s = zz - _unpack(part[1:], q)
+    xx, xy, yy = s[:-1, :-1], s[:-1, -1], s[-1, -1]
+    inv = np.linalg.pinv(xx, hermitian=True)
+    est = inv @ xy
+    scale = max(yy - est @ xy, 1e-300) / n
+    llf = -0.5 * (n * (np.log(2 * np.pi * scale) + 1.0) + part[0])
+    return {"est": est, "cov": scale * inv, "scale": scale, "llf": llf}
+
+
+def _stencil(center: np.ndarray) -> np.ndarray:
+    d = len(center)
+    rows = [center]
+    rows += [center + s * STENCIL * np.eye(d)[i] for i in range(d) for s in (1, -1)]
+    rows += [center + STENCIL * (np.eye(d)[i] + np.eye(d)[j]) for i in range(d) for j in range(i + 1, d)]
+    return np.array(rows)
+
+
+def _slopes(f: np.ndarray, d: int):
+    """Gradient and Hessian from the values on the stencil."""
+    plus, minus = f[1 : 1 + 2 * d : 2], f[2 : 2 + 2 * d : 2]
+    grad = (plus - minus) / (2 * STENCIL)
+    hess = np.diag((plus + minus - 2 * f[0]) / STENCIL**2)
+    k = 1 + 2 * d
+    for i in range(d):
+        for j in range(i + 1, d):
+            hess[i, j] = hess[j, i] = (f[k] - plus[i] - plus[j] + f[0]) / STENCIL**2
+            k += 1
+    return grad, hess
+
+
+def _step(grad, hess, radius):
+    """Newton step for a maximum, kept within the radius."""
+    values, vectors = np.linalg.eigh(-hess)
+    damp = max(1e-8, 1e-6 - values.min())
+    g = vectors.T @ grad
+    for _ in range(60):
+        step = vectors @ (g / (values + damp))
+        if np.linalg.norm(step) <= radius:
+            break
+        damp *= 2
+    return step
+
+
+class _Search:
+    """Trust-region search of one key: where it is, what is known there, where to look next."""
+
+    def __init__(self, start, fixed):
+        self.at, self.free = np.array(start, dtype=float), [i for i in range(3) if i not in fixed]
+        self.radius, self.best, self.result, self.done, self.steps = 2.0, -np.inf, None, False, 0
+        self.trial = self.at
+
+    def candidates(self):
+        full = np.repeat(self.trial[None, :], len(_stencil(self.trial[self.free])), axis=0)
+        full[:, self.free] = _stencil(self.trial[self.free])
+        return full
+
+    def update(self, fits, tolerance):
+        self.steps += 1
+        f = np.array([r["llf"] for r in fits])
+        if f[0] > self.best:
+            gain, self.best, self.at, self.result = f[0] - self.best, f[0], self.trial, fits[0]
+            self.grad, self.hess = _slopes(f, len(self.free))
+            self.radius = min(self.radius * 1.5, 4.0)
+        else:
+            gain, self.radius = 0.0, self.radius / 4
+        step = _step(self.grad, self.hess, self.radius)
+        nxt = self.at.copy()
+        nxt[self.free] = np.clip(self.at[self.free] + step, FLOOR, CEILING)
+        moved = nxt[self.free] - self.at[self.free]
+        expected = self.grad @ moved + 0.5 * moved @ self.hess @ moved
+        self.done = expected < tolerance or self.radius < 1e-4
+        self.trial = nxt
+
+
+def fit_mixed(
+    df: DataFrame,
+    by: list[str],
+    terms: dict[str, Column],
+    y: Column,
+    slope_coding: str = "treatment",
+    max_steps: int = 40,
+    tolerance: float = 1e-6,
+    start=(-2.0, -2.0, -4.0),
+    fixed: dict[int, float] | None = None,
+) -> DataFrame:
+    """One row per key: terms, est, cov, scale, n, llf, variance ratios, steps.
+
+    ``slope_coding="treatment"`` gives all subjects of a mother one shared slope and all but the
+    first an own one; ``"symmetric"`` gives each subject its own. ``fixed`` holds log variance
+    ratios that are not estimated, by position (mother, subject, slope).
+    """
+    if slope_coding not in ("treatment", "symmetric"):
+        raise ValueError(slope_coding)
+    treatment, q, names = slope_coding == "treatment", len(terms) + 1, list(terms)
+    stats = subject_stats(df, by, terms, y)
+    firsts = stats.groupBy(*by, "mom").agg(F.min("ID").alias("first_id"))
+    stats = stats.join(firsts, [*by, "mom"]).withColumn("is_first", F.col("ID") == F.col("first_id")).drop("first_id")
+    stats = durable(stats)
+    known = {tuple(r[k] for k in by): r for r in totals(stats, by, q).collect()}
+    zz = {k: _unpack(r["zz"], q) for k, r in known.items()}
+    slim = stats.drop("zz").persist()
+    fixed = fixed or {}
+    first = [fixed.get(i, v) for i, v in enumerate(start)]
+    searches = {k: _Search(first, fixed) for k in known}
+    try:
+        for _ in range(max_steps):
+            active = {k: s.candidates() for k, s in searches.items() if not s.done}
+            if not active:
+                break
+            parts = likelihood_parts(slim, by, q, active, treatment)
+            for k, cands in active.items():
+                n = known[k]["n"]
+                searches[k].update([profile(zz[k], n, parts[(k, i)]) for i in range(len(cands))], tolerance)
+    finally:
+        slim.unpersist()
+    rows = []
+    for k, s in searches.items():
+        r = s.result
+        rows.append(
+            (*k, names, [float(v) for v in r["est"]], [[float(v) for v in line] for line in r["cov"]], float(r["scale"]))
+            + (int(known[k]["n"]), float(r["llf"]), *[float(np.exp(v)) for v in s.at], int(known[k]["n_subj"]), int(known[k]["n_mothers"]), s.steps)
+        )
+    types = dict(stats.dtypes)
+    head = ", ".join(f"{c} {types[c]}" for c in by)
+    schema = f"{head}, {FIT_FIELDS}, psi_mother double, psi_subject double, psi_slope double, n_subj bigint, n_groups bigint, steps int"
+    return df.sparkSession.createDataFrame(rows, schema)

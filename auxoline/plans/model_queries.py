@@ -582,3 +582,23 @@ def effect_grid(spark, sf_dir):
         F.lit(None).cast("double").alias("se"),
     )
     return effects.unionByName(changes).select(F.lit("HT").alias("var"), "*")
+
+
+# Operators SQL cannot express ------------------------------------------------------------------
+
+
+@query("mixed_fit")
+def mixed_fit(spark, sf_dir):
+    """Mixed model of blood pressure per imputation: coefficients and variance ratios."""
+    fits = X.fit_mixed(frame(spark, sf_dir), ["imp"], two_slopes(), F.col("sbp"))
+    coef = fits.select("imp", "llf", "scale", "n", "n_subj", "n_groups", "psi_mother", "psi_subject", "psi_slope", F.inline(F.arrays_zip("terms", "est")))
+    return coef.withColumnRenamed("terms", "term")
+
+
+@query("mediator_simulation")
+def mediator_simulation(spark, sf_dir):
+    """Simulated mediators under both patterns, per imputation and summarised."""
+    df = frame(spark, sf_dir)
+    pair = pattern_pair(spark, sf_dir).select(F.array("p0", "p1")).scalar()
+    sims = [M.simulate_mediator(df, ["female"], m, two_slopes(), pair) for m in ("ht_cen", "bmi_cen")]
+    return M.summarise_simulation(sims[0].unionByName(sims[1]), ["female"])
