@@ -61,6 +61,17 @@ def _two_by_two(p00, p01, p11, d0, d1):
     return np.log(det), t
 
 
+# Marks the row of a batch that holds sums over all its subjects, not those of one mother.
+NO_MOTHER = -(2**62)
+
+
+def _frame(keys: list[tuple], names: list[str], values: np.ndarray, columns: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame(values, columns=columns)
+    for i, name in enumerate(names):
+        out[name] = [k[i] for k in keys]
+    return out[[*names, *columns]]
+
+
 def _key_groups(pdf: pd.DataFrame, by: list[str]):
     for key, part in pdf.groupby(by, sort=False):
         yield key if isinstance(key, tuple) else (key,), part
@@ -88,12 +99,13 @@ def likelihood_parts(stats: DataFrame, by: list[str], q: int, candidates: dict[t
 
     def subjects(batches):
         for pdf in batches:
-            out = []
+            blocks, ids, keys = [], [], []
             for key, part in _key_groups(pdf, by):
                 if key not in candidates:
                     continue
                 n, a, aa = (part[c].to_numpy(dtype=float) for c in ("n", "a", "aa"))
                 v = np.stack([np.stack(part["u"].to_numpy()), np.stack(part["w"].to_numpy())], axis=1)
+                g = np.stack([np.stack([n, a], -1), np.stack([a, aa], -1)], axis=1)
                 moms, code = np.unique(part["mom"].to_numpy(), return_inverse=True)
                 own_slope = (~part["is_first"].to_numpy(dtype=bool)) if treatment else np.ones(len(n), dtype=bool)
                 for k, theta in enumerate(candidates[key]):
@@ -101,33 +113,34 @@ def likelihood_parts(stats: DataFrame, by: list[str], q: int, candidates: dict[t
                     d0 = np.full(len(n), subj + (slope if treatment else 0.0))
                     d1 = np.where(own_slope, slope, 0.0)
                     logdet, t = _two_by_two(n, a, aa, d0, d1)
-                    g = np.stack([np.stack([n, a], -1), np.stack([a, aa], -1)], axis=1)
                     p, tv = t @ g, t @ v
-                    sums = np.zeros((len(moms), 3 + 2 * q))
-                    np.add.at(sums, code, np.column_stack([p[:, 0, 0], p[:, 0, 1], p[:, 1, 1], tv.reshape(len(n), -1)]))
-                    rows = pd.DataFrame(sums, columns=mother_cols)
-                    rows["mom"] = pd.array(moms, dtype="Int64")
-                    total = pd.DataFrame([np.concatenate([[logdet.sum()], _removed(v, d0, d1, t)])], columns=total_cols)
-                    both = pd.concat([rows, total], ignore_index=True)
-                    for name, value in zip(by, key):
-                        both[name] = value
-                    both["cand"] = k
-                    out.append(both)
-            if out:
-                yield pd.concat(out, ignore_index=True)[[*by, "cand", "mom", *mother_cols, *total_cols]]
+                    block = np.zeros((len(moms) + 1, len(mother_cols) + len(total_cols)))
+                    rows = np.column_stack([p[:, 0, 0], p[:, 0, 1], p[:, 1, 1], tv.reshape(len(n), -1)])
+                    np.add.at(block[:, : len(mother_cols)], code, rows)
+                    block[-1, len(mother_cols) :] = np.concatenate([[logdet.sum()], _removed(v, d0, d1, t)])
+                    blocks.append(block)
+                    ids.append(np.append(moms, NO_MOTHER))
+                    keys += [(*key, k)] * len(block)
+            if blocks:
+                yield _frame(keys, [*by, "cand"], np.concatenate(blocks), mother_cols + total_cols).assign(mom=np.concatenate(ids))[
+                    [*by, "cand", "mom", *mother_cols, *total_cols]
+                ]
 
     def mothers(batches):
         for pdf in batches:
-            out = []
+            keys, out = [], []
             for key, part in _key_groups(pdf, [*by, "cand"]):
-                extra = part[part["mom"].isna()][total_cols].to_numpy(dtype=float).sum(axis=0)
-                m = part[part["mom"].notna()][mother_cols].to_numpy(dtype=float)
+                values = part[mother_cols + total_cols].to_numpy(dtype=float)
+                extra = values[:, len(mother_cols) :].sum(axis=0)
+                m = values[part["mom"].to_numpy() != NO_MOTHER, : len(mother_cols)]
                 theta = candidates[key[:-1]][key[-1]]
                 d0, d1 = np.exp(theta[0]), (np.exp(theta[2]) if treatment else 0.0)
                 logdet, t = _two_by_two(m[:, 0], m[:, 1], m[:, 2], d0, d1)
                 v = m[:, 3:].reshape(len(m), 2, q)
-                out.append([*key, *(extra + np.concatenate([[logdet.sum()], _removed(v, d0, d1, t)]))])
-            yield pd.DataFrame(out, columns=[*by, "cand", *total_cols])
+                keys.append(key)
+                out.append(extra + np.concatenate([[logdet.sum()], _removed(v, d0, d1, t)]))
+            if keys:
+                yield _frame(keys, [*by, "cand"], np.array(out), total_cols)
 
     doubles = ", ".join(f"{c} double" for c in mother_cols + total_cols)
     per_mother = (
@@ -200,7 +213,7 @@ class _Search:
 
     def __init__(self, start, fixed):
         self.at, self.free = np.array(start, dtype=float), [i for i in range(3) if i not in fixed]
-        self.radius, self.best, self.result, self.done, self.steps = 2.0, -np.inf, None, False, 0
+        self.radius, self.best, self.result, self.done, self.steps = 3.0, -np.inf, None, False, 0
         self.trial = self.at
 
     def candidates(self):
@@ -214,7 +227,7 @@ class _Search:
         if f[0] > self.best:
             gain, self.best, self.at, self.result = f[0] - self.best, f[0], self.trial, fits[0]
             self.grad, self.hess = _slopes(f, len(self.free))
-            self.radius = min(self.radius * 1.5, 4.0)
+            self.radius = min(self.radius * 2, 6.0)
         else:
             gain, self.radius = 0.0, self.radius / 4
         step = _step(self.grad, self.hess, self.radius)
@@ -233,7 +246,7 @@ def fit_mixed(
     y: Column,
     slope_coding: str = "treatment",
     max_steps: int = 40,
-    tolerance: float = 1e-6,
+    tolerance: float = 1e-5,
     start=(-2.0, -2.0, -4.0),
     fixed: dict[int, float] | None = None,
 ) -> DataFrame:
