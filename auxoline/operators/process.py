@@ -226,17 +226,32 @@ def _unpack(v, model: ProcessModel, fit: ProcessFit, extra: dict | None):
 
 
 def _starts(series: DataFrame, by: list[str], model: ProcessModel) -> dict[tuple, ProcessFit]:
-    """Mean of the values, log of their spread and a quarter of the age range as first guesses."""
-    p = series.select(*by, F.inline("points"))
-    rows = p.groupBy(*by).agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("sd"), (F.max("t") - F.min("t")).alias("span")).collect()
+    """First guesses: least-squares mean, log of the residual spread, and a quarter of the usual
+    distance between neighbouring ages as length, which keeps the first covariance matrices well conditioned."""
+    p = model.sizes[0]
+    x = [F.col("x")[i] for i in range(p)] + [F.col("y")]
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    rows = (
+        series.select(*by, F.size("points").alias("k"), F.inline("points"))
+        .groupBy(*by)
+        .agg(
+            F.count("*").alias("n"),
+            F.avg("k").alias("k"),
+            (F.max("t") - F.min("t")).alias("span"),
+            *[F.sum(x[i] * x[j]).alias(f"c{i}_{j}") for i, j in pairs],
+        )
+        .collect()
+    )
     fits = {}
     for r in rows:
-        sd, span = max(r["sd"] or 1.0, 1e-3), max(r["span"] or 1.0, 1e-3)
-        beta = np.zeros(model.sizes[0])
-        beta[0] = r["m"]
+        c = np.zeros((p + 1, p + 1))
+        for i, j in pairs:
+            c[i, j] = c[j, i] = r[f"c{i}_{j}"]
+        beta = np.linalg.pinv(c[:p, :p], hermitian=True) @ c[:p, p]
+        sd = np.sqrt(max((c[p, p] - beta @ c[:p, p]) / r["n"], 1e-6))
         theta = np.zeros(model.n_cov)
         theta[0] = np.log(sd)
-        theta[model.sizes[1]] = 2 * np.log(span / 4)
+        theta[model.sizes[1]] = 2 * np.log(max(r["span"], 1e-3) / max(4 * r["k"], 16.0))
         if model.noise:
             theta[-1] = np.log(sd / 2)
         fits[tuple(r[k] for k in by)] = ProcessFit(beta, theta)
@@ -248,17 +263,16 @@ def fit_process(
     by: list[str],
     model: ProcessModel,
     extra: dict[tuple, dict] | None = None,
-    max_steps: int = 60,
-    tolerance: float = 1e-4,
-    max_move: float = 2.0,
+    max_steps: int = 100,
+    tolerance: float = 1e-3,
 ) -> dict[tuple, ProcessFit]:
     """Damped Fisher scoring; all strata advance together, one job per step.
 
-    A step that lowers the likelihood is undone and tried again with more damping.
+    A step that lowers the likelihood is undone and tried again, shorter and with more damping.
     """
     series = series.persist()
     fits = _starts(series, by, model)
-    state = {k: {"damp": 1e-3, "trial": f, "at": None} for k, f in fits.items()}
+    state = {k: {"damp": 1e-3, "reach": 2.0, "trial": f, "at": None} for k, f in fits.items()}
     extra = extra or {}
     try:
         for _ in range(max_steps):
@@ -272,16 +286,17 @@ def fit_process(
                 if np.isfinite(value) and value > old.llf:
                     trial.llf, trial.trace = value, [*old.trace, float(value)]
                     trial.steps = old.steps + 1
-                    fits[key], s["at"], s["damp"] = trial, (gb, ib, gt, it), max(s["damp"] / 10, 1e-9)
+                    fits[key], s["at"] = trial, (gb, ib, gt, it)
+                    s["damp"], s["reach"] = max(s["damp"] / 10, 1e-9), min(s["reach"] * 2, 32.0)
                 else:
                     old.steps += 1
-                    s["damp"] *= 10
+                    s["damp"], s["reach"] = s["damp"] * 10, s["reach"] / 4
                 if s["at"] is None:
                     raise ValueError(f"the starting values of {key} give no likelihood")
                 gb, ib, gt, it = s["at"]
                 diag = np.maximum(np.diag(it), 1e-8 * max(np.diag(it).max(), 1e-8))
                 move = np.linalg.solve(it + np.diag(s["damp"] * diag) + 1e-10 * np.eye(len(gt)), gt)
-                move *= min(1.0, max_move / max(np.abs(move).max(), 1e-12))
+                move *= min(1.0, s["reach"] / max(np.abs(move).max(), 1e-12))
                 step_b = np.linalg.pinv(ib, hermitian=True) @ gb / (1.0 + s["damp"])
                 if gt @ move + gb @ step_b < tolerance or s["damp"] > 1e8:
                     fits[key].converged = True
