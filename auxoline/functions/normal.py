@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,7 +38,6 @@ def normal_cdf(z: Column) -> Column:
 
 def exact_two_sided_p(z: Column) -> Column:
     """Same to double precision, through an Arrow batch."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def tail(s: pd.Series) -> pd.Series:

@@ -19,7 +19,7 @@ def r6(col):
 
 
 def cleaned(spark, sf_dir) -> DataFrame:
-    return C.clean(T.cohort(spark, sf_dir).withColumnsRenamed({"School": "School_Use"}))
+    return C.clean(T.cohort(spark, sf_dir))
 
 
 def named(spark, sf_dir, columns=None) -> DataFrame:
