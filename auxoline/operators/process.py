@@ -149,7 +149,8 @@ def _likelihood(t, n, y, x, sd, ud, fit: ProcessFit, model: ProcessModel):
     a = 0.25 - u[:, :, None] / (4 * mid) + d * d * u[:, :, None] / (4 * mid * mid)
     products = []
     grad = []
-    parts = [k0 * (sd[:, :, None, k] + sd[:, None, :, k]) for k in range(sd.shape[2])]
+    scaled = k0 if model.noise else k0 + nugget[:, :, None] * eye  # the jitter follows the scale
+    parts = [scaled * (sd[:, :, None, k] + sd[:, None, :, k]) for k in range(sd.shape[2])]
     parts += [k0 * (a * ud[:, :, None, k] + a.transpose(0, 2, 1) * ud[:, None, :, k]) for k in range(ud.shape[2])]
     if model.noise:
         parts.append(2 * (noise / n)[:, :, None] * eye)
