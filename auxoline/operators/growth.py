@@ -32,19 +32,21 @@ def to_long(wide: DataFrame, ids: list[str], prefix: str = "a") -> DataFrame:
 def pooled_moments(growth: DataFrame, by: list[str], ages=AGES) -> DataFrame:
     """Mean and covariance within each imputation, averaged over imputations.
 
-    One row per stratum: ``mean`` array and ``cov`` matrix over the age grid. All
-    imputations and strata are aggregated in one pass with map-side combine.
+    One row per stratum: ``mean`` array and ``cov`` matrix over the age grid. All imputations and
+    strata are aggregated in one pass with map-side combine. Plain sums of products keep the
+    aggregation buffer at one number per pair, where ``covar_samp`` would keep four.
     """
     p = len(ages)
     names = [f"a{a}" for a in ages]
     upper = [(i, j) for i in range(p) for j in range(i, p)]
-    within = trajectories(growth, by, ages).groupBy(*by, "imp").agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)],
-        *[F.covar_samp(names[i], names[j]).alias(f"c{i}_{j}") for i, j in upper],
+    sums = trajectories(growth, by, ages).groupBy(*by, "imp").agg(
+        F.count("*").alias("n"),
+        *[F.sum(c).alias(f"s{i}") for i, c in enumerate(names)],
+        *[F.expr(f"sum({names[i]} * {names[j]})").alias(f"q{i}_{j}") for i, j in upper],
     )
-    pooled = within.groupBy(*by).agg(
-        *[F.avg(f"m{i}").alias(f"m{i}") for i in range(p)],
-        *[F.avg(f"c{i}_{j}").alias(f"c{i}_{j}") for i, j in upper],
+    pooled = sums.groupBy(*by).agg(
+        *[F.expr(f"avg(s{i} / n)").alias(f"m{i}") for i in range(p)],
+        *[F.expr(f"avg((q{i}_{j} - s{i} * s{j} / n) / nullif(n - 1, 0))").alias(f"c{i}_{j}") for i, j in upper],
     )
     cov = F.array(*[F.array(*[F.col(f"c{min(i, j)}_{max(i, j)}") for j in range(p)]) for i in range(p)])
     mean = F.array(*[F.col(f"m{i}") for i in range(p)])

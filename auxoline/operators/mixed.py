@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auxoline.operators.linear import FIT_FIELDS
-from auxoline.session import durable
+from auxoline.session import durable, spread
 
 FLOOR, CEILING = -14.0, 8.0
 STENCIL = 0.05
@@ -265,7 +265,7 @@ def fit_mixed(
     stats = durable(stats)
     known = {tuple(r[k] for k in by): r for r in totals(stats, by, q).collect()}
     zz = {k: _unpack(r["zz"], q) for k, r in known.items()}
-    slim = stats.drop("zz").persist()
+    slim = spread(stats.drop("zz"), "ID").persist()
     fixed = fixed or {}
     first = [fixed.get(i, v) for i, v in enumerate(start)]
     searches = {k: _Search(first, fixed) for k in known}

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from auxoline.functions.normal import keyed_normal
 from auxoline.functions.scalar import dot
-from auxoline.session import durable
+from auxoline.session import durable, spread
 
 JITTER = 1e-8
 CELLS = 2_000_000  # matrix cells handled at once
@@ -271,7 +271,7 @@ def fit_process(
 
     A step that lowers the likelihood is undone and tried again, shorter and with more damping.
     """
-    series = series.persist()
+    series = spread(series, "ID").persist()
     fits = _starts(series, by, model)
     state = {k: {"damp": 1e-3, "reach": 2.0, "trial": f, "at": None} for k, f in fits.items()}
     extra = extra or {}
@@ -367,7 +367,7 @@ def conditional_series(series: DataFrame, by: list[str], model: ProcessModel, fi
                 rows.append({k: r[k] for k in (*by, "ID")} | {"t": at["t"].tolist(), "z": z.tolist(), "root": root.tolist()})
             yield pd.DataFrame(rows, columns=[*by, "ID", "t", "z", "root"])
 
-    return series.mapInPandas(run, f"{head}, t array<double>, z array<double>, root array<array<double>>")
+    return spread(series, "ID").mapInPandas(run, f"{head}, t array<double>, z array<double>, root array<array<double>>")
 
 
 def draw(cond: DataFrame, by: list[str], n_imp: int, tag: str) -> DataFrame:

@@ -46,3 +46,12 @@ def durable(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """As many partitions as the session plans for shuffles, by key.
+
+    Adaptive execution sizes partitions by bytes and would merge small ones; work that is heavy
+    per row (a matrix per subject) needs the tasks rather than the bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
