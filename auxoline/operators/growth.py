@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
+from auxoline.operators.summaries import complete_cases
+
 # The age grid and the weight of the second-difference penalty.
 AGES = tuple(range(1, 11))
 SMOOTHING = 0.2
@@ -118,15 +120,33 @@ def pc_scores(growth: DataFrame, basis: DataFrame, by: list[str], ndim: int, age
     return wide.select(*by, "imp", "ID", *[score(k) for k in range(ndim)])
 
 
-def attach_scores(visits: DataFrame, scores: DataFrame, columns: list[str], outcome: str) -> DataFrame:
-    """Visits with their subject's scores, one row per (imputation, visit), complete cases only.
+def pack_scores(visits: DataFrame, scores: DataFrame, columns: list[str], outcome: str) -> DataFrame:
+    """Complete visits with their subject's scores of all imputations packed in one array (``draws``).
 
     Scores are packed to one row per subject (at most one entry per imputation) before the
-    join and unpacked after it, so the join does not move every visit once per imputation.
+    join, so the join moves each visit once and not once per imputation.
     """
-    from auxoline.operators.summaries import complete_cases
-
     pcs = [c for c in scores.columns if c not in ("imp", "ID")]
     packed = scores.groupBy("ID").agg(F.collect_list(F.struct("imp", *pcs)).alias("draws"))
     usable = complete_cases(visits.select("ID", *columns), [outcome, *columns])
-    return usable.join(packed, "ID", "left").select("*", F.inline("draws")).drop("draws")
+    return usable.join(packed, "ID", "left")
+
+
+def unpack_scores(packed: DataFrame) -> DataFrame:
+    """One row per imputation and visit; visits of subjects without scores drop out."""
+    return packed.select("*", F.inline("draws")).drop("draws")
+
+
+def attach_scores(visits: DataFrame, scores: DataFrame, columns: list[str], outcome: str) -> DataFrame:
+    return unpack_scores(pack_scores(visits, scores, columns, outcome))
+
+
+def merge_fills(frame: DataFrame, fills: DataFrame, value: str, other_sex: int) -> DataFrame:
+    """Imputed values of a puberty variable put where it is missing, per imputation and visit.
+
+    The variable is zero for the sex it does not apply to (``Female == other_sex``).
+    """
+    drawn = fills.select("imp", "ID", "visit_id", F.col("value").alias("_fill"))
+    joined = frame.join(drawn, ["imp", "ID", "visit_id"], "left")
+    merged = F.when(F.col("Female") == other_sex, 0.0).otherwise(F.coalesce(value, "_fill"))
+    return joined.withColumn(value, merged).drop("_fill")

@@ -79,6 +79,30 @@ def least_squares(names, xx, xy, yy, n) -> dict:
     return {"terms": list(names), "est": est, "cov": scale * inv, "scale": scale, "n": n, "llf": llf}
 
 
+def fit_cross(cross: DataFrame, by: list[str], names: list[str], factors: list[Factor] = (), estimator: Callable[..., dict] = least_squares) -> DataFrame:
+    """Solve every key from its cross-products: one small group per key reaches Python."""
+    names, factors = list(names), list(factors)
+    types = dict(cross.dtypes)
+    schema = ", ".join([f"{k} {types[k]}" for k in by] + [FIT_FIELDS])
+
+    def solve(key, pdf):
+        r = estimator(*assemble(pdf, names, factors))
+        row = dict(zip(by, key)) | {k: r[k] for k in ("terms", "scale", "n", "llf")}
+        row |= {"est": [float(v) for v in r["est"]], "cov": [[float(v) for v in line] for line in r["cov"]]}
+        return pd.DataFrame([row])
+
+    return cross.groupBy(*by).applyInPandas(solve, schema)
+
+
+def leading_terms(k: int) -> Callable[..., dict]:
+    """Least squares on the first ``k`` terms of the same cross-products."""
+
+    def estimator(names, xx, xy, yy, n):
+        return least_squares(names[:k], xx[:k, :k], xy[:k], yy, n)
+
+    return estimator
+
+
 def fit_linear(
     df: DataFrame,
     by: list[str],
@@ -92,18 +116,7 @@ def fit_linear(
     ``estimator`` gets term names, X'X, X'y, y'y and n of one key and may be replaced by
     any estimator that works from those; it never sees the rows themselves.
     """
-    names, factors = list(terms), list(factors)
-    cross = cross_products(df, by, terms, y, factors)
-    types = dict(cross.dtypes)
-    schema = ", ".join([f"{k} {types[k]}" for k in by] + [FIT_FIELDS])
-
-    def solve(key, pdf):
-        r = estimator(*assemble(pdf, names, factors))
-        row = dict(zip(by, key)) | {k: r[k] for k in ("terms", "scale", "n", "llf")}
-        row |= {"est": [float(v) for v in r["est"]], "cov": [[float(v) for v in line] for line in r["cov"]]}
-        return pd.DataFrame([row])
-
-    return cross.groupBy(*by).applyInPandas(solve, schema)
+    return fit_cross(cross_products(df, by, terms, y, factors), by, list(terms), factors, estimator)
 
 
 def coef_rows(fits: DataFrame, by: list[str]) -> DataFrame:

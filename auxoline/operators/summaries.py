@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auxoline.functions.scalar import round_even
 from auxoline.operators.quantiles import exact_quantiles
+from auxoline.session import durable
 
 
 def age_sex_stats(df: DataFrame, variables: list[str]) -> DataFrame:
@@ -86,8 +87,11 @@ def end_visits(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame
 
 
 def table_one(df: DataFrame, variables: list[str], order: list[str]) -> DataFrame:
-    """N (nulls included), mean, 10 % and 90 % points at the first and last visit, by sex."""
-    ends = end_visits(df, ["Female", *variables], order)
+    """N (nulls included), mean, 10 % and 90 % points at the first and last visit, by sex.
+
+    The end visits (two rows per subject) are written once: three passes read them.
+    """
+    ends = durable(end_visits(df, ["Female", *variables], order))
     long = ends.select(
         "Visit",
         "Female",

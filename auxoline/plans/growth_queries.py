@@ -165,14 +165,22 @@ FRAME = (
 )
 
 
-def frame(spark, sf_dir):
-    """The complete-case analysis frame, one row per imputation and visit."""
-    df = G.attach_scores(cleaned(spark, sf_dir), scores(spark, sf_dir), FRAME_COLUMNS, "SBP_MEAN")
+def packed_frame(spark, sf_dir):
+    df = G.pack_scores(cleaned(spark, sf_dir), scores(spark, sf_dir), FRAME_COLUMNS, "SBP_MEAN")
     return df.withColumnsRenamed(
         {"Female": "female", "MomIdUnique": "mom", "SBP_MEAN": "sbp", "HT_cen": "ht_cen", "BMI_cen": "bmi_cen", "Wealth_Z": "wealth_z"}
     )
 
 
+def frame(spark, sf_dir, reused: bool = False):
+    """The complete-case analysis frame, one row per imputation and visit.
+
+    A query that reads it more than once has it written in packed form, one row per visit.
+    """
+    packed = packed_frame(spark, sf_dir)
+    return G.unpack_scores(durable(packed) if reused else packed)
+
+
 @query(
     "analysis_frame",
     f"""WITH {FRAME} SELECT imp, ID, visit_id, female, mom, round(sbp, 6) AS sbp, round(age_x, 6) + 0.0 AS age_x,

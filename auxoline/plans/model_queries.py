@@ -180,7 +180,7 @@ def coef_slice(spark, sf_dir):
     FROM frame, p""",
 )
 def linear_predictor(spark, sf_dir):
-    df = frame(spark, sf_dir)
+    df = frame(spark, sf_dir, reused=True)
     fits = L.fit_linear(df, ["imp"], two_slopes(), F.col("sbp")).withColumn("model", F.lit("sbp"))
     pooled = durable(L.pooled_matrix(L.pool(fits, ["model"]), ["model"]))
     out = L.linear_predictor(df, ["imp", "ID", "visit_id", "sbp"], two_slopes(), pooled)
@@ -199,14 +199,12 @@ def linear_predictor(spark, sf_dir):
 )
 def select_dim(spark, sf_dir):
     """Early growth as one or two components, judged for each later age."""
-    wide = durable(G.trajectories(T.growth(spark, sf_dir), []))
+    wide = G.trajectories(T.growth(spark, sf_dir), [])
     targets = F.inline(F.array(*[F.struct(F.lit(a).alias("target"), F.col(f"a{a}").alias("y")) for a in G.AGES if a >= 6]))
-    rows = wide.select("imp", "a1", "a2", targets)
-    one = D.intercept() | D.linear("a1")
-    by = ["target", "imp"]
+    by, terms = ["target", "imp"], D.intercept() | D.linear("a1", "a2")
+    cross = durable(L.cross_products(wide.select("imp", "a1", "a2", targets), by, terms, F.col("y")))
     fits = [
-        L.fit_linear(rows, by, t, F.col("y")).select(*by, F.lit(d).alias("ndim"), "llf")
-        for d, t in ((1, one), (2, one | D.linear("a2")))
+        L.fit_cross(cross, by, list(terms), estimator=L.leading_terms(d + 1)).select(*by, F.lit(d).alias("ndim"), "llf") for d in (1, 2)
     ]
     mean = fits[0].unionByName(fits[1]).groupBy("target", "ndim").agg(F.avg("llf").alias("llf"))
     return L.select_dimension(mean, ["target"]).select("target", "ndim", r4("score").alias("score"))
@@ -490,7 +488,7 @@ def mediator_contrast_mean(spark, sf_dir):
 )
 def resid_corr(spark, sf_dir):
     """Correlation of the two mediators' residuals at the first visits, age set to the reference age."""
-    df = frame(spark, sf_dir)
+    df = frame(spark, sf_dir, reused=True)
     by = ["female", "mediator"]
     fits = L.fit_linear(mediator_rows(df), [*by, "imp"], two_slopes(), F.col("y"))
     coef = L.pooled_coefficients(L.pool(fits, by), by).groupBy("female").agg(
@@ -598,7 +596,7 @@ def mixed_fit(spark, sf_dir):
 @query("mediator_simulation")
 def mediator_simulation(spark, sf_dir):
     """Simulated mediators under both patterns, per imputation and summarised."""
-    df = frame(spark, sf_dir)
+    df = frame(spark, sf_dir, reused=True)
     pair = pattern_pair(spark, sf_dir).select(F.array("p0", "p1")).scalar()
     sims = [M.simulate_mediator(df, ["female"], m, two_slopes(), pair) for m in ("ht_cen", "bmi_cen")]
     return M.summarise_simulation(sims[0].unionByName(sims[1]), ["female"])

@@ -215,3 +215,10 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert len({round(r.dm, 6) for r in a}) == 4
     c = M.simulate_mediator(df, ["sex"], "HT_cen", terms, pair, common_draws=True).collect()
     assert all(r.dv == pytest.approx(0.0, abs=1e-12) for r in c)
+
+
+def test_merged_fills(spark):
+    frame = spark.createDataFrame([(0, 1, 1, 1, 2.0), (0, 1, 2, 1, None), (1, 1, 2, 1, None), (0, 2, 3, 0, None), (0, 3, 4, 1, None)], "imp long, ID long, visit_id long, Female int, b double")
+    fills = spark.createDataFrame([(0, 1, 2, 5.0), (1, 1, 2, 6.0), (0, 2, 3, 7.0)], "imp long, ID long, visit_id long, value double")
+    out = {(r.imp, r.visit_id): r.b for r in G.merge_fills(frame, fills, "b", 0).collect()}
+    assert out == {(0, 1): 2.0, (0, 2): 5.0, (1, 2): 6.0, (0, 3): 0.0, (0, 4): None}
