@@ -10,7 +10,7 @@ from auxoline.operators import clean as C
 from auxoline.operators import summaries as S
 from auxoline.operators import visits as V
 from auxoline.plans.registry import query
-from auxoline.plans.study_sql import CLEAN, COHORT
+from auxoline.plans.study_sql import CLEAN, COHORT, VISITS
 from auxoline.sources import study_tables as T
 
 
@@ -455,7 +455,7 @@ def table_one(spark, sf_dir):
 
 
 def _nearest_sql(limit: int) -> str:
-    return f"""WITH {VISITS_CTE},
+    return f"""WITH {VISITS},
     obs AS (SELECT ID, datecomb, visit_id, y FROM visits_ts WHERE y IS NOT NULL),
     near AS (SELECT m.ID, m.visit_id, arg_min({{'y': o.y, 'gap': abs(date_diff('day', o.datecomb, m.datecomb))}},
         (abs(date_diff('day', o.datecomb, m.datecomb)), o.datecomb, o.visit_id)) AS hit
@@ -466,9 +466,6 @@ def _nearest_sql(limit: int) -> str:
     FROM visits_ts v LEFT JOIN near USING (ID, visit_id)"""
 
 
-from auxoline.plans.study_sql import VISITS as VISITS_CTE  # noqa: E402
-
-
 def _nearest(limit: int):
     def run(spark, sf_dir):
         df = T.visits_ts(spark, sf_dir).select("ID", "visit_id", "datecomb", "y")
