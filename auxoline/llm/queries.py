@@ -1,4 +1,4 @@
 """Imports every module that registers a query."""
 
-from auxoline.llm import chat_format, decontaminate, exact_dedup, token_counts  # noqa: F401
+from auxoline.llm import chat_format, decontaminate, exact_dedup, mixture, quality, token_counts  # noqa: F401
 from auxoline.llm.registry import ORACLES, QUERIES  # noqa: F401

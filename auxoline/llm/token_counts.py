@@ -15,6 +15,7 @@ has it. Repeated rows are counted each. Empty tables give empty results; other c
 from __future__ import annotations
 
 import json
+import uuid
 from itertools import accumulate
 
 import pyarrow as pa
@@ -193,7 +194,7 @@ class Vocabulary:
     def __init__(self, spark: SparkSession, path: str):
         with open(path, encoding="utf-8") as f:
             self.text = spark.sparkContext.broadcast(f.read())
-        self.id = f"{path}:{self.text.id}"
+        self.id = uuid.uuid4().hex
 
 
 def count_tokens(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text: str = "text", limit: int = TOKEN_LIMIT) -> DataFrame:
