@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from auxoline.session import checkpoint_dir
 
@@ -30,3 +31,16 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def with_ids(docs: DataFrame, doc_id: str) -> tuple[DataFrame, str]:
+    """``docs`` with a column that numbers its rows without repeats, and that column's name.
+
+    It is the id itself if ids are whole numbers without repeats and nulls; else rows are numbered and written, so that the numbers hold.
+    """
+    (name,) = fresh(docs, "row_id")
+    if docs.schema[doc_id].dataType.typeName() in ("integer", "long", "short", "byte"):
+        repeats = docs.groupBy(F.col(doc_id)).agg(F.count("*").alias("n")).filter(F.col("n") > 1).unionByName(docs.filter(F.col(doc_id).isNull()).select(F.col(doc_id), F.lit(1).cast("bigint").alias("n")))
+        if not repeats.limit(1).count():
+            return docs.withColumn(name, F.col(doc_id).cast("bigint")), name
+    return stored(docs.withColumn(name, F.monotonically_increasing_id())), name
