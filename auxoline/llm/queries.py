@@ -1,4 +1,4 @@
 """Imports every module that registers a query."""
 
-from auxoline.llm import chat_format, decontaminate, exact_dedup, mixture, near_dedup, quality, suffix_dedup, token_counts  # noqa: F401
+from auxoline.llm import chat_format, decontaminate, exact_dedup, html_extract, mixture, near_dedup, quality, suffix_dedup, token_counts, url_templates  # noqa: F401
 from auxoline.llm.registry import ORACLES, QUERIES  # noqa: F401
