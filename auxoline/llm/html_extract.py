@@ -260,7 +260,7 @@ def variants(nodes: list[Node], labels: list[int]) -> list[tuple[list[Node], lis
     """The labelled page, and two made from it, so that the model does not rest on habits of one template.
 
     One has boilerplate with the shape of its own paragraphs inside the main element, named by a boilerplate word, and links inside its
-    paragraphs; in the other the main element is a plain div.
+    paragraphs, some of which become other kinds of blocks; in the other the main element is a plain div.
     """
     out = [(nodes, labels)]
     top = next((i for i, (n, y) in enumerate(zip(nodes, labels, strict=True)) if y and n.names & MAIN), None)
@@ -276,6 +276,8 @@ def variants(nodes: list[Node], labels: list[int]) -> list[tuple[list[Node], lis
             new.chars, new.links, new.text = n.chars, n.links, n.text
             if kind == 0 and labels[i] and i % 3 == 0:
                 new.links = n.chars // 4
+            elif kind == 0 and labels[i] and n.tag == "p":
+                new.tag = ("li", "ul", "td", "div", "blockquote", "pre", "section", "p")[i % 8]
             twin[id(n)] = new
             made.append(new)
         ys = list(labels)

@@ -165,11 +165,17 @@ class PrefixCounter:
 
     def counts(self, text: str) -> list[int]:
         """Token counts of every prefix of a text, by code points (n + 1 values). A special string counts once it is complete."""
-        out, base = [0], 0
+        out, base, plain = [0], 0, ""
         for part, special in self.segments(text):
-            out += [base + c for c in self._part_counts(part)[1:]]
-            base += 1 if special else self.tokens_of(part)
-            out[-1] = base
+            if special:
+                # Until it is complete, a special string is ordinary text after what comes before it.
+                before = self.tokens_of(plain)
+                out += [base - before + c for c in self._part_counts(plain + part[:-1])[len(plain) + 1 :]]
+                base, plain = base + 1, ""
+                out.append(base)
+            else:
+                out += [base + c for c in self._part_counts(part)[1:]]
+                base, plain = base + self.tokens_of(part), part
         return out
 
     def fit(self, text: str, limit: int) -> int:
