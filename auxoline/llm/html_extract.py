@@ -1,8 +1,8 @@
 """Main text of web pages by a tree-structured graphical model over DOM nodes.
 
 Every element that holds text and every block of text is a node with a hidden label, content or boilerplate. A label emits the node's
-features (its kind of tag, boilerplate words among its tag, class, id and role, the share of its text in links, the length of its text), and
-parent-child potentials, one table for each kind of parent, tie the labels of neighbours. Messages pass from the leaves up and from the root down (sum-product), which
+features (its kind, by its tag or by boilerplate words among tag, class, id and role; the share of its text in links; the length of a text), and
+parent-child potentials, by the kind of the parent and of the child, tie the labels of neighbours. Messages pass from the leaves up and from the root down (sum-product), which
 gives the exact marginal of every node; blocks whose content marginal is above one half are the page's text.
 
 Emissions and potentials are counted over labelled pages: at most SAMPLE pages, those with the smallest hash of their id, whose
@@ -146,9 +146,11 @@ class PageTree(HTMLParser):
 
 
 def kind_of(node: Node) -> str:
-    if node.names & MAIN:
-        return "main"
     tag = node.tag
+    if tag != "#text" and node.names & (MAIN | BOILER):
+        return "boiler" if node.names & BOILER else "main"
+    if tag in ("#page", "html"):
+        return "body"
     return "h" if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else tag if tag in ("#text", "p", "li", "ul", "div", "section", "table", "td", "body", "blockquote", "a", "pre") else "other"
 
 
@@ -171,12 +173,12 @@ def features(node: Node) -> tuple[str, ...]:
     links = f"links {0 if share < 0.1 else 1 if share < 0.6 else 2}"
     if kind == "#text":
         return f"kind {kind}", links, f"length {0 if node.chars < 30 else 1 if node.chars < 200 else 2}"
-    return f"kind {kind}", f"boiler {bool(node.names & BOILER)}", links
+    return f"kind {kind}", links
 
 
-def parent_kind(node: Node) -> str:
-    """What the potentials between a node and its children depend on."""
-    return "boiler" if node.names & BOILER else kind_of(node)
+def pair_kind(parent: Node, child: Node) -> str:
+    """What the potentials of a parent and its child depend on: the parent's kind, and whether the child is named as boilerplate."""
+    return f"{kind_of(parent)} {kind_of(child) == 'boiler'}"
 
 
 def markup_labels(nodes: list[Node]) -> list[int]:
@@ -214,7 +216,7 @@ class TreeModel:
         """The probability of content of every node (parents before children), by messages up and down the tree."""
         place = {id(n): i for i, n in enumerate(nodes)}
         parent = [place.get(id(n.parent), -1) for n in nodes]
-        emit, pairs = self.emit, [self.pair.get(parent_kind(n), self.pair["any"]) for n in nodes]
+        emit, pairs = self.emit, [self.pair.get(pair_kind(n.parent, n), self.pair["any"]) if n.parent else None for n in nodes]
         zero, one = [0.0] * len(nodes), [0.0] * len(nodes)
         for i, n in enumerate(nodes):
             for f in features(n):
@@ -225,7 +227,7 @@ class TreeModel:
         sent0, sent1 = [0.0] * len(nodes), [0.0] * len(nodes)
         for i in range(len(nodes) - 1, 0, -1):
             a, b = up0[i], up1[i]
-            p0, p1 = pairs[parent[i]]
+            p0, p1 = pairs[i]
             sent0[i], sent1[i] = _log_sum(p0[0] + a, p0[1] + b), _log_sum(p1[0] + a, p1[1] + b)
             up0[parent[i]] += sent0[i]
             up1[parent[i]] += sent1[i]
@@ -234,7 +236,7 @@ class TreeModel:
         for i in range(len(nodes)):
             if i:
                 p = parent[i]
-                p0, p1 = pairs[p]
+                p0, p1 = pairs[i]
                 # What the parent knows without this child.
                 a, b = up0[p] + down0[p] - sent0[i], up1[p] + down1[p] - sent1[i]
                 down0[i], down1[i] = _log_sum(p0[0] + a, p1[0] + b), _log_sum(p0[1] + a, p1[1] + b)
@@ -276,20 +278,20 @@ def variants(nodes: list[Node], labels: list[int]) -> list[tuple[list[Node], lis
             new.chars, new.links, new.text = n.chars, n.links, n.text
             if kind == 0 and labels[i] and i % 3 == 0:
                 new.links = n.chars // 4
-            elif kind == 0 and labels[i] and n.tag == "p":
-                new.tag = ("li", "ul", "td", "div", "blockquote", "pre", "section", "p")[i % 8]
+            if kind == 0 and labels[i] and n.tag == "p":
+                new.tag = ("li", "ul", "td", "div", "blockquote", "pre", "section", "p")[i // 2 % 8]
             twin[id(n)] = new
             made.append(new)
         ys = list(labels)
         if kind == 0:
             inside = [n for n, y in zip(nodes, labels, strict=True) if y and n.tag == "#text"]
-            for j in range(min(3, len(inside))):
-                word = words[(nodes[top].chars + j) % len(words)]
+            if inside:
+                word = words[nodes[top].chars % len(words)]
                 box = Node("div", frozenset({"div", word}), made[top])
-                par = Node(("p", "div", "li")[j % 3], frozenset(), box)
+                par = Node(("p", "div", "li")[nodes[top].chars % 3], frozenset(), box)
                 leaf = Node("#text", frozenset(), par)
                 for x in (box, par, leaf):
-                    x.chars, x.links = inside[j].chars, inside[j].chars * (j % 2) // 2
+                    x.chars, x.links = inside[0].chars, inside[0].chars * (nodes[top].chars % 2) // 2
                 made += [box, par, leaf]
                 ys += [0, 0, 0]
         out.append((made, ys))
@@ -310,7 +312,7 @@ def count_page(html: str | None) -> Counter:
             if n.parent is None:
                 out[f"r {y}"] += 1
             else:
-                out.update(f"t {k} {by_node[id(n.parent)]} {y}" for k in (parent_kind(n.parent), "any"))
+                out.update(f"t {k} {by_node[id(n.parent)]} {y}" for k in (pair_kind(n.parent, n), "any"))
     return out
 
 

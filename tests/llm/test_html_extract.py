@@ -48,7 +48,7 @@ def test_other_layouts(model):
 
 def test_broken_markup(model):
     assert model.text("<article><p><b>one two three<br>four <p>five\n six </article><footer>no") == "one two three four\nfive six"
-    assert model.text("<article><p>a &lt;b&gt; &am &copy; x<script>var t='</p>'</script> y<!-- c --></p><style>p{}</style><ul><li>u<li>v</ul>") == "a <b> &am © x y\nu\nv"
+    assert model.text("<article><p>a &lt;b&gt; &am &copy; x<script>var t='</p>'</script> y<!-- c --></p><style>p{}</style><ul><li>the first of two things that are listed here<li>the second of two things that are listed here</ul>") == "a <b> &am © x y\nthe first of two things that are listed here\nthe second of two things that are listed here"
     for page in (None, "", " \n", "<article></article>", "<p", "</p></div>", "<script>never closed", "<title>only a title</title>"):
         assert model.text(page) == ""
     deep = "<div>" * 3000 + "x" + "</div>" * 3000
@@ -66,7 +66,7 @@ def test_marginals_are_exact(model):
         for i, n in enumerate(nodes):
             log += sum(model.emit.get(f, (0.0, 0.0))[labels[i]] for f in H.features(n))
             if i:
-                log += model.pair.get(H.parent_kind(n.parent), model.pair["any"])[labels[place[id(n.parent)]]][labels[i]]
+                log += model.pair.get(H.pair_kind(n.parent, n), model.pair["any"])[labels[place[id(n.parent)]]][labels[i]]
         weight += math.exp(log)
         for i, y in enumerate(labels):
             content[i] += y * math.exp(log)
