@@ -29,17 +29,19 @@ from pyspark.sql import functions as F
 from auxoline.llm.flat import chunks, flat_bytes, mix, span_hashes
 from auxoline.llm.frames import stored
 from auxoline.llm.registry import query, table
+from auxoline.session import durable
 
 LENGTH = 100
 #: Bytes of the strings that name buckets, and of text whose segments a task packs together.
-K, PACK = 24, 16 << 20
+K, PACK = 16, 8 << 20
 #: Bytes of segments a bucket is meant to hold, and how many times segments repeat their text on average.
-BUCKET_BYTES, SPREAD = 16 << 20, 3.5
+BUCKET_BYTES, SPREAD = 12 << 20, 3.5
 #: Share of a task's (and of all) different segments from which a naming string is hot.
 HOT_SHARE = 1 / 2000
 #: Suffixes sorted at a time.
 BLOCK = 1 << 20
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
+_ZSTD = pa.Codec("zstd", 3)
 
 
 def cover_offset(period: int = PERIOD, cover: tuple[int, ...] = COVER) -> np.ndarray:
@@ -149,7 +151,7 @@ class Packer:
         for b in range(buckets):
             mine = keep[by[edge[b] : edge[b + 1]]]
             if len(mine):
-                yield b, pack(text[ragged(starts[mine], sizes[mine])], sizes[mine], name[mine], ids[mine], rows[mine], at[mine])
+                yield b, pack(text[ragged(starts[mine], sizes[mine])], sizes[mine].astype(np.uint32), name[mine], ids[mine], rows[mine], at[mine])
 
 
 def _spans_by_salt(gone: list[np.ndarray], buckets: int):
@@ -185,30 +187,24 @@ def pack(*arrays: np.ndarray) -> bytes:
         x = np.ascontiguousarray(x)
         if x.dtype == np.int64:
             x = np.diff(x, prepend=np.int64(0))
-            # Bytes of equal weight together compress best.
-            raw = x.view(np.uint8).reshape(-1, 8).T.tobytes()
-        else:
-            raw = x.tobytes()
+        # Bytes of equal weight together compress best.
+        raw = x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
         head.append(f"{x.dtype.str}:{len(x)}")
         body.append(raw)
     whole = b"".join(body)
     mark = ",".join(head).encode()
-    return len(mark).to_bytes(4, "little") + mark + len(whole).to_bytes(8, "little") + bytes(pa.compress(whole, codec="zstd", asbytes=True))
+    return len(mark).to_bytes(4, "little") + mark + len(whole).to_bytes(8, "little") + _ZSTD.compress(whole, asbytes=True)
 
 
 def unpack(value: bytes) -> list[np.ndarray]:
     n = int.from_bytes(value[:4], "little")
     mark, size = value[4 : 4 + n].decode(), int.from_bytes(value[4 + n : 12 + n], "little")
-    whole, at, out = pa.decompress(value[12 + n :], decompressed_size=size, codec="zstd", asbytes=True), 0, []
+    whole, at, out = _ZSTD.decompress(value[12 + n :], decompressed_size=size, asbytes=True), 0, []
     for kind in mark.split(","):
         dtype, count = kind.split(":")
         bytes_ = np.dtype(dtype).itemsize * int(count)
-        raw = np.frombuffer(whole, np.uint8, bytes_, at)
-        if np.dtype(dtype) == np.int64:
-            raw = np.cumsum(raw.reshape(8, -1).T.copy().view(np.int64).ravel())
-        else:
-            raw = raw.view(np.dtype(dtype))
-        out.append(raw)
+        raw = np.frombuffer(whole, np.uint8, bytes_, at).reshape(np.dtype(dtype).itemsize, -1).T.copy().view(np.dtype(dtype)).ravel()
+        out.append(np.cumsum(raw) if raw.dtype == np.int64 else raw)
         at += bytes_
     return out
 
@@ -303,6 +299,7 @@ def repeated_starts(text: np.ndarray, at: np.ndarray, when: np.ndarray) -> np.nd
 def bucket_spans(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     """Repeated spans (id, row, start, stop) of a bucket's segments."""
     text, sizes, name, ids, rows, at = (np.concatenate(x) for x in zip(*map(unpack, payloads), strict=True))
+    sizes = sizes.astype(np.int64)
     starts = np.cumsum(sizes) - sizes
     _, inverse, count = np.unique(name, return_inverse=True, return_counts=True)
     live = np.flatnonzero(count[inverse] > 1)
@@ -368,7 +365,8 @@ def hot_names(rows: DataFrame) -> np.ndarray:
                 total = pa.array([len(distinct)] + [0] * int(often.sum()), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(np.int64(-1), names[often].astype(np.int64))), pa.array(np.append(np.int64(0), n[often])), total], names=["name", "n", "total"])
 
-    found = rows.select("id", "row", "text").mapInArrow(count, "name long, n long, total long").groupBy("name").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    found = durable(rows.select("id", "row", "text").mapInArrow(count, "name long, n long, total long").groupBy("name").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    # The name -1 carries the total.
     total = found.filter("name = -1").first()
     if total is None:
         return np.zeros(0, np.uint64)
