@@ -29,7 +29,8 @@ from auxoline.session import durable, spread
 
 JITTER = 1e-8
 CELLS = 2_000_000  # matrix cells handled at once
-LOG_LIMIT = 15.0
+FLAT = 1e-6  # smallest eigenvalue of the scaled information from which parameters count as identified
+GIVE_UP = 1e8  # damping beyond which no step improves the fit
 
 
 @dataclass(frozen=True)
@@ -59,6 +60,7 @@ class ProcessFit:
     llf: float = -np.inf
     steps: int = 0
     converged: bool = False
+    identified: bool = False
     trace: list = field(default_factory=list)
 
     def split(self, model: ProcessModel):
@@ -123,20 +125,29 @@ def kernel_column(t1: Column, t2: Column, s1: Column, s2: Column, u1: Column, u2
     return s1 * s2 * F.pow(u1 * u2, F.lit(0.25)) / F.sqrt(mid) * F.exp(-d * d / (2.0 * mid))
 
 
-def _log_clip(v):
-    return np.exp(np.clip(v, -LOG_LIMIT, LOG_LIMIT))
+def _likelihood(t, n, y, x, sd, ud, fit: ProcessFit, model: ProcessModel):
+    """Sums over a stack of subjects with equally many ages: value, gradients, information.
 
+    Parameters whose covariances cannot be used (overflow, not positive definite) have the value -inf.
+    """
+    with np.errstate(all="ignore"):
+        try:
+            sums = _sums(t, n, y, x, sd, ud, fit, model)
+        except np.linalg.LinAlgError:
+            sums = np.full(1, np.nan)
+    p, q = model.sizes[0], model.n_cov
+    return sums if np.isfinite(sums).all() else np.append(-np.inf, np.zeros(p + p * p + q + q * q))
 
-def _likelihood(t, n, y, x, sd, ud, fit: ProcessFit, model: ProcessModel):
-    """Sums over a stack of subjects with equally many ages: value, gradients, information."""
+
+def _sums(t, n, y, x, sd, ud, fit: ProcessFit, model: ProcessModel):
     gamma, delta, noise = fit.split(model)
-    s, u = _log_clip(sd @ gamma), _log_clip(ud @ delta)
+    s, u = np.exp(sd @ gamma), np.exp(ud @ delta)
     k0 = kernel(t, t, s, s, u, u)
     eye = np.eye(t.shape[1])
     nugget = noise / n if model.noise else JITTER * s * s
     inv = np.linalg.inv(k0 + nugget[:, :, None] * eye)
     sign, logdet = np.linalg.slogdet(k0 + nugget[:, :, None] * eye)
-    logdet = np.where(sign > 0, logdet, np.inf)  # not positive definite: the step is refused
+    logdet = np.where(sign > 0, logdet, np.nan)  # not positive definite: the step is refused
     r = y - x @ fit.beta
     alpha = np.einsum("sij,sj->si", inv, r)
     value = -0.5 * (np.einsum("si,si->", r, alpha) + logdet.sum() + t.size * np.log(2 * np.pi))
@@ -182,8 +193,8 @@ def _stacks(frame: pd.DataFrame, model: ProcessModel):
             yield rows[lo : lo + step], {c: grab(c) for c in ("t", "n", "y", "x", "s", "u")}
 
 
-def likelihood_sums(series: DataFrame, by: list[str], model: ProcessModel, fits: dict[tuple, ProcessFit]) -> dict[tuple, np.ndarray]:
-    """Likelihood, gradients and information of every stratum at its current parameters, in one job."""
+def likelihood_sums(series: DataFrame, by: list[str], model: ProcessModel, fits: dict[tuple, list[ProcessFit]]) -> dict[tuple, np.ndarray]:
+    """Likelihood, gradients and information of every stratum's candidate parameters, in one job: by (*stratum, candidate)."""
     types = dict(series.dtypes)
     head = ", ".join(f"{k} {types[k]}" for k in by)
 
@@ -192,20 +203,20 @@ def likelihood_sums(series: DataFrame, by: list[str], model: ProcessModel, fits:
             out = []
             for key, part in pdf.groupby(by, sort=False):
                 key = key if isinstance(key, tuple) else (key,)
-                if key not in fits:
-                    continue
-                total = 0.0
-                for _, z in _stacks(part, model):
-                    total = total + _likelihood(z["t"], z["n"], z["y"], z["x"], z["s"], z["u"], fits[key], model)
-                out.append(pd.DataFrame({**dict(zip(by, key)), "pos": np.arange(len(total)), "v": total}))
+                totals = [0.0] * len(fits.get(key, ()))
+                for _, z in _stacks(part, model) if totals else ():
+                    for c, fit in enumerate(fits[key]):
+                        totals[c] = totals[c] + _likelihood(z["t"], z["n"], z["y"], z["x"], z["s"], z["u"], fit, model)
+                for c, total in enumerate(totals):
+                    out.append(pd.DataFrame({**dict(zip(by, key)), "cand": c, "pos": np.arange(len(total)), "v": total}))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    rows = series.mapInPandas(run, f"{head}, pos int, v double").groupBy(*by, "pos").agg(F.sum("v").alias("v")).collect()
+    rows = series.mapInPandas(run, f"{head}, cand int, pos int, v double").groupBy(*by, "cand", "pos").agg(F.sum("v").alias("v")).collect()
     sums: dict[tuple, np.ndarray] = {}
     p, q = model.sizes[0], model.n_cov
     for r in rows:
-        sums.setdefault(tuple(r[k] for k in by), np.zeros(1 + p + p * p + q + q * q))[r["pos"]] = r["v"]
+        sums.setdefault((*(r[k] for k in by), r["cand"]), np.zeros(1 + p + p * p + q + q * q))[r["pos"]] = r["v"]
     return sums
 
 
@@ -259,6 +270,37 @@ def _starts(series: DataFrame, by: list[str], model: ProcessModel) -> dict[tuple
     return fits
 
 
+#: Damping and reach of the candidates that one job tries, relative to the stratum's own.
+TRIALS = ((0.1, 2.0), (1.0, 1.0), (100.0, 0.125))
+
+
+def _trials(fit: ProcessFit, s: dict, tolerance: float) -> list[ProcessFit]:
+    """Candidate steps of one stratum; none once the predicted gain is below the tolerance."""
+    gb, ib, gt, it = s["at"]
+    diag = np.maximum(np.diag(it), 1e-8 * max(np.diag(it).max(), 1e-8))
+    newton_b = np.linalg.pinv(ib, hermitian=True) @ gb
+    out = []
+    for damp, reach in TRIALS:
+        damp, reach = s["damp"] * damp, s["reach"] * reach
+        move = np.linalg.solve(it + np.diag(damp * diag) + 1e-10 * np.eye(len(gt)), gt)
+        move *= min(1.0, reach / max(np.abs(move).max(), 1e-12))
+        step_b = newton_b / (1.0 + damp)
+        # The gain is judged on the least damped step: a short step promises little wherever it is taken.
+        if not out and gt @ move + gb @ step_b < tolerance:
+            fit.converged = True
+            return []
+        out.append(ProcessFit(fit.beta + step_b, fit.theta + move))
+    return out
+
+
+def _identified(it: np.ndarray) -> bool:
+    """Whether the likelihood is curved in every direction of the covariance parameters."""
+    size = np.sqrt(np.maximum(np.diag(it), 0.0))
+    if not size.all():
+        return False
+    return bool(np.linalg.eigvalsh(it / np.outer(size, size)).min() > FLAT and size.min() > FLAT * size.max())
+
+
 def fit_process(
     series: DataFrame,
     by: list[str],
@@ -267,56 +309,60 @@ def fit_process(
     max_steps: int = 100,
     tolerance: float = 1e-3,
 ) -> dict[tuple, ProcessFit]:
-    """Damped Fisher scoring; all strata advance together, one job per step.
+    """Damped Fisher scoring; all strata advance together, and one job tries several steps of each.
 
-    A step that lowers the likelihood is undone and tried again, shorter and with more damping.
+    ``converged`` means that no further gain is predicted; a fit that ran out of steps, or that no step improves although one
+    should, is returned with ``converged`` false. ``identified`` is false where the likelihood is flat in some direction.
     """
     series = spread(series, "ID").persist()
     fits = _starts(series, by, model)
-    state = {k: {"damp": 1e-3, "reach": 2.0, "trial": f, "at": None} for k, f in fits.items()}
+    state = {k: {"damp": 1e-3, "reach": 2.0, "trials": [f], "at": None} for k, f in fits.items()}
     extra = extra or {}
     try:
         for _ in range(max_steps):
-            active = {k: s["trial"] for k, s in state.items() if not fits[k].converged}
+            active = {k: s["trials"] for k, s in state.items() if s["trials"]}
             if not active:
                 break
-            for key, v in likelihood_sums(series, by, model, active).items():
-                s, trial = state[key], active[key]
-                value, gb, ib, gt, it = _unpack(v, model, trial, extra.get(key))
-                old = fits[key]
+            sums = likelihood_sums(series, by, model, active)
+            for key, trials in active.items():
+                s, old = state[key], fits[key]
+                found = [(*_unpack(sums[(*key, c)], model, t, extra.get(key)), t, c) for c, t in enumerate(trials)]
+                value, gb, ib, gt, it, best, c = max(found, key=lambda r: r[0] if np.isfinite(r[0]) else -np.inf)
+                first = s["at"] is None
                 if np.isfinite(value) and value > old.llf:
-                    trial.llf, trial.trace = value, [*old.trace, float(value)]
-                    trial.steps = old.steps + 1
-                    fits[key], s["at"] = trial, (gb, ib, gt, it)
-                    s["damp"], s["reach"] = max(s["damp"] / 10, 1e-9), min(s["reach"] * 2, 32.0)
+                    best.llf, best.trace, best.steps = value, [*old.trace, float(value)], old.steps + 1
+                    fits[key], s["at"] = best, (gb, ib, gt, it)
+                    if not first:
+                        s["damp"], s["reach"] = min(max(s["damp"] * TRIALS[c][0], 1e-9), GIVE_UP), min(s["reach"] * TRIALS[c][1], 32.0)
                 else:
                     old.steps += 1
-                    s["damp"], s["reach"] = s["damp"] * 10, s["reach"] / 4
+                    s["damp"], s["reach"] = s["damp"] * 1000, s["reach"] / 16
                 if s["at"] is None:
                     raise ValueError(f"the starting values of {key} give no likelihood")
-                gb, ib, gt, it = s["at"]
-                diag = np.maximum(np.diag(it), 1e-8 * max(np.diag(it).max(), 1e-8))
-                move = np.linalg.solve(it + np.diag(s["damp"] * diag) + 1e-10 * np.eye(len(gt)), gt)
-                move *= min(1.0, s["reach"] / max(np.abs(move).max(), 1e-12))
-                step_b = np.linalg.pinv(ib, hermitian=True) @ gb / (1.0 + s["damp"])
-                if gt @ move + gb @ step_b < tolerance or s["damp"] > 1e8:
-                    fits[key].converged = True
-                s["trial"] = ProcessFit(fits[key].beta + step_b, fits[key].theta + move)
+                s["trials"] = _trials(fits[key], s, tolerance) if s["damp"] <= GIVE_UP else []
+                fits[key].identified = _identified(s["at"][3])
     finally:
         series.unpersist()
     return fits
 
 
+def usable(fits: dict[tuple, ProcessFit]) -> dict[tuple, ProcessFit]:
+    """The fits, if all converged; draws from others would be draws from an arbitrary model."""
+    if late := [k for k, f in fits.items() if not f.converged]:
+        raise ValueError(f"the fits of {late} did not converge")
+    return fits
+
+
 def fit_rows(spark, fits: dict[tuple, ProcessFit], by: list[str], types: dict[str, str], model: ProcessModel) -> DataFrame:
-    """Fitted parameters as rows (by..., part, term, est, llf, steps, converged)."""
+    """Fitted parameters as rows (by..., part, term, est, llf, steps, converged, identified)."""
     rows = []
     labels = [(part, t) for part, names in (("mean", model.mean), ("scale", model.scale), ("smooth", model.smooth)) for t in ("Intercept", *names)]
     labels += [("noise", "log sd")] if model.noise else []
     for key, f in fits.items():
         for (part, term), est in zip(labels, np.concatenate([f.beta, f.theta])):
-            rows.append((*key, part, term, float(est), float(f.llf), f.steps, f.converged))
+            rows.append((*key, part, term, float(est), float(f.llf), f.steps, f.converged, f.identified))
     head = ", ".join(f"{k} {types[k]}" for k in by)
-    return spark.createDataFrame(rows, f"{head}, part string, term string, est double, llf double, steps int, converged boolean")
+    return spark.createDataFrame(rows, f"{head}, part string, term string, est double, llf double, steps int, converged boolean, identified boolean")
 
 
 def _root(v: np.ndarray) -> np.ndarray:
@@ -328,11 +374,11 @@ def _root(v: np.ndarray) -> np.ndarray:
 def conditional(points: dict, at: dict, fit: ProcessFit, model: ProcessModel, noise: float):
     """Mean shift and covariance root of the process at new points given one subject's observations."""
     gamma, delta, _ = fit.split(model)
-    s0, u0 = _log_clip(at["s"] @ gamma), _log_clip(at["u"] @ delta)
+    s0, u0 = np.exp(at["s"] @ gamma), np.exp(at["u"] @ delta)
     k00 = kernel(at["t"], at["t"], s0, s0, u0, u0)
     if len(points["t"]) == 0:
         return np.zeros(len(at["t"])), _root(k00)
-    s1, u1 = _log_clip(points["s"] @ gamma), _log_clip(points["u"] @ delta)
+    s1, u1 = np.exp(points["s"] @ gamma), np.exp(points["u"] @ delta)
     nugget = noise / points["n"] if model.noise else JITTER * s1 * s1
     k11 = kernel(points["t"], points["t"], s1, s1, u1, u1) + np.diag(nugget)
     k01 = kernel(at["t"], points["t"], s0, s1, u0, u1)
@@ -346,42 +392,43 @@ def _arrays(points) -> dict:
     return {c: np.array([p[c] for p in points], dtype=float) for c in names if len(points) and c in points[0]}
 
 
+def normals(tag: str, n_imp: int, count: Column) -> Column:
+    """n_imp arrays of ``count`` normals, keyed by (tag, imputation, subject, position): they do not depend on partitions."""
+    imps = F.sequence(F.lit(0).cast("bigint"), F.lit(n_imp - 1).cast("bigint"))
+    return F.transform(imps, lambda i: F.transform(F.sequence(F.lit(1), count), lambda k: keyed_normal(tag, i, F.col("ID"), k)))
+
+
 def conditional_series(series: DataFrame, by: list[str], model: ProcessModel, fits: dict[tuple, ProcessFit], nugget_shrink: float = 1.0) -> DataFrame:
-    """Per subject: conditional mean shift ``z`` and covariance ``root`` at its target points.
+    """Per subject: conditional mean shift ``z``, standard deviation ``sd`` and the draws ``f`` at its target points.
 
-    ``series`` holds ``points`` (may be empty) and ``targets`` (age and designs) per subject. ``z`` excludes
-    the mean function. Each subject is handled alone, so any number of them spreads over the cluster.
+    ``series`` holds ``points`` (may be empty), ``targets`` (age and designs) and ``e`` (arrays of normals, one per draw) per
+    subject. ``z`` and ``f`` exclude the mean function. Each subject is handled alone, so any number of them spreads over the
+    cluster, and the covariance root stays where it is computed.
     """
     types = dict(series.dtypes)
     head = ", ".join(f"{k} {types[k]}" for k in (*by, "ID"))
 
     def run(batches):
         for pdf in batches:
+            keys = list(zip(*(pdf[k] for k in (*by, "ID")), strict=True))
             rows = []
-            for r in pdf.to_dict("records"):
-                fit = fits[tuple(r[k] for k in by)]
+            for key, points, targets, e in zip(keys, pdf["points"], pdf["targets"], pdf["e"], strict=True):
+                fit = fits[key[:-1]]
                 noise = fit.split(model)[2] / nugget_shrink
-                points = _arrays(r["points"]) if len(r["points"]) else {"t": np.array([])}
-                at = _arrays(r["targets"])
-                z, root = conditional(points, at, fit, model, noise)
-                rows.append({k: r[k] for k in (*by, "ID")} | {"t": at["t"].tolist(), "z": z.tolist(), "root": root.tolist()})
-            yield pd.DataFrame(rows, columns=[*by, "ID", "t", "z", "root"])
+                at = _arrays(targets)
+                z, root = conditional(_arrays(points) if len(points) else {"t": np.array([])}, at, fit, model, noise)
+                draws = z + np.stack([np.asarray(d, dtype=float) for d in e]) @ root if len(e) else np.zeros((0, len(z)))
+                rows.append((*key, at["t"].tolist(), z.tolist(), np.sqrt(np.square(root).sum(0)).tolist(), draws.tolist()))
+            yield pd.DataFrame(rows, columns=[*by, "ID", "t", "z", "sd", "f"])
 
-    return spread(series, "ID").mapInPandas(run, f"{head}, t array<double>, z array<double>, root array<array<double>>")
+    return spread(series.select(*by, "ID", "points", "targets", "e"), "ID").mapInPandas(run, f"{head}, t array<double>, z array<double>, sd array<double>, f array<array<double>>")
 
 
-def draw(cond: DataFrame, by: list[str], n_imp: int, tag: str) -> DataFrame:
-    """Replicate draws of the conditional process: (by..., imp, ID, t, z, f).
-
-    The normals are keyed by (tag, imputation, subject, position), so draws do not depend on
-    how subjects are partitioned. They are made once per subject and replicate, in the JVM.
-    """
-    per_imp = cond.select(*by, "ID", "t", "z", "root", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_imp - 1).cast("bigint"))).alias("imp"))
-    position = F.sequence(F.lit(1), F.size("t"))
-    noisy = per_imp.withColumn("e", F.transform(position, lambda k: keyed_normal(tag, F.col("imp"), F.col("ID"), k)))
-    f = F.zip_with("z", "root", lambda z, row: z + dot(row, F.col("e")))
-    points = F.inline(F.arrays_zip(F.col("t").alias("t"), F.col("z").alias("z"), f.alias("f")))
-    return noisy.select(*by, "imp", "ID", points)
+def draw(cond: DataFrame, by: list[str]) -> DataFrame:
+    """The draws as rows: (by..., imp, ID, t, z, f)."""
+    per_imp = cond.select(*by, "ID", "t", "z", F.posexplode("f").alias("imp", "f"))
+    points = F.inline(F.arrays_zip(F.col("t").alias("t"), F.col("z").alias("z"), F.col("f").alias("f")))
+    return per_imp.select(*by, F.col("imp").cast("bigint").alias("imp"), "ID", points)
 
 
 def mean_value(fit_beta: Column, names: tuple[str, ...]) -> Column:
@@ -404,25 +451,24 @@ def beta_column(fits: dict[tuple, ProcessFit], by: list[str]) -> Column:
     return out
 
 
+def by_stratum(rows: DataFrame, by: list[str], value: Column) -> Column:
+    """``value`` of the row's stratum, from a map with one entry per stratum that is read as a scalar: no join on a key of few values."""
+    entry = F.struct(F.struct(*by).alias("k"), value.alias("v"))
+    return F.try_element_at(rows.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar(), F.struct(*by))
+
+
 def impute_grid(series: DataFrame, grid: DataFrame, by: list[str], model: ProcessModel, fits, n_imp: int, tag: str) -> DataFrame:
     """Completed trajectories on a common grid: (by..., imp, ID, age, value, mean), three decimals.
 
-    ``grid`` holds per stratum the target points and their mean: one short row per stratum.
+    ``grid`` holds per stratum the target points: one short row per stratum.
     """
-    targets = F.transform("points", lambda p: F.struct(p["t"].alias("t"), p["s"].alias("s"), p["u"].alias("u")))
-    beta = beta_column(fits, by)
-    per_stratum = grid.select(
-        *by,
-        targets.alias("targets"),
-        F.col("points"),
-        beta.alias("beta"),
-    ).select(*by, "targets", F.transform("points", lambda p: dot(p["x"], F.col("beta"))).alias("means"))
-    per_stratum = durable(per_stratum)
-    joined = series.join(per_stratum.select(*by, "targets"), by)
-    drawn = draw(conditional_series(joined, by, model, fits), by, n_imp, tag)
-    means = per_stratum.select(*by, F.inline(F.arrays_zip(F.col("targets.t").alias("t"), F.col("means").alias("mean"))))
-    out = drawn.join(means, [*by, "t"])
-    return out.select(
+    targets = F.transform("points", lambda p: F.struct(p["t"].alias("t"), p["s"].alias("s"), p["u"].alias("u"), dot(p["x"], F.col("beta")).alias("m")))
+    known = durable(grid.withColumn("beta", beta_column(fits, by)).select(*by, targets.alias("targets")))
+    joined = series.withColumn("targets", by_stratum(known, by, F.col("targets"))).withColumn("e", normals(tag, n_imp, F.size("targets")))
+    drawn = draw(conditional_series(joined, by, model, fits), by)
+    means = F.map_from_entries(F.transform("targets", lambda p: F.struct(p["t"], p["m"])))
+    mean = F.try_element_at(by_stratum(known, by, means), F.col("t"))
+    return drawn.withColumn("mean", mean).select(
         *by, "imp", "ID", F.col("t").cast("int").alias("age"),
         F.round(F.col("mean") + F.col("f"), 3).alias("value"), F.round("mean", 3).alias("mean"),
     )
@@ -444,8 +490,8 @@ def impute_missing(
     targets = at.groupBy(*by, "ID").agg(F.array_sort(F.collect_list(point)).alias("targets"))
     series = subject_series(visits, by, model, value, age)
     empty = F.coalesce("points", F.expr("filter(array(struct(0D AS t, 0D AS n, 0D AS y, array(0D) AS x, array(0D) AS s, array(0D) AS u)), p -> false)"))
-    joined = targets.join(series, [*by, "ID"], "left").withColumn("points", empty)
-    drawn = draw(conditional_series(joined, by, model, fits, nugget_shrink), by, n_imp, tag)
+    joined = targets.join(series, [*by, "ID"], "left").withColumn("points", empty).withColumn("e", normals(tag, n_imp, F.size("targets")))
+    drawn = draw(conditional_series(joined, by, model, fits, nugget_shrink), by)
     out = missing.join(drawn, [*by, "ID", "t"])
     mean = mean_value(beta_column(fits, by), model.mean)
     sd = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from auxoline.functions.basis import bspline
@@ -21,21 +22,28 @@ BODY = P.ProcessModel(mean=SPLINE, scale=SPLINE, smooth=SPLINE)
 PUBERTY = P.ProcessModel(mean=("HT",), scale=("AgeZ", "AgeZ2"), smooth=(), noise=True)
 
 
-def spline_columns(df, knots: dict, age: str = "Age", lo: float = 1.0, hi: float = 10.0):
-    """b1..b4 with the knot remembered for each sex."""
-    knot = None
-    for (female,), k in knots.items():
+def spline_columns(df, spans: dict, age: str = "Age"):
+    """b1..b4 with the knot and the bounds remembered for each sex."""
+    knots = [None, None, None]
+    for (female,), span in spans.items():
         hit = F.col("Female") == female
-        knot = F.when(hit, F.lit(k)) if knot is None else knot.when(hit, F.lit(k))
-    df = df.withColumn("knot", knot)
-    cols = bspline(F.col(age).cast("double"), F.lit(lo), F.col("knot"), F.lit(hi))
-    return df.withColumns(dict(zip(SPLINE, cols))).drop("knot")
+        knots = [F.when(hit, F.lit(v)) if k is None else k.when(hit, F.lit(v)) for k, v in zip(knots, span)]
+    df = df.withColumns(dict(zip(("lo", "knot", "hi"), knots)))
+    cols = bspline(F.col(age).cast("double"), F.col("lo"), F.col("knot"), F.col("hi"))
+    return df.withColumns(dict(zip(SPLINE, cols))).drop("lo", "knot", "hi")
+
+
+def age_spans(obs) -> dict:
+    """Per sex: bounds that hold all its ages and the grid, with the median age between them."""
+    ends = obs.groupBy("Female").agg(F.min("Age").alias("lo"), F.max("Age").alias("hi"))
+    ends = {r["Female"]: (min(r["lo"], float(min(G.AGES))), max(r["hi"], float(max(G.AGES)))) for r in ends.collect()}
+    return {(r["Female"],): (ends[r["Female"]][0], r["q"], ends[r["Female"]][1]) for r in exact_quantiles(obs, ["Female"], "Age", [0.5]).collect()}
 
 
 def body_series(spark, sf_dir):
-    """Childhood heights per subject with their designs, and the knots of each sex."""
+    """Childhood heights per subject with their designs, and the spline's bounds and knot of each sex."""
     obs = T.growth_obs(spark, sf_dir).withColumn("Age", round_even("Age", 3))
-    knots = {(r["Female"],): r["q"] for r in exact_quantiles(obs, ["Female"], "Age", [0.5]).collect()}
+    knots = age_spans(obs)
     series = P.subject_series(spline_columns(obs, knots), ["Female"], BODY, "HT")
     return durable(series), knots
 
@@ -58,7 +66,59 @@ def gp_impute_grid(spark, sf_dir):
     grid = spark.range(1).select(strata.alias("Female")).select("Female", ages.alias("Age"))
     grid = spline_columns(grid, knots).withColumns({"ID": F.lit(0), "HT": F.lit(0.0)})
     grid = P.subject_series(grid, ["Female"], BODY, "HT").drop("ID")
-    return P.impute_grid(series, grid, ["Female"], BODY, fits, T.N_IMP, "HT")
+    return P.impute_grid(series, grid, ["Female"], BODY, P.usable(fits), T.N_IMP, "HT")
+
+
+FIXED = P.ProcessModel(mean=(), scale=(), smooth=())
+# The first and last ages of each subject, and a process with its sex's mean, spread and age variance as parameters.
+ENDS_SQL = f"""WITH {GROWTH_OBS}, o AS (SELECT ID, Female, round_even(Age, 3) AS t, HT FROM growth_obs),
+    p AS (SELECT Female, avg(HT) AS b, stddev_samp(HT) AS s, var_samp(t) AS u FROM o GROUP BY Female),
+    a AS (SELECT ID, Female, t, avg(HT) AS y FROM o GROUP BY ID, Female, t),
+    e AS (SELECT ID, Female, min(t) AS t1, max(t) AS t2, arg_min(y, t) AS y1, arg_max(y, t) AS y2 FROM a GROUP BY ID, Female)"""
+
+
+def fixed_process(spark, sf_dir):
+    """Childhood heights, and per sex a process whose parameters are simple moments."""
+    obs = durable(T.growth_obs(spark, sf_dir).withColumn("Age", round_even("Age", 3)))
+    moments = obs.groupBy("Female").agg(F.avg("HT").alias("b"), F.log(F.stddev_samp("HT")).alias("s"), F.log(F.var_samp("Age")).alias("u"))
+    fits = {(r["Female"],): P.ProcessFit(np.array([r["b"]]), np.array([r["s"], r["u"]])) for r in moments.collect()}
+    ends = obs.groupBy("ID").agg(F.min("Age").alias("t1"), F.max("Age").alias("t2"))
+    return obs.join(ends, "ID"), fits
+
+
+@query(
+    "gp_llf_fixed",
+    ENDS_SQL + """, k AS (SELECT Female, t1 = t2 AS one, y1 - b AS r1, y2 - b AS r2, s*s*(1 + 1e-8::DOUBLE) AS d, s*s*exp(-(t1 - t2)*(t1 - t2)/(2*u)) AS c FROM e JOIN p USING (Female))
+    SELECT Female, count(*) AS n_subj, round(sum(-0.5::DOUBLE*CASE WHEN one THEN r1*r1/d + ln(d) + ln(2*pi())
+      ELSE (d*r1*r1 - 2*c*r1*r2 + d*r2*r2)/(d*d - c*c) + ln(d*d - c*c) + 2*ln(2*pi()) END), 3) AS llf FROM k GROUP BY Female""",
+)
+def gp_llf_fixed(spark, sf_dir):
+    """Likelihood of every subject's first and last height under fixed parameters, per sex."""
+    obs, fits = fixed_process(spark, sf_dir)
+    series = durable(P.subject_series(obs.where("Age IN (t1, t2)"), ["Female"], FIXED, "HT"))
+    sums = P.likelihood_sums(series, ["Female"], FIXED, {k: [f] for k, f in fits.items()})
+    values = spark.createDataFrame([(k[0], float(v[0])) for k, v in sums.items()], "sex bigint, llf double")
+    counts = series.groupBy("Female").agg(F.count("*").alias("n_subj"))
+    return counts.withColumn("llf", F.round(P.by_stratum(values.withColumnRenamed("sex", "Female"), ["Female"], F.col("llf")), 3))
+
+
+@query(
+    "gp_conditional_mean",
+    ENDS_SQL + """, g AS (SELECT ID, range AS age, b, y1 - b AS r, s*s AS v, s*s*(1 + 1e-8::DOUBLE) AS d, s*s*exp(-(t1 - range)*(t1 - range)/(2*u)) AS c
+      FROM e JOIN p USING (Female), range(1, 11))
+    SELECT ID, age::INTEGER AS age, round(b + c/d*r, 2) AS mean, round(sqrt(greatest(v - c*c/d, 0)), 2) AS sd FROM g""",
+)
+def gp_conditional_mean(spark, sf_dir):
+    """Mean and spread of height at ages 1..10 given a subject's first height, under fixed parameters."""
+    obs, fits = fixed_process(spark, sf_dir)
+    series = P.subject_series(obs.where("Age = t1"), ["Female"], FIXED, "HT")
+    ones = F.array(F.lit(1.0))
+    targets = F.array(*[F.struct(F.lit(float(a)).alias("t"), ones.alias("s"), ones.alias("u")) for a in G.AGES])
+    asked = series.withColumn("targets", targets).withColumn("e", F.array().cast("array<array<double>>"))
+    known = P.conditional_series(asked, ["Female"], FIXED, fits)
+    beta = P.beta_column(fits, ["Female"])[0]
+    rows = known.select("ID", beta.alias("b"), F.inline(F.arrays_zip("t", "z", "sd")))
+    return rows.select("ID", F.col("t").cast("int").alias("age"), F.round(F.col("b") + F.col("z"), 2).alias("mean"), F.round("sd", 2).alias("sd"))
 
 
 def puberty_visits(spark, sf_dir):
@@ -66,8 +126,9 @@ def puberty_visits(spark, sf_dir):
     visits = V.nearest_fill(T.visits_ts(spark, sf_dir), "y", 1).drop("y", "gap_days").withColumnRenamed("y_filled", "y")
     visits = visits.where((F.col("Age") >= 8) & F.col("HT").isNotNull()).withColumn("Age", round_even("Age", 3))
     stats = visits.groupBy("Female").agg(F.avg("Age").alias("m"), F.stddev_samp("Age").alias("s"))
-    scaled = visits.join(stats, "Female").withColumn("AgeZ", (F.col("Age") - F.col("m")) / F.col("s"))
-    return durable(scaled.withColumn("AgeZ2", F.col("AgeZ") * F.col("AgeZ")).drop("m", "s"))
+    own = P.by_stratum(stats, ["Female"], F.struct("m", "s"))
+    scaled = visits.withColumn("AgeZ", (F.col("Age") - own["m"]) / own["s"])
+    return durable(scaled.withColumn("AgeZ2", F.col("AgeZ") * F.col("AgeZ")))
 
 
 def puberty_fit(visits):
@@ -87,7 +148,7 @@ def gp_fit_visits(spark, sf_dir):
 def gp_impute_missing(spark, sf_dir):
     """Twenty draws at every visit where the value is still missing."""
     visits = puberty_visits(spark, sf_dir)
-    return P.impute_missing(visits, ["Female"], PUBERTY, "y", puberty_fit(visits), T.N_IMP, "y")
+    return P.impute_missing(visits, ["Female"], PUBERTY, "y", P.usable(puberty_fit(visits)), T.N_IMP, "y")
 
 
 @query(

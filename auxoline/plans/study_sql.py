@@ -77,4 +77,4 @@ SELECT user_id AS ID, event_id AS visit_id, user_id % 2 AS Female,
   1 + 0.3::DOUBLE*(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + (hour(ts)*60 + minute(ts))/1440.0::DOUBLE) AS Age,
   60 + 6.0::DOUBLE*(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))/3.0::DOUBLE) + ((user_id*7) % 13 - 6)
     + 0.02::DOUBLE*value AS HT
-FROM events WHERE event_id % 4 = 0)"""
+FROM events)"""

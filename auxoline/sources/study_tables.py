@@ -121,7 +121,6 @@ def visits_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def growth_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "events")
-        .where("event_id % 4 = 0")
         .selectExpr(
             "user_id AS ID",
             "event_id AS visit_id",

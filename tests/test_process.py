@@ -49,7 +49,7 @@ def evaluate(spark, rows, fit, model):
     df = frame(spark, rows)
     series = P.subject_series(df, ["g"], model, "y")
     extra = P.within_age(df, ["g"], model, "y")
-    v = P.likelihood_sums(series, ["g"], model, {(0,): fit})[(0,)]
+    v = P.likelihood_sums(series, ["g"], model, {(0,): [fit]})[(0, 0)]
     return P._unpack(v, model, fit, extra[(0,)])
 
 
@@ -147,3 +147,55 @@ def test_column_kernel_is_the_same(spark):
     got = df.select(P.kernel_column(*[F.col(c) for c in ("t1", "t2", "s1", "s2", "u1", "u2")])).first()[0]
     a = [np.array([v]) for v in (1.0, 2.5, 0.7, 1.1, 0.9, 1.4)]
     assert got == pytest.approx(P.kernel(*a)[0, 0])
+
+
+@pytest.mark.parametrize("name", ["gp_fit", "gp_fit_visits", "gp_impute_grid", "gp_impute_missing"])
+def test_process_queries(spark, sf, name):
+    """The iterative queries run, and what they fit is a fit: converged, with a finite likelihood."""
+    import __spark_entry__ as entry
+
+    rows = entry.queries()[name](spark, sf).collect()
+    assert rows
+    if "fit" in name:
+        assert all(r.converged and np.isfinite(r.llf) and r.steps < 100 for r in rows)
+        assert {r.Female for r in rows} == {0, 1}
+    else:
+        assert len({r.imp for r in rows}) == 20 and all(np.isfinite(r.value) for r in rows)
+
+
+def test_fit_of_the_body_model_is_a_maximum(spark, sf):
+    """Nugget-free splines: no small change of any parameter raises the likelihood."""
+    from auxoline.plans import process_queries as Q
+
+    series, _ = Q.body_series(spark, sf)
+    fits = P.fit_process(series, ["Female"], Q.BODY)
+    for key, fit in fits.items():
+        assert fit.converged and all(np.diff(fit.trace) > 0)
+        moved = [P.ProcessFit(fit.beta, fit.theta + e * np.eye(len(fit.theta))[i]) for i in range(len(fit.theta)) for e in (-0.05, 0.05)]
+        moved += [P.ProcessFit(fit.beta + e * np.eye(5)[i], fit.theta) for i in range(5) for e in (-0.5, 0.5)]
+        sums = P.likelihood_sums(series, ["Female"], Q.BODY, {key: moved})
+        assert all(v[0] < fit.llf for v in sums.values())
+
+
+def test_unusable_parameters_have_no_likelihood(spark):
+    """Lengths far beyond the ages or overflowing scales are refused, not clipped."""
+    rows = simulate(6, 0.0, 3)
+    series = P.subject_series(frame(spark, rows), ["g"], PLAIN, "y")
+    beta = np.array([1.8, 0.6])
+    sums = P.likelihood_sums(series, ["g"], PLAIN, {(0,): [P.ProcessFit(beta, np.array(t)) for t in ([800.0, 0, 0, 0], [0, 0, 900.0, 0], [0, 0, -40.0, 0])]})
+    assert sums[0, 0][0] == sums[0, 1][0] == -np.inf
+    # A vanishing length is a proper kernel: independent observations.
+    assert np.isfinite(sums[0, 2][0])
+
+
+def test_draws_need_converged_fits(spark):
+    rows = simulate(30, 0.3, 5, True)
+    df = frame(spark, rows)
+    fits = P.fit_process(P.subject_series(df, ["g"], NOISY, "y"), ["g"], NOISY, P.within_age(df, ["g"], NOISY, "y"), max_steps=2)
+    assert not fits[(0,)].converged
+    with pytest.raises(ValueError, match="converge"):
+        P.usable(fits)
+
+
+def test_flat_likelihoods_are_told():
+    assert P._identified(np.diag([1.0, 2.0])) and not P._identified(np.array([[1.0, 1.0], [1.0, 1.0]])) and not P._identified(np.diag([1.0, 0.0]))
