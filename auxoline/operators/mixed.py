@@ -1,14 +1,16 @@
 """Linear mixed models by maximum likelihood, for every replicate at once.
 
 Model per mother: random intercept of the mother, intercept of each subject, and a
-subject-by-age component. The visits are reduced once to per-subject sums; each
-optimiser step then works on those sums, whatever the number of visits.
+subject-by-age component. The visits are reduced once to per-subject sums, which are placed
+by range of (replicate, mother, subject) and stay there; each optimiser step then streams over them
+without a shuffle of subjects or mothers.
 
 With U_i = [1, age] of subject i and D_i the variances of its own effects, the
 subject's effects are integrated out in closed form (2 x 2 algebra), the results are
-summed per mother, and the mother's effects are integrated out the same way. Every
-reduction is a plain sum, so a mother or subject holding a large share of the rows is
-combined before the shuffle like any other group.
+summed per mother, and the mother's effects are integrated out the same way. A mother whose subjects lie in
+several partitions, be it one that holds a large share of the rows, leaves one partial sum in each of them.
+
+A subject without a known mother is the only one of a mother of its own.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auxoline.operators.linear import FIT_FIELDS
-from auxoline.session import durable, spread
+from auxoline.operators.design import Factor
+from auxoline.operators.linear import FIT_FIELDS, assemble, cross_products
+from auxoline.session import durable
 
 FLOOR, CEILING = -14.0, 8.0
 STENCIL = 0.05
@@ -27,9 +30,10 @@ STENCIL = 0.05
 
 def subject_stats(df: DataFrame, by: list[str], terms: dict[str, Column], y: Column) -> DataFrame:
     """Per (key, mother, subject): n, sums of age and age^2, and of each design column and the
-    outcome (``u``), of their products with age (``w``) and with each other (``zz``)."""
+    outcome (``u``) and of their products with age (``w``)."""
     z = [*terms.values(), y]
-    x = df.select(*by, "mom", "ID", F.col("age_cen").alias("t"), *[c.cast("double").alias(f"z{i}") for i, c in enumerate(z)])
+    mom = F.coalesce(F.col("mom"), -1 - F.col("ID")).alias("mom")
+    x = df.select(*by, mom, "ID", F.col("age_cen").alias("t"), *[c.cast("double").alias(f"z{i}") for i, c in enumerate(z)])
     q = len(z)
     return x.groupBy(*by, "mom", "ID").agg(
         F.count("*").alias("n"),
@@ -37,19 +41,17 @@ def subject_stats(df: DataFrame, by: list[str], terms: dict[str, Column], y: Col
         F.sum(F.col("t") * F.col("t")).alias("aa"),
         F.array(*[F.sum(f"z{i}") for i in range(q)]).alias("u"),
         F.array(*[F.sum(F.col("t") * F.col(f"z{i}")) for i in range(q)]).alias("w"),
-        F.array(*[F.sum(F.col(f"z{i}") * F.col(f"z{j}")) for i in range(q) for j in range(i, q)]).alias("zz"),
     )
 
 
-def totals(stats: DataFrame, by: list[str], q: int) -> DataFrame:
-    """n and Z'Z of each key, from the subject sums."""
-    size = q * (q + 1) // 2
-    return stats.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        F.count("*").alias("n_subj"),
-        F.count_if("is_first").alias("n_mothers"),
-        F.array(*[F.sum(F.col("zz")[i]) for i in range(size)]).alias("zz"),
-    )
+def totals(df: DataFrame, by: list[str], terms: dict[str, Column], y: Column, factors: list[Factor] = ()) -> dict[tuple, np.ndarray]:
+    """Z'Z of each key (design columns and outcome), from cross-products in which factors are cells."""
+    cells = cross_products(df, by, terms, y, list(factors)).toPandas()  # one row per key and factor cell
+    out = {}
+    for key, part in _key_groups(cells, by):
+        _, xx, xy, yy, _ = assemble(part, list(terms), list(factors))
+        out[key] = np.block([[xx, xy[:, None]], [xy[None, :], np.array([[yy]])]])
+    return out
 
 
 def _two_by_two(p00, p01, p11, d0, d1):
@@ -61,17 +63,6 @@ def _two_by_two(p00, p01, p11, d0, d1):
     return np.log(det), t
 
 
-# Marks the row of a batch that holds sums over all its subjects, not those of one mother.
-NO_MOTHER = -(2**62)
-
-
-def _frame(keys: list[tuple], names: list[str], values: np.ndarray, columns: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(values, columns=columns)
-    for i, name in enumerate(names):
-        out[name] = [k[i] for k in keys]
-    return out[[*names, *columns]]
-
-
 def _key_groups(pdf: pd.DataFrame, by: list[str]):
     for key, part in pdf.groupby(by, sort=False):
         yield key if isinstance(key, tuple) else (key,), part
@@ -79,81 +70,103 @@ def _key_groups(pdf: pd.DataFrame, by: list[str]):
 
 def _removed(v, d0, d1, t):
     """sum over the stack of V' D T V, upper triangle by rows."""
-    dt = t.copy()
-    dt[:, 0, :] *= np.broadcast_to(d0, (len(t),))[:, None]
-    dt[:, 1, :] *= np.broadcast_to(d1, (len(t),))[:, None]
-    c = np.einsum("sai,sab,sbj->ij", v, dt, v)
+    d = np.stack([np.broadcast_to(d0, (len(t),)), np.broadcast_to(d1, (len(t),))], axis=1)
+    dtv = (d[:, :, None] * t) @ v
+    c = v.reshape(-1, v.shape[2]).T @ dtv.reshape(-1, v.shape[2])
     return c[np.triu_indices(c.shape[0])]
 
 
+def _mothers(m, theta, treatment: bool, q: int):
+    """log determinant and removed products of whole mothers, from their sums (rows)."""
+    logdet, t = _two_by_two(m[:, 0], m[:, 1], m[:, 2], np.exp(theta[0]), np.exp(theta[2]) if treatment else 0.0)
+    return np.append(logdet.sum(), _removed(m[:, 3:].reshape(len(m), 2, q), np.exp(theta[0]), np.exp(theta[2]) if treatment else 0.0, t))
+
+
+def placed(stats: DataFrame, by: list[str]) -> DataFrame:
+    """Subject sums by range of (key, mother, subject), in order within partitions, written so that steps find them in place."""
+    firsts = stats.groupBy(*by, "mom").agg(F.min("ID").alias("first_id"))
+    marked = stats.join(firsts, [*by, "mom"]).withColumn("is_first", F.col("ID") == F.col("first_id")).drop("first_id")
+    parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return durable(marked.repartitionByRange(parts, *by, "mom", "ID").sortWithinPartitions(*by, "mom", "ID"))
+
+
 def likelihood_parts(stats: DataFrame, by: list[str], q: int, candidates: dict[tuple, np.ndarray], treatment: bool):
     """log|V| - n log(sigma^2) and Z'Z - Z'V^-1 Z of every key and candidate, collected (a few numbers each).
 
-    ``candidates[key]`` holds rows of log variance ratios (mother, subject, slope).
+    ``stats`` comes from :func:`placed`; ``candidates[key]`` holds rows of log variance ratios (mother, subject, slope). Partitions
+    send sums over their whole mothers and the partial sums of their first and last mother, which may go on elsewhere.
     """
-    size = q * (q + 1) // 2
-    mother_cols = [f"g{i}" for i in range(3 + 2 * q)]
-    total_cols = [f"t{i}" for i in range(1 + size)]
+    size, width = q * (q + 1) // 2, 3 + 2 * q
     types = dict(stats.dtypes)
     head = ", ".join(f"{k} {types[k]}" for k in by)
 
-    def subjects(batches):
+    def subjects(part, theta):
+        """Sums of each subject after its own effects are integrated out, and what that adds to the totals."""
+        n, a, aa = (part[c].to_numpy(dtype=float) for c in ("n", "a", "aa"))
+        v = np.stack([np.stack(part["u"].to_numpy()), np.stack(part["w"].to_numpy())], axis=1)
+        g = np.stack([np.stack([n, a], -1), np.stack([a, aa], -1)], axis=1)
+        own_slope = (~part["is_first"].to_numpy(dtype=bool)) if treatment else np.ones(len(n), dtype=bool)
+        _, subj, slope = np.exp(theta)
+        d0 = np.full(len(n), subj + (slope if treatment else 0.0))
+        d1 = np.where(own_slope, slope, 0.0)
+        logdet, t = _two_by_two(n, a, aa, d0, d1)
+        p, tv = t @ g, t @ v
+        return np.column_stack([p[:, 0, 0], p[:, 0, 1], p[:, 1, 1], tv.reshape(len(n), -1)]), np.append(logdet.sum(), _removed(v, d0, d1, t))
+
+    def run(batches):
+        sums: dict[tuple, list] = {}
+        first, open_ = None, None  # the partition's first mother; the mother that may go on in the next batch, with its sums
+
+        def emit(key, c, mom, values):
+            return pd.DataFrame({**dict(zip(by, key)), "cand": c, "mom": mom, "pos": np.arange(len(values)), "v": values})
+
+        def close(key, mothers):
+            for c, m in enumerate(mothers):
+                sums[key][c] = sums[key][c] + _mothers(m, candidates[key][c], treatment, q)
+
         for pdf in batches:
-            blocks, ids, keys = [], [], []
             for key, part in _key_groups(pdf, by):
                 if key not in candidates:
                     continue
-                n, a, aa = (part[c].to_numpy(dtype=float) for c in ("n", "a", "aa"))
-                v = np.stack([np.stack(part["u"].to_numpy()), np.stack(part["w"].to_numpy())], axis=1)
-                g = np.stack([np.stack([n, a], -1), np.stack([a, aa], -1)], axis=1)
-                moms, code = np.unique(part["mom"].to_numpy(), return_inverse=True)
-                own_slope = (~part["is_first"].to_numpy(dtype=bool)) if treatment else np.ones(len(n), dtype=bool)
-                for k, theta in enumerate(candidates[key]):
-                    _, subj, slope = np.exp(theta)
-                    d0 = np.full(len(n), subj + (slope if treatment else 0.0))
-                    d1 = np.where(own_slope, slope, 0.0)
-                    logdet, t = _two_by_two(n, a, aa, d0, d1)
-                    p, tv = t @ g, t @ v
-                    block = np.zeros((len(moms) + 1, len(mother_cols) + len(total_cols)))
-                    rows = np.column_stack([p[:, 0, 0], p[:, 0, 1], p[:, 1, 1], tv.reshape(len(n), -1)])
-                    np.add.at(block[:, : len(mother_cols)], code, rows)
-                    block[-1, len(mother_cols) :] = np.concatenate([[logdet.sum()], _removed(v, d0, d1, t)])
-                    blocks.append(block)
-                    ids.append(np.append(moms, NO_MOTHER))
-                    keys += [(*key, k)] * len(block)
-            if blocks:
-                yield _frame(keys, [*by, "cand"], np.concatenate(blocks), mother_cols + total_cols).assign(mom=np.concatenate(ids))[
-                    [*by, "cand", "mom", *mother_cols, *total_cols]
-                ]
-
-    def mothers(batches):
-        for pdf in batches:
-            keys, out = [], []
-            for key, part in _key_groups(pdf, [*by, "cand"]):
-                values = part[mother_cols + total_cols].to_numpy(dtype=float)
-                extra = values[:, len(mother_cols) :].sum(axis=0)
-                m = values[part["mom"].to_numpy() != NO_MOTHER, : len(mother_cols)]
-                theta = candidates[key[:-1]][key[-1]]
-                d0, d1 = np.exp(theta[0]), (np.exp(theta[2]) if treatment else 0.0)
-                logdet, t = _two_by_two(m[:, 0], m[:, 1], m[:, 2], d0, d1)
-                v = m[:, 3:].reshape(len(m), 2, q)
-                keys.append(key)
-                out.append(extra + np.concatenate([[logdet.sum()], _removed(v, d0, d1, t)]))
-            if keys:
-                yield _frame(keys, [*by, "cand"], np.array(out), total_cols)
-
-    doubles = ", ".join(f"{c} double" for c in mother_cols + total_cols)
-    per_mother = (
-        stats.mapInPandas(subjects, f"{head}, cand int, mom bigint, {doubles}")
-        .groupBy(*by, "cand", "mom")
-        .agg(*[F.sum(c).alias(c) for c in mother_cols + total_cols])
-    )
-    parts = (
-        per_mother.mapInPandas(mothers, f"{head}, cand int, " + ", ".join(f"{c} double" for c in total_cols))
-        .groupBy(*by, "cand")
-        .agg(*[F.sum(c).alias(c) for c in total_cols])
-    )
-    return {(tuple(r[k] for k in by), r["cand"]): np.array([r[c] for c in total_cols]) for r in parts.collect()}
+                thetas = candidates[key]
+                sums.setdefault(key, [np.zeros(1 + size) for _ in thetas])
+                moms = part["mom"].to_numpy()
+                cut = np.flatnonzero(np.append(True, moms[1:] != moms[:-1]))
+                per = []
+                for c, theta in enumerate(thetas):
+                    rows, extra = subjects(part, theta)
+                    sums[key][c] = sums[key][c] + extra
+                    per.append(np.add.reduceat(rows, cut, axis=0))
+                names = [(key, m) for m in moms[cut]]
+                if open_ is not None and open_[0] == names[0]:
+                    for c in range(len(thetas)):
+                        per[c][0] += open_[1][c]
+                elif open_ is not None:
+                    if open_[0] == first:
+                        yield from (emit(first[0], c, first[1], v) for c, v in enumerate(open_[1]))
+                    else:
+                        close(open_[0][0], [v[None, :] for v in open_[1]])
+                first = first or names[0]
+                begin = 0
+                if len(names) > 1 and names[0] == first:
+                    yield from (emit(key, c, first[1], per[c][0]) for c in range(len(thetas)))
+                    begin = 1
+                if len(names) - 1 > begin:
+                    close(key, [m[begin:-1] for m in per])
+                open_ = (names[-1], [m[-1] for m in per])
+        if open_ is not None:
+            yield from (emit(open_[0][0], c, open_[0][1], v) for c, v in enumerate(open_[1]))
+        for key, parts in sums.items():
+            yield from (emit(key, c, None, v).astype({"mom": "Int64"}) for c, v in enumerate(parts))
+
+    found = stats.mapInPandas(run, f"{head}, cand int, mom bigint, pos int, v double").groupBy(*by, "cand", "mom", "pos").agg(F.sum("v").alias("v")).toPandas()
+    out, ends = {}, {}
+    for key, part in _key_groups(found.sort_values("pos"), [*by, "cand"]):
+        whole = part["mom"].isna()
+        name = (key[:-1], int(key[-1]))
+        out[name] = part.loc[whole, "v"].to_numpy()
+        ends[name] = part.loc[~whole].sort_values(["mom", "pos"])["v"].to_numpy().reshape(-1, width)
+    return {name: v + _mothers(ends[name], candidates[name[0]][name[1]], treatment, q) for name, v in out.items()}
 
 
 def _unpack(upper, q):
@@ -213,7 +226,7 @@ class _Search:
 
     def __init__(self, start, fixed):
         self.at, self.free = np.array(start, dtype=float), [i for i in range(3) if i not in fixed]
-        self.radius, self.best, self.result, self.done, self.steps = 3.0, -np.inf, None, False, 0
+        self.radius, self.best, self.result, self.done, self.converged, self.steps = 3.0, -np.inf, None, False, False, 0
         self.trial = self.at
 
     def candidates(self):
@@ -225,19 +238,28 @@ class _Search:
         self.steps += 1
         f = np.array([r["llf"] for r in fits])
         if f[0] > self.best:
-            gain, self.best, self.at, self.result = f[0] - self.best, f[0], self.trial, fits[0]
+            self.best, self.at, self.result = f[0], self.trial, fits[0]
             self.grad, self.hess = _slopes(f, len(self.free))
             self.radius = min(self.radius * 2, 6.0)
         else:
-            gain, self.radius = 0.0, self.radius / 4
+            self.radius = self.radius / 4
         step = _step(self.grad, self.hess, self.radius)
         nxt = self.at.copy()
         nxt[self.free] = np.clip(self.at[self.free] + step, FLOOR, CEILING)
         moved = nxt[self.free] - self.at[self.free]
         expected = self.grad @ moved + 0.5 * moved @ self.hess @ moved
-        self.done = expected < tolerance or self.radius < 1e-4
+        self.converged = bool(expected < tolerance)
+        self.done = self.converged or self.radius < 1e-4
         self.trial = nxt
 
+    def boundary(self):
+        """Whether an estimated ratio lies at the end of its range: no variance, or nothing but this one."""
+        return bool(np.any(self.at[self.free] <= FLOOR + 1e-6) or np.any(self.at[self.free] >= CEILING - 1e-6))
+
+    def ratios(self):
+        """The variance ratios; one at the lower end is zero."""
+        return [0.0 if i in self.free and v <= FLOOR + 1e-6 else float(np.exp(v)) for i, v in enumerate(self.at)]
+
 
 def fit_mixed(
     df: DataFrame,
@@ -249,45 +271,43 @@ def fit_mixed(
     tolerance: float = 1e-5,
     start=(-2.0, -2.0, -4.0),
     fixed: dict[int, float] | None = None,
+    factors: list[Factor] = (),
 ) -> DataFrame:
-    """One row per key: terms, est, cov, scale, n, llf, variance ratios, steps.
+    """One row per key: terms, est, cov, scale, n, llf, variance ratios, steps, converged, boundary.
 
     ``slope_coding="treatment"`` gives all subjects of a mother one shared slope and all but the
     first an own one; ``"symmetric"`` gives each subject its own. ``fixed`` holds log variance
-    ratios that are not estimated, by position (mother, subject, slope).
+    ratios that are not estimated, by position (mother, subject, slope). ``factors`` add a column for each level but the
+    reference; the first of ``terms`` must then be the intercept. ``converged`` is false if the steps ran out or no step improved;
+    ``boundary`` is true if a ratio ended at the end of its range (a ratio at the lower end is reported as zero).
     """
     if slope_coding not in ("treatment", "symmetric"):
         raise ValueError(slope_coding)
-    treatment, q, names = slope_coding == "treatment", len(terms) + 1, list(terms)
-    stats = subject_stats(df, by, terms, y)
-    firsts = stats.groupBy(*by, "mom").agg(F.min("ID").alias("first_id"))
-    stats = stats.join(firsts, [*by, "mom"]).withColumn("is_first", F.col("ID") == F.col("first_id")).drop("first_id")
-    stats = durable(stats)
-    known = {tuple(r[k] for k in by): r for r in totals(stats, by, q).collect()}
-    zz = {k: _unpack(r["zz"], q) for k, r in known.items()}
-    slim = spread(stats.drop("zz"), "ID").persist()
+    every = dict(terms) | {k: c for f in factors for k, c in f.terms().items()}
+    treatment, q, names = slope_coding == "treatment", len(every) + 1, list(every)
+    zz = totals(df, by, terms, y, factors)
+    stats = placed(subject_stats(df, by, every, y), by)
+    counts = stats.groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("n_subj"), F.count_if("is_first").alias("n_mothers"))
+    known = {tuple(r[k] for k in by): r for r in counts.collect()}
     fixed = fixed or {}
     first = [fixed.get(i, v) for i, v in enumerate(start)]
     searches = {k: _Search(first, fixed) for k in known}
-    try:
-        for _ in range(max_steps):
-            active = {k: s.candidates() for k, s in searches.items() if not s.done}
-            if not active:
-                break
-            parts = likelihood_parts(slim, by, q, active, treatment)
-            for k, cands in active.items():
-                n = known[k]["n"]
-                searches[k].update([profile(zz[k], n, parts[(k, i)]) for i in range(len(cands))], tolerance)
-    finally:
-        slim.unpersist()
+    for _ in range(max_steps):
+        active = {k: s.candidates() for k, s in searches.items() if not s.done}
+        if not active:
+            break
+        parts = likelihood_parts(stats, by, q, active, treatment)
+        for k, cands in active.items():
+            n = known[k]["n"]
+            searches[k].update([profile(zz[k], n, parts[(k, i)]) for i in range(len(cands))], tolerance)
     rows = []
     for k, s in searches.items():
         r = s.result
         rows.append(
             (*k, names, [float(v) for v in r["est"]], [[float(v) for v in line] for line in r["cov"]], float(r["scale"]))
-            + (int(known[k]["n"]), float(r["llf"]), *[float(np.exp(v)) for v in s.at], int(known[k]["n_subj"]), int(known[k]["n_mothers"]), s.steps)
+            + (int(known[k]["n"]), float(r["llf"]), *s.ratios(), int(known[k]["n_subj"]), int(known[k]["n_mothers"]), s.steps, s.converged, s.boundary())
         )
     types = dict(stats.dtypes)
     head = ", ".join(f"{c} {types[c]}" for c in by)
-    schema = f"{head}, {FIT_FIELDS}, psi_mother double, psi_subject double, psi_slope double, n_subj bigint, n_groups bigint, steps int"
+    schema = f"{head}, {FIT_FIELDS}, psi_mother double, psi_subject double, psi_slope double, n_subj bigint, n_groups bigint, steps int, converged boolean, boundary boolean"
     return df.sparkSession.createDataFrame(rows, schema)

@@ -11,6 +11,7 @@ from auxoline.operators import summaries as S
 from auxoline.operators import visits as V
 from auxoline.plans.registry import query
 from auxoline.plans.study_sql import CLEAN, COHORT, VISITS
+from auxoline.session import durable
 from auxoline.sources import study_tables as T
 
 
@@ -19,7 +20,8 @@ def r6(col):
 
 
 def cleaned(spark, sf_dir) -> DataFrame:
-    return C.clean(T.cohort(spark, sf_dir))
+    """The analysis cohort. Cleaning reads the visits twice, so they are joined to their line items once and written."""
+    return C.clean(durable(T.cohort(spark, sf_dir)))
 
 
 def named(spark, sf_dir, columns=None) -> DataFrame:

@@ -48,8 +48,12 @@ def flat_basis(moments):
     return moments.withColumn("loadings", F.array(flat))
 
 
-def scores(spark, sf_dir):
-    return G.pc_scores(T.growth(spark, sf_dir), durable(flat_basis(moments(spark, sf_dir))), [], 1)
+def written_basis(spark, sf_dir):
+    return durable(flat_basis(moments(spark, sf_dir)))
+
+
+def scores(spark, sf_dir, basis=None):
+    return G.pc_scores(T.growth(spark, sf_dir), written_basis(spark, sf_dir) if basis is None else basis, [], 1)
 
 
 @query("growth_view", f"WITH {GROWTH} SELECT imp, ID, age, round(value, 6) AS value FROM growth")
@@ -165,19 +169,21 @@ FRAME = (
 )
 
 
-def packed_frame(spark, sf_dir):
-    df = G.pack_scores(cleaned(spark, sf_dir), scores(spark, sf_dir), FRAME_COLUMNS, "SBP_MEAN")
+def packed_frame(spark, sf_dir, visits=None, basis=None):
+    visits = cleaned(spark, sf_dir) if visits is None else visits
+    df = G.pack_scores(visits, scores(spark, sf_dir, basis), FRAME_COLUMNS, "SBP_MEAN")
     return df.withColumnsRenamed(
         {"Female": "female", "MomIdUnique": "mom", "SBP_MEAN": "sbp", "HT_cen": "ht_cen", "BMI_cen": "bmi_cen", "Wealth_Z": "wealth_z"}
     )
 
 
-def frame(spark, sf_dir, reused: bool = False):
+def frame(spark, sf_dir, reused: bool = False, visits=None, basis=None):
     """The complete-case analysis frame, one row per imputation and visit.
 
-    A query that reads it more than once has it written in packed form, one row per visit.
+    A query that reads it more than once has it written in packed form, one row per visit; one that has the cleaned visits or
+    the basis already hands them in.
     """
-    packed = packed_frame(spark, sf_dir)
+    packed = packed_frame(spark, sf_dir, visits, basis)
     return G.unpack_scores(durable(packed) if reused else packed)
 
 

@@ -14,7 +14,7 @@ from auxoline.operators import linear as L
 from auxoline.operators import mediation as M
 from auxoline.operators import mixed as X
 from auxoline.plans.cohort_queries import cleaned, r6
-from auxoline.plans.growth_queries import FRAME, MOMENTS, PATTERN_SQL, flat_basis, frame, moments
+from auxoline.plans.growth_queries import FRAME, MOMENTS, PATTERN_SQL, frame, written_basis
 from auxoline.plans.registry import query
 from auxoline.plans.study_sql import CLEAN
 from auxoline.session import durable
@@ -275,7 +275,7 @@ def contrast_sql() -> str:
 
 
 def contrasts(spark, sf_dir):
-    basis = durable(flat_basis(moments(spark, sf_dir)))
+    basis = written_basis(spark, sf_dir)
     sd = F.transform(G.age_variance(), lambda v: F.sqrt(v))
     pats = basis.withColumn("p", patterns(sd)).select(
         F.transform(
@@ -338,7 +338,7 @@ def contrast_labels(spark, sf_dir):
     SELECT female, age, round(est, 6) + 0.0 AS est, round(se, 6) AS se, round(est - 2*se, 6) + 0.0 AS lower, round(est + 2*se, 6) + 0.0 AS upper FROM t""",
 )
 def coef_trajectory(spark, sf_dir):
-    basis = durable(flat_basis(moments(spark, sf_dir)))
+    basis = written_basis(spark, sf_dir)
     fits = exposure_fit(cleaned(spark, sf_dir).withColumnRenamed("Female", "female"), ["female"])
     fits = fits.withColumn("terms", F.array(*[F.lit(t) for t in K.EXPOSURE_TERMS]))
     fits = L.slice_terms(fits, ["pc0"]).withColumn("b", basis.select(F.struct("ages", "loadings")).scalar())
@@ -428,11 +428,11 @@ def effect_curves(spark, sf_dir):
 PATTERN_PAIR = (6, 0)
 
 
-def pattern_pair(spark, sf_dir):
+def pattern_pair(basis):
     """Scores of the two compared patterns as one row (p0, p1)."""
     from auxoline.functions.patterns import growth_patterns
 
-    rows = growth_patterns(durable(flat_basis(moments(spark, sf_dir))), [])
+    rows = growth_patterns(basis, [])
     a, b = PATTERN_PAIR
     return rows.agg(
         F.max(F.when(F.col("pat") == a, F.col("scores")[0])).alias("p0"),
@@ -454,12 +454,14 @@ MEDIATORS_SQL = f"""{FRAME}, {PATTERN_SQL},
     mm AS (SELECT female, mediator, p0, p1, b0 + b1*1.1 + b2*p0 AS m1, b0 + b1*1.1 + b2*p1 AS m2 FROM pm, pp)"""
 
 
-def mediator_means(spark, sf_dir):
+def mediator_means(spark, sf_dir, visits=None):
     """Pooled predicted mediators at the reference age under both patterns, without draws."""
-    fits = L.fit_linear(mediator_rows(frame(spark, sf_dir)), ["female", "mediator", "imp"], two_slopes(), F.col("y"))
+    basis = written_basis(spark, sf_dir)
+    df = frame(spark, sf_dir, visits=visits, basis=basis)
+    fits = L.fit_linear(mediator_rows(df), ["female", "mediator", "imp"], two_slopes(), F.col("y"))
     pooled = durable(L.pooled_matrix(L.pool(fits, ["female", "mediator"]), ["female", "mediator"]))
     b = F.map_from_arrays("terms", "est")
-    rows = pooled.withColumn("b", b).withColumn("p", pattern_pair(spark, sf_dir).select(F.struct("p0", "p1")).scalar())
+    rows = pooled.withColumn("b", b).withColumn("p", pattern_pair(basis).select(F.struct("p0", "p1")).scalar())
     at = (M.REFERENCE_AGE - 10) / 10
 
     def mean(score):
@@ -547,8 +549,9 @@ def wide_means(means):
     round(est + 2*se, 4) + 0.0 AS upper FROM est_""",
 )
 def mediation_effects(spark, sf_dir):
-    fits = exposure_fit(cleaned(spark, sf_dir).withColumnRenamed("Female", "female"), ["female"])
-    rows = wide_means(mediator_means(spark, sf_dir)).join(fits, "female")
+    visits = durable(cleaned(spark, sf_dir))
+    fits = exposure_fit(visits.withColumnRenamed("Female", "female"), ["female"])
+    rows = wide_means(mediator_means(spark, sf_dir, visits)).join(fits, "female")
     out = M.mediation_effects(rows, ["female"])
     return out.select("female", "effect", *[r4(c).alias(c) for c in ("est", "se", "lower", "upper")])
 
@@ -567,10 +570,11 @@ ADJ_LEVEL = "CASE WHEN Wealth_Z IS NULL THEN 0 WHEN Mom_Ht_Ave IS NULL OR Mom_SB
 )
 def effect_grid(spark, sf_dir):
     """Summary rows of the whole sex x adjustment grid: covariate sets are nested, so one pass serves all levels."""
-    df = cleaned(spark, sf_dir).withColumnRenamed("Female", "female")
+    visits = durable(cleaned(spark, sf_dir))
+    df = visits.withColumnRenamed("Female", "female")
     levels = df.withColumn("adj", F.explode(F.sequence(F.lit(0), F.expr(ADJ_LEVEL))))
     fits = exposure_fit(levels, ["female", "adj"])
-    means = durable(mediator_means(spark, sf_dir))
+    means = durable(mediator_means(spark, sf_dir, visits))
     effects = M.mediation_effects(wide_means(means).join(fits, "female"), ["female", "adj"]).select(
         "female", "adj", F.lit("effect").alias("kind"), F.col("effect").alias("name"), r4("est").alias("est"), r4("se").alias("se")
     )
@@ -596,7 +600,8 @@ def mixed_fit(spark, sf_dir):
 @query("mediator_simulation")
 def mediator_simulation(spark, sf_dir):
     """Simulated mediators under both patterns, per imputation and summarised."""
-    df = frame(spark, sf_dir, reused=True)
-    pair = pattern_pair(spark, sf_dir).select(F.array("p0", "p1")).scalar()
+    basis = written_basis(spark, sf_dir)
+    df = frame(spark, sf_dir, reused=True, basis=basis)
+    pair = pattern_pair(basis).select(F.array("p0", "p1")).scalar()
     sims = [M.simulate_mediator(df, ["female"], m, two_slopes(), pair) for m in ("ht_cen", "bmi_cen")]
     return M.summarise_simulation(sims[0].unionByName(sims[1]), ["female"])
