@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 1000
+# Columns that enter the blood-pressure model where a study has them.
+OPTIONAL = ("Wealth_Z_2", "Mom_BMI", "Dad_BMI")
 
 
 @dataclass(frozen=True)
@@ -28,11 +29,8 @@ class Factor:
 
 def factor(df: DataFrame, column: str, reference=None) -> Factor:
     """Levels found in the data, sorted; the reference defaults to the first."""
-    rows = df.where(F.col(column).isNotNull()).select(column).distinct().limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} levels; a design column per level is not workable")
-    levels = tuple(sorted(r[0] for r in rows))
-    return Factor(column, levels, levels[0] if reference is None else reference)
+    levels = tuple(df.agg(F.sort_array(F.collect_set(column)).alias("levels")).first().levels)
+    return Factor(column, levels, (levels[0] if levels else None) if reference is None else reference)
 
 
 def linear(*names: str) -> dict[str, Column]:
@@ -54,8 +52,11 @@ def intercept() -> dict[str, Column]:
     return {"Intercept": F.lit(1.0)}
 
 
-def outcome_terms(pcs: list[str], current_size: bool, father: bool, village: Factor | None = None) -> dict[str, Column]:
-    """Terms of the blood-pressure model."""
+def outcome_terms(pcs: list[str], current_size: bool, father: bool, village: Factor | None = None, columns: list[str] = ()) -> dict[str, Column]:
+    """Terms of the blood-pressure model; factors that a fit takes as cells (village, year) are left to it.
+
+    Of the optional covariates those among ``columns`` enter (the father's only with ``father``).
+    """
     age = linear("age_x") | power("age_x", 2) | power("age_x", 3) | linear("lognummeas")
     terms = intercept() | linear("Female") | age | interact(linear("Female"), age)
     terms |= linear("temp_cen", "School", "Wealth_Z")
@@ -64,6 +65,7 @@ def outcome_terms(pcs: list[str], current_size: bool, father: bool, village: Fac
     terms |= village.terms() if village else {}
     terms |= linear("Mom_Ht_Ave", "Mom_SBP_Z_Res_USE")
     terms |= linear("Dad_Ht_Ave", "Dad_SBP_Z_Res_USE") if father else {}
+    terms |= linear(*[c for c in OPTIONAL if c in columns and (father or not c.startswith("Dad"))])
     scores = linear(*pcs)
     if current_size:
         size = linear("HT_cen", "BMI_cen")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
+from auxoline.operators.linear import only_row
 from auxoline.operators.summaries import complete_cases
 
 # The age grid and the weight of the second-difference penalty.
@@ -108,7 +109,7 @@ def pc_scores(growth: DataFrame, basis: DataFrame, by: list[str], ndim: int, age
     if by:
         wide = wide.join(basis.select(*by, F.struct("mean", "loadings").alias("b")), by)
     else:
-        wide = wide.withColumn("b", basis.agg(F.first(F.struct("mean", "loadings")).alias("b")).scalar())
+        wide = wide.withColumn("b", basis.agg(only_row(F.struct("mean", "loadings")).alias("b")).scalar())
     mean, loadings = F.col("b.mean"), F.col("b.loadings")
 
     def score(k: int):

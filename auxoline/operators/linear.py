@@ -198,9 +198,14 @@ def select_dimension(scores: DataFrame, by: list[str], penalty: float = 3.0) ->
     return scored.groupBy(*by).agg(best.alias("b")).select(*by, "b.ndim", "b.score")
 
 
+def only_row(value: Column) -> Column:
+    """Aggregate: the value of the only row; an error if there are several."""
+    return F.when(F.count("*") <= 1, F.first(value)).otherwise(F.raise_error(F.lit("one row is expected here, a table with several was given")))
+
+
 def linear_predictor(design: DataFrame, ids: list[str], terms: dict[str, Column], fit: DataFrame) -> DataFrame:
-    """Fitted value of each design row under one pooled model, matched by term name."""
-    f = fit.agg(F.first(F.map_from_arrays("terms", "est")).alias("b")).scalar()
+    """Fitted value of each design row under one pooled model, matched by term name; several models are an error."""
+    f = fit.agg(only_row(F.map_from_arrays("terms", "est")).alias("b")).scalar()
     total = F.lit(0.0)
     for name, col in terms.items():
         total = total + col * f[name]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from auxoline.functions.normal import normal_cdf, two_sided_p
@@ -14,11 +16,12 @@ from auxoline.operators import linear as L
 from auxoline.operators import mediation as M
 from auxoline.operators import mixed as X
 from auxoline.plans.cohort_queries import cleaned, r6
-from auxoline.plans.growth_queries import FRAME, MOMENTS, PATTERN_SQL, frame, written_basis
+from auxoline.plans.growth_queries import FRAME, MOMENTS, PATTERN_SQL, frame, scores, written_basis
 from auxoline.plans.registry import query
 from auxoline.plans.study_sql import CLEAN
-from auxoline.session import durable
+from auxoline.session import checkpoint_dir, durable
 from auxoline.sources import study_tables as T
+from auxoline.sources.results import read_model, write_model
 
 
 def r4(col):
@@ -276,16 +279,7 @@ def contrast_sql() -> str:
 
 def contrasts(spark, sf_dir):
     basis = written_basis(spark, sf_dir)
-    sd = F.transform(G.age_variance(), lambda v: F.sqrt(v))
-    pats = basis.withColumn("p", patterns(sd)).select(
-        F.transform(
-            "p",
-            lambda x: F.struct(
-                x["pat"].alias("pat"), x["label"].alias("label"), x["short"].alias("short"),
-                F.transform("loadings", lambda w: F.aggregate(F.zip_with(w, x["values"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)).alias("scores"),
-            ),
-        )
-    )
+    pats = pattern_structs(basis)
     fits = exposure_fit(cleaned(spark, sf_dir).withColumnRenamed("Female", "female"), ["female"])
     return K.pattern_contrasts(durable(fits.withColumn("pats", pats.scalar())), ["female"])
 
@@ -593,7 +587,7 @@ def effect_grid(spark, sf_dir):
 def mixed_fit(spark, sf_dir):
     """Mixed model of blood pressure per imputation: coefficients and variance ratios."""
     fits = X.fit_mixed(frame(spark, sf_dir), ["imp"], two_slopes(), F.col("sbp"))
-    coef = fits.select("imp", "llf", "scale", "n", "n_subj", "n_groups", "psi_mother", "psi_subject", "psi_slope", F.inline(F.arrays_zip("terms", "est")))
+    coef = fits.select("imp", "llf", "scale", "n", "n_subj", "n_groups", "psi_mother", "psi_subject", "psi_slope", "converged", "boundary", F.inline(F.arrays_zip("terms", "est")))
     return coef.withColumnRenamed("terms", "term")
 
 
@@ -605,3 +599,105 @@ def mediator_simulation(spark, sf_dir):
     pair = pattern_pair(basis).select(F.array("p0", "p1")).scalar()
     sims = [M.simulate_mediator(df, ["female"], m, two_slopes(), pair) for m in ("ht_cen", "bmi_cen")]
     return M.summarise_simulation(sims[0].unionByName(sims[1]), ["female"])
+
+
+# Fitted chains -----------------------------------------------------------------------------------
+
+
+def reread_model(spark, pooled, basis, fits, by):
+    """The pooled model after a round trip through its result tables."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    write_model(pooled, basis, L.pooled_fit_stats(fits, by), path, by)
+    return read_model(spark, path, by)
+
+
+def exposure_terms() -> dict:
+    """The outcome on age, adult size, early growth and their products."""
+    size, score = D.linear("ht_cen", "bmi_cen"), D.linear("pc0")
+    named = dict(zip(K.EXPOSURE_TERMS, [*size.values(), *score.values(), *D.interact(size, score).values()]))
+    return D.intercept() | D.linear("age_x") | named
+
+
+def fitted_exposures(spark, df, basis, estimator):
+    """Pooled coefficients and covariance of the exposure terms per sex, fitted, stored and read again."""
+    fits = durable(estimator(df, ["female", "imp"], exposure_terms(), F.col("sbp")))
+    pooled = L.pooled_matrix(L.pool(fits, ["female"]), ["female"])
+    return L.slice_terms(reread_model(spark, pooled, basis, fits, ["female"]), list(K.EXPOSURE_TERMS))
+
+
+@query(
+    "coef_trajectory_fitted",
+    f"""WITH {FRAME}, {ols2('o', 'sbp', 'age_x', 'pc0', 'frame', 'female, imp')}, {pooled_sql('o', 'female')},
+    t AS (SELECT female, age, w*est_i AS est, sqrt(w*w*total) AS se FROM pool_, loading WHERE term_i = 'pc0' AND term_j = 'pc0')
+    SELECT female, age, round(est, 6) + 0.0 AS est, round(se, 6) AS se, round(est - 2*se, 6) + 0.0 AS lower, round(est + 2*se, 6) + 0.0 AS upper FROM t""",
+)
+def coef_trajectory_fitted(spark, sf_dir):
+    """The growth effect by age from fitted, pooled, stored and reread models."""
+    basis = written_basis(spark, sf_dir)
+    fits = durable(L.fit_linear(frame(spark, sf_dir, basis=basis), ["female", "imp"], two_slopes(), F.col("sbp")))
+    model = reread_model(spark, L.pooled_matrix(L.pool(fits, ["female"]), ["female"]), basis, fits, ["female"])
+    model = L.slice_terms(model, ["pc0"]).withColumn("b", basis.select(F.struct("ages", "loadings")).scalar())
+    out = K.coefficient_trajectory(model.select("female", "est", "cov", "b.*"), ["female"], 1)
+    return out.select("female", "age", *[r6(c).alias(c) for c in ("est", "se", "lower", "upper")])
+
+
+def pattern_structs(basis):
+    """All patterns with their scores as one array column."""
+    sd = F.transform(G.age_variance(), lambda v: F.sqrt(v))
+    return basis.withColumn("p", patterns(sd)).select(
+        F.transform(
+            "p",
+            lambda x: F.struct(
+                x["pat"].alias("pat"), x["label"].alias("label"), x["short"].alias("short"),
+                F.transform("loadings", lambda w: F.aggregate(F.zip_with(w, x["values"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)).alias("scores"),
+            ),
+        )
+    )
+
+
+@query("growth_contrast_fitted")
+def growth_contrast_fitted(spark, sf_dir):
+    """Pattern contrasts from mixed models fitted by imputation and sex, pooled, stored and reread."""
+    basis = written_basis(spark, sf_dir)
+    model = fitted_exposures(spark, frame(spark, sf_dir, reused=True, basis=basis), basis, X.fit_mixed)
+    out = K.with_interval(K.pattern_contrasts(durable(model.withColumn("pats", pattern_structs(basis).scalar())), ["female"]))
+    return out.select("female", "size", "shift", "pat", "label", *[r6(c).alias(c) for c in ("est", "se", "z", "p", "lower", "upper")])
+
+
+@query("mediation_effects_fitted")
+def mediation_effects_fitted(spark, sf_dir):
+    """Effect decomposition with mediators and outcome both fitted by imputation and sex."""
+    visits, basis = durable(cleaned(spark, sf_dir)), written_basis(spark, sf_dir)
+    df = frame(spark, sf_dir, reused=True, visits=visits, basis=basis)
+    model = fitted_exposures(spark, df, basis, L.fit_linear)
+    out = M.mediation_effects(wide_means(mediator_means(spark, sf_dir, visits)).join(model, "female"), ["female"])
+    return out.select("female", "effect", *[r4(c).alias(c) for c in ("est", "se", "lower", "upper")])
+
+
+@query("mixed_pool")
+def mixed_pool(spark, sf_dir):
+    """Mixed models of blood pressure per imputation, pooled: coefficients with their standard errors."""
+    fits = X.fit_mixed(frame(spark, sf_dir), ["imp"], two_slopes(), F.col("sbp"))
+    flags = fits.agg(F.every("converged").alias("converged"), F.some("boundary").alias("boundary"))
+    out = L.pooled_coefficients(L.pool(fits.withColumn("model", F.lit("sbp")), ["model"]), ["model"])
+    return out.withColumn("f", flags.select(F.struct("converged", "boundary")).scalar()).select("model", "term", "est", "se", "lost", "f.*")
+
+
+FULL_COLUMNS = [
+    "visit_id", "Female", "Male", "MomIdUnique", "SBP_MEAN", "age_x", "age_cen", "lognummeas", "temp_cen", "School", "Wealth_Z", "Breast_Stage_Use_Z",
+    "log2T_use_Z", "PregMo_Use_cen", "lactMo_Use_cen", "Mom_Ht_Ave", "Mom_SBP_Z_Res_USE", "Dad_Ht_Ave", "Dad_SBP_Z_Res_USE", "HT_cen", "BMI_cen", "Village", "Year",
+]
+
+
+@query("mixed_fit_full")
+def mixed_fit_full(spark, sf_dir):
+    """The outcome model with all its covariates, villages and years, per imputation: some fifty columns."""
+    visits = C.recode_village(cleaned(spark, sf_dir)).withColumns({"preg": C.fill_males_zero("PregMo_Use"), "lact": F.coalesce("lactMo_Use", F.lit(0))})
+    visits = C.with_centering(visits, {"preg": F.col("preg"), "lact": F.col("lact")})
+    visits = durable(visits.withColumns({"PregMo_Use_cen": F.col("preg") - F.col("c.preg_mean"), "lactMo_Use_cen": F.col("lact") - F.col("c.lact_mean")}).drop("c"))
+    packed = durable(G.pack_scores(visits, scores(spark, sf_dir), FULL_COLUMNS, "SBP_MEAN"))
+    factors = [D.factor(packed, "Village", 50), D.factor(packed, "Year")]
+    df = G.unpack_scores(packed).withColumnRenamed("MomIdUnique", "mom")
+    fits = X.fit_mixed(df, ["imp"], D.outcome_terms(["pc0"], True, True), F.col("SBP_MEAN"), factors=factors)
+    coef = fits.select("imp", "llf", "scale", "n", "psi_mother", "psi_subject", "psi_slope", "converged", "boundary", F.inline(F.arrays_zip("terms", "est")))
+    return coef.withColumnRenamed("terms", "term")

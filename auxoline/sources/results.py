@@ -9,9 +9,9 @@ from auxoline.operators.growth import AGES
 
 
 def write_imputed(df: DataFrame, path: str, var: str) -> None:
-    """Completed data sets of one variable, one folder per variable and imputation."""
+    """Completed data sets of one variable, one folder per variable and imputation; folders that are there already are replaced."""
     tagged = df.withColumn("var", F.lit(var)).hint("rebalance", "imp")
-    tagged.write.mode("append").partitionBy("var", "imp").parquet(path)
+    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("var", "imp").parquet(path)
 
 
 def read_imputed(spark: SparkSession, path: str, var: str | None = None, imp: int | None = None) -> DataFrame:

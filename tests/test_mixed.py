@@ -106,3 +106,50 @@ def test_all_replicates_advance_in_the_same_jobs_whatever_the_row_order(spark):
         assert a[k].llf == pytest.approx(b[k].llf, abs=1e-6)
     alone = X.fit_mixed(frame(spark, rows), ["imp"], terms(), F.col("y")).first()
     assert a[0].llf == pytest.approx(alone.llf, abs=1e-6)
+
+
+def test_mothers_split_over_partitions_and_batches(spark):
+    """Subject sums placed in many small partitions, read in batches of two rows, give the same fit."""
+    rows = family_data(9, big=True) + [(1, *r[1:5], r[5] - 0.2 * r[4]) for r in family_data(9, big=True)]
+    df = frame(spark, rows)
+    want = {r.imp: r for r in X.fit_mixed(df, ["imp"], terms(), F.col("y")).collect()}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 13)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+        got = {r.imp: r for r in X.fit_mixed(df, ["imp"], terms(), F.col("y")).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for k, r in want.items():
+        assert got[k].llf == pytest.approx(r.llf, abs=1e-8) and got[k].est == pytest.approx(r.est, abs=1e-8)
+        assert r.converged and not r.boundary
+
+
+def test_factors_as_cells_equal_dummy_columns(spark):
+    df = frame(spark, family_data(4, mothers=30)).withColumn("g", F.col("ID") % 4)
+    g = D.factor(df, "g", 2)
+    assert g.levels == (0, 1, 2, 3) and g.reference == 2
+    a = X.fit_mixed(df, ["imp"], terms(), F.col("y"), factors=[g]).first()
+    b = X.fit_mixed(df, ["imp"], terms() | g.terms(), F.col("y")).first()
+    assert a.terms == b.terms and a.llf == pytest.approx(b.llf, abs=1e-8) and a.est == pytest.approx(b.est, abs=1e-8)
+
+
+def test_unknown_mothers_are_mothers_of_one(spark):
+    rows = family_data(5)
+    lone = [r if r[1] % 3 else (*r[:1], None, *r[2:]) for r in rows]
+    named = [r if r[1] % 3 else (*r[:1], 1000 + r[2], *r[2:]) for r in rows]
+    a, b = (X.fit_mixed(frame(spark, x), ["imp"], terms(), F.col("y")).first() for x in (lone, named))
+    assert a.llf == pytest.approx(b.llf, abs=1e-7) and a.n_groups == b.n_groups and a.n == len(rows)
+
+
+def test_boundary_and_unfinished_fits_are_told(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, m, 2 * m + i, float(j), float(rng.normal()), 0.0) for m in range(25) for i in range(2) for j in range(4)]
+    rows = [(*r[:5], float(r[4] + (1 if r[2] % 2 else -1) + (1 if r[3] % 2 else -1) + 0.1 * rng.normal())) for r in rows]
+    r = X.fit_mixed(frame(spark, rows), ["imp"], terms(), F.col("y")).first()
+    assert r.boundary and 0.0 in (r.psi_mother, r.psi_slope)
+    early = X.fit_mixed(frame(spark, family_data(0)), ["imp"], terms(), F.col("y"), max_steps=2).first()
+    assert not early.converged
