@@ -5,8 +5,8 @@ pair is verified by comparing its signatures batch by batch: after each batch th
 reaches the threshold (uniform prior) is looked at, and the pair is dropped once that is below MISS. Survivors are confirmed on
 their full shingle sets.
 
-A band with many classes is not expanded into pairs. First every class is paired with the band's pivot (the class with the most copies).
-What then is left to find are links between classes of one band of which at least one is not yet in the pivot's component. Such a
+A band with many classes is not expanded into pairs. First every class is paired with the band's pivot (the class with the most copies),
+then classes outside the pivot's component with a few members of it. What then is left to find are links between classes of one band of which at least one is not yet in the pivot's component. Such a
 class looks for partners by its rarest shingles: sets that reach the threshold share one of their rarest few, where how few follows from both
 sizes; sizes fall into narrow classes, so the bound is tight and edits, which are rare, decide. So no link between classes that
 share a band is lost, and the chance that a pair at the threshold shares no band is (1 - t**ROWS)**BANDS: 6e-11 at 0.85.
@@ -39,6 +39,8 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 16, 1e-8
 #: Buckets of the shingle counts that order shingles by rarity, and shingle entries that a group of the partner search should get.
 RARITY, GROUP_ENTRIES = 1 << 18, 200_000
+#: Members of the pivot's component that a class outside it is compared with in each band, before it searches for partners.
+TRIED = 4
 #: Ratio of the sizes that one size class holds.
 SIZE_STEP = 1.02
 SEED = 5
@@ -241,6 +243,16 @@ def partner_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return given.mapInArrow(scatter, "bucket int, payload binary").groupBy("bucket").applyInArrow(search, "a long, b long").distinct()
 
 
+def _labelled(bands: DataFrame, roots: DataFrame) -> DataFrame:
+    """band, id, label (the class's component so far) and main (the pivot's) of (band, id, pivot)."""
+
+    def label(column: str) -> DataFrame:
+        return roots.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
+
+    both = bands.join(label("id"), "id", "left").join(label("pivot"), "pivot", "left")
+    return stored(both.select("band", "id", F.coalesce("id_root", "id").alias("label"), F.coalesce("pivot_root", "pivot").alias("main")))
+
+
 def near_classes(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 85) -> DataFrame:
     """One row per document: id (``row``), doc_id, n_shingles, component_id (the smallest doc_id) and first (its row's id)."""
     sketch = stored(sketches(docs, row, doc_id, text, k))
@@ -255,13 +267,13 @@ def near_classes(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str =
     sets = stored(full_sets(docs, row, text, k, inside.select("id").distinct()))
     stars = inside.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     links = stored(verify(stars, classes, sets, percent))
-    roots = components(links)
-
-    def label(column: str) -> DataFrame:
-        return roots.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
-
-    labelled = inside.filter("size > 2").join(label("id"), "id", "left").join(label("pivot"), "pivot", "left")
-    labelled = stored(labelled.select("band", "id", F.coalesce("id_root", "id").alias("label"), F.coalesce("pivot_root", "pivot").alias("main")))
+    crowded = stored(inside.filter("size > 2").select("band", "id", "pivot"))
+    labelled = _labelled(crowded, components(links))
+    # Most classes that the pivot misses are linked with some other of its component: each tries a few of each band.
+    few = labelled.filter("label = main").groupBy("band").agg(F.array(*[F.min(F.struct(F.xxhash64(F.lit(r), "id"), "id"))["id"] for r in range(TRIED)]).alias("some"))
+    tries = labelled.filter("label <> main").join(few, "band").select(F.col("id").alias("a"), F.explode("some").alias("b")).distinct()
+    links = stored(links.unionByName(verify(tries, classes, sets, percent)))
+    labelled = _labelled(crowded, components(links))
     mixed = labelled.filter("label <> main").select("band").distinct()
     open_ = labelled.join(mixed, "band", "left_semi").groupBy("id").agg(F.max("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("searching"))
     more = verify(partner_pairs(open_, sets, percent), classes, sets, percent)
