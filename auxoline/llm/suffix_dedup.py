@@ -38,6 +38,12 @@ K, PACK = 16, 8 << 20
 BUCKET_BYTES, SPREAD = 12 << 20, 3.5
 #: Share of a task's (and of all) different segments from which a naming string is hot.
 HOT_SHARE = 1 / 2000
+#: One chunk of so many is looked at for hot names.
+HOT_EVERY = 4
+#: Bytes of text whose segments are found at once, and bytes of text that meet their spans in one group.
+STEP, HOME_BYTES = 1 << 18, 8 << 20
+#: Stands for a null id, and comes before every other.
+NO_ID = -(1 << 62)
 #: Suffixes sorted at a time.
 BLOCK = 1 << 20
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
@@ -106,52 +112,36 @@ def segments(buf: np.ndarray, offsets: np.ndarray, hot: np.ndarray, length: int
 
 
 class Packer:
-    """Segments of several chunks with their places, and their packing by bucket."""
-
-    def __init__(self, hot: np.ndarray):
-        self.hot = hot
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.gone: list[tuple[np.ndarray, ...]] = []
-
-    def add(self, buf: np.ndarray, offsets: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-        first, size, name = segments(buf, offsets, self.hot)
-        doc = np.searchsorted(offsets, first, side="right") - 1
-        same = span_hashes(buf, first, first + size + LENGTH - 1)
-        at = first - offsets[doc]
-        # Of equal segments of a chunk only the earliest keeps its text.
-        order = np.lexsort((at, rows[doc], ids[doc], size, name, same))
-        s = same[order], name[order], size[order]
-        later = np.zeros(len(order), bool)
-        later[1:] = np.logical_and.reduce([x[1:] == x[:-1] for x in s])
-        kept = np.sort(order[~later])
-        sizes = size[kept] + LENGTH - 1
-        self.parts.append((buf[ragged(first[kept], sizes)], sizes, name[kept], same[kept], ids[doc[kept]], rows[doc[kept]], at[kept]))
-        gone = np.sort(order[later])
-        self.gone.append((ids[doc[gone]], rows[doc[gone]], at[gone], at[gone] + size[gone] + LENGTH - 1))
-
-    def collected(self) -> tuple[np.ndarray, ...]:
-        return tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))
+    """Segments of one stretch of texts with their places, and their packing by bucket."""
+
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, ids: np.ndarray, rows: np.ndarray, hot: np.ndarray, every: int = 1):
+        self.buf, found = buf, []
+        for k, (a, b) in enumerate(chunks(offsets, STEP)):
+            if k % every == 0:
+                first, size, name = segments(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], hot)
+                same = span_hashes(buf[offsets[a] : offsets[b]], first, first + size + LENGTH - 1)
+                found.append((first + offsets[a], size + LENGTH - 1, name, same))
+        self.first, self.sizes, self.name, self.same = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, t) for t in (np.int64, np.int64, np.uint32, np.uint64))
+        doc = np.searchsorted(offsets, self.first, side="right") - 1
+        self.ids, self.rows, self.at = ids[doc], rows[doc], self.first - offsets[doc]
 
     def packed(self, buckets: int):
-        """(bucket, payload) rows; negative buckets carry spans that are known already."""
-        text, sizes, name, same, ids, rows, at = self.collected()
-        gone = [np.concatenate(x) for x in zip(*self.gone, strict=True)]
-        # Equal segments of different chunks.
-        order = np.lexsort((at, rows, ids, sizes, name, same))
+        """(bucket, payload) rows; negative buckets carry spans that are known already.
+
+        Of equal segments only the earliest is sent, the others are repeats of it."""
+        order = np.lexsort((self.at, self.rows, self.ids, self.sizes, self.name, self.same))
         later = np.zeros(len(order), bool)
-        later[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (same, name, sizes)])
-        g, keep = np.sort(order[later]), np.sort(order[~later])
-        gone = [np.concatenate([a, b]) for a, b in zip(gone, (ids[g], rows[g], at[g], at[g] + sizes[g]), strict=True)]
-        if len(gone[0]):
-            yield from _spans_by_salt(gone, buckets)
-        starts = np.cumsum(sizes) - sizes
-        bucket = (name[keep] % np.uint32(buckets)).astype(np.int64)
+        later[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (self.same, self.name, self.sizes)])
+        gone, keep = np.sort(order[later]), np.sort(order[~later])
+        if len(gone):
+            yield from _spans_by_salt([self.ids[gone], self.rows[gone], self.at[gone], self.at[gone] + self.sizes[gone]], buckets)
+        bucket = (self.name[keep] % np.uint32(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[by], np.arange(buckets + 1))
         for b in range(buckets):
             mine = keep[by[edge[b] : edge[b + 1]]]
             if len(mine):
-                yield b, pack(text[ragged(starts[mine], sizes[mine])], sizes[mine].astype(np.uint32), name[mine], ids[mine], rows[mine], at[mine])
+                yield b, pack(self.buf[ragged(self.first[mine], self.sizes[mine])], self.sizes[mine].astype(np.uint32), self.name[mine], self.ids[mine], self.rows[mine], self.at[mine])
 
 
 def _spans_by_salt(gone: list[np.ndarray], buckets: int):
@@ -339,58 +329,51 @@ def _numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return stored(given.withColumn("row", F.monotonically_increasing_id())) if repeats else given.withColumn("row", F.lit(0).cast("bigint"))
 
 
-def _batch(batch: pa.RecordBatch):
-    ids = batch.column(0).cast(pa.int64()).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
-    rows = batch.column(1).to_numpy(zero_copy_only=False)
-    return ids, rows, *flat_bytes(batch.column(2))
+def _stretches(batches):
+    """(buffer, offsets, ids, rows) of runs of texts of at most PACK bytes; null ids come first."""
+    for batch in batches:
+        ids = batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+        rows = batch.column(1).to_numpy(zero_copy_only=False)
+        buf, offsets = flat_bytes(batch.column(2))
+        for a, b in chunks(offsets, PACK):
+            yield buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ids[a:b], rows[a:b]
 
 
 def hot_names(rows: DataFrame) -> np.ndarray:
-    """Names that hold at least HOT_SHARE of the different segments, by the names that tasks find frequent; at most 1 / HOT_SHARE."""
+    """Names that hold at least HOT_SHARE of the different segments, by the names that tasks find frequent; at most 1 / HOT_SHARE.
+
+    One chunk in HOT_EVERY is looked at: names decide only which bucket sorts a segment, never what is found."""
 
     def count(batches):
-        for batch in batches:
-            ids, order, buf, offsets = _batch(batch)
-            for a, b in chunks(offsets, PACK):
-                packer = Packer(np.zeros(0, np.uint64))
-                for c, d in chunks(offsets[a : b + 1]):
-                    c, d = a + c, a + d
-                    packer.add(buf[offsets[c] : offsets[d]], offsets[c : d + 1] - offsets[c], ids[c:d], order[c:d])
-                _, sizes, name, same, *_ = packer.collected()
-                if not len(name):
-                    continue
-                distinct = np.unique(np.stack([name.astype(np.uint64), same], 1), axis=0)[:, 0]
-                names, n = np.unique(distinct, return_counts=True)
-                often = n >= max(8, HOT_SHARE * len(distinct))
-                total = pa.array([len(distinct)] + [0] * int(often.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(np.int64(-1), names[often].astype(np.int64))), pa.array(np.append(np.int64(0), n[often])), total], names=["name", "n", "total"])
+        for stretch in _stretches(batches):
+            packer = Packer(*stretch, np.zeros(0, np.uint64), HOT_EVERY)
+            if not len(packer.name):
+                continue
+            distinct = np.unique(np.stack([packer.name.astype(np.uint64), packer.same], 1), axis=0)[:, 0]
+            names, n = np.unique(distinct, return_counts=True)
+            often = n >= max(4, HOT_SHARE * len(distinct))
+            total = pa.array([len(distinct)] + [0] * int(often.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(np.int64(-1), names[often].astype(np.int64))), pa.array(np.append(np.int64(0), n[often])), total], names=["name", "n", "total"])
 
     found = durable(rows.select("id", "row", "text").mapInArrow(count, "name long, n long, total long").groupBy("name").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
     # The name -1 carries the total.
     total = found.filter("name = -1").first()
     if total is None:
         return np.zeros(0, np.uint64)
-    hot = found.filter((F.col("name") >= 0) & (F.col("n") >= max(64, total.total * HOT_SHARE))).select("name").collect()
+    hot = found.filter((F.col("name") >= 0) & (F.col("n") >= max(32, total.total * HOT_SHARE))).select("name").collect()
     return np.sort(np.array([r.name for r in hot], np.uint64))
 
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
-    """id, row, start, stop of repeated bytes; spans of one document may overlap."""
+def repeated_spans(rows: DataFrame, total: int) -> DataFrame:
+    """id, row, start, stop of repeated bytes (null ids as NO_ID); spans of one document may overlap. ``total``: bytes of text."""
     spark = rows.sparkSession
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     buckets = max(16, math.ceil(total * SPREAD / BUCKET_BYTES))
     hot = spark.sparkContext.broadcast(hot_names(rows))
 
     def scatter(batches):
-        for batch in batches:
-            ids, order, buf, offsets = _batch(batch)
-            for a, b in chunks(offsets, PACK):
-                packer = Packer(hot.value)
-                for c, d in chunks(offsets[a : b + 1]):
-                    c, d = a + c, a + d
-                    packer.add(buf[offsets[c] : offsets[d]], offsets[c : d + 1] - offsets[c], ids[c:d], order[c:d])
-                for bucket, payload in packer.packed(buckets):
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "payload"])
+        for stretch in _stretches(batches):
+            for bucket, payload in Packer(*stretch, hot.value).packed(buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "payload"])
 
     def sort(group: pa.Table) -> pa.Table:
         payloads = group.column("payload").to_pylist()
@@ -403,38 +386,51 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     return rows.select("id", "row", "text").mapInArrow(scatter, "bucket int, payload binary").groupBy("bucket").applyInArrow(sort, "id long, row long, start long, stop long")
 
 
+def _home(ids: np.ndarray, rows: np.ndarray, homes: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rows.astype(np.uint64)) % np.uint64(homes)).astype(np.int32)
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans and kept, the remaining bytes."""
+    """One row per document: doc_id, n_bytes, n_removed, n_spans and kept, the remaining bytes.
+
+    Texts meet their spans in groups of some HOME_BYTES of text; they travel packed, so the shuffle is small.
+    """
     rows = _numbered(docs, doc_id, text)
-    spans = repeated_spans(rows).groupBy("id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    keyed = rows.withColumn("key", F.coalesce("id", F.lit(-(1 << 62))))
-    both = keyed.join(spans.withColumnRenamed("id", "key"), ["key", "row"], "left")
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    homes = max(16, math.ceil(total / HOME_BYTES))
+
+    def dealt(batches):
+        for buf, offsets, ids, order in _stretches(batches):
+            home, sizes = _home(ids, order, homes), np.diff(offsets)
+            for h in np.unique(home):
+                mine = np.flatnonzero(home == h)
+                payload = pack(buf[ragged(offsets[mine], sizes[mine])], sizes[mine], ids[mine], order[mine])
+                yield pa.RecordBatch.from_arrays([pa.array([h], pa.int32()), pa.array([payload], pa.binary())], names=["home", "payload"])
 
-    def cut(batches):
+    def placed(batches):
         for batch in batches:
-            buf, offsets = flat_bytes(batch.column(1))
-            lists = batch.column(2)
-            where = lists.offsets.to_numpy()
-            start, stop = (lists.values.field(k).to_numpy() for k in (0, 1))
-            has = lists.is_valid().to_numpy(zero_copy_only=False)
-            out = []
-            for k in range(len(batch)):
+            ids, order = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(_home(ids, order, homes)), *batch.columns], names=["home", *batch.schema.names])
+
+    def cut(texts: pa.Table, spans: pa.Table) -> pa.Table:
+        ids, order, start, stop = joined(*(spans.column(c).to_numpy() for c in ("id", "row", "start", "stop")))
+        out = []
+        for payload in texts.column("payload").to_pylist():
+            buf, sizes, own, own_row = unpack(payload)
+            offsets = np.append(0, np.cumsum(sizes))
+            for k in range(len(own)):
                 whole = buf[offsets[k] : offsets[k + 1]]
-                if not has[k]:
-                    out.append((len(whole), 0, 0, whole.tobytes()))
-                    continue
-                a, b = where[k], where[k + 1]
-                zero = np.zeros(b - a, np.int64)
-                _, _, first, last = joined(zero, zero, start[a:b], stop[a:b])
-                edges = np.zeros(len(whole) + 1, np.int64)
-                edges[first] += 1
-                edges[last] -= 1
-                left = whole[np.cumsum(edges[:-1]) == 0]
-                out.append((len(whole), len(whole) - len(left), len(first), left.tobytes()))
-            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return both.select("id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+                a, b = np.searchsorted(ids, own[k], side="left"), np.searchsorted(ids, own[k], side="right")
+                a, b = a + np.searchsorted(order[a:b], own_row[k], side="left"), a + np.searchsorted(order[a:b], own_row[k], side="right")
+                edges = np.append(0, np.stack([start[a:b], stop[a:b]], 1).ravel())
+                left = b"".join(whole[x:y].tobytes() for x, y in zip(edges[::2], np.append(edges[1::2], len(whole)), strict=True))
+                out.append((None if own[k] == NO_ID else int(own[k]), len(whole), len(whole) - len(left), b - a, left))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    texts = rows.select("id", "row", "text").mapInArrow(dealt, "home int, payload binary").groupBy("home")
+    spans = repeated_spans(rows, total).mapInArrow(placed, "home int, id long, row long, start long, stop long").groupBy("home")
+    return texts.cogroup(spans).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 @query("op5_suffix_dedup")

@@ -42,6 +42,8 @@ def test_matches_brute_force(spark, share, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     monkeypatch.setattr(S, "HOT_SHARE", share)
     monkeypatch.setattr(S, "PACK", 4000)
+    monkeypatch.setattr(S, "STEP", 1500)
+    monkeypatch.setattr(S, "HOT_EVERY", 2)
     got = S.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex(F.unhex(F.sha2("kept", 256))))).collect()
     assert sorted(map(tuple, got)) == sorted(brute(enumerate(texts)))
 
