@@ -587,7 +587,7 @@ def effect_grid(spark, sf_dir):
 def mixed_fit(spark, sf_dir):
     """Mixed model of blood pressure per imputation: coefficients and variance ratios."""
     fits = X.fit_mixed(frame(spark, sf_dir), ["imp"], two_slopes(), F.col("sbp"))
-    coef = fits.select("imp", "llf", "scale", "n", "n_subj", "n_groups", "psi_mother", "psi_subject", "psi_slope", "converged", "boundary", F.inline(F.arrays_zip("terms", "est")))
+    coef = fits.select("imp", "llf", "scale", "n", "n_subj", "n_groups", "psi_mother", "psi_subject", "psi_slope", "steps", "converged", "boundary", F.inline(F.arrays_zip("terms", "est")))
     return coef.withColumnRenamed("terms", "term")
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(cores: str = "*", shuffle_partitions: int = 8, conf: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        SparkSession.builder.config(map=conf or {}).master(f"local[{cores}]")
         .appName("auxoline")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
