@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
+from auxoline.functions.scalar import by_stratum
 from auxoline.operators.linear import only_row
 from auxoline.operators.summaries import complete_cases
 
@@ -107,7 +108,7 @@ def pc_scores(growth: DataFrame, basis: DataFrame, by: list[str], ndim: int, age
     """(x - mean) . loadings of every complete trajectory: (by..., imp, ID, pc0, ...)."""
     wide = trajectories(growth, by, ages)
     if by:
-        wide = wide.join(basis.select(*by, F.struct("mean", "loadings").alias("b")), by)
+        wide = wide.withColumn("b", by_stratum(basis, by, F.struct("mean", "loadings")))
     else:
         wide = wide.withColumn("b", basis.agg(only_row(F.struct("mean", "loadings")).alias("b")).scalar())
     mean, loadings = F.col("b.mean"), F.col("b.loadings")
@@ -121,15 +122,15 @@ def pc_scores(growth: DataFrame, basis: DataFrame, by: list[str], ndim: int, age
     return wide.select(*by, "imp", "ID", *[score(k) for k in range(ndim)])
 
 
-def pack_scores(visits: DataFrame, scores: DataFrame, columns: list[str], outcome: str) -> DataFrame:
-    """Complete visits with their subject's scores of all imputations packed in one array (``draws``).
+def pack_scores(visits: DataFrame, scores: DataFrame, columns: list[str], outcome: str, extra: list[str] = ()) -> DataFrame:
+    """Visits complete in ``columns`` with their subject's scores of all imputations packed in one array (``draws``); ``extra`` columns may be null.
 
     Scores are packed to one row per subject (at most one entry per imputation) before the
     join, so the join moves each visit once and not once per imputation.
     """
     pcs = [c for c in scores.columns if c not in ("imp", "ID")]
     packed = scores.groupBy("ID").agg(F.collect_list(F.struct("imp", *pcs)).alias("draws"))
-    usable = complete_cases(visits.select("ID", *columns), [outcome, *columns])
+    usable = complete_cases(visits.select("ID", *columns, *extra), [outcome, *columns])
     return usable.join(packed, "ID", "left")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auxoline.functions.normal import keyed_normal
-from auxoline.functions.scalar import dot
+from auxoline.functions.scalar import by_stratum, dot
 from auxoline.session import durable, spread
 
 JITTER = 1e-8
@@ -451,12 +451,6 @@ def beta_column(fits: dict[tuple, ProcessFit], by: list[str]) -> Column:
     return out
 
 
-def by_stratum(rows: DataFrame, by: list[str], value: Column) -> Column:
-    """``value`` of the row's stratum, from a map with one entry per stratum that is read as a scalar: no join on a key of few values."""
-    entry = F.struct(F.struct(*by).alias("k"), value.alias("v"))
-    return F.try_element_at(rows.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar(), F.struct(*by))
-
-
 def impute_grid(series: DataFrame, grid: DataFrame, by: list[str], model: ProcessModel, fits, n_imp: int, tag: str) -> DataFrame:
     """Completed trajectories on a common grid: (by..., imp, ID, age, value, mean), three decimals.
 

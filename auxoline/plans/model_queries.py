@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from auxoline.functions.normal import normal_cdf, two_sided_p
@@ -16,7 +17,7 @@ from auxoline.operators import linear as L
 from auxoline.operators import mediation as M
 from auxoline.operators import mixed as X
 from auxoline.plans.cohort_queries import cleaned, r6
-from auxoline.plans.growth_queries import FRAME, MOMENTS, PATTERN_SQL, frame, scores, written_basis
+from auxoline.plans.growth_queries import FRAME, MOMENTS, PATTERN_SQL, flat_basis, frame, scores, written_basis
 from auxoline.plans.registry import query
 from auxoline.plans.study_sql import CLEAN
 from auxoline.session import checkpoint_dir, durable
@@ -521,14 +522,14 @@ WIDE_MEANS = """wm AS (SELECT female, any_value(p0) AS p0, any_value(p1) AS p1,
     max(m2) FILTER (WHERE mediator = 'bmi_cen') AS b1, max(m2 - m1) FILTER (WHERE mediator = 'bmi_cen') AS db FROM mm GROUP BY female)"""
 
 
-def wide_means(means):
-    """Both mediators' summaries side by side, one row per sex."""
+def wide_means(means, by=("female",)):
+    """Both mediators' summaries side by side, one row per model."""
 
     def of(mediator, col):
         return F.max(F.when(F.col("mediator") == mediator, F.col(col)))
 
     m = means.withColumn("d", F.col("m2") - F.col("m1"))
-    return m.groupBy("female").agg(
+    return m.groupBy(*by).agg(
         F.first("p0").alias("p0"), F.first("p1").alias("p1"),
         of("ht_cen", "m1").alias("h0"), of("ht_cen", "m2").alias("h1"), of("ht_cen", "d").alias("dh"),
         of("bmi_cen", "m1").alias("b0"), of("bmi_cen", "m2").alias("b1"), of("bmi_cen", "d").alias("db"),
@@ -701,3 +702,103 @@ def mixed_fit_full(spark, sf_dir):
     fits = X.fit_mixed(df, ["imp"], D.outcome_terms(["pc0"], True, True), F.col("SBP_MEAN"), factors=factors)
     coef = fits.select("imp", "llf", "scale", "n", "psi_mother", "psi_subject", "psi_slope", "converged", "boundary", F.inline(F.arrays_zip("terms", "est")))
     return coef.withColumnRenamed("terms", "term")
+
+
+# Mediation grid ------------------------------------------------------------------------------------
+
+GRID_COLUMNS = ["visit_id", "datecomb", "Female", "SBP_MEAN", "age_x", "HT_cen", "BMI_cen", "Village"]
+GRID_COVARIATES = ["Wealth_Z", "PregMo_Use_cen", "lactMo_Use_cen", "stimulant", "Mom_Ht_Ave", "Mom_SBP_Z_Res_USE", "Dad_Ht_Ave", "Dad_SBP_Z_Res_USE"]
+GRID_MEDIATORS = ("HT_cen", "BMI_cen")
+SEXES = {0: "male", 1: "female"}
+
+
+def grid_terms(mediator: str | None, female: int, adj: int) -> dict:
+    """Numeric terms of a mediator's model, or of the outcome's (no mediator), at one adjustment level."""
+    if mediator:
+        return D.mediator_terms(mediator, SEXES[female], adj, ["pc0"])
+    size, score = D.linear("HT_cen", "BMI_cen"), D.linear("pc0")
+    terms = D.intercept() | D.linear("age_x") | size | score | D.interact(size, score)
+    for level, names in ((1, ("Wealth_Z",)), (2, ("Mom_Ht_Ave", "Mom_SBP_Z_Res_USE")), (3, ("Dad_Ht_Ave", "Dad_SBP_Z_Res_USE"))):
+        terms |= D.linear(*names) if adj >= level else {}
+    return terms
+
+
+def only_terms(wanted: list[str], factors: bool):
+    """Least squares on some of the terms of the same cross-products, with or without the factor columns."""
+
+    def estimator(names, xx, xy, yy, n):
+        at = [i for i, t in enumerate(names) if t in wanted or (factors and "[" in t)]
+        return L.least_squares([names[i] for i in at], xx[np.ix_(at, at)], xy[at], yy, n)
+
+    return estimator
+
+
+def grid_frame(spark, sf_dir):
+    """The frame of the mediation grid, one row per imputation, visit and adjustment level it is complete for, and the basis of each sex."""
+    visits = C.recode_village(cleaned(spark, sf_dir)).withColumns({"preg": C.fill_males_zero("PregMo_Use"), "lact": F.coalesce("lactMo_Use", F.lit(0))})
+    visits = C.with_centering(visits, {"preg": F.col("preg"), "lact": F.col("lact")})
+    visits = visits.withColumns({"PregMo_Use_cen": F.col("preg") - F.col("c.preg_mean"), "lactMo_Use_cen": F.col("lact") - F.col("c.lact_mean"), "stimulant": F.col("Stimulant_No_PerWeek")})
+    visits = durable(visits.drop("c").where("PregMo_Use_cen IS NOT NULL"))
+    growth = durable(T.growth(spark, sf_dir).join(visits.select("ID", F.col("Female").alias("female")).distinct(), "ID"))
+    basis = durable(flat_basis(G.pooled_moments(growth, ["female"])))
+    scores_ = G.pc_scores(growth, basis, ["female"], 1).drop("female")
+    packed = G.pack_scores(visits, scores_, GRID_COLUMNS, "SBP_MEAN", GRID_COVARIATES).withColumnRenamed("Female", "female")
+    packed = durable(packed.withColumn("adj", F.explode(F.sequence(F.lit(0), F.expr(ADJ_LEVEL)))))
+    return G.unpack_scores(packed), basis, D.factor(packed, "Village", 50)
+
+
+def grid_fits(df, village, mediators: bool):
+    """Pooled models of every sex and level (and mediator): one pass of cross-products over all terms, then each model takes its own."""
+    names = GRID_MEDIATORS if mediators else (None,)
+    every: dict = {}
+    for name in names:
+        for female in SEXES:
+            every |= grid_terms(name, female, 3)
+    terms = {t: F.coalesce(c, F.lit(0.0)) for t, c in every.items()}
+    if mediators:
+        df = df.select("*", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("y")) for m in GRID_MEDIATORS])))
+    else:
+        df = df.withColumns({"model": F.lit("sbp"), "y": F.col("SBP_MEAN")})
+    by = ["female", "adj", "model"]
+    cross = durable(L.cross_products(df, [*by, "imp"], terms, F.col("y"), [village]))
+    fits = None
+    for name in names:
+        for female in SEXES:
+            for adj in range(4):
+                part = cross.where((F.col("female") == female) & (F.col("adj") == adj) & (F.col("model") == (name or "sbp")))
+                one = L.fit_cross(part, [*by, "imp"], list(terms), [village], only_terms(list(grid_terms(name, female, adj)), adj >= 1))
+                fits = one if fits is None else fits.unionByName(one)
+    return durable(L.pooled_matrix(L.pool(durable(fits), by), by)), terms
+
+
+def grid_means(df, village, basis, pooled, terms):
+    """Predicted mediators at the reference age under both patterns, at the other covariates' means over first visits."""
+    from auxoline.functions.patterns import growth_patterns
+
+    every = terms | village.terms()
+    first = M.at_reference_age(M.first_rows(df, ["female", "adj"]))
+    cells = first.groupBy("female", "adj", "imp").agg(*[F.avg(c).alias(f"x{i}") for i, c in enumerate(every.values())])
+    means = cells.groupBy("female", "adj").agg(F.map_from_arrays(F.array(*[F.lit(t) for t in every]), F.array(*[F.avg(f"x{i}") for i in range(len(every))])).alias("x"))
+    a, b = PATTERN_PAIR
+    score = lambda pat: F.max(F.when(F.col("pat") == pat, F.col("scores")[0]))
+    pair = growth_patterns(basis, ["female"]).groupBy("female").agg(score(a).alias("p0"), score(b).alias("p1"))
+    rows = pooled.join(durable(means), ["female", "adj"]).join(durable(pair), "female")
+
+    def at(p: str):
+        parts = F.transform(F.arrays_zip("terms", "est"), lambda t: t["est"] * F.when(t["terms"] == "pc0", F.col(p)).otherwise(F.col("x")[t["terms"]]))
+        return F.aggregate(parts, F.lit(0.0), lambda s, v: s + v)
+
+    lower = F.lower("model").alias("mediator")
+    return rows.select("female", "adj", lower, "p0", "p1", at("p0").alias("m1"), at("p1").alias("m2"))
+
+
+@query("mediation_grid")
+def mediation_grid(spark, sf_dir):
+    """Effects of every sex and adjustment level, each with its own formulas, complete cases, villages and basis."""
+    df, basis, village = grid_frame(spark, sf_dir)
+    pooled, terms = grid_fits(df, village, True)
+    by = ["female", "adj"]
+    means = wide_means(durable(grid_means(df, village, basis, pooled, terms)), by)
+    model = L.slice_terms(grid_fits(df, village, False)[0].drop("model"), list(K.EXPOSURE_TERMS))
+    out = M.mediation_effects(means.join(model, by), by)
+    return out.select("female", "adj", "effect", *[r4(c).alias(c) for c in ("est", "se", "lower", "upper")])

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from auxoline.functions.basis import bspline
-from auxoline.functions.scalar import round_even
+from auxoline.functions.scalar import by_stratum, round_even
 from auxoline.operators import growth as G
 from auxoline.operators import process as P
 from auxoline.operators import visits as V
@@ -99,7 +99,7 @@ def gp_llf_fixed(spark, sf_dir):
     sums = P.likelihood_sums(series, ["Female"], FIXED, {k: [f] for k, f in fits.items()})
     values = spark.createDataFrame([(k[0], float(v[0])) for k, v in sums.items()], "sex bigint, llf double")
     counts = series.groupBy("Female").agg(F.count("*").alias("n_subj"))
-    return counts.withColumn("llf", F.round(P.by_stratum(values.withColumnRenamed("sex", "Female"), ["Female"], F.col("llf")), 3))
+    return counts.withColumn("llf", F.round(by_stratum(values.withColumnRenamed("sex", "Female"), ["Female"], F.col("llf")), 3))
 
 
 @query(
@@ -126,7 +126,7 @@ def puberty_visits(spark, sf_dir):
     visits = V.nearest_fill(T.visits_ts(spark, sf_dir), "y", 1).drop("y", "gap_days").withColumnRenamed("y_filled", "y")
     visits = visits.where((F.col("Age") >= 8) & F.col("HT").isNotNull()).withColumn("Age", round_even("Age", 3))
     stats = visits.groupBy("Female").agg(F.avg("Age").alias("m"), F.stddev_samp("Age").alias("s"))
-    own = P.by_stratum(stats, ["Female"], F.struct("m", "s"))
+    own = by_stratum(stats, ["Female"], F.struct("m", "s"))
     scaled = visits.withColumn("AgeZ", (F.col("Age") - own["m"]) / own["s"])
     return durable(scaled.withColumn("AgeZ2", F.col("AgeZ") * F.col("AgeZ")))
 

@@ -104,3 +104,37 @@ def test_several_models_are_not_mixed_up(spark):
     with pytest.raises(Exception, match="one row is expected"):
         L.linear_predictor(design, ["ID"], {"a": F.col("a")}, fit).collect()
     assert L.linear_predictor(design, ["ID"], {"a": F.col("a")}, fit.limit(1)).first().fitted == 2.0
+
+
+def test_grid_models_are_those_of_their_own_formula_and_rows(spark):
+    """One sex and level of the mediation grid against plain least squares on the same rows."""
+    df, basis, village = Q.grid_frame(spark, "/root/testdata/sf0.01")
+    pooled, terms = Q.grid_fits(df, village, True)
+    means = {(r.female, r.adj, r.mediator): r for r in Q.grid_means(df, village, basis, pooled, terms).collect()}
+    assert len(means) == 2 * 4 * 2
+    got = {(r.female, r.adj, r.model): dict(zip(r.terms, r.est)) for r in pooled.collect()}
+    wanted = Q.grid_terms("BMI_cen", 1, 2)
+    pdf = df.where("female = 1 AND adj = 2").select("imp", "ID", "datecomb", "visit_id", "Village", "BMI_cen", *[c.alias(t) for t, c in wanted.items()]).toPandas()
+    columns = list(wanted)
+    for v in village.levels:
+        if v != village.reference:
+            pdf[f"Village[{v}]"] = (pdf["Village"] == v).astype(float)
+            columns.append(f"Village[{v}]")
+    est = []
+    for _, part in pdf.groupby("imp"):
+        x = part[columns].to_numpy(dtype=float)
+        est.append(np.linalg.lstsq(x, part["BMI_cen"].to_numpy(dtype=float), rcond=1e-8)[0])
+        fit = x @ np.array([np.nan_to_num(e) for e in est[-1]])
+        assert np.isfinite(fit).all()
+    dense, model = np.mean(est, 0), got[1, 2, "BMI_cen"]
+    assert list(model) == columns or set(model) == set(columns)
+    first = pdf.sort_values(["datecomb", "visit_id"]).groupby(["imp", "ID"]).first().reset_index()
+    at = first.groupby("imp")[columns].mean().mean()
+    for k, t in enumerate(("age_x", "age_x^2", "age_x^3"), start=1):
+        at[t] = 1.1**k
+    cell = means[1, 2, "bmi_cen"]
+    for p, m in ((cell.p0, cell.m1), (cell.p1, cell.m2)):
+        at["pc0"] = p
+        assert m == pytest.approx(sum(at[c] * e for c, e in zip(columns, dense)), rel=1e-3, abs=1e-3)
+    effects = {(r.female, r.adj): r.est for r in entry.queries()["mediation_grid"](spark, "/root/testdata/sf0.01").where("effect = 'total'").collect()}
+    assert len(effects) == 8 and len(set(effects.values())) == 8
