@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -14,8 +16,9 @@ from auxoline.operators.quantiles import exact_quantiles
 from auxoline.plans.cohort_queries import r6
 from auxoline.plans.registry import query
 from auxoline.plans.study_sql import GROWTH_OBS
-from auxoline.session import durable
+from auxoline.session import checkpoint_dir, durable
 from auxoline.sources import study_tables as T
+from auxoline.sources.results import read_imputed, write_imputed
 
 SPLINE = ("b1", "b2", "b3", "b4")
 BODY = P.ProcessModel(mean=SPLINE, scale=SPLINE, smooth=SPLINE)
@@ -121,6 +124,17 @@ def gp_conditional_mean(spark, sf_dir):
     return rows.select("ID", F.col("t").cast("int").alias("age"), F.round(F.col("b") + F.col("z"), 2).alias("mean"), F.round("sd", 2).alias("sd"))
 
 
+@query("fpca_from_draws")
+def fpca_from_draws(spark, sf_dir):
+    """Completed trajectories drawn, written by variable and imputation, read back, and decomposed: loadings per sex."""
+    drawn = gp_impute_grid(spark, sf_dir)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/imputed-{uuid.uuid4().hex}"
+    write_imputed(drawn, path, "HT")
+    back = read_imputed(spark, path, "HT").withColumnRenamed("Female", "female")
+    basis = G.fpca(G.pooled_moments(back.select("female", "imp", "ID", "age", "value"), ["female"]), ["female"], 1)
+    return G.loading_rows(basis, ["female"])
+
+
 def puberty_visits(spark, sf_dir):
     """Visits at or above age 8 with the near values carried over and age z-scored by sex."""
     visits = V.nearest_fill(T.visits_ts(spark, sf_dir), "y", 1).drop("y", "gap_days").withColumnRenamed("y_filled", "y")

@@ -199,3 +199,18 @@ def test_draws_need_converged_fits(spark):
 
 def test_flat_likelihoods_are_told():
     assert P._identified(np.diag([1.0, 2.0])) and not P._identified(np.array([[1.0, 1.0], [1.0, 1.0]])) and not P._identified(np.diag([1.0, 0.0]))
+
+
+def test_draws_feed_the_decomposition(spark, sf):
+    """The loadings of drawn trajectories, written and read back, are those of the draws themselves."""
+    import __spark_entry__ as entry
+    from auxoline.operators import growth as G
+
+    got = {(r.female, r.age): r.loading for r in entry.queries()["fpca_from_draws"](spark, sf).collect()}
+    drawn = entry.queries()["gp_impute_grid"](spark, sf).withColumnRenamed("Female", "female").toPandas()
+    assert len(got) == 20
+    for f, part in drawn.groupby("female"):
+        wide = part.pivot_table(index=["imp", "ID"], columns="age", values="value")
+        cov = np.mean([np.cov(w.to_numpy().T) for _, w in wide.groupby("imp")], axis=0)
+        load = G.smooth_components(cov, 1)[1][:, 0]
+        assert [got[f, a] for a in range(1, 11)] == pytest.approx(list(load), rel=1e-6)

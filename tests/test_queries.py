@@ -22,7 +22,7 @@ def test_every_oracle_has_a_query():
     rows_only = {q for q in set(entry.queries()) - set(entry.oracle_sql()) if not re.match(r"op\d+_|pipeline$", q)}
     assert rows_only == {
         "gp_fit", "gp_fit_visits", "gp_impute_grid", "gp_impute_missing", "mediator_simulation", "mixed_fit",
-        "growth_contrast_fitted", "mediation_effects_fitted", "mediation_grid", "mixed_fit_full", "mixed_pool",
+        "growth_contrast_fitted", "mediation_effects_fitted", "mediation_grid", "mixed_fit_full", "mixed_pool", "fpca_from_draws",
     }
 
 
