@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from auxoline.functions.normal import normal_cdf, two_sided_p
+from auxoline.functions.normal import erfc_sql, normal_cdf, two_sided_p
 from auxoline.functions.patterns import patterns
 from auxoline.operators import clean as C
 from auxoline.operators import contrasts as K
@@ -273,9 +273,7 @@ def contrast_sql() -> str:
     return f"""{CLEAN}, {MOMENTS}, {PATTERN_SQL}, {five_sql('Female')}, cell AS ({' UNION ALL '.join(cells)}),
     con AS (SELECT Female AS female, size, shift, mark, pat, label, short, {DOT} AS est, sqrt({QUAD}) AS se FROM cell, five),
     con2 AS (SELECT *, abs(est/nullif(se, 0))/sqrt(2) AS q FROM con),
-    con3 AS (SELECT *, 1/(1 + 0.3275911*q) AS t FROM con2),
-    contrast AS (SELECT *, est/nullif(se, 0) AS z,
-      t*(0.254829592 + t*(-0.284496736 + t*(1.421413741 + t*(-1.453152027 + t*1.061405429))))*exp(-q*q) AS p FROM con3)"""
+    contrast AS (SELECT *, est/nullif(se, 0) AS z, {erfc_sql('q')} AS p FROM con2)"""
 
 
 def contrasts(spark, sf_dir):
@@ -362,8 +360,7 @@ def quad_form(spark, sf_dir):
     "normal_pvalue",
     f"""WITH {CLEAN}, c AS (SELECT avg(SBP_MEAN) AS m, stddev_samp(SBP_MEAN) AS s FROM clean),
     a AS (SELECT ID, visit_id, (SBP_MEAN - m)/s AS z, abs((SBP_MEAN - m)/s)/sqrt(2) AS q FROM clean, c WHERE SBP_MEAN IS NOT NULL),
-    b AS (SELECT *, 1/(1 + 0.3275911*q) AS t FROM a),
-    p AS (SELECT *, t*(0.254829592 + t*(-0.284496736 + t*(1.421413741 + t*(-1.453152027 + t*1.061405429))))*exp(-q*q) AS p FROM b)
+    p AS (SELECT *, {erfc_sql('q')} AS p FROM a)
     SELECT ID, visit_id, round(z, 6) + 0.0 AS z, round(CASE WHEN z >= 0 THEN 1 - p/2 ELSE p/2 END, 6) AS cdf, round(p, 6) AS p FROM p""",
 )
 def normal_pvalue(spark, sf_dir):
