@@ -39,12 +39,6 @@ def from_zscore(col, mean, sd) -> Column:
     return F.col(col) * sd + mean
 
 
-def age_poly(age="Age") -> dict[str, Column]:
-    """Age as (age - 10) / 10 and its powers to the cubic."""
-    x = (F.col(age) - 10) / 10.0
-    return {"age_x": x, "age_x2": x * x, "age_x3": x * x * x}
-
-
 def dot(a, b) -> Column:
     """Inner product of two arrays of equal length."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -60,22 +54,6 @@ def quad(v, m) -> Column:
     return dot(v, matvec(m, v))
 
 
-def array_add(a, b) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
-
-
-def array_sub(a, b) -> Column:
-    return F.zip_with(a, b, lambda x, y: x - y)
-
-
-def array_scale(a, s) -> Column:
-    return F.transform(a, lambda x: x * s)
-
-
-def array_mean(a) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-
-
 def by_stratum(rows: DataFrame, by: list[str], value: Column) -> Column:
     """``value`` of the row's stratum, from a map with one entry per stratum that is read as a scalar: no join on a key of few values."""
     entry = F.struct(F.struct(*by).alias("k"), value.alias("v"))

@@ -18,7 +18,6 @@ ADULT_SIZES = {
     "BMI": {"unit": "kg/m^2", "none": 3.0, "zf": 2.5, "zm": 1.8},
 }
 SHIFT_LABELS = {"zf": "1SD(F)", "zm": "1SD(M)"}
-INTERVAL_VARIABLES = ("HT", "BMI", "WT")
 
 
 def shift_label(size: str, scale: str) -> str:

@@ -424,6 +424,9 @@ def baseline_carry(spark, sf_dir):
     )
 
 
+# What a visit needs to enter the analysis.
+ANALYSIS_SQL = "SBP_MEAN IS NOT NULL AND HT IS NOT NULL AND BMI IS NOT NULL AND Wealth_Z IS NOT NULL AND Age IS NOT NULL"
+
 TABLE_ONE = {
     "Age": "Age", "SBP_MEAN": "SBP_MEAN", "HT": "HT", "BMI": "BMI", "School": "School", "NumMeas": "pow(10, lognummeas)",
     "temp": "Temp", "Wealth_Z": "Wealth_Z", "Breast_Stage": "Breast_Stage_Use", "Testosterone": "pow(2, log2T_use)",
@@ -432,10 +435,10 @@ TABLE_ONE = {
 
 @query(
     "table_one",
-    f"""WITH {CLEAN},
-    e AS (SELECT 'first' AS visit, * FROM (SELECT *, row_number() OVER (PARTITION BY ID ORDER BY Age, visit_id) AS r FROM clean)
+    f"""WITH {CLEAN}, cc AS (SELECT * FROM clean WHERE {ANALYSIS_SQL}),
+    e AS (SELECT 'first' AS visit, * FROM (SELECT *, row_number() OVER (PARTITION BY ID ORDER BY Age, visit_id) AS r FROM cc)
           WHERE r = 1 UNION ALL
-          SELECT 'last', * FROM (SELECT *, row_number() OVER (PARTITION BY ID ORDER BY Age DESC, visit_id DESC) AS r FROM clean)
+          SELECT 'last', * FROM (SELECT *, row_number() OVER (PARTITION BY ID ORDER BY Age DESC, visit_id DESC) AS r FROM cc)
           WHERE r = 1),
     u AS ("""
     + " UNION ALL ".join(f"SELECT visit, Female AS female, '{k}' AS variable, ({e})::DOUBLE AS x FROM e" for k, e in TABLE_ONE.items())
@@ -444,7 +447,8 @@ TABLE_ONE = {
     FROM u GROUP BY visit, female, variable""",
 )
 def table_one(spark, sf_dir):
-    df = cleaned(spark, sf_dir).select(
+    """The visits that enter the analysis, summarised at each subject's first and last of them."""
+    df = cleaned(spark, sf_dir).where(ANALYSIS_SQL).select(
         "ID", "visit_id", "Female", "Age", "SBP_MEAN", "HT", "BMI", "School",
         F.pow(F.lit(10.0), "lognummeas").alias("NumMeas"), F.col("Temp").alias("temp"), "Wealth_Z",
         F.col("Breast_Stage_Use").alias("Breast_Stage"), F.pow(F.lit(2.0), "log2T_use").alias("Testosterone"),

@@ -198,6 +198,39 @@ def analysis_frame(spark, sf_dir):
     return frame(spark, sf_dir).select("imp", "ID", "visit_id", "female", "mom", *[r6(c).alias(c) for c in cols])
 
 
+# Steps from the cleaned cohort to the analysis frame, each on top of those before it.
+FRAME_STEPS = (
+    ("analysis cohort", "TRUE"),
+    ("blood pressure", "SBP_MEAN IS NOT NULL"),
+    ("height and BMI", "HT IS NOT NULL AND BMI IS NOT NULL"),
+    ("wealth", "Wealth_Z IS NOT NULL"),
+    ("complete growth", "has_growth"),
+)
+
+
+@query(
+    "analysis_funnel",
+    f"""WITH {CLEAN}, {GROWTH}, done AS (SELECT DISTINCT ID FROM (SELECT imp, ID FROM growth GROUP BY imp, ID HAVING count(*) = 10)),
+    w AS (SELECT *, ID IN (SELECT ID FROM done) AS has_growth FROM clean) """
+    + " UNION ALL ".join(
+        f"SELECT {i} AS step, '{label}' AS label, count(DISTINCT ID) AS subjects, count(*) AS records FROM w WHERE "
+        + " AND ".join(f"({c})" for _, c in FRAME_STEPS[: i + 1])
+        for i, (label, _) in enumerate(FRAME_STEPS)
+    ),
+)
+def analysis_funnel(spark, sf_dir):
+    """Subjects and records left on the way to the analysis frame, counted per subject first."""
+    have = G.trajectories(T.growth(spark, sf_dir), []).select("ID").distinct().withColumn("has_growth", F.lit(True))
+    visits = cleaned(spark, sf_dir).select("ID", "SBP_MEAN", "HT", "BMI", "Wealth_Z").join(have, "ID", "left").fillna(False, ["has_growth"])
+    conditions = [" AND ".join(f"({c})" for _, c in FRAME_STEPS[: i + 1]) for i in range(len(FRAME_STEPS))]
+    per_subject = visits.groupBy("ID").agg(*[F.count_if(F.expr(c)).alias(f"n{i}") for i, c in enumerate(conditions)])
+    rows = F.array(*[
+        F.struct(F.lit(i).alias("step"), F.lit(label).alias("label"), F.count_if(F.col(f"n{i}") > 0).alias("subjects"), F.sum(f"n{i}").alias("records"))
+        for i, (label, _) in enumerate(FRAME_STEPS)
+    ])
+    return per_subject.agg(rows.alias("r")).select(F.inline("r"))
+
+
 @query(
     "not_imputed_subjects",
     f"WITH {CLEAN}, {GROWTH} SELECT DISTINCT ID, Female AS female FROM clean WHERE ID NOT IN (SELECT ID FROM growth)",
