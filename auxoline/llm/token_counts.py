@@ -47,63 +47,88 @@ class PrefixCounter:
         spec, letters = json.loads(vocabulary), byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-        self.rank = {(as_bytes(a), as_bytes(b)): k for k, (a, b) in enumerate(merges)}
-        self.tokens = {as_bytes(s) for s in spec["model"]["vocab"]}
-        self.longest = max(map(len, self.tokens))
-        self.halves = {a + b: (a, b) for a, b in reversed(self.rank)}
-        self.made = {a + b: k for (a, b), k in reversed(self.rank.items())} | {bytes([b]): -1 for b in range(256)}
+        pairs = [(as_bytes(x), as_bytes(y)) for x, y in merges]
+        number = {token: k for k, token in enumerate(sorted({as_bytes(t) for t in spec["model"]["vocab"]}))}
+        self.size = len(number)
+        #: Rank of the merge of two tokens, and for each token its halves and the rank that made it (bytes have none).
+        self.rank = {(number[x], number[y]): k for k, (x, y) in enumerate(pairs)}
+        self.halves, self.made = [None] * self.size, [-1] * self.size
+        for k, (x, y) in reversed(list(enumerate(pairs))):
+            whole = number[x + y]
+            self.halves[whole], self.made[whole] = (number[x], number[y]), k
+        # Tokens by their bytes from the last to the first: steps (node, byte) -> node, and the token that ends at a node.
+        self.steps: dict[int, int] = {}
+        self.ends = [-1]
+        for token, k in number.items():
+            node = 0
+            for byte in reversed(token):
+                step = node << 8 | byte
+                if (to := self.steps.get(step)) is None:
+                    to = self.steps[step] = len(self.ends)
+                    self.ends.append(-1)
+                node = to
+            self.ends[node] = k
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.pieces = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.blank = regex.compile(r"\p{White_Space}+").fullmatch
         self.keep, self.totals, self.older, self.pairs, self.spines = keep, {}, {}, {}, ({}, {})
 
-    def _spine(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
+    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The parts of a token that lay at its left (0) or right (1) edge while it was merged, newest first, each with the rank that ended it."""
         if (known := self.spines[side].get(token)) is None:
             known, part, end = [], token, NEVER
             while True:
                 known.append((part, end))
-                if len(part) == 1:
+                if self.halves[part] is None:
                     break
                 part, end = self.halves[part][side], self.made[part]
             self.spines[side][token] = known
         return known
 
-    def _fits(self, left: bytes, right: bytes) -> bool:
+    def _fits(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart when their bytes are encoded together.
 
         Walks the merges of both back in time: they stay apart if no two parts that met at their border could have been merged
         while both were there. Among equal ranks the left merge comes first.
         """
-        if (known := self.pairs.get((left, right))) is None:
-            if len(self.pairs) >= self.keep:
-                self.pairs.clear()
-            a, b, i, j, known = self._spine(left, 1), self._spine(right, 0), 0, 0, True
-            while True:
-                (l, l_end), (r, r_end) = a[i], b[j]
-                rank = self.rank.get((l, r))
-                if rank is not None and rank < l_end and rank <= r_end:
-                    known = False
-                    break
-                if len(l) == 1 and len(r) == 1:
-                    break
-                if self.made[l] > self.made[r]:
-                    i += 1
-                else:
-                    j += 1
-            self.pairs[left, right] = known
-        return known
+        a, b, i, j = self._spine(left, 1), self._spine(right, 0), 0, 0
+        while True:
+            (l, l_end), (r, r_end) = a[i], b[j]
+            rank = self.rank.get((l, r))
+            if rank is not None and rank < l_end and rank <= r_end:
+                return False
+            if self.made[l] < 0 and self.made[r] < 0:
+                return True
+            if self.made[l] > self.made[r]:
+                i += 1
+            else:
+                j += 1
 
     def table(self, piece: bytes) -> list[int]:
         """Token counts of every prefix of a piece, by bytes (n + 1 values)."""
-        n, tokens, longest, fits = len(piece), self.tokens, self.longest, self._fits
-        counts, last = [0] * (n + 1), [b""] * (n + 1)
+        n, steps, ends, pairs, size = len(piece), self.steps, self.ends, self.pairs, self.size
+        counts, last = [0] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                token = piece[start:end]
-                if token in tokens and (not start or fits(last[start], token)):
-                    counts[end], last[end] = counts[start] + 1, token
+            node, start, found = 0, end, []
+            while start:
+                node = steps.get(node << 8 | piece[start - 1])
+                if node is None:
                     break
+                start -= 1
+                if ends[node] >= 0:
+                    found.append((start, ends[node]))
+            for start, token in reversed(found):
+                if start:
+                    pair = last[start] * size + token
+                    if (fits := pairs.get(pair)) is None:
+                        if len(pairs) >= self.keep:
+                            pairs.clear()
+                        fits = pairs[pair] = self._fits(last[start], token)
+                    if not fits:
+                        continue
+                counts[end], last[end] = counts[start] + 1, token
+                break
             else:
                 raise ValueError(f"the vocabulary has no token for {piece[end - 1 : end]!r}")
         return counts
@@ -144,14 +169,14 @@ class PrefixCounter:
         """Counts at every prefix of a part without special strings, by code points (n + 1 values)."""
         out, base, run_base, run = [0], 0, 0, ""
         for piece in self.pieces(part):
-            if piece.isspace():
+            if self.blank(piece):
                 # A prefix that ends in a run of white space has the run as one piece.
                 run_base, run = (base, "") if not run else (run_base, run)
                 out += [run_base + self.total(run + piece[:k]) for k in range(1, len(piece) + 1)]
                 run += piece
             else:
                 start = 0
-                if run and piece[0].isspace():
+                if run and self.blank(piece[0]):
                     out.append(run_base + self.total(run + piece[0]))
                     start = 1
                 if piece[0] == "'" and len(piece) > 2 and piece[1].isalpha():

@@ -8,7 +8,7 @@ from auxoline.llm import token_counts as C
 from plain import ODD, odd_rows
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD_TEXTS = ["", "  a  b", "it's they'll we've 'l 'll I'l 'S", "a\x1cb\x1d c\x85d\xa0e  f​ g", "<|endoftext|>x<|endoftext|> <|endoftext", "\n\n\t x\r\n y  ", "日本語 テスト 123½Ⅷ ²", "é é ́", "﻿a \U0001f600\U0001f600 z", "   ", "!!! $$$ ###\n\n\n a", "a" * 3000]
+ODD_TEXTS = ["", " \xa0\x1c", "\x1d \x1e\x1f  \x1c a", "  a  b", "it's they'll we've 'l 'll I'l 'S", "a\x1cb\x1d c\x85d\xa0e  f​ g", "<|endoftext|>x<|endoftext|> <|endoftext", "\n\n\t x\r\n y  ", "日本語 テスト 123½Ⅷ ²", "é é ́", "﻿a \U0001f600\U0001f600 z", "   ", "!!! $$$ ###\n\n\n a", "a" * 3000]
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,7 @@ def counter():
 
 def random_texts(n):
     rng = random.Random(1)
-    alphabet = [*" '  \n\tsdlreva19é½!.\x1c\x85日", "<|endoftext|>", "the", "ing", " th"]
+    alphabet = [*" '  \n\tsdlreva19é½!.\x1c\x1f\xa0\x85日", "<|endoftext|>", "the", "ing", " th"]
     return ["".join(rng.choice(alphabet) for _ in range(rng.randrange(16))) for _ in range(n)]
 
 
