@@ -35,7 +35,7 @@ LENGTH = 100
 #: Bytes of the strings that name buckets, and of text whose segments a task packs together.
 K, PACK = 16, 8 << 20
 #: Bytes of segments a bucket is meant to hold, and how many times segments repeat their text on average.
-BUCKET_BYTES, SPREAD = 12 << 20, 3.5
+BUCKET_BYTES, SPREAD = 8 << 20, 3.5
 #: Share of a task's (and of all) different segments from which a naming string is hot.
 HOT_SHARE = 1 / 2000
 #: One chunk of so many is looked at for hot names.
