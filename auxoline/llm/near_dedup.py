@@ -243,6 +243,11 @@ def partner_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return given.mapInArrow(scatter, "bucket int, payload binary").groupBy("bucket").applyInArrow(search, "a long, b long").distinct()
 
 
+def _star(roots: DataFrame) -> DataFrame:
+    """Components so far as edges, to go on from."""
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def _labelled(bands: DataFrame, roots: DataFrame) -> DataFrame:
     """band, id, label (the class's component so far) and main (the pivot's) of (band, id, pivot)."""
 
@@ -266,18 +271,19 @@ def near_classes(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str =
     inside = stored(bands.select("band", "id").join(shared, "band"))
     sets = stored(full_sets(docs, row, text, k, inside.select("id").distinct()))
     stars = inside.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = stored(verify(stars, classes, sets, percent))
+    links = verify(stars, classes, sets, percent)
     crowded = stored(inside.filter("size > 2").select("band", "id", "pivot"))
-    labelled = _labelled(crowded, components(links))
+    roots = components(links)
+    labelled = _labelled(crowded, roots)
     # Most classes that the pivot misses are linked with some other of its component: each tries a few of each band.
     few = labelled.filter("label = main").groupBy("band").agg(F.array(*[F.min(F.struct(F.xxhash64(F.lit(r), "id"), "id"))["id"] for r in range(TRIED)]).alias("some"))
     tries = labelled.filter("label <> main").join(few, "band").select(F.col("id").alias("a"), F.explode("some").alias("b")).distinct()
-    links = stored(links.unionByName(verify(tries, classes, sets, percent)))
-    labelled = _labelled(crowded, components(links))
+    roots = components(_star(roots).unionByName(verify(tries, classes, sets, percent)))
+    labelled = _labelled(crowded, roots)
     mixed = labelled.filter("label <> main").select("band").distinct()
     open_ = labelled.join(mixed, "band", "left_semi").groupBy("id").agg(F.max("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("searching"))
     more = verify(partner_pairs(open_, sets, percent), classes, sets, percent)
-    roots = components(links.unionByName(more))
+    roots = components(_star(roots).unionByName(more))
     rooted = member.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("id", "doc_id", "n", F.coalesce("root", "class").alias("root"))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("id"))).alias("top"))
     return rooted.join(best, "root").select("id", "doc_id", F.col("n").alias("n_shingles"), F.col("top.doc_id").alias("component_id"), F.col("top.id").alias("first"))
