@@ -5,8 +5,8 @@ pair is verified by comparing its signatures batch by batch: after each batch th
 reaches the threshold (uniform prior) is looked at, and the pair is dropped once that is below MISS. Survivors are confirmed on
 their full shingle sets.
 
-A band with many classes is not expanded into pairs. First every class is paired with the band's pivot (the class with the most copies),
-then classes outside the pivot's component with a few members of it. What then is left to find are links between classes of one band of which at least one is not yet in the pivot's component. Such a
+A band with many classes is not expanded into pairs. First every class is paired with the band's pivot (the class with the most copies)
+and, in a crowded band, a few others chosen by hash. What then is left to find are links between classes of one band of which at least one is not yet in the pivot's component. Such a
 class looks for partners by its rarest shingles: sets that reach the threshold share one of their rarest few, where how few follows from both
 sizes; sizes fall into narrow classes, so the bound is tight and edits, which are rare, decide. So no link between classes that
 share a band is lost, and the chance that a pair at the threshold shares no band is (1 - t**ROWS)**BANDS: 6e-11 at 0.85.
@@ -39,8 +39,8 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 16, 1e-8
 #: Buckets of the shingle counts that order shingles by rarity, and shingle entries that a group of the partner search should get.
 RARITY, GROUP_ENTRIES = 1 << 18, 200_000
-#: Members of the pivot's component that a class outside it is compared with in each band, before it searches for partners.
-TRIED = 4
+#: Members beside the pivot that every class is compared with in each band of more than CROWD classes.
+TRIED, CROWD = 2, 8
 #: Ratio of the sizes that one size class holds.
 SIZE_STEP = 1.02
 SEED = 5
@@ -267,19 +267,15 @@ def near_classes(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str =
     key = F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)])).alias("band")
     bands = classes.select("id", "copies", key)
     top = F.min(F.struct((-F.col("copies")).alias("less"), F.xxhash64("id").alias("h"), F.col("id").alias("pivot")))
-    shared = bands.groupBy("band").agg(top.alias("top"), F.count("*").alias("size")).filter("size > 1").select("band", "top.pivot", "size")
-    inside = stored(bands.select("band", "id").join(shared, "band"))
+    others = F.array(*[F.min(F.struct(F.xxhash64(F.lit(r), "band", "id"), "id"))["id"] for r in range(TRIED)])
+    shared = bands.groupBy("band").agg(top.alias("top"), F.count("*").alias("size"), others.alias("others")).filter("size > 1")
+    few = F.when(F.col("size") > CROWD, F.array_append("others", F.col("top.pivot"))).otherwise(F.array("top.pivot"))
+    inside = stored(bands.select("band", "id").join(shared.select("band", "top.pivot", "size", few.alias("few")), "band"))
     sets = stored(full_sets(docs, row, text, k, inside.select("id").distinct()))
-    stars = inside.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = verify(stars, classes, sets, percent)
-    crowded = stored(inside.filter("size > 2").select("band", "id", "pivot"))
-    roots = components(links)
-    labelled = _labelled(crowded, roots)
-    # Most classes that the pivot misses are linked with some other of its component: each tries a few of each band.
-    few = labelled.filter("label = main").groupBy("band").agg(F.array(*[F.min(F.struct(F.xxhash64(F.lit(r), "id"), "id"))["id"] for r in range(TRIED)]).alias("some"))
-    tries = labelled.filter("label <> main").join(few, "band").select(F.col("id").alias("a"), F.explode("some").alias("b")).distinct()
-    roots = components(_star(roots).unionByName(verify(tries, classes, sets, percent)))
-    labelled = _labelled(crowded, roots)
+    tries = inside.select("id", F.explode("few").alias("other")).filter("id <> other")
+    tries = tries.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+    roots = components(verify(tries, classes, sets, percent))
+    labelled = _labelled(inside.filter("size > 2").select("band", "id", "pivot"), roots)
     mixed = labelled.filter("label <> main").select("band").distinct()
     open_ = labelled.join(mixed, "band", "left_semi").groupBy("id").agg(F.max("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("searching"))
     more = verify(partner_pairs(open_, sets, percent), classes, sets, percent)
