@@ -14,7 +14,9 @@ def components(edges: DataFrame) -> DataFrame:
     Every round replaces each node's neighbours by links to the smallest of them; only minima by node are aggregated and
     joined back. Rounds are written to the shared folder. Ends when a round changes nothing.
     """
-    now = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
+    # Edges are a few bytes a node: an eighth of the partitions that shuffles of whole rows need is enough for them.
+    parts = max(8, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    now = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct().coalesce(parts))
     mark = _mark(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -22,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = durable(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        now = durable(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct().coalesce(parts))
         then, mark = mark, _mark(now)
         if mark == then:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
