@@ -6,7 +6,7 @@ reaches the threshold (uniform prior) is looked at, and the pair is dropped once
 their full shingle sets.
 
 A band with many classes is not expanded into pairs. First every class is paired with the band's pivot (the class with the most copies),
-then classes outside the pivot's component with a few members of it. What then is left to find are links between classes of one band of which at least one is not yet in the pivot's component. Such a
+and on request classes outside the pivot's component with a few members of it. What then is left to find are links between classes of one band of which at least one is not yet in the pivot's component. Such a
 class looks for partners by its rarest shingles: sets that reach the threshold share one of their rarest few, where how few follows from both
 sizes; sizes fall into narrow classes, so the bound is tight and edits, which are rare, decide. So no link between classes that
 share a band is lost, and the chance that a pair at the threshold shares no band is (1 - t**ROWS)**BANDS: 6e-11 at 0.85.
@@ -39,7 +39,7 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 16, 1e-8
 #: Buckets of the shingle counts that order shingles by rarity, and shingle entries that a group of the partner search should get.
 RARITY, GROUP_ENTRIES = 1 << 18, 200_000
-#: Members of the pivot's component that a class outside it is compared with in each band, before it searches for partners.
+#: Members of the pivot's component that a class outside it is compared with in each band before it searches for partners, where documents are filtered.
 TRIED = 4
 #: Ratio of the sizes that one size class holds.
 SIZE_STEP = 1.02
@@ -258,8 +258,12 @@ def _labelled(bands: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(both.select("band", "id", F.coalesce("id_root", "id").alias("label"), F.coalesce("pivot_root", "pivot").alias("main")))
 
 
-def near_classes(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 85) -> DataFrame:
-    """One row per document: id (``row``), doc_id, n_shingles, component_id (the smallest doc_id) and first (its row's id)."""
+def near_classes(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 85, tried: int = 0) -> DataFrame:
+    """One row per document: id (``row``), doc_id, n_shingles, component_id (the smallest doc_id) and first (its row's id).
+
+    ``tried`` members of the pivot's component are tried in each band before partners are searched for. The result is the same without;
+    the step pays where the threshold is loose, so that a search finds many partners.
+    """
     sketch = stored(sketches(docs, row, doc_id, text, k))
     same = sketch.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
     member = stored(sketch.select("id", "doc_id", "n", "s1", "s2").join(same, ["s1", "s2", "n"], "left").select("id", "doc_id", "n", F.coalesce("class", "id").alias("class"), "copies"))
@@ -275,11 +279,12 @@ def near_classes(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str =
     crowded = stored(inside.filter("size > 2").select("band", "id", "pivot"))
     roots = components(links)
     labelled = _labelled(crowded, roots)
-    # Most classes that the pivot misses are linked with some other of its component: each tries a few of each band.
-    few = labelled.filter("label = main").groupBy("band").agg(F.array(*[F.min(F.struct(F.xxhash64(F.lit(r), "id"), "id"))["id"] for r in range(TRIED)]).alias("some"))
-    tries = labelled.filter("label <> main").join(few, "band").select(F.col("id").alias("a"), F.explode("some").alias("b")).distinct()
-    roots = components(_star(roots).unionByName(verify(tries, classes, sets, percent)))
-    labelled = _labelled(crowded, roots)
+    if tried:
+        # Most classes that the pivot misses are linked with some other of its component: each tries a few of each band.
+        few = labelled.filter("label = main").groupBy("band").agg(F.array(*[F.min(F.struct(F.xxhash64(F.lit(r), "id"), "id"))["id"] for r in range(tried)]).alias("some"))
+        tries = labelled.filter("label <> main").join(few, "band").select(F.col("id").alias("a"), F.explode("some").alias("b")).distinct()
+        roots = components(_star(roots).unionByName(verify(tries, classes, sets, percent)))
+        labelled = _labelled(crowded, roots)
     mixed = labelled.filter("label <> main").select("band").distinct()
     open_ = labelled.join(mixed, "band", "left_semi").groupBy("id").agg(F.max("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("searching"))
     more = verify(partner_pairs(open_, sets, percent), classes, sets, percent)
@@ -299,7 +304,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with all its columns; documents without words all stay."""
     numbered, row = with_ids(docs, doc_id)
-    gone = near_classes(numbered, row, doc_id, text, k, percent).filter("id <> first").select(F.col("id").alias(row))
+    gone = near_classes(numbered, row, doc_id, text, k, percent, TRIED).filter("id <> first").select(F.col("id").alias(row))
     return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
