@@ -124,6 +124,75 @@ def gp_conditional_mean(spark, sf_dir):
     return rows.select("ID", F.col("t").cast("int").alias("age"), F.round(F.col("b") + F.col("z"), 2).alias("mean"), F.round("sd", 2).alias("sd"))
 
 
+NOISY = P.ProcessModel(mean=(), scale=(), smooth=(), noise=True)
+# Every row of each subject, and one column per grid age. A step of ``e`` eliminates a subject's first row; what it leaves is the
+# covariance given the rows before, so sums over the pivots are the log determinant, the quadratic form and the conditional moments.
+# Ages are rounded as decimals: on doubles round_even sees ties that are none.
+WHOLE_SQL = f"""WITH RECURSIVE {GROWTH_OBS}, x AS (SELECT *, 1000*CAST(Age::VARCHAR AS DECIMAL(20, 17)) AS a FROM growth_obs),
+    o AS (SELECT ID, Female, visit_id, (floor(a) + CASE WHEN a - floor(a) > 0.5 OR (a - floor(a) = 0.5 AND floor(a) % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE/1000::DOUBLE AS t, HT FROM x),
+    p AS (SELECT Female, avg(HT) AS b, stddev_samp(HT) AS s, var_samp(t) AS u FROM o GROUP BY Female),
+    l AS (SELECT ID, Female, count(*) AS n, list(t ORDER BY t, visit_id) AS t, list(HT ORDER BY t, visit_id) AS y FROM o GROUP BY ID, Female),
+    e AS (SELECT ID, Female, n, 0::DOUBLE AS logdet, 0::DOUBLE AS quad, list_transform(range(10), lambda a: 0::DOUBLE) AS z, list_transform(range(10), lambda a: 0::DOUBLE) AS w,
+        list_transform(range(1, n + 1), lambda i: list_concat(
+          list_transform(t, lambda x: s*s*exp(-(t[i] - x)*(t[i] - x)/(2*u))),
+          [y[i] - b], list_transform(range(1, 11), lambda a: s*s*exp(-(t[i] - a)*(t[i] - a)/(2*u))))) AS m, s*s/100 AS v
+      FROM l JOIN p USING (Female)
+      UNION ALL
+      SELECT ID, Female, n - 1, logdet + ln(d), quad + h[n + 1]*h[n + 1]/d,
+        list_transform(list_zip(z, h[n + 2:n + 11]), lambda q: q[1] + q[2]*h[n + 1]/d), list_transform(list_zip(w, h[n + 2:n + 11]), lambda q: q[1] + q[2]*q[2]/d),
+        list_transform(m[2:], lambda r: list_transform(list_zip(r[2:n + 11], h[2:n + 11]), lambda q: q[1] - q[2]*(r[1]/d))), v
+      FROM (SELECT *, m[1] AS h, m[1][1] + v AS d FROM e WHERE n > 0)),
+    k AS (SELECT ID, Female, logdet, quad, z, w FROM e WHERE n = 0)"""
+
+
+def noisy_process(spark, sf_dir):
+    """Childhood heights, and per sex a process whose parameters are simple moments and whose noise is a tenth of the spread."""
+    obs = durable(T.growth_obs(spark, sf_dir).withColumn("Age", round_even("Age", 3)))
+    moments = obs.groupBy("Female").agg(F.avg("HT").alias("b"), F.log(F.stddev_samp("HT")).alias("s"), F.log(F.var_samp("Age")).alias("u"))
+    return obs, {(r["Female"],): P.ProcessFit(np.array([r["b"]]), np.array([r["s"], r["u"], r["s"] - np.log(10)])) for r in moments.collect()}
+
+
+def likelihoods(obs, fits):
+    """Likelihood of all heights of every subject under the given parameters, per sex: (Female, n_subj, n_obs, llf)."""
+    series = durable(P.subject_series(obs, ["Female"], NOISY, "HT"))
+    sums, extra = P.likelihood_sums(series, ["Female"], NOISY, {k: [f] for k, f in fits.items()}), P.within_age(obs, ["Female"], NOISY, "HT")
+    rows = [(*k, float(P._unpack(sums[(*k, 0)], NOISY, f, extra[k])[0])) for k, f in fits.items()]
+    values = obs.sparkSession.createDataFrame(rows, "Female bigint, llf double")
+    counts = series.groupBy("Female").agg(F.count("*").alias("n_subj"), F.sum(F.aggregate("points", F.lit(0.0), lambda a, q: a + q["n"])).cast("bigint").alias("n_obs"))
+    return counts.withColumn("llf", F.round(by_stratum(values, ["Female"], F.col("llf")), 3))
+
+
+def conditional_means(obs, fits):
+    """Mean and spread of height at ages 1..10 given all heights of a subject, under the given parameters."""
+    series = P.subject_series(obs, ["Female"], NOISY, "HT")
+    ones = F.array(F.lit(1.0))
+    targets = F.array(*[F.struct(F.lit(float(a)).alias("t"), ones.alias("s"), ones.alias("u")) for a in G.AGES])
+    asked = series.withColumn("targets", targets).withColumn("e", F.array().cast("array<array<double>>"))
+    known = P.conditional_series(asked, ["Female"], NOISY, fits)
+    beta = P.beta_column(fits, ["Female"])[0]
+    rows = known.select("ID", beta.alias("b"), F.inline(F.arrays_zip("t", "z", "sd")))
+    return rows.select("ID", F.col("t").cast("int").alias("age"), F.round(F.col("b") + F.col("z"), 2).alias("mean"), F.round("sd", 2).alias("sd"))
+
+
+@query(
+    "gp_llf_all_ages",
+    WHOLE_SQL + """, c AS (SELECT Female, count(*) AS n_obs FROM o GROUP BY Female)
+    SELECT Female, count(*) AS n_subj, any_value(n_obs) AS n_obs, round(-0.5::DOUBLE*(sum(quad + logdet) + any_value(n_obs)*ln(2*pi())), 3) AS llf FROM k JOIN c USING (Female) GROUP BY Female""",
+)
+def gp_llf_all_ages(spark, sf_dir):
+    """Likelihood of every height of every subject under fixed parameters, per sex."""
+    return likelihoods(*noisy_process(spark, sf_dir))
+
+
+@query(
+    "gp_conditional_mean_all_ages",
+    WHOLE_SQL + """ SELECT ID, age::INTEGER AS age, round(b + z[age], 2) AS mean, round(sqrt(greatest(s*s - w[age], 0)), 2) AS sd FROM k JOIN p USING (Female), range(1, 11) AS g(age)""",
+)
+def gp_conditional_mean_all_ages(spark, sf_dir):
+    """Mean and spread of height at ages 1..10 given all of a subject's heights, under fixed parameters."""
+    return conditional_means(*noisy_process(spark, sf_dir))
+
+
 @query("fpca_from_draws")
 def fpca_from_draws(spark, sf_dir):
     """Completed trajectories drawn, written by variable and imputation, read back, and decomposed: loadings per sex."""
