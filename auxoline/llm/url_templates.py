@@ -1,10 +1,11 @@
 """URL filter by a tree of path templates per host, in built-in functions only.
 
 Paths are cut into segments; numbers, dates and hex strings become typed wildcards at once. URLs are then reduced to (host, typed
-path) shapes with counts, so a host with a third of all URLs is a few rows. The tree is built level by level over the shapes: below a
-branch, segments that take many values with few URLs each become ``*``; branches whose labelled block rates are on one side of
+path) shapes that count distinct URLs (host and path), so neither repeated rows nor queries count. The tree is built level by level over
+the shapes: below a branch of many segments, most of which have few distinct shapes, those that have few become ``*``; other branches whose labelled block rates are on one side of
 one half and do not differ significantly from the others of that side are merged (``*+`` blocked, ``*-`` allowed). Branches without
-labels are not merged. A template is rejected if its smoothed labelled purity, (blocked + PRIOR / 2) / (labelled + PRIOR), reaches REJECT.
+labels are not merged. A template is rejected if its smoothed labelled purity, (blocked + PRIOR / 2) / (labelled + PRIOR), reaches REJECT; below
+a ``*`` each value of the first ``*`` counts once, by its share of blocked URLs, so one frequent value does not judge the others.
 
 Shapes return to the pages by a join in which every shape is repeated for SALTS salts, so a frequent one is spread.
 
@@ -25,7 +26,7 @@ from auxoline.llm.registry import query, table
 #: (verdict, rule); a rule is host and path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 DEPTH = 12
-#: A branch is variable from so many different segments, if they have fewer URLs each than the second number.
+#: A branch is variable from so many different segments, if at least half of them have fewer distinct shapes each than the second number.
 VALUES, EACH = 20, 5
 #: Standard score below which two block rates do not differ.
 SIMILAR = 1.96
@@ -64,14 +65,14 @@ def typed_segments(path: Column) -> Column:
 
 
 def level(shapes: DataFrame) -> DataFrame:
-    """``shapes`` (host, segments, done, n, labelled, blocked) with one more segment generalised in ``done``."""
+    """``shapes`` (host, segments, done, labelled, blocked) with one more segment generalised in ``done``."""
     at = F.size("done")
     branch = F.to_json(F.struct(F.col("done")))
     rows = shapes.withColumn("branch", branch).withColumn("child", F.when(at < F.size("segments"), F.element_at("segments", F.least(at + 1, F.size("segments")))))
-    children = rows.filter("child is not null").groupBy("host", "branch", "child").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
+    children = rows.filter("child is not null").groupBy("host", "branch", "child").agg(F.count("*").alias("shapes"), *[F.sum(c).alias(c) for c in ("labelled", "blocked")])
     side = F.when(F.col("labelled") > 0, F.col("blocked") * 2 >= F.col("labelled"))
     children = stored(children.withColumn("side", side))
-    parents = children.groupBy("host", "branch").agg(F.count("*").alias("values"), F.sum("n").alias("all_n"), *[F.sum(F.when(F.col("side") == s, F.col(c)).otherwise(0)).alias(f"{c}_{int(s)}") for s in (True, False) for c in ("labelled", "blocked")], F.sum(F.when(F.col("side"), 1).otherwise(0)).alias("many_1"), F.sum(F.when(~F.col("side"), 1).otherwise(0)).alias("many_0"))
+    parents = children.groupBy("host", "branch").agg(F.count("*").alias("values"), F.sum((F.col("shapes") < EACH).cast("bigint")).alias("few"), *[F.sum(F.when(F.col("side") == s, F.col(c)).otherwise(0)).alias(f"{c}_{int(s)}") for s in (True, False) for c in ("labelled", "blocked")], F.sum(F.when(F.col("side"), 1).otherwise(0)).alias("many_1"), F.sum(F.when(~F.col("side"), 1).otherwise(0)).alias("many_0"))
     both = children.join(parents, ["host", "branch"])
     # The block rate of the other branches on the same side.
     own = F.col("side")
@@ -80,22 +81,25 @@ def level(shapes: DataFrame) -> DataFrame:
     pooled = (F.col("blocked") + rest_blocked + 1) / (F.col("labelled") + rest_labelled + 2)
     score = F.abs(F.col("blocked") / F.col("labelled") - rest_blocked / rest_labelled) / F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest_labelled))
     merged = F.when((F.col("labelled") > 0) & (F.when(own, F.col("many_1")).otherwise(F.col("many_0")) > 1) & (rest_labelled > 0), F.when(score < SIMILAR, F.when(own, "*+").otherwise("*-")))
-    variable = F.when((F.col("values") >= VALUES) & (F.col("all_n") < F.col("values") * EACH), F.lit("*"))
+    variable = F.when((F.col("values") >= VALUES) & (F.col("few") * 2 >= F.col("values")) & (F.col("shapes") < EACH), F.lit("*"))
     chosen = both.select("host", "branch", "child", F.coalesce(variable, merged, F.col("child")).alias("general"))
     joined = rows.join(chosen, ["host", "branch", "child"], "left")
-    return stored(joined.select("host", "segments", F.when(F.col("general").isNotNull(), F.concat("done", F.array("general"))).otherwise(F.col("done")).alias("done"), "n", "labelled", "blocked"))
+    return stored(joined.select("host", "segments", F.when(F.col("general").isNotNull(), F.concat("done", F.array("general"))).otherwise(F.col("done")).alias("done"), "labelled", "blocked"))
 
 
 def template_verdicts(urls: DataFrame) -> DataFrame:
-    """host, segments, template, purity, judged of every shape among ``urls`` (host, segments, blocked: null if unlabelled)."""
+    """host, segments, template, purity, judged of every shape among ``urls`` (host, segments, blocked: null if unlabelled), a row each."""
     is_labelled = F.col("blocked").isNotNull()
-    shapes = urls.groupBy("host", "segments").agg(F.count("*").alias("n"), F.sum(is_labelled.cast("bigint")).alias("labelled"), F.sum(F.coalesce(F.col("blocked").cast("bigint"), F.lit(0))).alias("blocked"))
+    shapes = urls.groupBy("host", "segments").agg(F.sum(is_labelled.cast("bigint")).alias("labelled"), F.sum(F.coalesce(F.col("blocked").cast("bigint"), F.lit(0))).alias("blocked"))
     shapes = stored(shapes.withColumn("done", F.array().cast("array<string>")))
     deepest = shapes.agg(F.coalesce(F.max(F.size("segments")), F.lit(0)).alias("d")).first().d
     for _ in range(deepest):
         shapes = level(shapes)
     named = shapes.withColumn("template", F.concat(F.lit("/"), F.concat_ws("/", "done")))
-    sums = named.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    first = F.array_position("done", "*")
+    values = named.withColumn("value", F.when(first > 0, F.element_at("segments", F.greatest(first, F.lit(1)).cast("int")))).groupBy("host", "template", "value").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    one = F.col("value").isNotNull() & (F.col("l") > 0)
+    sums = values.groupBy("host", "template").agg(F.sum(F.when(one, 1.0).otherwise(F.col("l"))).alias("l"), F.sum(F.when(one, F.col("b") / F.col("l")).otherwise(F.col("b"))).alias("b"))
     purity = (F.col("b") + PRIOR / 2) / (F.col("l") + PRIOR)
     judged = sums.select("host", "template", purity.alias("purity"), F.when(purity >= REJECT, "block").otherwise("allow").alias("judged"))
     return stored(named.join(judged, ["host", "template"]).select("host", "segments", "template", "purity", "judged"))
@@ -105,7 +109,9 @@ def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rul
     """One row per page: page_id, host, path, rule, verdict, template."""
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rows = rows.select("*", rule_of(F.col("host"), F.col("path"), rules).alias("fit"), typed_segments(F.col("path")).alias("segments"))
-    shapes = template_verdicts(rows.select("host", "segments", (F.col("fit.verdict") == "block").alias("blocked")))
+    urls = rows.select("host", "path").distinct()
+    urls = urls.select("host", typed_segments(F.col("path")).alias("segments"), (rule_of(F.col("host"), F.col("path"), rules)["verdict"] == "block").alias("blocked"))
+    shapes = template_verdicts(urls)
     shape = F.xxhash64(F.col("host"), F.col("segments")).alias("shape")
     known = shapes.select(shape, F.col("host").alias("its_host"), F.col("segments").alias("its_segments"), "template", "judged", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = rows.select("*", shape, F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int").alias("salt"))

@@ -93,3 +93,35 @@ def test_verdicts_match_a_plain_count(spark, sf):
         if r.rule is None:
             n, blocked = labelled[r.host, r.template]
             assert r.verdict == ("block" if (blocked + U.PRIOR / 2) / (n + U.PRIOR) >= U.REJECT else "allow")
+
+
+def verdicts(spark, urls):
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    rules = (("block", "h.org/bad/a"), ("allow", "h.org/good/a"), ("block", "net/es/"), ("block", "net/fr/"))
+    return {urls[r.page_id]: (r.verdict, r.template) for r in U.judge_urls(rows, rules=rules).collect()}
+
+
+def word(i):
+    return "abcdefghij"[i % 10] + "".join("klmnopqrst"[int(d)] for d in str(i))
+
+
+def test_repeated_rows_and_hot_children_change_no_verdict(spark):
+    """Below /bad/ a tenth of the slugs are labelled; what is variable is decided by different values, not by rows."""
+    urls = [f"https://h.org/{top}/{word(i)}" for top in ("bad", "good", "new") for i in range(400)]
+    plain = verdicts(spark, urls)
+    assert {(u.split("/")[3], *v) for u, v in plain.items()} == {("bad", "block", "/bad/*"), ("good", "allow", "/good/*"), ("new", "allow", "/new/*")}
+    assert verdicts(spark, urls * 5) == plain
+    recrawled = [f"{u}?n={k}" for u in urls for k in range(5)]
+    assert {u.split("?")[0]: v for u, v in verdicts(spark, recrawled).items()} == plain
+    for hot in ([f"https://h.org/bad/hot?{k}" for k in range(600)], [f"https://h.org/bad/hot/{word(k)}" for k in range(600)], [f"https://h.org/bad/ahot/{k}" for k in range(600)]):
+        got = verdicts(spark, urls + hot)
+        assert {u: got[u] for u in urls} == plain
+
+
+def test_small_segments_do_not_follow_a_frequent_one(spark):
+    small = [f"https://a.net/{word(i)}/x" for i in range(25)]
+    for n in (4, 1000):
+        for es in ([f"https://a.net/es/{word(k)}" for k in range(n)], [f"https://a.net/es/{k}" for k in range(n)], ["https://a.net/es/x"] * n):
+            got = verdicts(spark, small + es + [f"https://a.net/fr/{word(k)}" for k in range(4)])
+            assert {got[u][0] for u in small} == {"allow"}
+            assert {got[u][0] for u in es} == {"block"}
