@@ -12,7 +12,8 @@ The model is a table of a few hundred numbers.
 
 Rules: null html is empty and has no text. Character references are decoded; white space inside a block becomes one space; blocks are
 joined in page order by line ends; ``br`` counts as white space. Broken markup is read as browsers do where it matters here:
-unclosed blocks end with the next one, and what is never closed ends with the page. Repeated rows are extracted each. Empty tables
+unclosed blocks end with the next one, a head ends with the first tag or text that cannot be in one, and what is never closed ends with
+the page. Only scripts, styles, templates and titles of pages are no text; the model judges all else. Repeated rows are extracted each. Empty tables
 give empty results; other columns are ignored.
 """
 
@@ -32,27 +33,31 @@ from auxoline.llm.registry import query, table
 #: Most labelled pages that the model is counted on.
 SAMPLE = 2000
 SMOOTH = 0.5
-#: HTML's elements without content, elements whose text is never shown, and elements that end a block of text.
+#: HTML's elements without content, elements whose text is not page text, what may be in a head, and elements that end a block of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style noscript template title iframe svg math object select option datalist".split())
-BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td textarea tfoot th thead tr ul".split())
+HIDDEN = frozenset("script style template title".split())
+HEAD = frozenset("head script style template title noscript base basefont bgsound link meta".split())
+BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td textarea tfoot th thead tr ul".split())
 #: Words that name boilerplate when they appear as a tag or among class, id or role.
 BOILER = frozenset("ad ads advert adverts advertisement advertising aside banner breadcrumb breadcrumbs button comment comments complementary contentinfo cookie cookies disqus feedback footer form header menu navbar nav navigation newsletter notice notices popup promo promoted recommended related reply replies search share sharing sidebar signup social sponsor sponsored subscribe widget".split())
 MAIN = frozenset("article main articlebody".split())
 #: Elements that an opening tag ends, up to the nearest element given second.
-ENDS = {"p": ({"p"}, {"table", "td", "th", "button"}), "li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_P_ENDERS = BLOCKS - {"body", "html", "button", "tr", "td", "th", "li", "dt", "dd", "caption", "tbody", "thead", "tfoot", "legend", "textarea"}
+ENDS = {"p": ({"p"}, {"table", "td", "th", "button"}), "li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select", "datalist"})}
+_P_ENDERS = BLOCKS - {"body", "html", "button", "tr", "td", "th", "li", "dt", "dd", "caption", "tbody", "thead", "tfoot", "legend", "textarea", "option", "optgroup"}
+#: Parts of a drawing whose texts are apart from each other.
+APART = frozenset("desc text title".split())
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "chars", "links", "text")
+    __slots__ = ("tag", "names", "parent", "children", "chars", "links", "text", "hides")
 
     def __init__(self, tag: str, names: frozenset, parent: Node | None):
         self.tag, self.names, self.parent = tag, names, parent
         self.children: list[Node] = []
         self.chars = self.links = 0
+        self.hides = False
         self.text: str | None = None
 
 
@@ -66,7 +71,7 @@ class PageTree(HTMLParser):
         self.root = self.at = Node("#page", frozenset(), None)
         self.blocks: list[Node] = []
         self.part: list[str] = []
-        self.in_link = self.link_chars = self.hidden = 0
+        self.in_link = self.link_chars = self.hidden = self.drawn = self.heads = 0
         self.feed(html)
         self.close()
         self.end_block()
@@ -88,8 +93,12 @@ class PageTree(HTMLParser):
         """Close everything inside ``node`` and itself."""
         while True:
             here = self.at
-            self.hidden -= here.tag in HIDDEN
+            self.hidden -= here.hides
+            self.drawn -= here.tag == "svg"
+            self.heads -= here.tag == "head"
             self.in_link -= here.tag == "a"
+            if self.drawn and here.tag in APART:
+                self.part.append(" ")
             if here.tag in BLOCKS:
                 self.end_block()
             self.at = here.parent or here
@@ -98,13 +107,20 @@ class PageTree(HTMLParser):
 
     def up_to(self, tags: frozenset | set, stop: frozenset | set) -> Node | None:
         node, found = self.at, None
-        while node.parent is not None and node.tag not in stop:
+        while node.parent is not None and node.tag not in stop and node.tag != "template":
             if node.tag in tags:
                 found = node
             node = node.parent
         return found
 
+    def end_head(self) -> None:
+        """Close an open head, unless something hidden is open in it."""
+        if self.heads and not self.hidden and (head := self.up_to({"head"}, set())) is not None:
+            self.leave(head)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in HEAD:
+            self.end_head()
         if tag in VOID:
             if tag == "br":
                 self.part.append(" ")
@@ -123,8 +139,14 @@ class PageTree(HTMLParser):
         node = Node(tag, names | {tag}, self.at)
         self.at.children.append(node)
         self.at = node
-        self.hidden += tag in HIDDEN
+        # The title of a drawing is not the title of the page.
+        node.hides = tag in HIDDEN and not (tag == "title" and self.drawn)
+        self.hidden += node.hides
+        self.drawn += tag == "svg"
+        self.heads += tag == "head"
         self.in_link += tag == "a"
+        if self.drawn and tag in APART:
+            self.part.append(" ")
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -140,6 +162,8 @@ class PageTree(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
+            if not data.isspace():
+                self.end_head()
             self.part.append(data)
             if self.in_link:
                 self.link_chars += len(data)

@@ -79,3 +79,24 @@ def test_query_frame(spark, model):
     got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in H.extract(pages).collect()), key=str)
     assert got == sorted([(1, "u", "text of it", 10)] * 2 + [(None, None, "", 0), (2, "v", ("word " * 50_000).strip(), 249_999)], key=str)
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def blocks(page):
+    return [b.text for b in H.PageTree(page).blocks]
+
+
+def test_pages_without_head_and_body_tags(model):
+    text = html.unescape(PROSE)
+    for start in ("<html><head><title>T</title>", "<head><meta charset=x><link rel=y><script>1</script><style>p{}</style><title>T</title><noscript><link rel=z></noscript>", "<title>T</title>", "<head><title>T</title><template><p>no</p></template>"):
+        assert model.text(f"{start}<article><p>{PROSE}<p>{PROSE}") == f"{text}\n{text}"
+        assert blocks(f"{start}plain text<p>more") == ["plain text", "more"]
+    assert blocks("<head><title>T <b>x</b></title></head><body><p>a") == ["a"]
+    assert blocks("<head><title>T<body><p>a") == ["a"]
+
+
+def test_only_scripts_styles_templates_and_titles_are_hidden(model):
+    formula = "<math><mi>x</mi><mo>=</mo><mn>1</mn></math>"
+    words = "enough words of main text to look like prose on a page about formulas"
+    assert model.text(f"<article><p>{words} {formula} and <object>a fallback</object>.</p></article>") == f"{words} x=1 and a fallback."
+    assert blocks("<p>a <svg><title>t</title><style>x{}</style><text>b</text><text>c</text></svg> d<select><option>e<option>f</select><noscript>g</noscript><iframe>h</iframe>") == ["a t b c d", "e", "f", "gh"]
+    assert blocks("<p>a<template><p>b</p><svg><title>c</title></svg></template><script>d</script><title>e</title>f") == ["a", "f"]
