@@ -38,10 +38,10 @@ K, PACK = 16, 8 << 20
 BUCKET_BYTES, SPREAD = 8 << 20, 3.5
 #: Share of a task's (and of all) different segments from which a naming string is hot.
 HOT_SHARE = 1 / 2000
-#: One chunk of so many is looked at for hot names.
-HOT_EVERY = 4
 #: Bytes of text whose segments are found at once, and bytes of text that meet their spans in one group.
 STEP, HOME_BYTES = 1 << 18, 8 << 20
+#: One chunk of so many is looked at for hot names: every one; tests look at fewer.
+HOT_EVERY = 1
 #: Stands for a null id, and comes before every other.
 NO_ID = -(1 << 62)
 #: Suffixes sorted at a time.
@@ -342,14 +342,16 @@ def _stretches(batches):
 def hot_names(rows: DataFrame) -> np.ndarray:
     """Names that hold at least HOT_SHARE of the different segments, by the names that tasks find frequent; at most 1 / HOT_SHARE.
 
-    One chunk in HOT_EVERY is looked at: names decide only which bucket sorts a segment, never what is found."""
+    Every chunk is looked at; names decide only which bucket sorts a segment, never what is found."""
 
     def count(batches):
         for stretch in _stretches(batches):
             packer = Packer(*stretch, np.zeros(0, np.uint64), HOT_EVERY)
             if not len(packer.name):
                 continue
-            distinct = np.unique(np.stack([packer.name.astype(np.uint64), packer.same], 1), axis=0)[:, 0]
+            order = np.lexsort((packer.same, packer.name))
+            name, same = packer.name[order], packer.same[order]
+            distinct = name[np.append(True, (name[1:] != name[:-1]) | (same[1:] != same[:-1]))]
             names, n = np.unique(distinct, return_counts=True)
             often = n >= max(4, HOT_SHARE * len(distinct))
             total = pa.array([len(distinct)] + [0] * int(often.sum()), pa.int64())

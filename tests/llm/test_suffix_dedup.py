@@ -109,3 +109,13 @@ def test_frequent_strings_are_found(spark):
     texts = ["".join(rng.choices("ijklmnop ", k=80)) + line + "".join(rng.choices("ijklmnop ", k=80)) for _ in range(300)]
     rows, row = with_ids(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id")
     assert len(S.hot_names(rows.withColumn("row", F.lit(0).cast("long")))) >= 1
+
+
+def test_names_of_every_chunk_are_counted(spark):
+    """A string that is frequent only after a stretch's first chunk is hot all the same."""
+    rng = np.random.default_rng(3)
+    letters = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    common = letters(40)
+    texts = [letters(S.STEP + 1000)] + ["".join(letters(400) + common for _ in range(500)) for _ in range(2)]
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "id long, row long, text string").coalesce(1)
+    assert len(S.hot_names(rows)) >= 1
