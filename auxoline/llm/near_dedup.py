@@ -5,10 +5,13 @@ pair is verified by comparing its signatures batch by batch: after each batch th
 reaches the threshold (uniform prior) is looked at, and the pair is dropped once that is below MISS. Survivors are confirmed on
 their full shingle sets.
 
-A band with many classes is not expanded into pairs. First every class is paired with the band's pivot (the class with the most copies),
-and on request classes outside the pivot's component with a few members of it. What then is left to find are links between classes of one band of which at least one is not yet in the pivot's component. Such a
+A band with many classes is not expanded into pairs. First every class is paired with the band's pivot (the class with the most copies).
+What then is left to find are links between classes of one band of which at least one is not yet in the pivot's component. Such a
 class looks for partners by its rarest shingles: sets that reach the threshold share one of their rarest few, where how few follows from both
-sizes; sizes fall into narrow classes, so the bound is tight and edits, which are rare, decide. So no link between classes that
+sizes; sizes fall into narrow classes, so the bound is tight. Entries carry odd sketches (parities of hashed shingles), whose differing bits
+never outnumber the shingles that only one set has, so near misses are dropped where they meet and no similar pair is. In a first round every class
+asks for its likeliest partners only, which puts most into their component; the second asks for all partners of another component that are left.
+Entries of a frequent shingle are dealt over several tasks. So no link between components of classes that
 share a band is lost, and the chance that a pair at the threshold shares no band is (1 - t**ROWS)**BANDS: 6e-11 at 0.85.
 
 Rules: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text of fewer than ``k`` words has its whole sequence as one
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auxoline.llm.components import components
+from auxoline.llm.components import components, joined
 from auxoline.llm.flat import LOWER, chunks, flat_bytes, mix, span_hashes, word_table, words
 from auxoline.llm.frames import stored, with_ids
 from auxoline.llm.registry import query, table
@@ -39,8 +42,8 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 16, 1e-8
 #: Buckets of the shingle counts that order shingles by rarity, and shingle entries that a group of the partner search should get.
 RARITY, GROUP_ENTRIES = 1 << 18, 200_000
-#: Members of the pivot's component that a class outside it is compared with in each band before it searches for partners, where documents are filtered.
-TRIED = 4
+#: Entries of one shingle from which they are dealt over several tasks.
+HOT_ROWS = 20_000
 #: Ratio of the sizes that one size class holds.
 SIZE_STEP = 1.02
 SEED = 5
@@ -163,10 +166,43 @@ def size_class(n) -> int:
     return int(math.log(n) / math.log(SIZE_STEP) + 1e-9)
 
 
-def partner_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def sketch_words(n: int) -> int:
+    """64-bit words of the odd sketch of a set of n: a power of two, 2.5 bits a shingle or more."""
+    return 1 << max(0, math.ceil(math.log2(max(1, 2.5 * n) / 64)))
+
+
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles in each of the sketch's bits.
+
+    Sketches of two sets differ in no more bits than there are shingles in one set only, so the bound drops no similar pair. The upper half
+    folded onto the lower is the sketch of half the size."""
+    bits = 64 * sketch_words(len(shingles))
+    odd = np.bincount((mix(shingles ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def sketch_distances(x: np.ndarray, y: np.ndarray, at: np.ndarray, size: np.ndarray, words_: np.ndarray) -> np.ndarray:
+    """Differing bits of the sketches of documents x[i] and y[i], the larger one folded; ``at`` and ``size``: where a document's words are."""
+    out = np.zeros(len(x), np.int64)
+    kinds = size[x] << 32 | size[y]
+    for kind in np.unique(kinds):
+        mine = np.flatnonzero(kinds == kind)
+        for part in np.array_split(mine, -(-len(mine) * int(max(kind >> 32, kind & 0xFFFFFFFF)) >> 21) or 1):
+            both = []
+            for doc, n in ((x[part], int(kind >> 32)), (y[part], int(kind & 0xFFFFFFFF))):
+                w = words_[at[doc][:, None] + np.arange(n)]
+                while w.shape[1] > int(min(kind >> 32, kind & 0xFFFFFFFF)):
+                    w = w[:, : w.shape[1] // 2] ^ w[:, w.shape[1] // 2 :]
+                both.append(w)
+            out[part] = np.bitwise_count(both[0] ^ both[1]).sum(1, dtype=np.int64)
+    return out
+
+
+def partner_pairs(members: DataFrame, sets: DataFrame, percent: int, best: bool = False, hot: int = HOT_ROWS) -> DataFrame:
     """Pairs (a, b) of different labels, at least one of them searching, whose sets may reach ``percent``.
 
-    ``members``: id, label, searching. Every pair that does reach it is among them.
+    ``members``: id, label, searching. Every pair that does reach it is among them, unless ``best`` asks for no more than the likeliest partner of each
+    searching class among those that search too, and among the others.
     """
     spark = members.sparkSession
     rows = stored(members.join(sets, "id"))
@@ -188,82 +224,109 @@ def partner_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     groups = max(16, math.ceil(entries / GROUP_ENTRIES))
     need = lambda x, y: -(-percent * (x + y) // (100 + percent))  # noqa: E731  least overlap
 
+    def spread_out(tokens, own, doc, probe):
+        """Token, place, share and document of entries: those of a frequent token are dealt over shares, and whoever looks for them asks all."""
+        shares = 1 + rarity.value[(tokens % np.uint64(RARITY)).astype(np.int64)] // hot
+        place = np.arange(len(tokens))
+        if probe:
+            again = np.repeat(place, shares)
+            return tokens[again], again, ragged(np.zeros(len(tokens), np.int64), shares), own, doc, probe
+        return tokens, place, int(mix(np.array([doc], np.uint64))[0] >> np.uint64(8)) % shares, own, doc, probe
+
     def scatter(batches):
         for batch in batches:
-            out = []
-            for i, label, searching, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out, sketches_ = [], []
+            columns = [c.to_pylist() for c in batch.columns]
+            for doc, (searching, value) in enumerate(zip(columns[2], columns[3], strict=True)):
                 s = np.frombuffer(value, np.uint64)
                 n = len(s)
+                sketches_.append(odd_sketch(s))
                 s = s[np.lexsort((s, rarity.value[(s % np.uint64(RARITY)).astype(np.int64)]))]
-                own = size_class(n)
-                prefix = n - -(-percent * n // 100) + 1
-                out.append((s[:prefix], np.arange(prefix), np.full(prefix, own), i, label, n, 0))
+                out.append(spread_out(s[: n - -(-percent * n // 100) + 1], size_class(n), doc, 0))
                 if searching:
                     most = n * 100 // percent
                     for c in range(size_class(max(1, -(-n * percent // 100))), size_class(most) + 1):
                         smallest = max(-(-n * percent // 100), math.ceil(SIZE_STEP**c - 1e-6), 1)
                         prefix = n - need(n, smallest) + 1
                         if prefix > 0:
-                            out.append((s[:prefix], np.arange(prefix), np.full(prefix, c), i, label, n, 1))
+                            out.append(spread_out(s[:prefix], c, doc, 1))
             if not out:
                 continue
             lengths = np.array([len(r[0]) for r in out])
-            token, place, cls = (np.concatenate([r[k] for r in out]) for k in range(3))
-            fixed = [np.repeat(np.array([r[k] for r in out], np.int64), lengths) for k in range(3, 7)]
-            key = mix(token * np.uint64(0x9E3779B97F4A7C15) + cls.astype(np.uint64))
+            token, place, share = (np.concatenate([np.asarray(r[k]) for r in out]) for k in range(3))
+            cls, doc, probe = (np.repeat(np.array([r[k] for r in out], np.int64), lengths) for k in range(3, 6))
+            key = mix(token * np.uint64(0x9E3779B97F4A7C15) + cls.astype(np.uint64) + (share.astype(np.uint64) << np.uint64(20)))
             group = (key % np.uint64(groups)).astype(np.int64)
             by = np.argsort(group, kind="stable")
-            edge = np.searchsorted(group[by], np.arange(groups + 1))
-            for g in range(groups):
-                mine = by[edge[g] : edge[g + 1]]
-                if len(mine):
-                    payload = pack(key[mine], place[mine].astype(np.int64), *(f[mine] for f in fixed))
-                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "payload"])
+            first = np.flatnonzero(np.diff(group[by], prepend=-1))
+            ids, label = (np.array(columns[k], np.int64) for k in (0, 1))
+            flag, n = np.array(columns[2], np.int64), np.array([len(v) // 8 for v in columns[3]], np.int64)
+            for a, b in zip(first, np.append(first[1:], len(by)), strict=True):
+                mine = by[a:b]
+                # Each document's sketch travels once with all its entries of a group.
+                docs, entry = np.unique(doc[mine], return_inverse=True)
+                words_ = np.concatenate([sketches_[d] for d in docs])
+                payload = pack(key[mine], place[mine].astype(np.int64), entry.astype(np.int64), probe[mine], ids[docs], label[docs], n[docs], flag[docs], words_)
+                yield pa.RecordBatch.from_arrays([pa.array([group[mine[0]]], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "payload"])
 
     def search(group: pa.Table) -> pa.Table:
-        key, place, ids, label, n, searching = (np.concatenate(x) for x in zip(*map(unpack, group.column("payload").to_pylist()), strict=True))
+        parts, before = [], 0
+        for payload in group.column("payload"):
+            part = unpack(payload.as_py())
+            part[2] = part[2] + before
+            before += len(part[4])
+            parts.append(part)
+        key, place, doc, probe, ids, label, n, flag, words_ = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(key, kind="stable")
-        key, place, ids, label, n, searching = (x[order] for x in (key, place, ids, label, n, searching))
-        index, probe = np.flatnonzero(searching == 0), np.flatnonzero(searching == 1)
-        first, last = np.searchsorted(key[index], key[probe], side="left"), np.searchsorted(key[index], key[probe], side="right")
-        found = [np.zeros((0, 2), np.int64)]
+        key, place, doc, probe = (x[order] for x in (key, place, doc, probe))
+        size = np.array([sketch_words(int(k)) for k in n], np.int64)
+        at = np.cumsum(size) - size
+        index, look = np.flatnonzero(probe == 0), np.flatnonzero(probe == 1)
+        first, last = np.searchsorted(key[index], key[look], side="left"), np.searchsorted(key[index], key[look], side="right")
+        found = [np.zeros(0, np.int64)]
         # A bounded number of pairs at a time.
         for a, b in chunks(np.append(0, np.cumsum(last - first)), 1 << 20):
-            x = np.repeat(probe[a:b], (last - first)[a:b])
+            x = np.repeat(look[a:b], (last - first)[a:b])
             y = index[ragged(first[a:b], (last - first)[a:b])]
-            ok = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-            x, y = x[ok], y[ok]
-            ok = np.minimum(n[x] - place[x], n[y] - place[y]) >= need(n[x], n[y])
-            x, y = ids[x[ok]], ids[y[ok]]
-            found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            dx, dy = doc[x], doc[y]
+            ok = (label[dx] != label[dy]) & (100 * np.minimum(n[dx], n[dy]) >= percent * np.maximum(n[dx], n[dy]))
+            ok &= np.minimum(n[dx] - place[x], n[dy] - place[y]) >= need(n[dx], n[dy])
+            pair = np.unique(dx[ok] * before + dy[ok])
+            dx, dy = pair // before, pair % before
+            far = sketch_distances(dx, dy, at, size, words_)
+            found.append(pair[far <= n[dx] + n[dy] - 2 * need(n[dx], n[dy])])
+        pair = np.unique(np.concatenate(found))
+        dx, dy = pair // max(1, before), pair % max(1, before)
+        far = sketch_distances(dx, dy, at, size, words_) * 1_000_000 // np.maximum(1, n[dx] + n[dy])
+        if best:
+            by = np.lexsort((ids[dy], far, flag[dy], dx))
+            dx, dy, far = dx[by], dy[by], far[by]
+            keep = np.ones(len(dx), bool)
+            keep[1:] = (dx[1:] != dx[:-1]) | (flag[dy][1:] != flag[dy][:-1])
+            dx, dy, far = dx[keep], dy[keep], far[keep]
+        return pa.table([pa.array(ids[dx]), pa.array(ids[dy]), pa.array(flag[dy]), pa.array(far)], names=["a", "b", "flag", "far"])
 
     given = rows.select("id", "label", "searching", "shingles")
-    return given.mapInArrow(scatter, "bucket int, payload binary").groupBy("bucket").applyInArrow(search, "a long, b long").distinct()
-
+    pairs = given.mapInArrow(scatter, "bucket int, payload binary").groupBy("bucket").applyInArrow(search, "a long, b long, flag long, far long")
+    if best:
+        pairs = pairs.groupBy("a", "flag").agg(F.min(F.struct("far", "b")).alias("top")).select("a", "top.b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-def _star(roots: DataFrame) -> DataFrame:
-    """Components so far as edges, to go on from."""
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
-
-def _labelled(bands: DataFrame, roots: DataFrame) -> DataFrame:
-    """band, id, label (the class's component so far) and main (the pivot's) of (band, id, pivot)."""
+def _searching(crowded: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, label (its component so far) and searching, of the classes in bands (band, id, pivot) whose members are not of one component yet."""
 
     def label(column: str) -> DataFrame:
         return roots.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
 
-    both = bands.join(label("id"), "id", "left").join(label("pivot"), "pivot", "left")
-    return stored(both.select("band", "id", F.coalesce("id_root", "id").alias("label"), F.coalesce("pivot_root", "pivot").alias("main")))
-
+    both = crowded.join(label("id"), "id", "left").join(label("pivot"), "pivot", "left")
+    labelled = stored(both.select("band", "id", F.coalesce("id_root", "id").alias("label"), F.coalesce("pivot_root", "pivot").alias("main")))
+    mixed = labelled.filter("label <> main").select("band").distinct()
+    return stored(labelled.join(mixed, "band", "left_semi").groupBy("id").agg(F.max("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("searching")))
 
-def near_classes(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 85, tried: int = 0) -> DataFrame:
-    """One row per document: id (``row``), doc_id, n_shingles, component_id (the smallest doc_id) and first (its row's id).
 
-    ``tried`` members of the pivot's component are tried in each band before partners are searched for. The result is the same without;
-    the step pays where the threshold is loose, so that a search finds many partners.
-    """
+def near_classes(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 85) -> DataFrame:
+    """One row per document: id (``row``), doc_id, n_shingles, component_id (the smallest doc_id) and first (its row's id)."""
     sketch = stored(sketches(docs, row, doc_id, text, k))
     same = sketch.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
     member = stored(sketch.select("id", "doc_id", "n", "s1", "s2").join(same, ["s1", "s2", "n"], "left").select("id", "doc_id", "n", F.coalesce("class", "id").alias("class"), "copies"))
@@ -275,20 +338,13 @@ def near_classes(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str =
     inside = stored(bands.select("band", "id").join(shared, "band"))
     sets = stored(full_sets(docs, row, text, k, inside.select("id").distinct()))
     stars = inside.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = verify(stars, classes, sets, percent)
-    crowded = stored(inside.filter("size > 2").select("band", "id", "pivot"))
-    roots = components(links)
-    labelled = _labelled(crowded, roots)
-    if tried:
-        # Most classes that the pivot misses are linked with some other of its component: each tries a few of each band.
-        few = labelled.filter("label = main").groupBy("band").agg(F.array(*[F.min(F.struct(F.xxhash64(F.lit(r), "id"), "id"))["id"] for r in range(tried)]).alias("some"))
-        tries = labelled.filter("label <> main").join(few, "band").select(F.col("id").alias("a"), F.explode("some").alias("b")).distinct()
-        roots = components(_star(roots).unionByName(verify(tries, classes, sets, percent)))
-        labelled = _labelled(crowded, roots)
-    mixed = labelled.filter("label <> main").select("band").distinct()
-    open_ = labelled.join(mixed, "band", "left_semi").groupBy("id").agg(F.max("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("searching"))
-    more = verify(partner_pairs(open_, sets, percent), classes, sets, percent)
-    roots = components(_star(roots).unionByName(more))
+    roots = components(verify(stars, classes, sets, percent))
+    crowded = inside.filter("size > 2").select("band", "id", "pivot")
+    # The likeliest partners first: most classes are in their component then, and need not look at all that may be similar.
+    for best in (True, False):
+        members = _searching(crowded, roots)
+        if members.filter("searching").limit(1).count():
+            roots = joined(roots, verify(partner_pairs(members, sets, percent, best), classes, sets, percent))
     rooted = member.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("id", "doc_id", "n", F.coalesce("root", "class").alias("root"))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("id"))).alias("top"))
     return rooted.join(best, "root").select("id", "doc_id", F.col("n").alias("n_shingles"), F.col("top.doc_id").alias("component_id"), F.col("top.id").alias("first"))
@@ -304,7 +360,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with all its columns; documents without words all stay."""
     numbered, row = with_ids(docs, doc_id)
-    gone = near_classes(numbered, row, doc_id, text, k, percent, TRIED).filter("id <> first").select(F.col("id").alias(row))
+    gone = near_classes(numbered, row, doc_id, text, k, percent).filter("id <> first").select(F.col("id").alias(row))
     return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 

@@ -93,3 +93,72 @@ def test_components(spark):
     want = roots({x for e in edges for x in e}, edges)
     assert got == {n: r for n, r in want.items() if n != r}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_with_hubs_and_more_links(spark, monkeypatch):
+    from auxoline.llm import components as C
+
+    monkeypatch.setattr(C, "HUB_LEAST", 5)
+    monkeypatch.setattr(C, "HUB_SHARE", 1 / 100)
+    rng = random.Random(3)
+    edges = [(5000, i) for i in range(100, 160)] + [(3, i) for i in range(200, 260)] + [(150, 230)] + [(rng.randrange(6000, 6100), rng.randrange(6000, 6100)) for _ in range(70)]
+    more = [(6001, 6002), (160, 7000), (7000, 7001), (240, 6050), (8, 8), (9000, 9001)]
+    found = C.components(spark.createDataFrame(edges, "a long, b long").repartition(7))
+    want = roots({x for e in edges for x in e}, edges)
+    assert {r.node: r.root for r in found.collect()} == {n: r for n, r in want.items() if n != r}
+    every = roots({x for e in edges + more for x in e}, edges + more)
+    assert {r.node: r.root for r in C.joined(found, spark.createDataFrame(more, "a long, b long")).collect()} == {n: r for n, r in every.items() if n != r}
+
+
+def test_odd_sketches_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n, gone in ((3, 1), (40, 12), (200, 80), (200, 20), (5000, 900)):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, gone + n // 9, np.uint64)]))
+        sets, words = [a, b], [N.odd_sketch(a), N.odd_sketch(b)]
+        size = np.array([len(w) for w in words])
+        assert [N.sketch_words(len(x)) for x in sets] == size.tolist()
+        (far,) = N.sketch_distances(np.array([0]), np.array([1]), np.array([0, size[0]]), size, np.concatenate(words))
+        true = len(np.setxor1d(a, b))
+        assert far <= true and (true > n or far > 0.7 * true)
+
+
+def test_frequent_shingles_are_dealt_over_tasks(spark):
+    rows = [(i, t) for i, t in enumerate(corpus(9)) if shingles(t, 3)]
+    ids = spark.createDataFrame(rows, "id long, text string")
+    sets = N.stored(N.full_sets(ids, "id", "text", 3, ids.select("id")))
+    members = ids.selectExpr("id", "id label", "id % 3 > 0 searching")
+    every = {tuple(r) for r in N.partner_pairs(members, sets, 85).collect()}
+    assert {tuple(r) for r in N.partner_pairs(members, sets, 85, hot=7).collect()} == every
+    likeliest = {tuple(r) for r in N.partner_pairs(members, sets, 85, best=True, hot=7).collect()}
+    linked = {x for p in every for x in p if x % 3}
+    assert likeliest <= every and {x for p in likeliest for x in p if x % 3} == linked
+
+
+@pytest.mark.parametrize("most", [3, 5])
+def test_candidates_grow_with_the_classes(spark, monkeypatch, most):
+    compared = []
+
+    def counting(pairs, *rest, plain=N.verify):
+        pairs = N.stored(pairs)
+        compared.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(N, "verify", counting)
+    each = []
+    for size in (400, 1600, 6400):
+        rng = random.Random(most)
+        base = [f"w{i}" for i in range(120)]
+        texts = []
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randrange(most)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+        rows = list(enumerate(texts))
+        compared.clear()
+        out = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=5, percent=80).collect()}
+        each.append((sum(compared) / len(set(texts)), list(compared)))
+        if size == 400:
+            assert out == roots([i for i, _ in rows], links_of(rows, 5, 80))
+    assert each[2][0] < 1.5 * each[0][0] + 2, each
