@@ -33,30 +33,89 @@ def to_long(wide: DataFrame, ids: list[str], prefix: str = "a") -> DataFrame:
     return long.select(*ids, F.substring("column", len(prefix) + 1, 9).cast("int").alias("age"), "value")
 
 
-def pooled_moments(growth: DataFrame, by: list[str], ages=AGES) -> DataFrame:
-    """Mean and covariance within each imputation, averaged over imputations.
+def trajectory_sums(wide: DataFrame, by: list[str], ages=AGES) -> DataFrame:
+    """n, sums and sums of products (upper triangle) of complete trajectories per (by..., imp).
 
-    One row per stratum: ``mean`` array and ``cov`` matrix over the age grid. All imputations and
-    strata are aggregated in one pass with map-side combine. Plain sums of products keep the
-    aggregation buffer at one number per pair, where ``covar_samp`` would keep four.
+    Plain sums of products keep the aggregation buffer at one number per pair, where ``covar_samp`` would keep four.
     """
-    p = len(ages)
     names = [f"a{a}" for a in ages]
-    upper = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = trajectories(growth, by, ages).groupBy(*by, "imp").agg(
+    return wide.groupBy(*by, "imp").agg(
         F.count("*").alias("n"),
         *[F.sum(c).alias(f"s{i}") for i, c in enumerate(names)],
-        *[F.expr(f"sum({names[i]} * {names[j]})").alias(f"q{i}_{j}") for i, j in upper],
+        *[F.expr(f"sum({names[i]} * {names[j]})").alias(f"q{i}_{j}") for i in range(len(names)) for j in range(i, len(names))],
     )
+
+
+def moments_of_sums(sums: DataFrame, by: list[str], ages=AGES) -> DataFrame:
+    """``ages``, ``mean`` and ``cov`` per stratum: moments within each imputation, averaged over imputations."""
+    p = len(ages)
     pooled = sums.groupBy(*by).agg(
         *[F.expr(f"avg(s{i} / n)").alias(f"m{i}") for i in range(p)],
-        *[F.expr(f"avg((q{i}_{j} - s{i} * s{j} / n) / nullif(n - 1, 0))").alias(f"c{i}_{j}") for i, j in upper],
+        *[F.expr(f"avg((q{i}_{j} - s{i} * s{j} / n) / nullif(n - 1, 0))").alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)],
     )
     cov = F.array(*[F.array(*[F.col(f"c{min(i, j)}_{max(i, j)}") for j in range(p)]) for i in range(p)])
     mean = F.array(*[F.col(f"m{i}") for i in range(p)])
     return pooled.select(*by, F.array(*[F.lit(a) for a in ages]).alias("ages"), mean.alias("mean"), cov.alias("cov"))
 
 
+def pooled_moments(growth: DataFrame, by: list[str], ages=AGES) -> DataFrame:
+    """Mean and covariance within each imputation, averaged over imputations: one row per stratum.
+
+    All imputations and strata are aggregated in one pass with map-side combine.
+    """
+    return moments_of_sums(trajectory_sums(trajectories(growth, by, ages), by, ages), by, ages)
+
+
+# Keyed bases ---------------------------------------------------------------------------------
+
+#: The stratum that holds everyone.
+EVERYONE = "both"
+
+
+def keyed_trajectories(growth: DataFrame, strata: DataFrame, ages=AGES) -> DataFrame:
+    """Complete trajectories of every variable, (var, imp, ID, a1, ...), with the ``stratum`` of their subject.
+
+    ``growth``: var, imp, ID, age, value; ``strata``: ID, stratum (one row per subject; others drop out).
+    """
+    return trajectories(growth, ["var"], ages).join(strata.select("ID", "stratum"), "ID")
+
+
+def keyed_basis(wide: DataFrame, ndim: int, ages=AGES) -> DataFrame:
+    """Smoothed components of every variable in every stratum and in all together, as one table of matrices.
+
+    One row per (var, stratum): ages, mean, cov, loadings (ndim x ages), eigenvalues; a basis of fewer dimensions is the first
+    rows of it. Trajectories are summed once by stratum; the sums of everyone are sums of those few rows.
+    """
+    sums = trajectory_sums(wide, ["var", "stratum"], ages)
+    either = sums.withColumn("stratum", F.explode(F.array("stratum", F.lit(EVERYONE))))
+    added = [c for c in sums.columns if c not in ("var", "stratum", "imp")]
+    total = either.groupBy("var", "stratum", "imp").agg(*[F.sum(c).alias(c) for c in added])
+    return fpca(moments_of_sums(total, ["var", "stratum"], ages), ["var", "stratum"], ndim)
+
+
+def keyed_scores(wide: DataFrame, basis: DataFrame, ndim: int, ages=AGES) -> DataFrame:
+    """Scores on the basis of the subject's stratum and on everyone's, in one pass: var, stratum, imp, ID, pc0, ...
+
+    The table of matrices is read as one scalar map, so trajectories are neither joined nor shuffled for it.
+    """
+    both = wide.withColumn("stratum", F.explode(F.array("stratum", F.lit(EVERYONE))))
+    both = both.withColumn("b", by_stratum(basis, ["var", "stratum"], F.struct("mean", "loadings")))
+    return both.select("var", "stratum", "imp", "ID", *_scores(ndim, ages))
+
+
+def _scores(ndim: int, ages) -> list:
+    """pc0, ... of a wide trajectory from the struct ``b`` of its basis."""
+    mean, loadings = F.col("b.mean"), F.col("b.loadings")
+
+    def score(k: int):
+        total = F.lit(0.0)
+        for i, a in enumerate(ages):
+            total = total + (F.col(f"a{a}") - mean[i]) * loadings[k][i]
+        return total.alias(f"pc{k}")
+
+    return [score(k) for k in range(ndim)]
+
+
 def age_variance():
     """Diagonal of the pooled covariance."""
     return F.transform(F.col("cov"), lambda row, i: F.element_at(row, (i + 1).cast("int")))
@@ -111,15 +170,7 @@ def pc_scores(growth: DataFrame, basis: DataFrame, by: list[str], ndim: int, age
         wide = wide.withColumn("b", by_stratum(basis, by, F.struct("mean", "loadings")))
     else:
         wide = wide.withColumn("b", basis.agg(only_row(F.struct("mean", "loadings")).alias("b")).scalar())
-    mean, loadings = F.col("b.mean"), F.col("b.loadings")
-
-    def score(k: int):
-        total = F.lit(0.0)
-        for i, a in enumerate(ages):
-            total = total + (F.col(f"a{a}") - mean[i]) * loadings[k][i]
-        return total.alias(f"pc{k}")
-
-    return wide.select(*by, "imp", "ID", *[score(k) for k in range(ndim)])
+    return wide.select(*by, "imp", "ID", *_scores(ndim, ages))
 
 
 def pack_scores(visits: DataFrame, scores: DataFrame, columns: list[str], outcome: str, extra: list[str] = ()) -> DataFrame:

@@ -26,6 +26,9 @@ cohort0 AS (SELECT c_custkey AS ID, o_orderkey AS visit_id, CAST(o_orderdate AS
   log10(1.0::DOUBLE + o_orderkey % 9) AS lognummeas_BASE10,
   CAST(floor(c_custkey/3.0::DOUBLE) AS BIGINT) AS MomIdUnique,
   150 + (CAST(floor(c_custkey/3.0::DOUBLE) AS BIGINT) % 20) AS Mom_Ht_Ave,
+  CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE (c_acctbal + 50*(o_orderkey % 7))/1000.0::DOUBLE END AS Wealth_Z_2,
+  CASE WHEN CAST(floor(c_custkey/3.0::DOUBLE) AS BIGINT) % 14 = 0 THEN NULL ELSE 18 + (CAST(floor(c_custkey/3.0::DOUBLE) AS BIGINT)*5 % 31)/3.0::DOUBLE END AS Mom_BMI,
+  CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 19 + (c_custkey*7 % 29)/4.0::DOUBLE END AS Dad_BMI,
   CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE 160 + (c_custkey % 25) END AS Dad_Ht_Ave
 FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN li ON l_orderkey = o_orderkey),
 cohort AS (SELECT *, WT / pow(Ht_Ave_Use/100.0::DOUBLE, 2) AS BMI,
@@ -65,6 +68,18 @@ FROM (SELECT k AS imp, user_id AS ID,
       FROM events CROSS JOIN (SELECT range AS k FROM range(20)) r
       WHERE event_id % 20 <> k GROUP BY ALL) t)"""
 
+# Several body sizes: the same averages, height and weight, and what follows from them.
+GROWTH_VARS = """growth_z AS (
+SELECT k AS imp, user_id AS ID, 1 + CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))/3.0::DOUBLE) AS INT) AS age, avg(value) AS z
+FROM events CROSS JOIN (SELECT range AS k FROM range(20)) r WHERE event_id % 20 <> k GROUP BY ALL),
+growth_hw AS (SELECT imp, ID, age, 50 + 6.0::DOUBLE*age + 0.2::DOUBLE*z + ((ID*7) % 13 - 6)*(0.5::DOUBLE + 0.1::DOUBLE*age) AS ht,
+  4 + 2.5::DOUBLE*age + 0.02::DOUBLE*z*(1 + 0.1::DOUBLE*age) + ((ID*11) % 17 - 8)*(0.1::DOUBLE + 0.03::DOUBLE*age) AS wt FROM growth_z),
+growth_vars AS (SELECT 'HT' AS var, imp, ID, age, ht AS value FROM growth_hw UNION ALL SELECT 'WT', imp, ID, age, wt FROM growth_hw
+  UNION ALL SELECT 'BMI', imp, ID, age, wt/pow(ht/100.0::DOUBLE, 2) FROM growth_hw
+  UNION ALL SELECT 'HAZ', imp, ID, age, (ht - (50 + 6.0::DOUBLE*age))/(2 + 0.3::DOUBLE*age) FROM growth_hw
+  UNION ALL SELECT 'WAZ', imp, ID, age, (wt - (4 + 2.5::DOUBLE*age))/(0.8::DOUBLE + 0.25::DOUBLE*age) FROM growth_hw
+  UNION ALL SELECT 'BAZ', imp, ID, age, (wt/pow(ht/100.0::DOUBLE, 2) - 15)/(1.5::DOUBLE + 0.1::DOUBLE*age) FROM growth_hw)"""
+
 VISITS = """visits_ts AS (
 SELECT user_id AS ID, event_id AS visit_id, CAST(ts AS DATE) AS datecomb,
   8 + date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))*0.4::DOUBLE AS Age, user_id % 2 AS Female,

@@ -56,6 +56,9 @@ COHORT_COLUMNS = {
     "Mom_Ht_Ave": f"150 + {MOTHER} % 20",
     "Dad_Ht_Ave": "CASE WHEN c_custkey % 10 <> 0 THEN 160 + c_custkey % 25 END",
     "Mom_SBP_Z_Res_USE": f"CASE WHEN {MOTHER} % 12 <> 0 THEN (({MOTHER} * 7) % 21 - 10) / 10.0D END",
+    "Wealth_Z_2": "CASE WHEN o_orderkey % 23 <> 0 THEN (c_acctbal + 50 * (o_orderkey % 7)) / 1000.0D END",
+    "Mom_BMI": f"CASE WHEN {MOTHER} % 14 <> 0 THEN 18 + ({MOTHER} * 5 % 31) / 3.0D END",
+    "Dad_BMI": "CASE WHEN c_custkey % 11 <> 0 THEN 19 + (c_custkey * 7 % 29) / 4.0D END",
     "Dad_SBP_Z_Res_USE": "CASE WHEN c_custkey % 15 <> 0 THEN ((c_custkey * 3) % 21 - 10) / 10.0D END",
 }
 
@@ -79,8 +82,8 @@ DAY = "datediff(CAST(ts AS DATE), DATE '2024-01-01')"
 AGE_BIN = f"1 + CAST(floor({DAY} / 3.0D) AS INT)"
 
 
-def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imputation k averages a subject's events of one age bin, leaving out residue class k.
+def _left_out_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """imp, ID, age and z: imputation k averages a subject's events of one age bin, leaving out residue class k.
 
     One pass sums each residue class; every imputation is then total minus class,
     so the events are read and shuffled once instead of once per imputation.
@@ -102,10 +105,35 @@ def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
         .selectExpr("imp", "ID", "age", "s", "n", "try_element_at(left_out, imp) AS o")
         .selectExpr("imp", "ID", "age", "s - coalesce(o.s, 0D) AS s", "n - coalesce(o.n, 0) AS n")
         .where("n > 0")
-        .selectExpr("imp", "ID", "age", "50 + 6.0D * age + 0.2D * (s / n) + ((ID * 7) % 13 - 6) * (0.5D + 0.1D * age) AS value")
+        .selectExpr("imp", "ID", "age", "s / n AS z")
     )
 
 
+GROWTH_HEIGHT = "50 + 6.0D * age + 0.2D * z + ((ID * 7) % 13 - 6) * (0.5D + 0.1D * age)"
+GROWTH_WEIGHT = "4 + 2.5D * age + 0.02D * z * (1 + 0.1D * age) + ((ID * 11) % 17 - 8) * (0.1D + 0.03D * age)"
+# The other body sizes from height and weight: index, and distances from a standard in its units.
+GROWTH_DERIVED = {
+    "HT": "ht",
+    "WT": "wt",
+    "BMI": "wt / pow(ht / 100.0D, 2.0D)",
+    "HAZ": "(ht - (50 + 6.0D * age)) / (2 + 0.3D * age)",
+    "WAZ": "(wt - (4 + 2.5D * age)) / (0.8D + 0.25D * age)",
+    "BAZ": "(wt / pow(ht / 100.0D, 2.0D) - 15) / (1.5D + 0.1D * age)",
+}
+
+
+def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completed height trajectories: imp, ID, age, value."""
+    return _left_out_means(spark, sf_dir).selectExpr("imp", "ID", "age", f"{GROWTH_HEIGHT} AS value")
+
+
+def growth_vars(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(GROWTH_DERIVED)) -> DataFrame:
+    """Completed trajectories of several body sizes: var, imp, ID, age, value."""
+    sizes = _left_out_means(spark, sf_dir).selectExpr("imp", "ID", "age", f"{GROWTH_HEIGHT} AS ht", f"{GROWTH_WEIGHT} AS wt")
+    each = ", ".join(f"'{v}', {GROWTH_DERIVED[v]}" for v in names)
+    return sizes.selectExpr(f"stack({len(names)}, {each}) AS (var, value)", "imp", "ID", "age").select("var", "imp", "ID", "age", "value")
+
+
 def visits_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "user_id AS ID",
