@@ -44,6 +44,8 @@ BATCH, MISS = 16, 1e-8
 RARITY, GROUP_ENTRIES = 1 << 18, 200_000
 #: Entries of one shingle from which they are dealt over several tasks.
 HOT_ROWS = 20_000
+#: Entries that a task deals out at a time.
+DEALT = 1 << 18
 #: Ratio of the sizes that one size class holds.
 SIZE_STEP = 1.02
 SEED = 5
@@ -233,41 +235,51 @@ def partner_pairs(members: DataFrame, sets: DataFrame, percent: int, best: bool
             return tokens[again], again, ragged(np.zeros(len(tokens), np.int64), shares), own, doc, probe
         return tokens, place, int(mix(np.array([doc], np.uint64))[0] >> np.uint64(8)) % shares, own, doc, probe
 
+    def entries_of(doc, s, searching):
+        n = len(s)
+        s = s[np.lexsort((s, rarity.value[(s % np.uint64(RARITY)).astype(np.int64)]))]
+        yield spread_out(s[: n - -(-percent * n // 100) + 1], size_class(n), doc, 0)
+        if searching:
+            most = n * 100 // percent
+            for c in range(size_class(max(1, -(-n * percent // 100))), size_class(most) + 1):
+                smallest = max(-(-n * percent // 100), math.ceil(SIZE_STEP**c - 1e-6), 1)
+                prefix = n - need(n, smallest) + 1
+                if prefix > 0:
+                    yield spread_out(s[:prefix], c, doc, 1)
+
+    def dealt(rows_, out):
+        """Payloads by group of some rows (id, label, searching, shingles) and their entries."""
+        lengths = np.array([len(r[0]) for r in out])
+        token, place, share = (np.concatenate([np.asarray(r[k]) for r in out]) for k in range(3))
+        cls, doc, probe = (np.repeat(np.array([r[k] for r in out], np.int64), lengths) for k in range(3, 6))
+        key = mix(token * np.uint64(0x9E3779B97F4A7C15) + cls.astype(np.uint64) + (share.astype(np.uint64) << np.uint64(20)))
+        group = (key % np.uint64(groups)).astype(np.int64)
+        by = np.argsort(group, kind="stable")
+        first = np.flatnonzero(np.diff(group[by], prepend=-1))
+        ids, label, flag = (np.array([r[k] for r in rows_], np.int64) for k in range(3))
+        n, sketches_ = np.array([len(r[3]) for r in rows_], np.int64), [odd_sketch(r[3]) for r in rows_]
+        for a, b in zip(first, np.append(first[1:], len(by)), strict=True):
+            mine = by[a:b]
+            # Each document's sketch travels once with all its entries of a group.
+            docs, entry = np.unique(doc[mine], return_inverse=True)
+            words_ = np.concatenate([sketches_[d] for d in docs])
+            payload = pack(key[mine], place[mine].astype(np.int64), entry.astype(np.int64), probe[mine], ids[docs], label[docs], n[docs], flag[docs], words_)
+            yield pa.RecordBatch.from_arrays([pa.array([group[mine[0]]], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "payload"])
+
     def scatter(batches):
+        rows_, out, held = [], [], 0
         for batch in batches:
-            out, sketches_ = [], []
-            columns = [c.to_pylist() for c in batch.columns]
-            for doc, (searching, value) in enumerate(zip(columns[2], columns[3], strict=True)):
-                s = np.frombuffer(value, np.uint64)
-                n = len(s)
-                sketches_.append(odd_sketch(s))
-                s = s[np.lexsort((s, rarity.value[(s % np.uint64(RARITY)).astype(np.int64)]))]
-                out.append(spread_out(s[: n - -(-percent * n // 100) + 1], size_class(n), doc, 0))
-                if searching:
-                    most = n * 100 // percent
-                    for c in range(size_class(max(1, -(-n * percent // 100))), size_class(most) + 1):
-                        smallest = max(-(-n * percent // 100), math.ceil(SIZE_STEP**c - 1e-6), 1)
-                        prefix = n - need(n, smallest) + 1
-                        if prefix > 0:
-                            out.append(spread_out(s[:prefix], c, doc, 1))
-            if not out:
-                continue
-            lengths = np.array([len(r[0]) for r in out])
-            token, place, share = (np.concatenate([np.asarray(r[k]) for r in out]) for k in range(3))
-            cls, doc, probe = (np.repeat(np.array([r[k] for r in out], np.int64), lengths) for k in range(3, 6))
-            key = mix(token * np.uint64(0x9E3779B97F4A7C15) + cls.astype(np.uint64) + (share.astype(np.uint64) << np.uint64(20)))
-            group = (key % np.uint64(groups)).astype(np.int64)
-            by = np.argsort(group, kind="stable")
-            first = np.flatnonzero(np.diff(group[by], prepend=-1))
-            ids, label = (np.array(columns[k], np.int64) for k in (0, 1))
-            flag, n = np.array(columns[2], np.int64), np.array([len(v) // 8 for v in columns[3]], np.int64)
-            for a, b in zip(first, np.append(first[1:], len(by)), strict=True):
-                mine = by[a:b]
-                # Each document's sketch travels once with all its entries of a group.
-                docs, entry = np.unique(doc[mine], return_inverse=True)
-                words_ = np.concatenate([sketches_[d] for d in docs])
-                payload = pack(key[mine], place[mine].astype(np.int64), entry.astype(np.int64), probe[mine], ids[docs], label[docs], n[docs], flag[docs], words_)
-                yield pa.RecordBatch.from_arrays([pa.array([group[mine[0]]], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "payload"])
+            for id_, label, searching, value in zip(*batch.columns, strict=True):
+                s = np.frombuffer(value.as_py(), np.uint64)
+                for entry in entries_of(len(rows_), s, searching.as_py()):
+                    out.append(entry)
+                    held += len(entry[0])
+                rows_.append((id_.as_py(), label.as_py(), searching.as_py(), s))
+                if held >= DEALT:
+                    yield from dealt(rows_, out)
+                    rows_, out, held = [], [], 0
+        if out:
+            yield from dealt(rows_, out)
 
     def search(group: pa.Table) -> pa.Table:
         parts, before = [], 0
@@ -285,7 +297,7 @@ def partner_pairs(members: DataFrame, sets: DataFrame, percent: int, best: bool
         first, last = np.searchsorted(key[index], key[look], side="left"), np.searchsorted(key[index], key[look], side="right")
         found = [np.zeros(0, np.int64)]
         # A bounded number of pairs at a time.
-        for a, b in chunks(np.append(0, np.cumsum(last - first)), 1 << 20):
+        for a, b in chunks(np.append(0, np.cumsum(last - first)), 1 << 19):
             x = np.repeat(look[a:b], (last - first)[a:b])
             y = index[ragged(first[a:b], (last - first)[a:b])]
             dx, dy = doc[x], doc[y]
