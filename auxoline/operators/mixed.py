@@ -84,8 +84,9 @@ def _mothers(m, theta, treatment: bool, q: int):
 
 def placed(stats: DataFrame, by: list[str]) -> DataFrame:
     """Subject sums by range of (key, mother, subject), in order within partitions, written so that steps find them in place."""
-    firsts = stats.groupBy(*by, "mom").agg(F.min("ID").alias("first_id"))
-    marked = stats.join(firsts, [*by, "mom"]).withColumn("is_first", F.col("ID") == F.col("first_id")).drop("first_id")
+    # Joined by subject, not by mother: a hot mother's subjects meet nowhere.
+    firsts = stats.groupBy(*by, "mom").agg(F.min("ID").alias("ID")).withColumn("is_first", F.lit(True))
+    marked = stats.join(firsts, [*by, "mom", "ID"], "left").fillna(False, ["is_first"])
     parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return durable(marked.repartitionByRange(parts, *by, "mom", "ID").sortWithinPartitions(*by, "mom", "ID"))
 
@@ -237,6 +238,9 @@ class _Search:
     def update(self, fits, tolerance):
         self.steps += 1
         f = np.array([r["llf"] for r in fits])
+        if not self.free:
+            self.best, self.result, self.converged, self.done = f[0], fits[0], True, True
+            return
         if f[0] > self.best:
             self.best, self.at, self.result = f[0], self.trial, fits[0]
             self.grad, self.hess = _slopes(f, len(self.free))
@@ -284,30 +288,168 @@ def fit_mixed(
     if slope_coding not in ("treatment", "symmetric"):
         raise ValueError(slope_coding)
     every = dict(terms) | {k: c for f in factors for k, c in f.terms().items()}
-    treatment, q, names = slope_coding == "treatment", len(every) + 1, list(every)
     zz = totals(df, by, terms, y, factors)
     stats = placed(subject_stats(df, by, every, y), by)
+    fits = fit_placed(stats, zz, by, list(every), {"": list(every)}, slope_coding, max_steps, tolerance, start, fixed)
+    return fits.drop("spec")
+
+
+def fit_placed(
+    stats: DataFrame,
+    zz: dict[tuple, np.ndarray],
+    by: list[str],
+    names: list[str],
+    specs: dict[str, list[str]],
+    slope_coding: str = "treatment",
+    max_steps: int = 40,
+    tolerance: float = 1e-5,
+    start=(-2.0, -2.0, -4.0),
+    fixed: dict[int, float] | None = None,
+) -> DataFrame:
+    """Mixed models on several subsets of the columns ``names`` of the same subject sums: one row per key and ``spec``.
+
+    ``stats`` comes from :func:`placed`, ``zz`` holds Z'Z of each key (columns and outcome). What a candidate removes from Z'Z does not depend
+    on the columns a model takes, so a step of all keys and specifications is one job, and candidates that several of them ask for are worked out once.
+    """
+    if slope_coding not in ("treatment", "symmetric"):
+        raise ValueError(slope_coding)
+    treatment, q = slope_coding == "treatment", len(names) + 1
     counts = stats.groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("n_subj"), F.count_if("is_first").alias("n_mothers"))
     known = {tuple(r[k] for k in by): r for r in counts.collect()}
     fixed = fixed or {}
     first = [fixed.get(i, v) for i, v in enumerate(start)]
-    searches = {k: _Search(first, fixed) for k in known}
+    columns = {spec: np.array([*[names.index(t) for t in terms], q - 1]) for spec, terms in specs.items()}
+    searches = {(k, spec): _Search(first, fixed) for k in known for spec in specs}
     for _ in range(max_steps):
-        active = {k: s.candidates() for k, s in searches.items() if not s.done}
+        active = {at: s.candidates() for at, s in searches.items() if not s.done}
         if not active:
             break
-        parts = likelihood_parts(stats, by, q, active, treatment)
-        for k, cands in active.items():
-            n = known[k]["n"]
-            searches[k].update([profile(zz[k], n, parts[(k, i)]) for i in range(len(cands))], tolerance)
+        asked: dict[tuple, dict[tuple, int]] = {}
+        for (k, _), cands in active.items():
+            rows = asked.setdefault(k, {})
+            for c in cands:
+                rows.setdefault(tuple(c), len(rows))
+        parts = likelihood_parts(stats, by, q, {k: np.array(list(rows)) for k, rows in asked.items()}, treatment)
+        for (k, spec), cands in active.items():
+            at = columns[spec]
+            fits = [_profile_of(zz[k], known[k]["n"], parts[(k, asked[k][tuple(c)])], at) for c in cands]
+            searches[(k, spec)].update(fits, tolerance)
     rows = []
-    for k, s in searches.items():
+    for (k, spec), s in searches.items():
         r = s.result
         rows.append(
-            (*k, names, [float(v) for v in r["est"]], [[float(v) for v in line] for line in r["cov"]], float(r["scale"]))
+            (*k, spec, list(specs[spec]), [float(v) for v in r["est"]], [[float(v) for v in line] for line in r["cov"]], float(r["scale"]))
             + (int(known[k]["n"]), float(r["llf"]), *s.ratios(), int(known[k]["n_subj"]), int(known[k]["n_mothers"]), s.steps, s.converged, s.boundary())
         )
     types = dict(stats.dtypes)
     head = ", ".join(f"{c} {types[c]}" for c in by)
-    schema = f"{head}, {FIT_FIELDS}, psi_mother double, psi_subject double, psi_slope double, n_subj bigint, n_groups bigint, steps int, converged boolean, boundary boolean"
-    return df.sparkSession.createDataFrame(rows, schema)
+    schema = f"{head}, spec string, {FIT_FIELDS}, psi_mother double, psi_subject double, psi_slope double, n_subj bigint, n_groups bigint, steps int, converged boolean, boundary boolean"
+    return stats.sparkSession.createDataFrame(rows, schema)
+
+
+def _profile_of(zz: np.ndarray, n: int, part: np.ndarray, at: np.ndarray) -> dict:
+    """:func:`profile` with the columns ``at`` (the outcome last)."""
+    q = zz.shape[0]
+    if len(at) == q:
+        return profile(zz, n, part)
+    removed = _unpack(part[1:], q)[np.ix_(at, at)]
+    return profile(zz[np.ix_(at, at)], n, np.append(part[0], removed[np.triu_indices(len(at))]))
+
+
+# Early growth as columns of the design ----------------------------------------------------------------
+
+
+def scored_stats(visits: DataFrame, scores: DataFrame, by: list[str], terms: dict[str, Column], y: Column, score_names: list[str]) -> DataFrame:
+    """Subject sums of designs ``terms`` + scores for every key of ``scores`` (by..., ID, scores).
+
+    Scores do not vary between a subject's visits: visits are summed once, and the sums of score columns are multiples of the subject's
+    n and ages. ``zz`` holds the upper triangle of the subject's Z'Z, outcome last.
+    """
+    z = [*terms.values(), y]
+    x = visits.select(F.coalesce(F.col("mom"), -1 - F.col("ID")).alias("mom"), "ID", F.col("age_cen").alias("t"), *[c.cast("double").alias(f"z{i}") for i, c in enumerate(z)])
+    q, k = len(z), len(score_names)
+    base = x.groupBy("mom", "ID").agg(
+        F.count("*").alias("n"), F.sum("t").alias("a"), F.sum(F.col("t") * F.col("t")).alias("aa"),
+        F.array(*[F.sum(f"z{i}") for i in range(q)]).alias("u"), F.array(*[F.sum(F.col("t") * F.col(f"z{i}")) for i in range(q)]).alias("w"),
+        F.array(*[F.sum(F.col(f"z{i}") * F.col(f"z{j}")) for i in range(q) for j in range(i, q)]).alias("m"),
+    )
+    rows = base.join(scores.select(*by, "ID", *score_names), "ID")
+    cell = {}
+    for i in range(q):
+        for j in range(i, q):
+            cell[i, j] = len(cell)
+    order = [*range(q - 1), *[q + s for s in range(k)], q - 1]
+
+    def product(a: int, b: int) -> Column:
+        """Sum over the subject's visits of two design columns; columns from q on are scores."""
+        sa, sb = (F.col(score_names[v - q]) if v >= q else None for v in (a, b))
+        if sa is None and sb is None:
+            return F.col("m")[cell[min(a, b), max(a, b)]]
+        if sa is not None and sb is not None:
+            return sa * sb * F.col("n")
+        return F.col("u")[b] * sa if sb is None else F.col("u")[a] * sb
+
+    spread = lambda of, n: F.array(*[F.col(score_names[v - q]) * F.col(n) if v >= q else F.col(of)[v] for v in order])
+    zz = F.array(*[product(order[i], order[j]) for i in range(len(order)) for j in range(i, len(order))])
+    return rows.select(*by, "mom", "ID", "n", "a", "aa", spread("u", "n").alias("u"), spread("w", "a").alias("w"), zz.alias("zz"))
+
+
+def summed_totals(stats: DataFrame, by: list[str], q: int) -> dict[tuple, np.ndarray]:
+    """Z'Z of each key from the ``zz`` of its subjects, added in Spark: one row per key comes back."""
+    size = q * (q + 1) // 2
+    rows = stats.groupBy(*by).agg(F.array(*[F.sum(F.col("zz")[i]) for i in range(size)]).alias("zz")).collect()
+    return {tuple(r[k] for k in by): _unpack(np.array(r["zz"], dtype=float), q) for r in rows}
+
+
+def fit_scored(visits: DataFrame, scores: DataFrame, by: list[str], terms: dict[str, Column], y: Column, score_names: list[str], specs: dict[str, list[str]], **options) -> DataFrame:
+    """Mixed models of every key of ``scores`` and every specification (term names), from visits that are summed once."""
+    sums = durable(scored_stats(visits, scores, by, terms, y, score_names))
+    names = [*terms, *score_names]
+    zz = summed_totals(sums, by, len(names) + 1)
+    return fit_placed(placed(sums.drop("zz"), by), zz, by, names, specs, **options)
+
+
+# Intercepts only, without Python ------------------------------------------------------------------------
+
+
+def intercept_likelihood(stats: DataFrame, by: list[str], ratios: DataFrame, q: int) -> DataFrame:
+    """by..., psi_mother, psi_subject, n, est, scale and llf of the model with intercepts of mothers and subjects at given variance ratios.
+
+    ``stats``: subject sums with ``zz`` (see :func:`scored_stats`), ``ratios``: psi_mother, psi_subject (a short table, read as one array). With
+    V_i = I + psi_s 11' of a subject and a mother's intercept on top, Woodbury's identity leaves per subject
+    Z'Z - psi_s/(1 + n psi_s) s s' with s = Z'1, and per mother psi_m/(1 + psi_m A) b b' more, where A and b add up n and s over 1 + n psi_s.
+    All of it are sums of column expressions; the normal equations are eliminated in an array column too.
+    """
+    size = q * (q + 1) // 2
+    pairs = [(i, j) for i in range(q) for j in range(i, q)]
+    grid = ratios.agg(F.collect_list(F.struct("psi_mother", "psi_subject"))).scalar()
+    rows = stats.withColumn("r", grid).select("*", F.inline("r")).drop("r")
+    d = 1 + F.col("n") * F.col("psi_subject")
+    keys = [*by, "psi_mother", "psi_subject"]
+    own = rows.select(
+        *keys, "mom", "n", (F.col("n") / d).alias("a_"), F.log(d).alias("l"), F.transform("u", lambda v: v / d).alias("b"),
+        F.array(*[F.col("zz")[k] - F.col("psi_subject") / d * F.col("u")[i] * F.col("u")[j] for k, (i, j) in enumerate(pairs)]).alias("z"),
+    )
+    add = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(c)
+    mothers = own.groupBy(*keys, "mom").agg(F.sum("n").alias("n"), F.sum("a_").alias("a_"), F.sum("l").alias("l"), add("b", q), add("z", size))
+    e = 1 + F.col("psi_mother") * F.col("a_")
+    left = F.array(*[F.col("z")[k] - F.col("psi_mother") / e * F.col("b")[i] * F.col("b")[j] for k, (i, j) in enumerate(pairs)])
+    total = mothers.select(*keys, "n", (F.col("l") + F.log(e)).alias("l"), left.alias("z")).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("l").alias("l"), add("z", size))
+    at = {p: k for k, p in enumerate(pairs)}
+    cell = lambda i, j: F.col("z")[at[min(i, j), max(i, j)]]
+    p = q - 1
+    system = F.array(*[F.array(*[cell(i, j) for j in range(p)], cell(i, p)) for i in range(p)])
+    out = total.withColumn("est", F.transform(eliminated(system, p), lambda row: row[p]))
+    fitted = F.aggregate(F.zip_with("est", F.array(*[cell(i, p) for i in range(p)]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    out = out.withColumn("scale", (cell(p, p) - fitted) / F.col("n"))
+    return out.select(*keys, "n", "est", "scale", (-0.5 * (F.col("n") * (F.log(2 * np.pi * F.col("scale")) + 1) + F.col("l"))).alias("llf"))
+
+
+def eliminated(system: Column, p: int) -> Column:
+    """Gauss-Jordan elimination of an array of p rows (matrix and right-hand sides) whose leading minors are positive."""
+
+    def step(rows: Column, k: Column) -> Column:
+        lead = F.transform(rows[k], lambda v: v / rows[k][k])
+        return F.transform(rows, lambda row, i: F.when(i == k, lead).otherwise(F.zip_with(row, lead, lambda v, w: v - row[k] * w)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), system, step)

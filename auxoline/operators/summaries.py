@@ -113,3 +113,13 @@ def two_level_moments(df: DataFrame, inner: list[str], outer: list[str], value:
     return within.groupBy(*outer).agg(
         F.avg("m").alias("mean"), F.avg("v").alias("var_within"), F.var_pop("m").alias("var_between")
     )
+
+
+def step_counts(df: DataFrame, steps: list[tuple[dict, Column]], subject: str = "ID") -> DataFrame:
+    """Rows and subjects that meet each condition, one row per step with its names: counted per subject first, in one aggregation."""
+    per_subject = df.groupBy(subject).agg(*[F.count_if(ok).alias(f"n{i}") for i, (_, ok) in enumerate(steps)])
+    cells = [
+        F.struct(*[F.lit(v).alias(k) for k, v in names.items()], F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias("records"), F.count_if(F.col(f"n{i}") > 0).alias("subjects"))
+        for i, (names, _) in enumerate(steps)
+    ]
+    return per_subject.agg(F.array(*cells).alias("s")).select(F.inline("s"))

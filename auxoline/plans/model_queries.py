@@ -617,10 +617,16 @@ def exposure_terms() -> dict:
 
 
 def fitted_exposures(spark, df, basis, estimator):
-    """Pooled coefficients and covariance of the exposure terms per sex, fitted, stored and read again."""
+    """Pooled coefficients and covariance of the exposure terms per sex, fitted, stored and read again.
+
+    Of iterative fits, ``converged`` tells whether all that were pooled did, and ``boundary`` whether some ended at the end of its range.
+    """
     fits = durable(estimator(df, ["female", "imp"], exposure_terms(), F.col("sbp")))
     pooled = L.pooled_matrix(L.pool(fits, ["female"]), ["female"])
-    return L.slice_terms(reread_model(spark, pooled, basis, fits, ["female"]), list(K.EXPOSURE_TERMS))
+    model = L.slice_terms(reread_model(spark, pooled, basis, fits, ["female"]), list(K.EXPOSURE_TERMS))
+    if "converged" not in fits.columns:
+        return model
+    return model.join(fits.groupBy("female").agg(F.every("converged").alias("converged"), F.some("boundary").alias("boundary")), "female")
 
 
 @query(
@@ -658,8 +664,9 @@ def growth_contrast_fitted(spark, sf_dir):
     """Pattern contrasts from mixed models fitted by imputation and sex, pooled, stored and reread."""
     basis = written_basis(spark, sf_dir)
     model = fitted_exposures(spark, frame(spark, sf_dir, reused=True, basis=basis), basis, X.fit_mixed)
-    out = K.with_interval(K.pattern_contrasts(durable(model.withColumn("pats", pattern_structs(basis).scalar())), ["female"]))
-    return out.select("female", "size", "shift", "pat", "label", *[r6(c).alias(c) for c in ("est", "se", "z", "p", "lower", "upper")])
+    flags = ["converged", "boundary"]
+    out = K.with_interval(K.pattern_contrasts(durable(model.withColumn("pats", pattern_structs(basis).scalar())), ["female", *flags]))
+    return out.select("female", "size", "shift", "pat", "label", *[r6(c).alias(c) for c in ("est", "se", "z", "p", "lower", "upper")], *flags)
 
 
 @query("mediation_effects_fitted")

@@ -72,58 +72,6 @@ def gp_impute_grid(spark, sf_dir):
     return P.impute_grid(series, grid, ["Female"], BODY, P.usable(fits), T.N_IMP, "HT")
 
 
-FIXED = P.ProcessModel(mean=(), scale=(), smooth=())
-# The first and last ages of each subject, and a process with its sex's mean, spread and age variance as parameters.
-ENDS_SQL = f"""WITH {GROWTH_OBS}, o AS (SELECT ID, Female, round_even(Age, 3) AS t, HT FROM growth_obs),
-    p AS (SELECT Female, avg(HT) AS b, stddev_samp(HT) AS s, var_samp(t) AS u FROM o GROUP BY Female),
-    a AS (SELECT ID, Female, t, avg(HT) AS y FROM o GROUP BY ID, Female, t),
-    e AS (SELECT ID, Female, min(t) AS t1, max(t) AS t2, arg_min(y, t) AS y1, arg_max(y, t) AS y2 FROM a GROUP BY ID, Female)"""
-
-
-def fixed_process(spark, sf_dir):
-    """Childhood heights, and per sex a process whose parameters are simple moments."""
-    obs = durable(T.growth_obs(spark, sf_dir).withColumn("Age", round_even("Age", 3)))
-    moments = obs.groupBy("Female").agg(F.avg("HT").alias("b"), F.log(F.stddev_samp("HT")).alias("s"), F.log(F.var_samp("Age")).alias("u"))
-    fits = {(r["Female"],): P.ProcessFit(np.array([r["b"]]), np.array([r["s"], r["u"]])) for r in moments.collect()}
-    ends = obs.groupBy("ID").agg(F.min("Age").alias("t1"), F.max("Age").alias("t2"))
-    return obs.join(ends, "ID"), fits
-
-
-@query(
-    "gp_llf_fixed",
-    ENDS_SQL + """, k AS (SELECT Female, t1 = t2 AS one, y1 - b AS r1, y2 - b AS r2, s*s*(1 + 1e-8::DOUBLE) AS d, s*s*exp(-(t1 - t2)*(t1 - t2)/(2*u)) AS c FROM e JOIN p USING (Female))
-    SELECT Female, count(*) AS n_subj, round(sum(-0.5::DOUBLE*CASE WHEN one THEN r1*r1/d + ln(d) + ln(2*pi())
-      ELSE (d*r1*r1 - 2*c*r1*r2 + d*r2*r2)/(d*d - c*c) + ln(d*d - c*c) + 2*ln(2*pi()) END), 3) AS llf FROM k GROUP BY Female""",
-)
-def gp_llf_fixed(spark, sf_dir):
-    """Likelihood of every subject's first and last height under fixed parameters, per sex."""
-    obs, fits = fixed_process(spark, sf_dir)
-    series = durable(P.subject_series(obs.where("Age IN (t1, t2)"), ["Female"], FIXED, "HT"))
-    sums = P.likelihood_sums(series, ["Female"], FIXED, {k: [f] for k, f in fits.items()})
-    values = spark.createDataFrame([(k[0], float(v[0])) for k, v in sums.items()], "sex bigint, llf double")
-    counts = series.groupBy("Female").agg(F.count("*").alias("n_subj"))
-    return counts.withColumn("llf", F.round(by_stratum(values.withColumnRenamed("sex", "Female"), ["Female"], F.col("llf")), 3))
-
-
-@query(
-    "gp_conditional_mean",
-    ENDS_SQL + """, g AS (SELECT ID, range AS age, b, y1 - b AS r, s*s AS v, s*s*(1 + 1e-8::DOUBLE) AS d, s*s*exp(-(t1 - range)*(t1 - range)/(2*u)) AS c
-      FROM e JOIN p USING (Female), range(1, 11))
-    SELECT ID, age::INTEGER AS age, round(b + c/d*r, 2) AS mean, round(sqrt(greatest(v - c*c/d, 0)), 2) AS sd FROM g""",
-)
-def gp_conditional_mean(spark, sf_dir):
-    """Mean and spread of height at ages 1..10 given a subject's first height, under fixed parameters."""
-    obs, fits = fixed_process(spark, sf_dir)
-    series = P.subject_series(obs.where("Age = t1"), ["Female"], FIXED, "HT")
-    ones = F.array(F.lit(1.0))
-    targets = F.array(*[F.struct(F.lit(float(a)).alias("t"), ones.alias("s"), ones.alias("u")) for a in G.AGES])
-    asked = series.withColumn("targets", targets).withColumn("e", F.array().cast("array<array<double>>"))
-    known = P.conditional_series(asked, ["Female"], FIXED, fits)
-    beta = P.beta_column(fits, ["Female"])[0]
-    rows = known.select("ID", beta.alias("b"), F.inline(F.arrays_zip("t", "z", "sd")))
-    return rows.select("ID", F.col("t").cast("int").alias("age"), F.round(F.col("b") + F.col("z"), 2).alias("mean"), F.round("sd", 2).alias("sd"))
-
-
 NOISY = P.ProcessModel(mean=(), scale=(), smooth=(), noise=True)
 # Every row of each subject, and one column per grid age. A step of ``e`` eliminates a subject's first row; what it leaves is the
 # covariance given the rows before, so sums over the pivots are the log determinant, the quadratic form and the conditional moments.

@@ -8,7 +8,11 @@ from auxoline.operators import clean as C
 from auxoline.operators import contrasts as K
 from auxoline.operators import growth as G
 from auxoline.operators import linear as L
+from auxoline.operators import design as D
+from auxoline.operators import mixed as X
 from auxoline.operators import specs as S
+from auxoline.operators import summaries as S0
+from auxoline.operators import visits as V
 from auxoline.plans.cohort_queries import BODY_SIZES, LEVEL_COLUMNS, SPEC_BP, cleaned, r6
 from auxoline.plans.growth_queries import moments_sql
 from auxoline.plans.registry import query
@@ -302,3 +306,119 @@ def coef_trajectory_fpca(spark, sf_dir):
     own = basis.select("var", F.col("stratum").alias("sex"), "ages", "loadings")
     out = K.coefficient_trajectory(model.join(own, ["var", "sex"]), keys, 1)
     return out.select(*keys, "age", *[F.round(c, 5).alias(c) for c in ("est", "se", "lower", "upper")])
+
+
+# Mixed models on the keyed components ---------------------------------------------------------------
+
+MIXED_COLUMNS = ["SBP_MEAN", "age_x", "age_cen", "HT_cen", "BMI_cen", "Wealth_Z"]
+
+
+def mixed_visits(spark, sf_dir):
+    """Complete visits of the mixed models, by subject and mother."""
+    visits = spec_visits(spark, sf_dir)
+    for c in MIXED_COLUMNS:
+        visits = visits.where(F.col(c).isNotNull())
+    return visits.withColumn("mom", F.col("MomIdUnique")), visits
+
+
+@query("select_dim_fitted")
+def select_dim_fitted(spark, sf_dir):
+    """Dimension of early growth by the mixed models' likelihood, per body size and control for current size (mean over imputations, 3 a dimension).
+
+    One- and two-dimensional models, with and without current size, are column subsets of the same subject sums and step together.
+    """
+    visits, every = mixed_visits(spark, sf_dir)
+    scores = keyed(spark, sf_dir, every, BODY_SIZES, 2)[1].where(f"stratum = '{G.EVERYONE}'")
+    terms = D.intercept() | D.linear("age_x", *SIZE)
+    specs = {f"{n}|{int(c)}": ["Intercept", "age_x", *(SIZE if c else []), *[f"pc{k}" for k in range(n)]] for n in (1, 2) for c in (False, True)}
+    fits = X.fit_scored(visits, scores, ["var", "imp"], terms, F.col("SBP_MEAN"), ["pc0", "pc1"], specs)
+    axes = F.split("spec", "[|]")
+    fits = durable(fits.withColumns({"ndim": axes[0].cast("int"), "control": axes[1].cast("int")}))
+    mean = fits.groupBy("var", "control", "ndim").agg(F.avg("llf").alias("llf"))
+    flags = fits.groupBy("var", "control").agg(F.every("converged").alias("converged"), F.some("boundary").alias("boundary"))
+    return L.select_dimension(mean, ["var", "control"]).join(flags, ["var", "control"]).select("var", "control", "ndim", F.round("score", 4).alias("score"), "converged", "boundary")
+
+
+#: Variance ratios (mother, subject) at which the closed-form likelihood is tabulated.
+RATIOS = [(m, s) for m in (0.0, 0.25, 1.0) for s in (0.1, 0.5, 2.0)]
+
+
+@query(
+    "mixed_llf_intercept",
+    f"""WITH RECURSIVE {keyed_sql(GRID_VARS, False)}, {VISIT_SQL},
+    x AS (SELECT p.k, p.imp, v.ID, coalesce(MomIdUnique, -1 - v.ID) AS mom, [1.0::DOUBLE, age_x, pc0, SBP_MEAN] AS z FROM vis v JOIN pcs p ON p.ID = v.ID
+      WHERE split_part(k, '|', 2) = 'both' AND {' AND '.join(f'{c} IS NOT NULL' for c in MIXED_COLUMNS if c != 'age_cen')}),
+    su AS (SELECT k, imp, mom, ID, count(*) AS n, [{', '.join(f'sum(z[{i}])' for i in range(1, 5))}] AS u,
+      [{', '.join('[' + ', '.join(f'sum(z[{i}]*z[{j}])' for j in range(1, 5)) + ']' for i in range(1, 5))}] AS zz FROM x GROUP BY ALL),
+    ra AS (SELECT * FROM (VALUES {', '.join(f'({m}::DOUBLE, {s}::DOUBLE)' for m, s in RATIOS)}) t(pm, ps)),
+    so AS (SELECT k, imp, pm, ps, mom, n, n/(1 + n*ps) AS a, ln(1 + n*ps) AS l, list_transform(u, lambda v: v/(1 + n*ps)) AS b,
+      list_transform(zz, lambda r, i: list_transform(r, lambda v, j: v - ps/(1 + n*ps)*u[i]*u[j])) AS z FROM su, ra),
+    mo AS (SELECT k, imp, pm, ps, mom, sum(n) AS n, sum(a) AS a, sum(l) AS l, [{', '.join(f'sum(b[{i}])' for i in range(1, 5))}] AS b,
+      [{', '.join('[' + ', '.join(f'sum(z[{i}][{j}])' for j in range(1, 5)) + ']' for i in range(1, 5))}] AS z FROM so GROUP BY ALL),
+    mz AS (SELECT k, imp, pm, ps, n, l + ln(1 + pm*a) AS l, list_transform(z, lambda r, i: list_transform(r, lambda v, j: v - pm/(1 + pm*a)*b[i]*b[j])) AS z FROM mo),
+    tz AS MATERIALIZED (SELECT k, imp, pm, ps, sum(n) AS n, sum(l) AS l, [{', '.join('[' + ', '.join(f'sum(z[{i}][{j}])' for j in range(1, 5)) + ']' for i in range(1, 5))}] AS z FROM mz GROUP BY ALL),
+    ge AS (SELECT *, 1 AS step, z AS a FROM tz UNION ALL SELECT * EXCLUDE (step, a), step + 1,
+      list_transform(a, lambda r, i: CASE WHEN i <= step THEN r ELSE list_transform(r, lambda e, j: e - r[step]*a[step][j]/a[step][step]) END) FROM ge WHERE step <= 3)
+    SELECT split_part(k, '|', 1) AS var, imp, pm AS psi_mother, ps AS psi_subject, n::BIGINT AS n, round(a[4][4]/n, 4) AS scale,
+      round(-0.5::DOUBLE*(n*(ln(2*pi()*a[4][4]/n) + 1) + l), 3) AS llf FROM ge WHERE step = 4""",
+)
+def mixed_llf_intercept(spark, sf_dir):
+    """Likelihood of blood pressure with intercepts of mothers and subjects at fixed variance ratios, in closed form, per body size and imputation."""
+    visits, every = mixed_visits(spark, sf_dir)
+    scores = keyed(spark, sf_dir, every, GRID_VARS, 1)[1].where(f"stratum = '{G.EVERYONE}'")
+    stats = X.scored_stats(visits, scores, ["var", "imp"], D.intercept() | D.linear("age_x"), F.col("SBP_MEAN"), ["pc0"])
+    out = X.intercept_likelihood(stats, ["var", "imp"], spark.createDataFrame(RATIOS, "psi_mother double, psi_subject double"), 4)
+    return out.select("var", "imp", "psi_mother", "psi_subject", "n", F.round("scale", 4).alias("scale"), F.round("llf", 3).alias("llf"))
+
+
+# What imputation starts from -----------------------------------------------------------------------
+
+#: Body sizes imputed up to this age, puberty from that age on, and the covariates of each puberty variable by sex.
+MAX_BODY_AGE, MIN_PUBERTY_AGE, CARRY_DAYS = 11, 8, 90
+PUBERTY = {"Breast_Stage_Use_Z": (1, ["HT", "WT"]), "log2T_use_Z": (0, ["HT", "WT", "BMI"])}
+IMPUTED_SIZES = ("HT", "WT", "BMI")
+
+
+def funnel_steps() -> list[tuple[dict, str]]:
+    """Names and condition of every step, for each imputed variable and sex it is imputed for."""
+    out = []
+
+    def chain(var, female, steps):
+        cond = f"Female = {female}"
+        for i, (label, more) in enumerate(steps):
+            cond = f"{cond} AND {more}"
+            out.append(({"var": var, "female": female, "step": i, "label": label}, cond))
+
+    for var in IMPUTED_SIZES:
+        for female in (0, 1):
+            chain(var, female, [("loaded", "TRUE"), ("subjects with blood pressure", f"has_sbp AND Age IS NOT NULL AND {var} IS NOT NULL"), ("younger ages", f"Age <= {MAX_BODY_AGE}")])
+    for var, (female, others) in PUBERTY.items():
+        known = " AND ".join(f"{c} IS NOT NULL" for c in others)
+        chain(var, female, [("loaded", "TRUE"), ("old enough", f"Age >= {MIN_PUBERTY_AGE}"), ("covariates known", known), ("used to fit", f"{var}_filled")])
+    return out
+
+
+def _funnel_sql() -> str:
+    near = "".join(
+        f""", EXISTS (SELECT 1 FROM clean o WHERE o.ID = c.ID AND o.{v} IS NOT NULL AND o.Age >= {MIN_PUBERTY_AGE} AND o.Female = c.Female
+        AND abs(date_diff('day', o.datecomb, c.datecomb)) < {CARRY_DAYS}) AS {v}_filled"""
+        for v in PUBERTY
+    )
+    rows = " UNION ALL ".join(
+        f"SELECT '{n['var']}' AS var, {n['female']} AS female, {n['step']} AS step, '{n['label']}' AS label, count(*) AS records, count(DISTINCT ID) AS subjects FROM c WHERE {cond}"
+        for n, cond in funnel_steps()
+    )
+    return f"WITH {CLEAN}, s AS (SELECT DISTINCT ID FROM clean WHERE SBP_MEAN IS NOT NULL), c AS (SELECT c.*, c.ID IN (SELECT ID FROM s) AS has_sbp{near} FROM clean c) {rows}"
+
+
+@query("imputation_funnels", _funnel_sql())
+def imputation_funnels(spark, sf_dir):
+    """Records and subjects left at each step before body sizes and puberty are imputed; a puberty value is known if another lies within 90 days."""
+    visits = durable(cleaned(spark, sf_dir).select("ID", "visit_id", "datecomb", "Female", "Age", "SBP_MEAN", *IMPUTED_SIZES, *PUBERTY))
+    old = visits.where(f"Age >= {MIN_PUBERTY_AGE}")
+    for var in PUBERTY:
+        filled = V.nearest_fill(old.select("ID", "visit_id", "datecomb", var), var, CARRY_DAYS)
+        visits = visits.join(filled.select("ID", "visit_id", F.col(f"{var}_filled").isNotNull().alias(f"{var}_filled")), ["ID", "visit_id"], "left")
+    have = visits.groupBy("ID").agg(F.bool_or(F.col("SBP_MEAN").isNotNull()).alias("has_sbp"))
+    out = S0.step_counts(visits.join(have, "ID"), [(n, F.expr(c)) for n, c in funnel_steps()])
+    return out.select("var", "female", "step", "label", "records", "subjects")

@@ -153,3 +153,54 @@ def test_boundary_and_unfinished_fits_are_told(spark):
     assert r.boundary and 0.0 in (r.psi_mother, r.psi_slope)
     early = X.fit_mixed(frame(spark, family_data(0)), ["imp"], terms(), F.col("y"), max_steps=2).first()
     assert not early.converged
+
+
+def nested_scores(rows, keys=2):
+    rng = np.random.default_rng(11)
+    ids = sorted({r[2] for r in rows})
+    return [(k, i, float(rng.normal()), float(rng.normal())) for k in range(keys) for i in ids]
+
+
+def test_nested_designs_share_subject_sums_and_jobs(spark):
+    """Every column subset fitted from shared sums equals its own fit, in as many jobs as the largest alone."""
+    rows, scores = family_data(5), nested_scores(family_data(5))
+    df, s = frame(spark, rows).drop("imp"), spark.createDataFrame(scores, "imp long, ID long, pc0 double, pc1 double")
+    specs = {"one": ["Intercept", "x", "pc0"], "two": ["Intercept", "x", "pc0", "pc1"], "none": ["Intercept"]}
+    tracker = spark.sparkContext.statusTracker()
+
+    def fitted(name, some, **options):
+        spark.sparkContext.setJobGroup(name, name)
+        out = X.fit_scored(df, s, ["imp"], D.intercept() | D.linear("x"), F.col("y"), ["pc0", "pc1"], some, **options).collect()
+        return {(r.imp, r.spec): r for r in out}, len(tracker.getJobIdsForGroup(name))
+
+    got, _ = fitted("all", specs)
+    assert set(got) == {(k, n) for k in (0, 1) for n in specs}
+    _, few = fitted("three steps", {"two": specs["two"]}, max_steps=3)
+    _, many = fitted("three steps of all", specs, max_steps=3)
+    assert few == many
+    spark.sparkContext.setJobGroup("other", "other")
+    pcs = {(k, i): (p, q) for k, i, p, q in scores}
+    for (k, name), r in got.items():
+        flat = spark.createDataFrame([(k, *x[1:], *pcs[k, x[2]]) for x in rows], "imp long, mom long, ID long, age_cen double, x double, y double, pc0 double, pc1 double")
+        every = D.intercept() | D.linear("x", "pc0", "pc1")
+        alone = X.fit_mixed(flat, ["imp"], {t: every[t] for t in specs[name]}, F.col("y")).first()
+        assert r.terms == specs[name] and r.llf == pytest.approx(alone.llf, abs=1e-5) and r.est == pytest.approx(alone.est, abs=1e-3)
+
+
+def test_intercept_likelihood_is_the_dense_one(spark):
+    rows = [(0, m, i, 0.0, x, y) for _, m, i, _, x, y in family_data(6, big=True)]
+    s = spark.createDataFrame([(k, i, p) for k, i, p, _ in nested_scores(rows)], "imp long, ID long, pc0 double")
+    stats = X.scored_stats(frame(spark, rows).drop("imp"), s, ["imp"], D.intercept() | D.linear("x"), F.col("y"), ["pc0"])
+    ratios = [(0.0, 0.3), (0.7, 0.2), (2.0, 1.0)]
+    out = X.intercept_likelihood(stats, ["imp"], spark.createDataFrame(ratios, "psi_mother double, psi_subject double"), 4).collect()
+    assert len(out) == 6
+    pcs = {(r.imp, r.ID): r.pc0 for r in s.collect()}
+    for r in out:
+        dense = [(0, m, i, pcs[r.imp, i], x, y) for _, m, i, _, x, y in rows]
+        llf, b, _, scale = dense_llf(dense, (r.psi_mother, r.psi_subject, 0.0))
+        assert r.llf == pytest.approx(llf, abs=1e-7) and r.scale == pytest.approx(scale) and r.n == len(rows)
+        assert [r.est[0], r.est[1], r.est[2]] == pytest.approx(list(b), abs=1e-8)
+        flat = spark.createDataFrame([(0, m, i, 0.0, x, y, pcs[r.imp, i]) for _, m, i, _, x, y in rows], "imp long, mom long, ID long, age_cen double, x double, y double, pc0 double")
+        if r.psi_mother:
+            same = X.fit_mixed(flat, ["imp"], D.intercept() | D.linear("x", "pc0"), F.col("y"), fixed={0: np.log(r.psi_mother), 1: np.log(r.psi_subject), 2: -60.0}, max_steps=1).first()
+            assert r.llf == pytest.approx(same.llf, abs=1e-6)

@@ -66,3 +66,22 @@ def test_whole_table_against_sql(spark, sf, name):
     assert want and rows_of([tuple(r) for r in df.select(cols).collect()], cols) == want
     if name == "gp_llf_all_ages":
         assert sum(r.n_obs for r in df.collect()) == con.sql("select count(*) from events").fetchall()[0][0]
+
+
+def test_two_ages_have_a_closed_form(spark):
+    """Without noise: the likelihood of a first and last height, and heights given the first."""
+    rng = np.random.default_rng(9)
+    model, fit = P.ProcessModel(mean=(), scale=(), smooth=()), P.ProcessFit(np.array([60.0]), np.array([np.log(7.0), np.log(4.0)]))
+    rows = [(0, i, float(t), float(60 + 5 * rng.normal())) for i in range(6) for t in ((2.0 + i, 2.5 + 1.5 * i) if i else (3.0,))]
+    obs = spark.createDataFrame(rows, "Female long, ID long, Age double, HT double")
+    s2, u = 49.0, 4.0
+    d, want = s2 * (1 + 1e-8), 0.0
+    for i in range(6):
+        t, r = np.array([x[2] for x in rows if x[1] == i]), np.array([x[3] - 60 for x in rows if x[1] == i])
+        if len(t) == 1:
+            want += -0.5 * (r[0] ** 2 / d + np.log(d) + np.log(2 * np.pi))
+        else:
+            c = s2 * np.exp(-((t[0] - t[1]) ** 2) / (2 * u))
+            want += -0.5 * ((d * r[0] ** 2 - 2 * c * r[0] * r[1] + d * r[1] ** 2) / (d * d - c * c) + np.log(d * d - c * c) + 2 * np.log(2 * np.pi))
+    sums = P.likelihood_sums(P.subject_series(obs, ["Female"], model, "HT"), ["Female"], model, {(0,): [fit]})
+    assert float(sums[0, 0][0]) == pytest.approx(want, abs=1e-6)

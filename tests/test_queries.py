@@ -13,7 +13,7 @@ from check import TABLES, rows_of
 CROSS_SECTION = [
     "cohort_view", "cohort_funnel", "modal_sex", "zscores", "table_one", "age_sex_stats", "asof_nearest_fill_3_days",
     "covariate_levels", "fpca_loadings", "analysis_frame", "bspline_basis", "rubin_pool", "growth_contrast", "effect_grid",
-    "gp_llf_fixed", "gp_conditional_mean", "coef_trajectory_fitted",
+    "coef_trajectory_fitted", "complete_case_lattice", "fpca_keyed", "pc_scores_fpca", "imputation_funnels",
 ]
 
 
@@ -22,7 +22,7 @@ def test_every_oracle_has_a_query():
     rows_only = {q for q in set(entry.queries()) - set(entry.oracle_sql()) if not re.match(r"op\d+_|pipeline$", q)}
     assert rows_only == {
         "gp_fit", "gp_fit_visits", "gp_impute_grid", "gp_impute_missing", "mediator_simulation", "mixed_fit",
-        "growth_contrast_fitted", "mediation_effects_fitted", "mediation_grid", "mixed_fit_full", "mixed_pool", "fpca_from_draws",
+        "growth_contrast_fitted", "mediation_effects_fitted", "mediation_grid", "mixed_fit_full", "mixed_pool", "fpca_from_draws", "select_dim_fitted",
     }
 
 
