@@ -1,4 +1,7 @@
-"""Connected components by alternating large and small stars over edges that tasks contract first; no node's neighbours are gathered."""
+"""Connected components by alternating large and small stars over edges that tasks contract first.
+
+No node's neighbours are gathered. Only once no more than WHOLE edges are left, a bound that does not grow with the input, one task contracts them.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +14,8 @@ from auxoline.session import durable
 
 #: A node with at least this share of all rows of a round, and this many, is a hub; 1 / HUB_SHARE bounds the table of hubs that is broadcast.
 HUB_SHARE, HUB_LEAST = 1 / 1000, 1000
-#: Edges that a task contracts at a time.
-CHUNK = 1 << 20
+#: Edges that a task contracts at a time, and so many that one task may finish (16 bytes each).
+CHUNK = WHOLE = 1 << 20
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,9 +77,12 @@ def components(edges: DataFrame) -> DataFrame:
     # Edges are a few bytes a node: an eighth of the partitions that shuffles of whole rows need is enough for them.
     parts = max(8, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     given = edges.select(F.greatest("a", "b").cast("bigint").alias("a"), F.least("a", "b").cast("bigint").alias("b")).filter("a > b")
-    now = durable(contracted(given).distinct().coalesce(parts))
+    now = durable(contracted(given.coalesce(parts)).distinct().coalesce(parts))
     mark = _mark(now)
-    while mark[0]:
+    if mark[0] <= WHOLE:
+        now = durable(contracted(now.coalesce(1)))
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n")))
         large = _beside_least(both.filter("b > a"), least, 2 * mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

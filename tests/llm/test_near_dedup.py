@@ -95,10 +95,12 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_components_with_hubs_and_more_links(spark, monkeypatch):
+@pytest.mark.parametrize("whole", [-1, 1 << 20])
+def test_components_with_hubs_and_more_links(spark, monkeypatch, whole):
     from auxoline.llm import components as C
 
     monkeypatch.setattr(C, "HUB_LEAST", 5)
+    monkeypatch.setattr(C, "WHOLE", whole)
     monkeypatch.setattr(C, "HUB_SHARE", 1 / 100)
     rng = random.Random(3)
     edges = [(5000, i) for i in range(100, 160)] + [(3, i) for i in range(200, 260)] + [(150, 230)] + [(rng.randrange(6000, 6100), rng.randrange(6000, 6100)) for _ in range(70)]
@@ -106,6 +108,9 @@ def test_components_with_hubs_and_more_links(spark, monkeypatch):
     found = C.components(spark.createDataFrame(edges, "a long, b long").repartition(7))
     want = roots({x for e in edges for x in e}, edges)
     assert {r.node: r.root for r in found.collect()} == {n: r for n, r in want.items() if n != r}
+    if whole < 0:
+        # Star rounds end on an empty graph too.
+        assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
     every = roots({x for e in edges + more for x in e}, edges + more)
     assert {r.node: r.root for r in C.joined(found, spark.createDataFrame(more, "a long, b long")).collect()} == {n: r for n, r in every.items() if n != r}
 
