@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auxoline.llm.flat import LOWER, chunks, flat_bytes, span_hashes, word_table, words
+from auxoline.llm.flat import LOWER, chunks, flat_bytes, mix, span_hashes, word_table, words
 from auxoline.llm.frames import fresh
 from auxoline.llm.registry import query, table
 
@@ -61,17 +61,42 @@ class TestIndex:
         self.place = self.start - counts[:-1][item[self.start]] if len(self.start) else self.start
         self.deepest = int((self.end - self.start).max()) if len(self.start) else 0
         self.min_words = int(self.length.min()) if len(self.start) else 0
+        self._collapse()
         self.head = min(self.min_words, 4)
         self.heads = np.unique(self._head(self.tokens, self.start)) if self.head else np.zeros(0, np.uint64)
 
+    def _collapse(self) -> None:
+        """Equal windows become one: ``distinct`` numbers a test suffix of each, and ``owners`` the set of items that hold it.
+
+        ``item_sets`` lists the sets without repeats, so that a passage of many items is one set for all its windows."""
+        self.deep = int(self.length.max()) if len(self.start) else 0
+        self.item_sets, self.distinct, self.owners = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(self.start):
+            return
+        window = mix(self.length.astype(np.uint64))
+        for j in range(self.deep):
+            inside = np.flatnonzero(j < self.length)
+            window[inside] = mix(window[inside] * np.uint64(0x9E3779B97F4A7C15) + self.vocabulary[self.tokens[self.start[inside] + j] - 1])
+        _, self.distinct, name = np.unique(window, return_index=True, return_inverse=True)
+        pairs = np.unique(np.stack([name, self.item], 1), axis=0)
+        cut = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1))
+        sets: dict[bytes, int] = {}
+        self.owners = np.zeros(len(self.distinct), np.int64)
+        for k, part in enumerate(np.split(pairs[:, 1], cut[1:])):
+            key = part.tobytes()
+            if key not in sets:
+                sets[key] = len(self.item_sets)
+                self.item_sets.append(part)
+            self.owners[k] = sets[key]
+
     def _head(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.zeros(len(at), np.uint64)
         for j in range(self.head):
             out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ tokens[at + j].astype(np.uint64)
         return out
 
-    def suffix_array(self, tokens: np.ndarray) -> np.ndarray:
-        """Places of the shard's suffixes that can match, in suffix order as deep as the longest test suffix."""
+    def suffix_array(self, tokens: np.ndarray, depth: int) -> np.ndarray:
+        """Places of the shard's suffixes that can match, in suffix order as far as their first ``depth`` words."""
         n = len(tokens) - self.deepest - 1
         ok = tokens[:n] > 0
         for j in range(1, self.head):
@@ -81,10 +106,10 @@ class TestIndex:
         slot = np.minimum(np.searchsorted(self.heads, heads), len(self.heads) - 1)
         at = at[self.heads[slot] == heads]
         rank, open_ = np.zeros(len(at), np.int64), np.arange(len(at))
-        for depth in range(self.deepest):
+        for word in range(depth):
             if not len(open_):
                 break
-            key = (rank[open_] << 32) | tokens[at[open_] + depth]
+            key = (rank[open_] << 32) | tokens[at[open_] + word]
             order = np.argsort(key, kind="stable")
             open_, key = open_[order], key[order]
             new = np.empty(len(key), bool)
@@ -100,7 +125,7 @@ class TestIndex:
             block_first = np.flatnonzero(block)[np.cumsum(block) - 1]
             rank[open_] = base + first[group] - block_first
             size = np.diff(np.append(first, len(key)))
-            going = tokens[at[open_] + depth] > 0
+            going = tokens[at[open_] + word] > 0
             open_ = open_[(size[group] > 1) & going]
         return at[np.argsort(rank, kind="stable")]
 
@@ -139,34 +164,40 @@ class TestIndex:
             tokens[np.arange(len(hashes)) + doc] = np.where(self.vocabulary[slot] == hashes, slot + 1, 0)
         return tokens, counts, np.repeat(np.arange(n_docs), np.diff(counts) + 1)
 
-    def searched(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def searched(self, tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """The shard's suffix array, and the test suffixes whose first words occur in it."""
         if not len(self.start):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        array = self.suffix_array(tokens)
+        array = self.suffix_array(tokens, depth)
         return array, np.flatnonzero(np.isin(self._head(self.tokens, self.start), self._head(tokens, array)))
 
     def hits(self, low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word counts, a hit flag per word, and (document, item) pairs without repeats."""
         tokens, counts, doc = self.shard(low, offsets)
-        array, which = self.searched(tokens)
+        array, which = self.searched(tokens, self.deep)
+        # Each different window once; a place of the shard matches at most one of every length.
+        window = np.flatnonzero(np.isin(self.distinct, which))
+        which = self.distinct[window]
         limit = self.length[which]
         first, last = self.bound(which, array, tokens, limit, False), self.bound(which, array, tokens, limit, True)
         found = last - first
         at = array[np.repeat(first - np.concatenate([[0], np.cumsum(found)[:-1]]), found) + np.arange(found.sum())] if found.sum() else np.zeros(0, np.int64)
-        which = np.repeat(which, found)
         edges = np.zeros(len(tokens) + 1, np.int64)
         np.add.at(edges, at, 1)
-        np.add.at(edges, at + self.length[which], -1)
+        np.add.at(edges, at + np.repeat(limit, found), -1)
         covered = np.cumsum(edges)[: len(doc)] > 0
         place = np.arange(int(counts[-1])) + np.repeat(np.arange(len(offsets) - 1), np.diff(counts))
-        pairs = np.unique(np.stack([doc[at], self.item[which]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+        if not len(at):
+            return counts, covered[place], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = np.unique(np.stack([doc[at], np.repeat(self.owners[window], found)], 1), axis=0)
+        sizes = np.array([len(self.item_sets[o]) for o in held[:, 1]])
+        pairs = np.unique(np.stack([np.repeat(held[:, 0], sizes), np.concatenate([self.item_sets[o] for o in held[:, 1]])], 1), axis=0)
         return counts, covered[place], pairs[:, 0], pairs[:, 1]
 
     def longest(self, low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """For every test suffix found: its number, words matched, document and word place of one longest match (earliest)."""
         tokens, counts, doc = self.shard(low, offsets)
-        array, which = self.searched(tokens)
+        array, which = self.searched(tokens, self.deepest)
         limit = (self.end - self.start)[which]
         slot = self.bound(which, array, tokens, limit, False)
         best, at = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
@@ -187,7 +218,7 @@ class TestIndex:
 
 def _blocks(tests: DataFrame, item_id: str, text: str, window: int, block_bytes: int):
     """A broadcast index for each block of test items."""
-    rows = tests.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter("t <> ''")
+    rows = tests.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter("t <> ''").distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first().n
     n = max(1, math.ceil(total / block_bytes))
     for k in range(n):

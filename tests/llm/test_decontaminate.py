@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from auxoline.llm.decontaminate import decontaminate, flag_contaminated, longest_matches
+from auxoline.llm.decontaminate import TestIndex, decontaminate, flag_contaminated, longest_matches
 from plain import ODD, item_words, odd_rows
 
 
@@ -75,3 +75,31 @@ def test_empty_tables(spark):
     assert flag_contaminated(none, items)[0].count() == 0
     assert decontaminate(docs, items.limit(0)).count() == docs.count()
     assert longest_matches(docs, items.limit(0)).count() == 0
+
+
+def test_one_repeated_word_stays_small():
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from auxoline.llm.flat import LOWER, flat_bytes
+
+    index = TestIndex([("1", "a " * 4000), ("2", "a " * 300), ("3", "b " * 12)])
+    assert len(index.distinct) == 2
+    buf, offsets = flat_bytes(pa.array(["a " * 16_000, "a " * 9, "b " * 10]))
+    tracemalloc.start()
+    began = time.thread_time()
+    counts, hit, doc, item = index.hits(LOWER[buf], offsets)
+    assert time.thread_time() - began < 5 and tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+    assert hit[:16_000].all() and not hit[16_000:16_009].any() and hit[16_009:].all()
+    assert sorted(zip(doc.tolist(), item.tolist(), strict=True)) == [(0, 0), (0, 1), (2, 2)]
+
+
+def test_repeated_items_are_read_once(spark):
+    items = spark.createDataFrame([(1, "one two three four five six")] * 500 + [(2, "one two three four five six"), (3, "no match here at all")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "zero one two three four five six seven"), (2, "nothing")], "doc_id long, text string")
+    out, names = flag_contaminated(docs, items, window=5, block_bytes=40)
+    got = {r.doc_id: r for r in out.collect()}
+    assert (got[1][names[1]], got[1][names[2]], got[2][names[4]]) == (6, 2, False)
