@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -72,6 +73,9 @@ class PageTree(HTMLParser):
         self.blocks: list[Node] = []
         self.part: list[str] = []
         self.in_link = self.link_chars = self.hidden = self.drawn = self.heads = 0
+        # The open elements from the page down, and the depths at which each tag is open: no look at a tag walks to the root.
+        self.path: list[Node] = []
+        self.open: defaultdict[str, list[int]] = defaultdict(list)
         self.feed(html)
         self.close()
         self.end_block()
@@ -79,9 +83,8 @@ class PageTree(HTMLParser):
     def end_block(self) -> None:
         text = _SPACE.sub(" ", "".join(self.part)).strip()
         if text:
-            holder = self.at
-            while holder.tag not in BLOCKS and holder.parent is not None:
-                holder = holder.parent
+            depth = max((depths[-1] for t in BLOCKS if (depths := self.open.get(t))), default=-1)
+            holder = self.path[depth] if depth >= 0 else self.root
             leaf = Node("#text", holder.names, holder)
             leaf.text, leaf.chars, leaf.links = text, len(text), min(self.link_chars, len(text))
             holder.children.append(leaf)
@@ -101,17 +104,18 @@ class PageTree(HTMLParser):
                 self.part.append(" ")
             if here.tag in BLOCKS:
                 self.end_block()
+            if here.parent is not None:
+                self.path.pop()
+                self.open[here.tag].pop()
             self.at = here.parent or here
             if here is node or here.parent is None:
                 return
 
     def up_to(self, tags: frozenset | set, stop: frozenset | set) -> Node | None:
-        node, found = self.at, None
-        while node.parent is not None and node.tag not in stop and node.tag != "template":
-            if node.tag in tags:
-                found = node
-            node = node.parent
-        return found
+        """The outermost open element of ``tags`` inside the innermost one of ``stop`` (or template)."""
+        barrier = max((depths[-1] for t in (*stop, "template") if (depths := self.open.get(t))), default=-1)
+        found = [depths[k] for t in tags if (depths := self.open.get(t)) and (k := bisect_right(depths, barrier)) < len(depths)]
+        return self.path[min(found)] if found else None
 
     def end_head(self) -> None:
         """Close an open head, unless something hidden is open in it."""
@@ -138,6 +142,8 @@ class PageTree(HTMLParser):
         names = frozenset(_WORD.findall(" ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role", "itemprop")))) if attrs else frozenset()
         node = Node(tag, names | {tag}, self.at)
         self.at.children.append(node)
+        self.open[tag].append(len(self.path))
+        self.path.append(node)
         self.at = node
         # The title of a drawing is not the title of the page.
         node.hides = tag in HIDDEN and not (tag == "title" and self.drawn)
@@ -154,11 +160,8 @@ class PageTree(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "p" and self.up_to({"p"}, set()) is None:
             self.end_block()
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.leave(node)
+        if depths := self.open.get(tag):
+            self.leave(self.path[depths[-1]])
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:

@@ -100,3 +100,49 @@ def test_only_scripts_styles_templates_and_titles_are_hidden(model):
     assert model.text(f"<article><p>{words} {formula} and <object>a fallback</object>.</p></article>") == f"{words} x=1 and a fallback."
     assert blocks("<p>a <svg><title>t</title><style>x{}</style><text>b</text><text>c</text></svg> d<select><option>e<option>f</select><noscript>g</noscript><iframe>h</iframe>") == ["a t b c d", "e", "f", "gh"]
     assert blocks("<p>a<template><p>b</p><svg><title>c</title></svg></template><script>d</script><title>e</title>f") == ["a", "f"]
+
+
+@pytest.mark.parametrize("tags", ["<div>", "<b>", "<p><table><td>", "<ul><li><b>", "<svg><g>", "<button><p>"])
+def test_many_unclosed_tags_take_linear_time(tags):
+    import time
+
+    began = time.thread_time()
+    tree = H.PageTree("<article><p>first</p>" + tags * (200_000 // tags.count("<")) + "last<hr>" * 3 + "</article>")
+    assert time.thread_time() - began < 20
+    assert tree.blocks[0].text == "first" and tree.blocks[-1].text == "last"
+
+
+def test_elements_close_as_they_would_by_walking_the_tree():
+    """The open elements by tag against a walk to the root, on random tag soup."""
+    import random
+
+    rng = random.Random(3)
+    tags = ["p", "div", "li", "ul", "table", "tr", "td", "a", "b", "button", "template", "h1", "svg", "option", "section"]
+
+    def walked(tree, tags, stop):
+        node, found = tree.at, None
+        while node.parent is not None and node.tag not in stop and node.tag != "template":
+            found = node if node.tag in tags else found
+            node = node.parent
+        return found
+
+    class Checked(H.PageTree):
+        looks = 0
+
+        def up_to(self, tags, stop):
+            got = super().up_to(tags, stop)
+            assert got is walked(self, tags, stop)
+            Checked.looks += 1
+            return got
+
+        def handle_endtag(self, tag):
+            path, node = [], self.at
+            while node.parent is not None:
+                path.append(node)
+                node = node.parent
+            assert self.path == path[::-1] and all(self.path[d].tag == t for t, ds in self.open.items() for d in ds)
+            super().handle_endtag(tag)
+
+    for _ in range(150):
+        Checked("".join(rng.choice(["<%s>", "<%s>", "</%s>", "<%s>t "]) % rng.choice(tags) for _ in range(80)))
+    assert Checked.looks > 1000
