@@ -20,7 +20,8 @@ from itertools import accumulate
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auxoline.llm.registry import query, table
@@ -40,6 +41,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: Characters from which a piece is counted anew each time instead of being kept.
+LONG = 256
+
+
 class PrefixCounter:
     """Prefix tables of one vocabulary (the text of a tokenizer's JSON file)."""
 
@@ -134,6 +139,9 @@ class PrefixCounter:
         return counts
 
     def total(self, piece: str) -> int:
+        if len(piece) > LONG:
+            # Rare, and a few of them would fill the memory that short pieces share.
+            return self.table(piece.encode())[-1]
         if (known := self.totals.get(piece)) is None:
             if len(self.totals) >= self.keep:
                 self.older, self.totals = self.totals, {}
@@ -172,7 +180,8 @@ class PrefixCounter:
             if self.blank(piece):
                 # A prefix that ends in a run of white space has the run as one piece.
                 run_base, run = (base, "") if not run else (run_base, run)
-                out += [run_base + self.total(run + piece[:k]) for k in range(1, len(piece) + 1)]
+                table, before = self.table((run + piece).encode()), len(run.encode())
+                out += [run_base + table[before + s] for s in accumulate(len(c.encode()) for c in piece)]
                 run += piece
             else:
                 start = 0
@@ -204,11 +213,13 @@ class PrefixCounter:
         return out
 
     def fit(self, text: str, limit: int) -> int:
-        """Code points of the longest prefix of at most ``limit`` tokens. Only the piece around the limit is looked at closely."""
-        if self.tokens_of(text) <= limit:
-            return len(text)
-        counts = self.counts(text)
-        return max(i for i, c in enumerate(counts) if c <= limit)
+        """Code points of the longest prefix of at most ``limit`` tokens, from the counts of all prefixes."""
+        return longest_within(self.counts(text), limit)
+
+
+def longest_within(counts: list[int], limit: int) -> int:
+    """The last prefix of at most ``limit`` tokens. Counts can fall as a token completes, so the last one is looked for from the end."""
+    return next((i for i in range(len(counts) - 1, -1, -1) if counts[i] <= limit), 0)
 
 
 def _counter(source, kept={}) -> PrefixCounter:  # noqa: B006
@@ -245,34 +256,36 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id",
 
 
 def prefix_counts(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id and counts, an array with the token count of every prefix by code points (n + 1 values).
+    """One row per document: doc_id, text and counts, an array with the token count of every prefix by code points (n + 1 values).
 
-    Once stored, any prefix's count is ``counts[n_chars]`` and the longest prefix within a budget is the last value under it.
+    Once stored, any prefix's count is ``counts[n_chars]``; :func:`truncate` and :func:`within_budget` read it. Null texts are empty.
     """
     given, source = docs.select(doc_id, text), Vocabulary(docs.sparkSession, vocabulary_path)
-    schema = T.StructType([T.StructField("doc_id", given.schema[0].dataType), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("doc_id", given.schema[0].dataType), T.StructField("text", T.StringType()), T.StructField("counts", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         counter = _counter(source)
         for batch in batches:
             for k, t in enumerate(batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([counter.counts(t or "")], pa.list_(pa.int32()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([t or ""], pa.string()), pa.array([counter.counts(t or "")], pa.list_(pa.int32()))], names=schema.names)
 
     return given.mapInArrow(run, schema)
 
 
-def truncate(docs: DataFrame, vocabulary_path: str, limit: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id and text, the longest prefix of at most ``limit`` tokens."""
-    given, source = docs.select(doc_id, text), Vocabulary(docs.sparkSession, vocabulary_path)
-    schema = T.StructType([T.StructField("doc_id", given.schema[0].dataType), T.StructField("text", T.StringType())])
+def _last_within(limit) -> Column:
+    """Code points of the longest prefix of at most ``limit`` tokens; counts can fall as a token completes, so it is looked for from the end."""
+    return F.size("counts") - F.array_position(F.transform(F.reverse("counts"), lambda c: c <= limit), True).cast("int")
 
-    def run(batches):
-        counter = _counter(source)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t[: counter.fit(t, limit)] for t in texts], pa.string())], names=schema.names)
 
-    return given.mapInArrow(run, schema)
+def truncate(stored: DataFrame, limit: int) -> DataFrame:
+    """doc_id and text, the longest prefix of at most ``limit`` tokens, from stored :func:`prefix_counts`: nothing is encoded again."""
+    return stored.select("doc_id", F.substring("text", F.lit(1), _last_within(F.lit(limit))).alias("text"))
+
+
+def within_budget(stored: DataFrame, budgets: list[int]) -> DataFrame:
+    """doc_id, budget and n_chars, the longest prefix that each budget pays for, and n_tokens, what that prefix costs; from stored :func:`prefix_counts`."""
+    each = stored.select("doc_id", "counts", F.explode(F.array(*[F.lit(b).cast("bigint") for b in budgets])).alias("budget"))
+    return each.select("doc_id", "budget", _last_within(F.col("budget")).alias("n_chars"), "counts").select("doc_id", "budget", "n_chars", F.col("counts")[F.col("n_chars")].alias("n_tokens"))
 
 
 @query("op7_token_counts")

@@ -61,7 +61,27 @@ def test_odd_rows_and_truncation(spark, counter):
     docs = spark.createDataFrame(rows, ODD)
     got = sorted(map(tuple, C.count_tokens(docs, PATH, limit=5).collect()), key=str)
     assert got == sorted(((r[0], len((r[1] or "").encode()), counter.tokens_of(r[1] or ""), counter.tokens_of(r[1] or "") > 5) for r in rows), key=str)
-    assert sorted((r.doc_id, r.text) for r in C.truncate(docs.filter("doc_id is not null"), PATH, 2).collect()) == sorted((r[0], (r[1] or "")[: counter.fit(r[1] or "", 2)]) for r in rows if r[0] is not None)
-    stored = C.prefix_counts(docs.filter("doc_id = 1"), PATH).first()
-    assert stored.counts == counter.counts(ODD_TEXTS[1])
+    stored = C.prefix_counts(docs, PATH).cache()
+    assert stored.where("doc_id = 3").first().counts == counter.counts(ODD_TEXTS[3] or "")
+    for limit in (0, 2, 9):
+        assert sorted(map(tuple, C.truncate(stored, limit).collect()), key=str) == sorted(((r[0], (r[1] or "")[: counter.fit(r[1] or "", limit)]) for r in rows), key=str)
+    want = []
+    for i, t, *_ in rows:
+        for budget in (1, 4):
+            n = counter.fit(t or "", budget)
+            want.append((i, budget, n, counter.tokens_of((t or "")[:n])))
+    assert sorted(map(tuple, C.within_budget(stored, [1, 4]).collect()), key=str) == sorted(want, key=str)
     assert C.count_tokens(docs.limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 100_000, "\n " * 20_000, "x" * 50_000, "\u00a0" * 30_000 + "end"])
+def test_long_runs_are_counted_once(library, counter, text):
+    import time
+
+    began = time.thread_time()
+    counts = counter.counts(text)
+    assert time.thread_time() - began < 10
+    assert counts[-1] == counter.tokens_of(text) == len(library.encode(text).ids)
+    for n in (1, 77, 12_345, len(text) - 1):
+        assert counts[n] == len(library.encode(text[:n]).ids)
+    assert max(map(len, counter.totals), default=0) <= C.LONG
