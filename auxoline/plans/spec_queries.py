@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auxoline.functions.patterns import growth_patterns
 from auxoline.operators import clean as C
 from auxoline.operators import contrasts as K
 from auxoline.operators import growth as G
 from auxoline.operators import linear as L
 from auxoline.operators import design as D
+from auxoline.operators import mediation as M
 from auxoline.operators import mixed as X
 from auxoline.operators import specs as S
 from auxoline.operators import summaries as S0
 from auxoline.operators import visits as V
 from auxoline.plans.cohort_queries import BODY_SIZES, LEVEL_COLUMNS, SPEC_BP, cleaned, r6
 from auxoline.plans.growth_queries import moments_sql
+from auxoline.plans.model_queries import PATTERN_PAIR, effect_vectors_sql, wide_means
 from auxoline.plans.registry import query
 from auxoline.plans.study_sql import CLEAN, GROWTH_VARS
 from auxoline.session import durable
@@ -422,3 +425,83 @@ def imputation_funnels(spark, sf_dir):
     have = visits.groupBy("ID").agg(F.bool_or(F.col("SBP_MEAN").isNotNull()).alias("has_sbp"))
     out = S0.step_counts(visits.join(have, "ID"), [(n, F.expr(c)) for n, c in funnel_steps()])
     return out.select("var", "female", "step", "label", "records", "subjects")
+
+
+# Mediation on the keyed components ------------------------------------------------------------------
+
+LEVEL_NEEDS = {adj: next(s.needs for s in mediation_specs() if s.axes[1] == adj) for adj in range(4)}
+MEAN_COLUMNS = ["Wealth_Z", "PregMo_Use_cen", "PregMo_Use_cen2", "lactMo_Use_cen", "stimulant", "Mom_Ht_Ave", "Dad_Ht_Ave"]
+AT_AGE = (M.REFERENCE_AGE - 10) / 10
+AT_REFERENCE = {"Intercept": 1.0, "age_x": AT_AGE, "age_x2": AT_AGE * AT_AGE, "age_x3": AT_AGE * AT_AGE * AT_AGE}
+
+
+def reference_design(visits, scores, keys: list[str], strata: list[str]):
+    """(keys but the imputation..., strata..., adj, x): covariates' means over the first visits of each level's frame, by name, and the terms at the reference age.
+
+    A subject's first complete visit of each level is found once; scores only say in which imputations the subject is.
+    """
+    levels = F.array_compact(F.array(*[F.when(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in need)), F.lit(adj)) for adj, need in LEVEL_NEEDS.items()]))
+    complete = visits.select("ID", *strata, "datecomb", "visit_id", *MEAN_COLUMNS, F.explode(levels).alias("adj"))
+    first = complete.groupBy("ID", *strata, "adj").agg(F.min_by(F.struct(*MEAN_COLUMNS), F.struct("datecomb", "visit_id")).alias("r")).select("ID", *strata, "adj", "r.*")
+    each = first.join(scores.select(*keys, "ID"), "ID").groupBy(*keys, *strata, "adj").agg(*[F.avg(c).alias(c) for c in MEAN_COLUMNS])
+    outer = [k for k in keys if k != "imp"]
+    names = F.array(*[F.lit(c) for c in (*AT_REFERENCE, *MEAN_COLUMNS)])
+    return each.groupBy(*outer, *strata, "adj").agg(F.map_from_arrays(names, F.array(*[F.lit(v) for v in AT_REFERENCE.values()], *[F.avg(c) for c in MEAN_COLUMNS])).alias("x"))
+
+
+def _mediation_sql() -> str:
+    names = list(K.EXPOSURE_TERMS)
+    at = {t: f"list_position(terms, '{t}')" for t in names}
+    est = ", ".join(f"est[{at[t]}] AS e{i}" for i, t in enumerate(names))
+    cov = ", ".join(f"rss/(n - p)*a[{at[s]}][p + 1 + {at[t]}] AS w{i}{j}" for i, s in enumerate(names) for j, t in enumerate(names))
+    pooled = ", ".join([f"avg(e{i}) AS c{i}" for i in range(5)] + [f"avg(w{i}{j}) + (1 + 1.0::DOUBLE/count(*))*coalesce(covar_samp(e{i}, e{j}), 0) AS v{i}{j}" for i in range(5) for j in range(5)])
+    firsts = " UNION ALL ".join(
+        f"SELECT * FROM (SELECT {adj} AS adj, vis.*, row_number() OVER (PARTITION BY ID ORDER BY datecomb, visit_id) AS r FROM vis WHERE {' AND '.join(f'{c} IS NOT NULL' for c in need)}) WHERE r = 1"
+        for adj, need in LEVEL_NEEDS.items()
+    )
+    terms = " UNION ALL ".join(
+        [f"SELECT k, adj, '{t}' AS term, {v!r}::DOUBLE AS x FROM xm" for t, v in AT_REFERENCE.items()] + [f"SELECT k, adj, '{c}', {c} FROM xm" for c in MEAN_COLUMNS]
+    )
+    return f"""WITH RECURSIVE {keyed_sql(GRID_VARS, False)}, {VISIT_SQL},
+    {solve_sql(mediation_specs(), ["sex", "adj", "outcome"], GRID_VARS, 1, "split_part(p.k, '|', 2) = v.stratum")},
+    ex AS (SELECT k, adj, {est}, {cov} FROM done_ WHERE outcome = 'SBP_MEAN'),
+    po AS (SELECT k, adj, {pooled} FROM ex GROUP BY k, adj),
+    md AS (SELECT k, adj, outcome, t[1] AS term, avg(t[2]) AS est FROM fits WHERE outcome <> 'SBP_MEAN' GROUP BY ALL),
+    fi AS ({firsts}),
+    xi AS (SELECT p.k, f.adj, p.imp, {', '.join(f'avg({c}) AS {c}' for c in MEAN_COLUMNS)} FROM fi f JOIN pcs p ON p.ID = f.ID AND split_part(p.k, '|', 2) = f.stratum GROUP BY ALL),
+    xm AS (SELECT k, adj, {', '.join(f'avg({c}) AS {c}' for c in MEAN_COLUMNS)} FROM xi GROUP BY ALL),
+    xt AS ({terms}),
+    pt AS (SELECT l.k, -sum(sqrt(m.cov)*l.w) AS p0, sum(sqrt(m.cov)*l.w) AS p1 FROM load_ l JOIN mom m ON m.k = l.k AND m.i = l.age AND m.j = l.age GROUP BY l.k),
+    mm AS (SELECT md.k, md.adj, outcome, any_value(p0) AS p0, any_value(p1) AS p1, sum(est*CASE WHEN md.term = 'pc0' THEN p0 ELSE x END) AS m1,
+      sum(est*CASE WHEN md.term = 'pc0' THEN p1 ELSE x END) AS m2 FROM md JOIN pt ON pt.k = md.k LEFT JOIN xt ON xt.k = md.k AND xt.adj = md.adj AND xt.term = md.term GROUP BY md.k, md.adj, outcome),
+    wm AS (SELECT k, adj, any_value(p0) AS p0, any_value(p1) AS p1, max(m1) FILTER (WHERE outcome = 'HT_cen') AS h0, max(m2) FILTER (WHERE outcome = 'HT_cen') AS h1,
+      max(m2 - m1) FILTER (WHERE outcome = 'HT_cen') AS dh, max(m1) FILTER (WHERE outcome = 'BMI_cen') AS b0, max(m2) FILTER (WHERE outcome = 'BMI_cen') AS b1,
+      max(m2 - m1) FILTER (WHERE outcome = 'BMI_cen') AS db FROM mm GROUP BY k, adj),
+    src AS (SELECT wm.*, po.* EXCLUDE (k, adj) FROM wm JOIN po ON po.k = wm.k AND po.adj = wm.adj), {effect_vectors_sql('src', 'k, adj')}
+    SELECT split_part(k, '|', 1) AS var, split_part(k, '|', 2) AS sex, adj::INTEGER AS adj, effect, round(est, 3) + 0.0 AS est, round(se, 3) AS se,
+    round(est - 2*se, 3) + 0.0 AS lower, round(est + 2*se, 3) + 0.0 AS upper FROM est_"""
+
+
+@query("mediation_effects_fpca", _mediation_sql())
+def mediation_effects_fpca(spark, sf_dir):
+    """Indirect, direct and total effects of variable x sex x adjustment level: outcome and mediators fitted on smoothed components, each level with its own rows and covariates."""
+    visits = spec_visits(spark, sf_dir)
+    basis, every = keyed(spark, sf_dir, visits, GRID_VARS, 1)
+    scores = every.where(f"stratum <> '{G.EVERYONE}'").drop("stratum")
+    axes, by = ["sex", "adj", "outcome"], ["var", "sex", "adj"]
+    fits = durable(S.fit_specs(visits, scores, ["var", "imp"], ["stratum"], axes, mediation_specs(), 1))
+    pooled = durable(L.pooled_matrix(L.pool(fits, ["var", *axes]), ["var", *axes]))
+    x = reference_design(visits, scores, ["var", "imp"], ["stratum"]).withColumnRenamed("stratum", "sex")
+    a, b = PATTERN_PAIR
+    score = lambda pat: F.max(F.when(F.col("pat") == pat, F.col("scores")[0]))
+    pair = growth_patterns(basis, ["var", "stratum"]).groupBy("var", F.col("stratum").alias("sex")).agg(score(a).alias("p0"), score(b).alias("p1"))
+    rows = pooled.where("outcome <> 'SBP_MEAN'").join(durable(x), by).join(durable(pair), ["var", "sex"])
+
+    def at(p: str):
+        parts = F.transform(F.arrays_zip("terms", "est"), lambda t: t["est"] * F.when(t["terms"] == "pc0", F.col(p)).otherwise(F.col("x")[t["terms"]]))
+        return F.aggregate(parts, F.lit(0.0), lambda s, v: s + v)
+
+    means = rows.select(*by, F.lower("outcome").alias("mediator"), "p0", "p1", at("p0").alias("m1"), at("p1").alias("m2"))
+    model = L.slice_terms(pooled.where("outcome = 'SBP_MEAN'").drop("outcome"), list(K.EXPOSURE_TERMS))
+    out = M.mediation_effects(wide_means(means, by).join(model, by), by)
+    return out.select(*by, "effect", *[F.round(c, 3).alias(c) for c in ("est", "se", "lower", "upper")])
