@@ -13,7 +13,7 @@ from check import TABLES, rows_of
 CROSS_SECTION = [
     "cohort_view", "cohort_funnel", "modal_sex", "zscores", "table_one", "age_sex_stats", "asof_nearest_fill_3_days",
     "covariate_levels", "fpca_loadings", "analysis_frame", "bspline_basis", "rubin_pool", "growth_contrast", "effect_grid",
-    "coef_trajectory_fitted", "complete_case_lattice", "fpca_keyed", "pc_scores_fpca", "imputation_funnels",
+    "coef_trajectory_fitted", "complete_case_lattice", "fpca_keyed", "pc_scores_fpca", "imputation_funnels", "gp_llf_puberty",
 ]
 
 
@@ -23,6 +23,7 @@ def test_every_oracle_has_a_query():
     assert rows_only == {
         "gp_fit", "gp_fit_visits", "gp_impute_grid", "gp_impute_missing", "mediator_simulation", "mixed_fit",
         "growth_contrast_fitted", "mediation_effects_fitted", "mediation_grid", "mixed_fit_full", "mixed_pool", "fpca_from_draws", "select_dim_fitted",
+        "gp_fit_puberty", "puberty_frame",
     }
 
 
