@@ -392,10 +392,10 @@ def _arrays(points) -> dict:
     return {c: np.array([p[c] for p in points], dtype=float) for c in names if len(points) and c in points[0]}
 
 
-def normals(tag: str, n_imp: int, count: Column) -> Column:
-    """n_imp arrays of ``count`` normals, keyed by (tag, imputation, subject, position): they do not depend on partitions."""
-    imps = F.sequence(F.lit(0).cast("bigint"), F.lit(n_imp - 1).cast("bigint"))
-    return F.transform(imps, lambda i: F.transform(F.sequence(F.lit(1), count), lambda k: keyed_normal(tag, i, F.col("ID"), k)))
+def normals(tag: str, imps: list[int], count: Column) -> Column:
+    """An array of ``count`` normals for each imputation, keyed by (tag, imputation, subject, position): they do not depend on partitions, nor on the others asked for."""
+    each = F.array(*[F.lit(i).cast("bigint") for i in imps])
+    return F.transform(each, lambda i: F.transform(F.sequence(F.lit(1), count), lambda k: keyed_normal(tag, i, F.col("ID"), k)))
 
 
 def conditional_series(series: DataFrame, by: list[str], model: ProcessModel, fits: dict[tuple, ProcessFit], nugget_shrink: float = 1.0) -> DataFrame:
@@ -424,11 +424,12 @@ def conditional_series(series: DataFrame, by: list[str], model: ProcessModel, fi
     return spread(series.select(*by, "ID", "points", "targets", "e"), "ID").mapInPandas(run, f"{head}, t array<double>, z array<double>, sd array<double>, f array<array<double>>")
 
 
-def draw(cond: DataFrame, by: list[str]) -> DataFrame:
-    """The draws as rows: (by..., imp, ID, t, z, f)."""
+def draw(cond: DataFrame, by: list[str], imps: list[int]) -> DataFrame:
+    """The draws as rows: (by..., imp, ID, t, z, f); ``imps`` are the imputations the draws stand for, in order."""
+    named = F.array(*[F.lit(i).cast("bigint") for i in imps])
     per_imp = cond.select(*by, "ID", "t", "z", F.posexplode("f").alias("imp", "f"))
     points = F.inline(F.arrays_zip(F.col("t").alias("t"), F.col("z").alias("z"), F.col("f").alias("f")))
-    return per_imp.select(*by, F.col("imp").cast("bigint").alias("imp"), "ID", points)
+    return per_imp.select(*by, named[F.col("imp")].alias("imp"), "ID", points)
 
 
 def mean_value(fit_beta: Column, names: tuple[str, ...]) -> Column:
@@ -451,15 +452,16 @@ def beta_column(fits: dict[tuple, ProcessFit], by: list[str]) -> Column:
     return out
 
 
-def impute_grid(series: DataFrame, grid: DataFrame, by: list[str], model: ProcessModel, fits, n_imp: int, tag: str) -> DataFrame:
+def impute_grid(series: DataFrame, grid: DataFrame, by: list[str], model: ProcessModel, fits, n_imp: int, tag: str, imps: list[int] | None = None) -> DataFrame:
     """Completed trajectories on a common grid: (by..., imp, ID, age, value, mean), three decimals.
 
-    ``grid`` holds per stratum the target points: one short row per stratum.
+    ``grid`` holds per stratum the target points: one short row per stratum. ``imps`` asks for some of the imputations only.
     """
+    imps = list(range(n_imp)) if imps is None else imps
     targets = F.transform("points", lambda p: F.struct(p["t"].alias("t"), p["s"].alias("s"), p["u"].alias("u"), dot(p["x"], F.col("beta")).alias("m")))
     known = durable(grid.withColumn("beta", beta_column(fits, by)).select(*by, targets.alias("targets")))
-    joined = series.withColumn("targets", by_stratum(known, by, F.col("targets"))).withColumn("e", normals(tag, n_imp, F.size("targets")))
-    drawn = draw(conditional_series(joined, by, model, fits), by)
+    joined = series.withColumn("targets", by_stratum(known, by, F.col("targets"))).withColumn("e", normals(tag, imps, F.size("targets")))
+    drawn = draw(conditional_series(joined, by, model, fits), by, imps)
     means = F.map_from_entries(F.transform("targets", lambda p: F.struct(p["t"], p["m"])))
     mean = F.try_element_at(by_stratum(known, by, means), F.col("t"))
     return drawn.withColumn("mean", mean).select(
@@ -484,8 +486,8 @@ def impute_missing(
     targets = at.groupBy(*by, "ID").agg(F.array_sort(F.collect_list(point)).alias("targets"))
     series = subject_series(visits, by, model, value, age)
     empty = F.coalesce("points", F.expr("filter(array(struct(0D AS t, 0D AS n, 0D AS y, array(0D) AS x, array(0D) AS s, array(0D) AS u)), p -> false)"))
-    joined = targets.join(series, [*by, "ID"], "left").withColumn("points", empty).withColumn("e", normals(tag, n_imp, F.size("targets")))
-    drawn = draw(conditional_series(joined, by, model, fits, nugget_shrink), by)
+    joined = targets.join(series, [*by, "ID"], "left").withColumn("points", empty).withColumn("e", normals(tag, list(range(n_imp)), F.size("targets")))
+    drawn = draw(conditional_series(joined, by, model, fits, nugget_shrink), by, list(range(n_imp)))
     out = missing.join(drawn, [*by, "ID", "t"])
     mean = mean_value(beta_column(fits, by), model.mean)
     sd = None

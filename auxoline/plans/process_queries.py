@@ -18,7 +18,7 @@ from auxoline.plans.registry import query
 from auxoline.plans.study_sql import GROWTH_OBS
 from auxoline.session import checkpoint_dir, durable
 from auxoline.sources import study_tables as T
-from auxoline.sources.results import read_imputed, write_imputed
+from auxoline.sources.imputation_store import draw_into, read_drawn, token_of
 
 SPLINE = ("b1", "b2", "b3", "b4")
 BODY = P.ProcessModel(mean=SPLINE, scale=SPLINE, smooth=SPLINE)
@@ -59,17 +59,21 @@ def gp_fit(spark, sf_dir):
     return P.fit_rows(spark, fits, ["Female"], dict(series.dtypes), BODY)
 
 
-@query("gp_impute_grid")
-def gp_impute_grid(spark, sf_dir):
-    """Twenty completed trajectories per subject on ages 1..10."""
-    series, knots = body_series(spark, sf_dir)
-    fits = P.fit_process(series, ["Female"], BODY)
+def body_draws(spark, series, knots, fits):
+    """Draws completed heights on ages 1..10 for the imputations asked for."""
     strata = F.explode(F.array(*[F.lit(k[0]).cast("bigint") for k in knots]))
     ages = F.explode(F.array(*[F.lit(float(a)) for a in G.AGES]))
     grid = spark.range(1).select(strata.alias("Female")).select("Female", ages.alias("Age"))
     grid = spline_columns(grid, knots).withColumns({"ID": F.lit(0), "HT": F.lit(0.0)})
     grid = P.subject_series(grid, ["Female"], BODY, "HT").drop("ID")
-    return P.impute_grid(series, grid, ["Female"], BODY, P.usable(fits), T.N_IMP, "HT")
+    return lambda imps: P.impute_grid(series, grid, ["Female"], BODY, P.usable(fits), T.N_IMP, "HT", imps)
+
+
+@query("gp_impute_grid")
+def gp_impute_grid(spark, sf_dir):
+    """Twenty completed trajectories per subject on ages 1..10."""
+    series, knots = body_series(spark, sf_dir)
+    return body_draws(spark, series, knots, P.fit_process(series, ["Female"], BODY))(None)
 
 
 NOISY = P.ProcessModel(mean=(), scale=(), smooth=(), noise=True)
@@ -143,11 +147,12 @@ def gp_conditional_mean_all_ages(spark, sf_dir):
 
 @query("fpca_from_draws")
 def fpca_from_draws(spark, sf_dir):
-    """Completed trajectories drawn, written by variable and imputation, read back, and decomposed: loadings per sex."""
-    drawn = gp_impute_grid(spark, sf_dir)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/imputed-{uuid.uuid4().hex}"
-    write_imputed(drawn, path, "HT")
-    back = read_imputed(spark, path, "HT").withColumnRenamed("Female", "female")
+    """Completed trajectories drawn into a store, read back by its manifest, and decomposed: loadings per sex."""
+    series, knots = body_series(spark, sf_dir)
+    fits = P.fit_process(series, ["Female"], BODY)
+    path, token = f"{checkpoint_dir(spark).rstrip('/')}/imputed-{uuid.uuid4().hex}", token_of(sf_dir, BODY, {k: (f.beta, f.theta) for k, f in fits.items()})
+    draw_into(spark, path, "HT", T.N_IMP, token, body_draws(spark, series, knots, fits))
+    back = read_drawn(spark, path, "HT", token).withColumnRenamed("Female", "female")
     basis = G.fpca(G.pooled_moments(back.select("female", "imp", "ID", "age", "value"), ["female"]), ["female"], 1)
     return G.loading_rows(basis, ["female"])
 
