@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from auxoline.functions.patterns import growth_patterns
 from auxoline.operators import clean as C
 from auxoline.operators import contrasts as K
+from auxoline.operators import design as D
 from auxoline.operators import growth as G
 from auxoline.operators import linear as L
-from auxoline.operators import design as D
 from auxoline.operators import mediation as M
 from auxoline.operators import mixed as X
 from auxoline.operators import specs as S
 from auxoline.operators import summaries as S0
 from auxoline.operators import visits as V
-from auxoline.plans.cohort_queries import BODY_SIZES, LEVEL_COLUMNS, SPEC_BP, cleaned, r6
+from auxoline.plans.cohort_queries import BODY_SIZES, LEVEL_COLUMNS, SPEC_BP, cleaned
 from auxoline.plans.growth_queries import moments_sql
 from auxoline.plans.model_queries import PATTERN_PAIR, effect_vectors_sql, wide_means
 from auxoline.plans.registry import query
