@@ -1,12 +1,12 @@
 """Grids of model specifications over shared sums: which rows each one keeps, and all its fits in one pass.
 
 A row's nulls are a bitmap over the covariates that may be missing. A specification needs some of them, so it keeps the rows whose
-bitmap and need share no bit: counts and sums of squares are additive, are taken once per bitmap, and every specification adds up
-those of the bitmaps it keeps. However many specifications there are, the visits are read once.
+bitmap and need share no bit: counts are additive, are taken once per bitmap, and every specification adds up
+those of the bitmaps it keeps. For fits a bit stands for a different set of needs, so bitmaps are few whatever the columns' null patterns. However many specifications there are, the visits are read once.
 
 A model's terms are visit columns, or visit columns times a score of the subject (early growth). Scores differ by variable, stratum and
-imputation but not by visit, so visits reduce to one matrix of sums per subject and bitmap, and all keys together are one matrix product of the
-subjects' scores with those sums.
+imputation but not by visit, so a visit is shuffled once as its columns, and all keys together are one matrix product of the
+subjects' scores with the products of a block of visits.
 """
 
 from __future__ import annotations
@@ -102,13 +102,30 @@ def visit_columns(specs: list[Spec]) -> list[str]:
     return [ONE, *sorted({c for s in specs for c in s.needed()})]
 
 
-def subject_sums(visits: DataFrame, specs: list[Spec], strata: list[str], subject: str = "ID") -> DataFrame:
-    """(subject, strata..., bitmap, m): sums of products of all visit columns (upper triangle by rows), null counting as 0 under its bitmap."""
+def unmet(specs: list[Spec]) -> tuple[Column, list[int], int | None]:
+    """A row's bitmap, the mask of every specification (it keeps the rows that share no bit with it), and the bitmap of rows that none keeps.
+
+    Bit k is set if the row lacks something that the k-th different set of needs asks for: the bitmaps are as many as the sets allow, not as
+    the null patterns of all columns. Only if there are more sets than a word has bits, a bit stands for a column.
+    """
+    needs = list(dict.fromkeys(frozenset(s.needed()) for s in specs))
+    columns = visit_columns(specs)[1:]
+    if len(needs) > WORD:
+        return null_bitmap(columns), [need_mask(columns, s.needed()) for s in specs], None
+    total = F.lit(0).cast("bigint")
+    for k, need in enumerate(needs):
+        lacks = F.greatest(*[F.col(c).isNull() for c in sorted(need)], F.lit(False))
+        total = total + F.when(lacks, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return total, [1 << needs.index(frozenset(s.needed())) for s in specs], (1 << len(needs)) - 1
+
+
+def visit_rows(visits: DataFrame, specs: list[Spec], strata: list[str], subject: str = "ID") -> DataFrame:
+    """(subject, strata..., bitmap, x): the visit columns as one array, null counting as 0 under its bitmap; visits that no specification keeps drop out."""
     columns = visit_columns(specs)
-    values = [F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns[1:]]]
-    x = visits.select(F.col(subject).alias("ID"), *strata, null_bitmap(columns[1:]).alias("bitmap"), *[v.alias(f"x{i}") for i, v in enumerate(values)])
-    p = len(columns)
-    return x.groupBy("ID", *strata, "bitmap").agg(F.array(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(p) for j in range(i, p)]).alias("m"))
+    bitmap, _, none = unmet(specs)
+    values = F.array(F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns[1:]])
+    rows = visits.select(F.col(subject).alias("ID"), *strata, bitmap.alias("bitmap"), values.alias("x"))
+    return rows if none is None else rows.where(F.col("bitmap") != none)
 
 
 def packed_scores(scores: DataFrame, keys: list[str], ndim: int) -> tuple[DataFrame, list[tuple]]:
@@ -130,12 +147,40 @@ def monomials(ndim: int) -> list[tuple[int, ...]]:
     return [(), *[(k,) for k in range(ndim)], *[(j, k) for j in range(ndim) for k in range(j, ndim)]]
 
 
-def key_sums(sums: DataFrame, scores: DataFrame, keys: list[str], strata: list[str], ndim: int, width: int) -> DataFrame:
-    """(keys..., strata..., bitmap, v): for every key the subjects' sums times each monomial of their scores, added up."""
+def product_cells(p: int) -> np.ndarray:
+    """Where the product of two visit columns lies in the upper triangle by rows."""
+    cell = np.zeros((p, p), int)
+    cell[np.triu_indices(p)] = np.arange(p * (p + 1) // 2)
+    return np.maximum(cell, cell.T)
+
+
+def places(spec: Spec, columns: list[str], ndim: int) -> np.ndarray:
+    """Where the products of a specification's terms and outcome lie among all monomials times all products of columns."""
+    cell, width = product_cells(len(columns)), len(columns) * (len(columns) + 1) // 2
+    slot = {power: k for k, power in enumerate(monomials(ndim))}
+    at = [(columns.index(c), () if k is None else (k,)) for c, k in [*spec.terms.values(), (spec.outcome, None)]]
+    return np.array([[slot[tuple(sorted(a + b))] * width + cell[i, j] for j, b in at] for i, a in at])
+
+
+def wanted_places(specs: list[Spec], ndim: int) -> np.ndarray:
+    """All places that some specification reads, in order, the count first."""
+    columns = visit_columns(specs)
+    return np.unique(np.concatenate([[0], *[places(s, columns, ndim).ravel() for s in specs]]))
+
+
+def key_sums(rows: DataFrame, scores: DataFrame, keys: list[str], strata: list[str], ndim: int, p: int, wanted: np.ndarray) -> DataFrame:
+    """(keys..., strata..., bitmap, v): for every key the products of visit columns times monomials of the subject's scores, added up at the ``wanted`` places.
+
+    ``rows`` comes from :func:`visit_rows`. Products are formed a block of visits at a time where visits and scores meet, so what is shuffled is a
+    visit's p columns; a task keeps one sum per key and bitmap.
+    """
     packed, known = packed_scores(scores, keys, ndim)
-    powers = monomials(ndim)
-    types, key_types = dict(sums.dtypes), dict(scores.dtypes)
-    rows = sums.join(packed, "ID").select(*strata, "bitmap", "m", "at", "s")
+    types, key_types = dict(rows.dtypes), dict(scores.dtypes)
+    first, second = np.triu_indices(p)
+    width = len(first)
+    parts_of = [(power, np.flatnonzero(wanted // width == j)) for j, power in enumerate(monomials(ndim))]
+    parts_of = [(power, to, wanted[to] % width) for power, to in parts_of if len(to)]
+    joined = rows.join(packed, "ID").select(*strata, "bitmap", "x", "at", "s")
 
     def weigh(batches):
         total: dict[tuple, np.ndarray] = {}
@@ -144,28 +189,29 @@ def key_sums(sums: DataFrame, scores: DataFrame, keys: list[str], strata: list[s
                 part = batch.slice(a, 1024)
                 n = len(part)
                 cells = list(zip(*[part.column(k).to_pylist() for k in range(len(strata) + 1)], strict=True))
-                m = part.column("m").flatten().to_numpy(zero_copy_only=False).reshape(n, width)
+                names = {c: i for i, c in enumerate(dict.fromkeys(cells))}
+                of = np.array([names[c] for c in cells], dtype=int)
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, p)
                 at = part.column("at")
                 who = np.repeat(np.arange(n), np.diff(at.offsets.to_numpy()))
                 key = at.flatten().to_numpy(zero_copy_only=False)
                 s = part.column("s").flatten().to_numpy(zero_copy_only=False).reshape(-1, ndim)
-                for cell in set(cells):
-                    mine = np.array([c == cell for c in cells])
-                    for_key = total.setdefault(cell, np.zeros((len(known), len(powers), width)))
-                    inside = mine[who]
-                    for j, power in enumerate(powers):
-                        w = np.zeros((len(known), n))
-                        w[key[inside], who[inside]] = np.prod(s[inside][:, list(power)], axis=1) if power else 1.0
-                        for_key[:, j] += w[:, mine] @ m[mine]
+                for power, to, cols in parts_of:
+                    w = np.zeros((len(known), n))
+                    np.add.at(w, (key, who), np.prod(s[:, list(power)], axis=1) if power else 1.0)
+                    m = x[:, first[cols]] * x[:, second[cols]]
+                    for cell, i in names.items():
+                        mine = of == i
+                        total.setdefault(cell, np.zeros((len(known), len(wanted))))[:, to] += w[:, mine] @ m[mine]
         for cell, v in total.items():
-            used = np.flatnonzero(v[:, 0, 0] > 0)
+            used = np.flatnonzero(v[:, 0] > 0)
             if len(used):
                 yield pa.RecordBatch.from_pandas(
-                    pd.DataFrame({"at": used.astype(np.int32), **dict(zip([*strata, "bitmap"], cell, strict=True)), "v": list(v[used].reshape(len(used), -1))}), preserve_index=False
+                    pd.DataFrame({"at": used.astype(np.int32), **dict(zip([*strata, "bitmap"], cell, strict=True)), "v": list(v[used])}), preserve_index=False
                 )
 
     head = ", ".join(f"{c} {types[c]}" for c in (*strata, "bitmap"))
-    parts = rows.mapInArrow(weigh, f"at int, {head}, v array<double>")
+    parts = joined.mapInArrow(weigh, f"at int, {head}, v array<double>")
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.iloc[:1].assign(v=[np.sum(np.stack(pdf["v"].to_numpy()), axis=0)])
@@ -184,21 +230,8 @@ def solve_specs(
 
     ``estimator`` gets term names, X'X, X'y, y'y and n. Axes are strings or whole numbers.
     """
-    columns = visit_columns(specs)
-    p, powers = len(columns), monomials(ndim)
-    cell = np.zeros((p, p), int)
-    cell[np.triu_indices(p)] = np.arange(p * (p + 1) // 2)
-    cell = np.maximum(cell, cell.T)
-    width = p * (p + 1) // 2
-    slot = {power: k for k, power in enumerate(powers)}
-
-    def places(s: Spec):
-        """Where the products of a specification's terms and outcome lie in the sums of a key."""
-        ends = [*s.terms.values(), (s.outcome, None)]
-        at = [(columns.index(c), () if k is None else (k,)) for c, k in ends]
-        return np.array([[slot[tuple(sorted(a + b))] * width + cell[i, j] for j, b in at] for i, a in at])
-
-    plans = [(s, need_mask(columns[1:], s.needed()), places(s)) for s in specs]
+    columns, wanted = visit_columns(specs), wanted_places(specs, ndim)
+    plans = [(s, mask, np.searchsorted(wanted, places(s, columns, ndim))) for s, mask in zip(specs, unmet(specs)[1], strict=True)]
     types = dict(sums.dtypes)
     axis_types = ["int" if isinstance(v, int) else "string" for v in specs[0].axes]
     schema = ", ".join([f"{k} {types[k]}" for k in (*keys, *strata)] + [f"{a} {t}" for a, t in zip(axes, axis_types, strict=True)] + [FIT_FIELDS])
@@ -224,5 +257,5 @@ def solve_specs(
 
 def fit_specs(visits: DataFrame, scores: DataFrame, keys: list[str], strata: list[str], axes: list[str], specs: list[Spec], ndim: int, estimator: Callable[..., dict] = least_squares) -> DataFrame:
     """All models of the grid for every key of ``scores`` (keys..., ID, pc0, ...): four steps, whatever the number of specifications."""
-    p = len(visit_columns(specs))
-    return solve_specs(key_sums(subject_sums(visits, specs, strata), scores, keys, strata, ndim, p * (p + 1) // 2), keys, strata, axes, specs, ndim, estimator)
+    sums = key_sums(visit_rows(visits, specs, strata), scores, keys, strata, ndim, len(visit_columns(specs)), wanted_places(specs, ndim))
+    return solve_specs(sums, keys, strata, axes, specs, ndim, estimator)

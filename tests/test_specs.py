@@ -151,3 +151,28 @@ def test_empty_inputs(spark):
     with pytest.raises(ValueError):
         S.null_bitmap([f"c{i}" for i in range(70)])
     assert spark.createDataFrame([(None, 1.0)], "a double, b double").select(S.null_bitmap(["a", "b"]).alias("m"), F.lit(1)).first().m == 1
+
+
+def test_bitmaps_are_as_few_as_the_needs(spark):
+    """Null patterns of ten columns are hundreds; two sets of needs leave three kinds of rows that a model keeps, and what is shuffled is a visit's columns."""
+    rng = np.random.default_rng(6)
+    names = [f"c{i}" for i in range(10)]
+    rows = [(i % 50, *[None if rng.random() < 0.2 else float(rng.normal()) for _ in names]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "ID long, " + ", ".join(f"{c} double" for c in names))
+    grid = [S.Spec((f"p{k}", k), "c9", S.score_terms(names[lo:hi], 1)) for k, (lo, hi) in enumerate(((0, 3), (2, 5), (2, 5)))]
+    kept = S.visit_rows(df, grid, []).collect()
+    full = [[all(dict(zip(["ID", *names], r, strict=True))[c] is not None for c in s.needed()) for s in grid] for r in rows]
+    assert len({r.bitmap for r in kept}) == 3
+    assert len(kept) == sum(any(f) for f in full)
+    for s, mask, k in zip(grid, S.unmet(grid)[1], range(3), strict=True):
+        assert sum(r.bitmap & mask == 0 for r in kept) == sum(f[k] for f in full)
+    assert {len(r.x) for r in kept} == {len(S.visit_columns(grid))}
+
+
+def test_trajectories_of_rows_that_lie_by_subject_are_not_shuffled(spark):
+    rows = trajectories(np.random.default_rng(7), subjects=6)
+    growth = spark.createDataFrame(rows, "var string, imp long, ID long, age int, value double")
+    placed = growth.repartition(3, "ID")
+    wide = G.trajectories(placed, ["var"])
+    assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert wide.count() == 2 * (6 * 3 - 1) and wide.columns == ["var", "imp", "ID", *[f"a{a}" for a in G.AGES]]
