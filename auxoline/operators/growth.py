@@ -18,9 +18,11 @@ SMOOTHING = 0.2
 
 
 def trajectories(growth: DataFrame, by: list[str], ages=AGES) -> DataFrame:
-    """One row per trajectory with columns ``a<age>``; incomplete trajectories are dropped."""
-    wide = growth.groupBy(*by, "imp", "ID").pivot("age", list(ages)).agg(F.max("value"))
-    wide = wide.withColumnsRenamed({str(a): f"a{a}" for a in ages})
+    """One row per trajectory with columns ``a<age>``; incomplete trajectories are dropped.
+
+    One aggregation, where a pivot would first group by age too: rows that lie by subject already are not shuffled.
+    """
+    wide = growth.groupBy(*by, "imp", "ID").agg(*[F.max(F.when(F.col("age") == a, F.col("value"))).alias(f"a{a}") for a in ages])
     for a in ages:
         wide = wide.where(F.col(f"a{a}").isNotNull())
     return wide

@@ -83,11 +83,14 @@ def keyed_sql(names: tuple[str, ...], second: bool) -> str:
 
 
 def keyed(spark, sf_dir, visits, names=BODY_SIZES, ndim: int = 2):
-    """The table of bases by variable and sex, and the scores of everyone on theirs and on the common one, both written once."""
+    """The table of bases by variable and sex, and the scores of everyone on theirs and on the common one.
+
+    Trajectories are written once; scores are one pass over them, cheaper than rows twice as many would be to write and read.
+    """
     strata = visits.select("ID", F.lower("Sex").alias("stratum")).distinct()
     wide = durable(G.keyed_trajectories(T.growth_vars(spark, sf_dir, names), strata))
     basis = durable(G.keyed_basis(wide, ndim))
-    return basis, durable(G.keyed_scores(wide, basis, ndim))
+    return basis, G.keyed_scores(wide, basis, ndim)
 
 
 @query(

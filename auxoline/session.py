@@ -48,10 +48,10 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """As many partitions as the session plans for shuffles, by key.
+def spread(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
+    """As many partitions as the session plans for shuffles, or ``least`` if that is more, by key.
 
     Adaptive execution sizes partitions by bytes and would merge small ones; work that is heavy
     per row (a matrix per subject) needs the tasks rather than the bytes.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)

@@ -11,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auxoline.session import spread
+
 N_IMP = 20
+#: Events whose imputations one task derives: a row per imputation and body size comes of each.
+EVENTS_A_TASK = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,13 +90,17 @@ def _left_out_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """imp, ID, age and z: imputation k averages a subject's events of one age bin, leaving out residue class k.
 
     One pass sums each residue class; every imputation is then total minus class,
-    so the events are read and shuffled once instead of once per imputation.
+    so the events are read and shuffled once instead of once per imputation. Class sums are
+    placed by subject, so that what is derived per subject later need not be shuffled again.
     """
-    classes = (
-        table(spark, sf_dir, "events")
-        .selectExpr("user_id AS ID", f"{AGE_BIN} AS age", f"event_id % {N_IMP} AS k", "value")
+    events = table(spark, sf_dir, "events")
+    sums = (
+        events.selectExpr("user_id AS ID", f"{AGE_BIN} AS age", f"event_id % {N_IMP} AS k", "value")
         .groupBy("ID", "age", "k")
         .agg(F.sum("value").alias("s"), F.count("value").alias("n"))
+    )
+    classes = (
+        spread(sums, "ID", least=events.count() // EVENTS_A_TASK + 1)
         .groupBy("ID", "age")
         .agg(
             F.sum("s").alias("s"),
