@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from auxoline.functions.scalar import by_stratum, dot
 from auxoline.session import durable, spread
 
 JITTER = 1e-8
-CELLS = 2_000_000  # matrix cells handled at once
+CELLS = 10_000  # cells of each matrix handled at once: the dozen matrices of a stack stay in a core's cache
 FLAT = 1e-6  # smallest eigenvalue of the scaled information from which parameters count as identified
 GIVE_UP = 1e8  # damping beyond which no step improves the fit
 
@@ -140,79 +141,143 @@ def _likelihood(t, n, y, x, sd, ud, fit: ProcessFit, model: ProcessModel):
 
 
 def _sums(t, n, y, x, sd, ud, fit: ProcessFit, model: ProcessModel):
+    """With K the covariance, every derivative of it is D M + (D M)' with D = diag(a design column) and M one of two matrices: the scaled
+    kernel for the scale, and for the smooth the kernel times its derivative by the first point's log length. So tr(K^-1 dK_i K^-1 dK_j) / 2
+    is d_i' [N_i o N_j' + (M_i K^-1 M_j') o K^-1] d_j with N = M K^-1: two matrix products a subject, however many parameters there are.
+    """
     gamma, delta, noise = fit.split(model)
     s, u = np.exp(sd @ gamma), np.exp(ud @ delta)
-    k0 = kernel(t, t, s, s, u, u)
-    eye = np.eye(t.shape[1])
+    mid = (u[:, :, None] + u[:, None, :]) / 2
+    d2 = np.square(t[:, :, None] - t[:, None, :]) / mid
+    size = s * u**0.25
+    k0 = size[:, :, None] * size[:, None, :] / np.sqrt(mid) * np.exp(-d2 / 2)
+    smooth = k0 * (0.25 - u[:, :, None] / (4 * mid) * (1 - d2))
     nugget = noise / n if model.noise else JITTER * s * s
-    inv = np.linalg.inv(k0 + nugget[:, :, None] * eye)
-    sign, logdet = np.linalg.slogdet(k0 + nugget[:, :, None] * eye)
+    k = k0.copy()
+    at = np.arange(t.shape[1])
+    k[:, at, at] += nugget
+    inv = np.linalg.inv(k)
+    sign, logdet = np.linalg.slogdet(k)
     logdet = np.where(sign > 0, logdet, np.nan)  # not positive definite: the step is refused
     r = y - x @ fit.beta
-    alpha = np.einsum("sij,sj->si", inv, r)
-    value = -0.5 * (np.einsum("si,si->", r, alpha) + logdet.sum() + t.size * np.log(2 * np.pi))
-    inv_x = inv @ x
-    info_beta = np.einsum("sip,siq->pq", x, inv_x)
-    grad_beta = np.einsum("sip,si->p", x, alpha)
+    alpha = _times(inv, r)
+    value = -0.5 * (np.sum(r * alpha) + logdet.sum() + t.size * np.log(2 * np.pi))
+    info_beta = _gram(x, inv @ x)
+    grad_beta = x.reshape(-1, x.shape[2]).T @ alpha.ravel()
 
-    mid = (u[:, :, None] + u[:, None, :]) / 2
-    d = t[:, :, None] - t[:, None, :]
-    a = 0.25 - u[:, :, None] / (4 * mid) + d * d * u[:, :, None] / (4 * mid * mid)
-    products = []
-    grad = []
-    scaled = k0 if model.noise else k0 + nugget[:, :, None] * eye  # the jitter follows the scale
-    parts = [scaled * (sd[:, :, None, k] + sd[:, None, :, k]) for k in range(sd.shape[2])]
-    parts += [k0 * (a * ud[:, :, None, k] + a.transpose(0, 2, 1) * ud[:, None, :, k]) for k in range(ud.shape[2])]
+    n_smooth = smooth @ inv
+    across = smooth.transpose(0, 2, 1)
     if model.noise:
-        parts.append(2 * (noise / n)[:, :, None] * eye)
-    for dk in parts:
-        m = inv @ dk
-        products.append(m)
-        grad.append(0.5 * (np.einsum("si,sij,sj->", alpha, dk, alpha) - np.einsum("sii->", m)))
-    q = len(products)
-    info = np.zeros((q, q))
-    for i in range(q):
-        for j in range(i, q):
-            info[i, j] = info[j, i] = 0.5 * np.einsum("sij,sji->", products[i], products[j])
-    return np.concatenate([[value], grad_beta, info_beta.ravel(), grad, info.ravel()])
-
-
-def _stacks(frame: pd.DataFrame, model: ProcessModel):
-    """Subjects grouped by number of ages, cut so that a stack stays small."""
-    points = frame["points"].to_list()
-    sizes = np.array([len(p) for p in points])
+        scaled = k0
+        n_scale = -nugget[:, :, None] * inv
+        n_scale[:, at, at] += 1
+        q_scale = k0 + nugget[:, :, None] * inv * nugget[:, None, :]
+        q_scale[:, at, at] -= nugget
+        q_cross = across - nugget[:, :, None] * n_smooth.transpose(0, 2, 1)
+    else:  # the jitter follows the scale
+        scaled = q_scale = k
+        n_scale = np.broadcast_to(np.eye(t.shape[1]), k.shape)
+        q_cross = across
+    h_scale = n_scale * n_scale.transpose(0, 2, 1) + q_scale * inv
+    h_cross = n_scale * n_smooth.transpose(0, 2, 1) + q_cross * inv
+    h_smooth = n_smooth * n_smooth.transpose(0, 2, 1) + (n_smooth @ across) * inv
+    grad = [_slope(sd, alpha, scaled, n_scale), _slope(ud, alpha, smooth, n_smooth)]
+    cross = _gram(sd, h_cross @ ud)
+    info = np.block([[_gram(sd, h_scale @ sd), cross], [cross.T, _gram(ud, h_smooth @ ud)]])
+    if model.noise:
+        grad.append([np.sum(nugget * (alpha * alpha - inv[:, at, at]))])
+        ni = nugget[:, :, None] * inv
+        mixed = 2 * np.concatenate([_gram(d, np.einsum("sij,sji->si", m, ni)[:, :, None]) for d, m in ((sd, n_scale), (ud, n_smooth))])
+        info = np.block([[info, mixed], [mixed.T, 2 * np.einsum("sij,sji->", ni, ni)]])
+    return np.concatenate([[value], grad_beta, info_beta.ravel(), *grad, info.ravel()])
+
+
+def _times(m, v):
+    """Product of each matrix of a stack with its vector."""
+    return (m @ v[:, :, None])[:, :, 0]
+
+
+def _gram(a, b):
+    """Sum over the stack of A' B."""
+    return a.reshape(-1, a.shape[2]).T @ b.reshape(-1, b.shape[2])
+
+
+def _slope(design, alpha, m, n):
+    """Derivatives of the value by the coefficients of a design, whose matrix is ``m`` and m K^-1 is ``n``."""
+    return design.reshape(-1, design.shape[2]).T @ (alpha * _times(m, alpha) - np.einsum("sii->si", n)).ravel()
+
+
+def _columns(model: ProcessModel) -> list[str]:
+    """Different design columns, each of which is kept once."""
+    return list(dict.fromkeys(model.mean + model.scale + model.smooth))
+
+
+def flat_series(series: DataFrame, by: list[str], model: ProcessModel, *more: str) -> DataFrame:
+    """(by..., more..., flat): the points of a subject as one array of numbers, each with age, count, value and the different design columns.
+
+    Steps read subjects again and again; arrays of numbers reach Python without an object per point.
+    """
+    place = {}
+    for part, names in (("x", model.mean), ("s", model.scale), ("u", model.smooth)):
+        for i, c in enumerate(names):
+            place.setdefault(c, (part, i + 1))
+    point = lambda q: F.array(q["t"], q["n"], q["y"], *[q[part][i] for part, i in (place[c] for c in _columns(model))])
+    return series.select(*by, *more, F.flatten(F.transform("points", point)).alias("flat"))
+
+
+def _unflat(points: np.ndarray, model: ProcessModel) -> dict[str, np.ndarray]:
+    """Age, count, value and designs of points (..., numbers of a point)."""
+    names = _columns(model)
+    one = np.ones((*points.shape[:-1], 1))
+    design = lambda of: np.concatenate([one, points[..., [3 + names.index(c) for c in of]]], axis=-1)
+    return {"t": points[..., 0], "n": points[..., 1], "y": points[..., 2], "x": design(model.mean), "s": design(model.scale), "u": design(model.smooth)}
+
+
+def _stacks(offsets: np.ndarray, numbers: np.ndarray, model: ProcessModel):
+    """Subjects with equally many ages, cut so that a stack stays small; subject i has the numbers from offsets[i] to offsets[i + 1]."""
+    wide = 3 + len(_columns(model))
+    sizes = np.diff(offsets) // wide
     for m in np.unique(sizes):
         rows = np.flatnonzero(sizes == m)
-        step = max(1, int(CELLS // (m * m * (model.n_cov + 4))))
+        step = max(1, int(CELLS // (m * m)))
         for lo in range(0, len(rows), step):
-            chunk = [points[i] for i in rows[lo : lo + step]]
-
-            def grab(name, chunk=chunk):
-                return np.array([[q[name] for q in p] for p in chunk], dtype=float)
-
-            yield rows[lo : lo + step], {c: grab(c) for c in ("t", "n", "y", "x", "s", "u")}
+            at = rows[lo : lo + step]
+            yield _unflat(numbers[offsets[at][:, None] + np.arange(m * wide)].reshape(len(at), m, wide), model)
 
 
 def likelihood_sums(series: DataFrame, by: list[str], model: ProcessModel, fits: dict[tuple, list[ProcessFit]]) -> dict[tuple, np.ndarray]:
-    """Likelihood, gradients and information of every stratum's candidate parameters, in one job: by (*stratum, candidate)."""
+    """Likelihood, gradients and information of every stratum's candidate parameters, in one job: by (*stratum, candidate).
+
+    ``series`` comes from :func:`subject_series`, or from :func:`flat_series` where it is read more than once.
+    """
     types = dict(series.dtypes)
     head = ", ".join(f"{k} {types[k]}" for k in by)
+    flat = series if "flat" in series.columns else flat_series(series, by, model)
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for key, part in pdf.groupby(by, sort=False):
-                key = key if isinstance(key, tuple) else (key,)
-                totals = [0.0] * len(fits.get(key, ()))
-                for _, z in _stacks(part, model) if totals else ():
+        totals: dict[tuple, list] = {}
+        for batch in batches:
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(len(by))], strict=True))
+            which = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            of = np.array([which[k] for k in keys], dtype=int)
+            points = batch.column(len(by))
+            numbers, offsets = points.values.to_numpy(zero_copy_only=False), points.offsets.to_numpy()
+            for key, i in which.items():
+                if not fits.get(key):
+                    continue
+                sums = totals.setdefault(key, [0.0] * len(fits[key]))
+                mine = np.flatnonzero(of == i)
+                lengths = offsets[mine + 1] - offsets[mine]
+                ends = np.append(0, np.cumsum(lengths))
+                own = numbers[np.repeat(offsets[mine] - ends[:-1], lengths) + np.arange(ends[-1])] if len(which) > 1 else numbers[offsets[0] : offsets[-1]]
+                for z in _stacks(ends, own, model):
                     for c, fit in enumerate(fits[key]):
-                        totals[c] = totals[c] + _likelihood(z["t"], z["n"], z["y"], z["x"], z["s"], z["u"], fit, model)
-                for c, total in enumerate(totals):
-                    out.append(pd.DataFrame({**dict(zip(by, key)), "cand": c, "pos": np.arange(len(total)), "v": total}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                        sums[c] = sums[c] + _likelihood(z["t"], z["n"], z["y"], z["x"], z["s"], z["u"], fit, model)
+        out = [pd.DataFrame({**dict(zip(by, key)), "cand": c, "pos": np.arange(len(v)), "v": v}) for key, sums in totals.items() for c, v in enumerate(sums)]
+        if out:
+            yield pa.RecordBatch.from_pandas(pd.concat(out, ignore_index=True).astype({"cand": np.int32, "pos": np.int32}), preserve_index=False)
 
-    rows = series.mapInPandas(run, f"{head}, cand int, pos int, v double").groupBy(*by, "cand", "pos").agg(F.sum("v").alias("v")).collect()
+    rows = flat.mapInArrow(run, f"{head}, cand int, pos int, v double").groupBy(*by, "cand", "pos").agg(F.sum("v").alias("v")).collect()
     sums: dict[tuple, np.ndarray] = {}
     p, q = model.sizes[0], model.n_cov
     for r in rows:
@@ -314,8 +379,8 @@ def fit_process(
     ``converged`` means that no further gain is predicted; a fit that ran out of steps, or that no step improves although one
     should, is returned with ``converged`` false. ``identified`` is false where the likelihood is flat in some direction.
     """
-    series = spread(series, "ID").persist()
     fits = _starts(series, by, model)
+    series = flat_series(spread(series, "ID"), by, model).persist()
     state = {k: {"damp": 1e-3, "reach": 2.0, "trials": [f], "at": None} for k, f in fits.items()}
     extra = extra or {}
     try:
@@ -387,11 +452,6 @@ def conditional(points: dict, at: dict, fit: ProcessFit, model: ProcessModel, no
     return w.T @ resid, _root(k00 - k01 @ w)
 
 
-def _arrays(points) -> dict:
-    names = ("t", "n", "y", "x", "s", "u")
-    return {c: np.array([p[c] for p in points], dtype=float) for c in names if len(points) and c in points[0]}
-
-
 def normals(tag: str, imps: list[int], count: Column) -> Column:
     """An array of ``count`` normals for each imputation, keyed by (tag, imputation, subject, position): they do not depend on partitions, nor on the others asked for."""
     each = F.array(*[F.lit(i).cast("bigint") for i in imps])
@@ -407,21 +467,26 @@ def conditional_series(series: DataFrame, by: list[str], model: ProcessModel, fi
     """
     types = dict(series.dtypes)
     head = ", ".join(f"{k} {types[k]}" for k in (*by, "ID"))
+    wide, n_scale, n_smooth = 3 + len(_columns(model)), model.sizes[1], model.sizes[2]
+    target = F.transform("targets", lambda q: F.concat(F.array(q["t"]), q["s"], q["u"]))
+    asked = series.withColumns({"targets": F.flatten(target), "draws": F.size("e"), "e": F.flatten("e")})
 
     def run(batches):
         for pdf in batches:
             keys = list(zip(*(pdf[k] for k in (*by, "ID")), strict=True))
             rows = []
-            for key, points, targets, e in zip(keys, pdf["points"], pdf["targets"], pdf["e"], strict=True):
+            for key, points, targets, n, e in zip(keys, pdf["flat"], pdf["targets"], pdf["draws"], pdf["e"], strict=True):
                 fit = fits[key[:-1]]
                 noise = fit.split(model)[2] / nugget_shrink
-                at = _arrays(targets)
-                z, root = conditional(_arrays(points) if len(points) else {"t": np.array([])}, at, fit, model, noise)
-                draws = z + np.stack([np.asarray(d, dtype=float) for d in e]) @ root if len(e) else np.zeros((0, len(z)))
+                new = np.asarray(targets, dtype=float).reshape(-1, 1 + n_scale + n_smooth)
+                at = {"t": new[:, 0], "s": new[:, 1 : 1 + n_scale], "u": new[:, 1 + n_scale :]}
+                z, root = conditional(_unflat(np.asarray(points, dtype=float).reshape(-1, wide), model), at, fit, model, noise)
+                draws = z + np.asarray(e, dtype=float).reshape(n, -1) @ root if n else np.zeros((0, len(z)))
                 rows.append((*key, at["t"].tolist(), z.tolist(), np.sqrt(np.square(root).sum(0)).tolist(), draws.tolist()))
             yield pd.DataFrame(rows, columns=[*by, "ID", "t", "z", "sd", "f"])
 
-    return spread(series.select(*by, "ID", "points", "targets", "e"), "ID").mapInPandas(run, f"{head}, t array<double>, z array<double>, sd array<double>, f array<array<double>>")
+    flat = flat_series(spread(asked, "ID"), by, model, "ID", "targets", "draws", "e")
+    return flat.mapInPandas(run, f"{head}, t array<double>, z array<double>, sd array<double>, f array<array<double>>")
 
 
 def draw(cond: DataFrame, by: list[str], imps: list[int]) -> DataFrame:

@@ -214,3 +214,43 @@ def test_draws_feed_the_decomposition(spark, sf):
         cov = np.mean([np.cov(w.to_numpy().T) for _, w in wide.groupby("imp")], axis=0)
         load = G.smooth_components(cov, 1)[1][:, 0]
         assert [got[f, a] for a in range(1, 11)] == pytest.approx(list(load), rel=1e-6)
+
+
+@pytest.mark.parametrize("model", [PLAIN, NOISY])
+def test_sums_of_whole_stacks_equal_traces_of_each_derivative(model):
+    """Gradient and information from two matrix products against one matrix per parameter."""
+    rng = np.random.default_rng(11)
+    k, m = 3, 9
+    t, n, y = np.sort(rng.uniform(1, 10, (k, m)), 1), rng.integers(1, 4, (k, m)).astype(float), rng.normal(size=(k, m))
+    x, sd = np.stack([np.ones((k, m)), t], -1), np.stack([np.ones((k, m)), t / 10], -1)
+    ud = sd[:, :, : model.sizes[2]]
+    fit = P.ProcessFit(np.array([0.1, 0.2]), np.array([0.2, 0.4, -1.5, *([0.6] if model.sizes[2] == 2 else []), *([-1.0] if model.noise else [])]))
+
+    def cov(i, theta):
+        g, d, noise = P.ProcessFit(fit.beta, theta).split(model)
+        s, u = np.exp(sd[i] @ g), np.exp(ud[i] @ d)
+        return P.kernel(t[i], t[i], s, s, u, u) + np.diag(noise / n[i] if model.noise else P.JITTER * s * s)
+
+    got = P._sums(t, n, y, x, sd, ud, fit, model)
+    q, h = model.n_cov, 1e-5
+    grad, info = np.zeros(q), np.zeros((q, q))
+    for i in range(k):
+        inv = np.linalg.inv(cov(i, fit.theta))
+        a = inv @ (y[i] - x[i] @ fit.beta)
+        d = [inv @ (cov(i, fit.theta + h * e) - cov(i, fit.theta - h * e)) / (2 * h) for e in np.eye(q)]
+        grad += [0.5 * (a @ np.linalg.solve(inv, w) @ a - np.trace(w)) for w in d]
+        info += [[0.5 * np.trace(v @ w) for w in d] for v in d]
+    assert got[7 : 7 + q] == pytest.approx(grad, rel=1e-4, abs=1e-4)
+    assert got[7 + q :].reshape(q, q) == pytest.approx(info, rel=1e-4, abs=1e-4)
+
+
+def test_steps_read_arrays_of_numbers_and_small_stacks(spark):
+    """Memory of a task: no object per point, and a stack's matrices are bounded however many subjects have equally many ages."""
+    series = P.subject_series(frame(spark, simulate(30)), ["g"], PLAIN, "y")
+    flat = P.flat_series(series, ["g"], PLAIN)
+    assert dict(flat.dtypes) == {"g": "bigint", "flat": "array<double>"}
+    m, subjects = 50, 400
+    numbers = np.arange(subjects * m * 5, dtype=float)
+    stacks = list(P._stacks(np.arange(subjects + 1) * m * 5, numbers, PLAIN))
+    assert max(z["t"].size * m for z in stacks) <= P.CELLS
+    assert np.concatenate([z["t"].ravel() for z in stacks]).tolist() == numbers[::5].tolist()
