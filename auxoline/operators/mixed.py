@@ -55,12 +55,9 @@ def totals(df: DataFrame, by: list[str], terms: dict[str, Column], y: Column, fa
 
 
 def _two_by_two(p00, p01, p11, d0, d1):
-    """log det(I + P D) and its inverse for stacks of symmetric P and diagonal D."""
+    """log det(I + P D) and its inverse (by entries) for stacks of symmetric P and diagonal D."""
     det = (1 + p00 * d0) * (1 + p11 * d1) - p01 * p01 * d0 * d1
-    t = np.empty((len(p00), 2, 2))
-    t[:, 0, 0], t[:, 0, 1] = (1 + p11 * d1) / det, -p01 * d1 / det
-    t[:, 1, 0], t[:, 1, 1] = -p01 * d0 / det, (1 + p00 * d0) / det
-    return np.log(det), t
+    return np.log(det), ((1 + p11 * d1) / det, -p01 * d1 / det, -p01 * d0 / det, (1 + p00 * d0) / det)
 
 
 def _key_groups(pdf: pd.DataFrame, by: list[str]):
@@ -68,18 +65,24 @@ def _key_groups(pdf: pd.DataFrame, by: list[str]):
         yield key if isinstance(key, tuple) else (key,), part
 
 
-def _removed(v, d0, d1, t):
+def _applied(t, v0, v1):
+    """T V of a stack, from the entries of T and the two rows of V."""
+    t00, t01, t10, t11 = (e[:, None] for e in t)
+    return t00 * v0 + t01 * v1, t10 * v0 + t11 * v1
+
+
+def _removed(v0, v1, d0, d1, tv0, tv1):
     """sum over the stack of V' D T V, upper triangle by rows."""
-    d = np.stack([np.broadcast_to(d0, (len(t),)), np.broadcast_to(d1, (len(t),))], axis=1)
-    dtv = (d[:, :, None] * t) @ v
-    c = v.reshape(-1, v.shape[2]).T @ dtv.reshape(-1, v.shape[2])
+    c = v0.T @ (np.reshape(d0, (-1, 1)) * tv0) + v1.T @ (np.reshape(d1, (-1, 1)) * tv1)
     return c[np.triu_indices(c.shape[0])]
 
 
 def _mothers(m, theta, treatment: bool, q: int):
     """log determinant and removed products of whole mothers, from their sums (rows)."""
-    logdet, t = _two_by_two(m[:, 0], m[:, 1], m[:, 2], np.exp(theta[0]), np.exp(theta[2]) if treatment else 0.0)
-    return np.append(logdet.sum(), _removed(m[:, 3:].reshape(len(m), 2, q), np.exp(theta[0]), np.exp(theta[2]) if treatment else 0.0, t))
+    d0, d1 = np.exp(theta[0]), np.exp(theta[2]) if treatment else 0.0
+    logdet, t = _two_by_two(m[:, 0], m[:, 1], m[:, 2], d0, d1)
+    v0, v1 = m[:, 3 : 3 + q], m[:, 3 + q :]
+    return np.append(logdet.sum(), _removed(v0, v1, d0, d1, *_applied(t, v0, v1)))
 
 
 def placed(stats: DataFrame, by: list[str]) -> DataFrame:
@@ -101,18 +104,21 @@ def likelihood_parts(stats: DataFrame, by: list[str], q: int, candidates: dict[t
     types = dict(stats.dtypes)
     head = ", ".join(f"{k} {types[k]}" for k in by)
 
-    def subjects(part, theta):
-        """Sums of each subject after its own effects are integrated out, and what that adds to the totals."""
+    def arrays(part):
+        """What all candidates read of the subjects: n and ages, sums, and who has an own slope."""
         n, a, aa = (part[c].to_numpy(dtype=float) for c in ("n", "a", "aa"))
-        v = np.stack([np.stack(part["u"].to_numpy()), np.stack(part["w"].to_numpy())], axis=1)
-        g = np.stack([np.stack([n, a], -1), np.stack([a, aa], -1)], axis=1)
         own_slope = (~part["is_first"].to_numpy(dtype=bool)) if treatment else np.ones(len(n), dtype=bool)
+        return n, a, aa, np.stack(part["u"].to_numpy()), np.stack(part["w"].to_numpy()), own_slope
+
+    def subjects(n, a, aa, u, w, own_slope, theta):
+        """Sums of each subject after its own effects are integrated out, and what that adds to the totals."""
         _, subj, slope = np.exp(theta)
         d0 = np.full(len(n), subj + (slope if treatment else 0.0))
         d1 = np.where(own_slope, slope, 0.0)
         logdet, t = _two_by_two(n, a, aa, d0, d1)
-        p, tv = t @ g, t @ v
-        return np.column_stack([p[:, 0, 0], p[:, 0, 1], p[:, 1, 1], tv.reshape(len(n), -1)]), np.append(logdet.sum(), _removed(v, d0, d1, t))
+        t00, t01, t10, t11 = t
+        tu, tw = _applied(t, u, w)
+        return np.column_stack([t00 * n + t01 * a, t00 * a + t01 * aa, t10 * a + t11 * aa, tu, tw]), np.append(logdet.sum(), _removed(u, w, d0, d1, tu, tw))
 
     def run(batches):
         sums: dict[tuple, list] = {}
@@ -133,9 +139,9 @@ def likelihood_parts(stats: DataFrame, by: list[str], q: int, candidates: dict[t
                 sums.setdefault(key, [np.zeros(1 + size) for _ in thetas])
                 moms = part["mom"].to_numpy()
                 cut = np.flatnonzero(np.append(True, moms[1:] != moms[:-1]))
-                per = []
+                per, given = [], arrays(part)
                 for c, theta in enumerate(thetas):
-                    rows, extra = subjects(part, theta)
+                    rows, extra = subjects(*given, theta)
                     sums[key][c] = sums[key][c] + extra
                     per.append(np.add.reduceat(rows, cut, axis=0))
                 names = [(key, m) for m in moms[cut]]

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +205,23 @@ def test_intercept_likelihood_is_the_dense_one(spark):
         if r.psi_mother:
             same = X.fit_mixed(flat, ["imp"], D.intercept() | D.linear("x", "pc0"), F.col("y"), fixed={0: np.log(r.psi_mother), 1: np.log(r.psi_subject), 2: -60.0}, max_steps=1).first()
             assert r.llf == pytest.approx(same.llf, abs=1e-6)
+
+
+def test_subject_sums_are_unpacked_once_a_step(spark, monkeypatch):
+    """A step's cost must not hold a conversion of all subjects per candidate."""
+    rows = [(0, i // 3, i, 2, 0.5, 1.25, [2.0, 1.0 + i], [0.5, 0.3], i % 3 == 0) for i in range(30)]
+    stats = spark.createDataFrame(rows, "k long, mom long, ID long, n long, a double, aa double, u array<double>, w array<double>, is_first boolean")
+    thetas = np.array([[-2.0, -2.0, -4.0 + 0.1 * c] for c in range(10)])
+    count, original = [], np.stack
+
+    class Frame:
+        def mapInPandas(self, run, schema):
+            monkeypatch.setattr(np, "stack", lambda *a, **k: count.append(1) or original(*a, **k))
+            out = pd.concat(list(run([stats.toPandas()])), ignore_index=True)
+            monkeypatch.setattr(np, "stack", original)
+            return spark.createDataFrame(out.astype({"mom": "float"}).replace({np.nan: None}), "k long, cand int, mom double, pos int, v double")
+
+        dtypes = stats.dtypes
+
+    parts = X.likelihood_parts(Frame(), ["k"], 2, {(0,): thetas}, True)
+    assert len(parts) == 10 and len(count) == 2
