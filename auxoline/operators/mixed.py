@@ -121,11 +121,20 @@ def likelihood_parts(stats: DataFrame, by: list[str], q: int, candidates: dict[t
         return np.column_stack([t00 * n + t01 * a, t00 * a + t01 * aa, t10 * a + t11 * aa, tu, tw]), np.append(logdet.sum(), _removed(u, w, d0, d1, tu, tw))
 
     def run(batches):
+        """One frame a partition: a frame per key and candidate would cost more than the algebra."""
+        found = list(sent(batches))
+        if found:
+            sizes = [len(v) for *_, v in found]
+            heads = {k: np.repeat(np.array([key[i] for key, *_ in found], dtype=object), sizes) for i, k in enumerate(by)}
+            mom = pd.array([m for _, _, m, _ in found], dtype="Int64").repeat(sizes)
+            yield pd.DataFrame({**heads, "cand": np.repeat([c for _, c, *_ in found], sizes), "mom": mom, "pos": np.concatenate([np.arange(n) for n in sizes]), "v": np.concatenate([v for *_, v in found])})
+
+    def sent(batches):
         sums: dict[tuple, list] = {}
         first, open_ = None, None  # the partition's first mother; the mother that may go on in the next batch, with its sums
 
         def emit(key, c, mom, values):
-            return pd.DataFrame({**dict(zip(by, key)), "cand": c, "mom": mom, "pos": np.arange(len(values)), "v": values})
+            return key, c, mom, values
 
         def close(key, mothers):
             for c, m in enumerate(mothers):
@@ -164,7 +173,7 @@ def likelihood_parts(stats: DataFrame, by: list[str], q: int, candidates: dict[t
         if open_ is not None:
             yield from (emit(open_[0][0], c, open_[0][1], v) for c, v in enumerate(open_[1]))
         for key, parts in sums.items():
-            yield from (emit(key, c, None, v).astype({"mom": "Int64"}) for c, v in enumerate(parts))
+            yield from (emit(key, c, None, v) for c, v in enumerate(parts))
 
     found = stats.mapInPandas(run, f"{head}, cand int, mom bigint, pos int, v double").groupBy(*by, "cand", "mom", "pos").agg(F.sum("v").alias("v")).toPandas()
     out, ends = {}, {}
