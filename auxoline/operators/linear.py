@@ -158,9 +158,14 @@ def pooled_coefficients(pooled: DataFrame, by: list[str]) -> DataFrame:
 
 
 def pooled_matrix(pooled: DataFrame, by: list[str]) -> DataFrame:
-    """One row per key: ``terms``, ``est`` and the full covariance ``cov``, in term order."""
-    rows = pooled.groupBy(*by, "i", "term_i", "est_i").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("j", "total"))), lambda x: x["total"]).alias("row")
+    """One row per key: ``terms``, ``est`` and the full covariance ``cov``, in term order.
+
+    Every pair has its own average of the estimates, and these differ in the last bits where replicates were added up in another
+    order: they are no key. The estimate is the diagonal pair's, as in :func:`pooled_coefficients`.
+    """
+    rows = pooled.groupBy(*by, "i", "term_i").agg(
+        F.max(F.when(F.col("i") == F.col("j"), F.col("est_i"))).alias("est_i"),
+        F.transform(F.array_sort(F.collect_list(F.struct("j", "total"))), lambda x: x["total"]).alias("row"),
     )
     ordered = F.array_sort(F.collect_list(F.struct("i", "term_i", "est_i", "row")))
     packed = rows.groupBy(*by).agg(ordered.alias("r"))

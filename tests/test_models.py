@@ -64,6 +64,17 @@ def test_pooling_by_hand(spark):
     assert (stats.m, stats.llf, stats.scale) == (2, -6.0, 1.5)
 
 
+def test_pooled_matrix_takes_averages_that_differ_in_the_last_bits(spark):
+    # Pairs average the same estimates each for itself; added up in another order they differ in the last bits.
+    terms, est = ["a", "b", "c"], [0.3, 1.0, -2.5]
+    rows = [("m", i, j, a, b, est[i] if i == j else np.nextafter(est[i], 9.0 * (j - i)).item(), 10.0 * i + j) for i, a in enumerate(terms) for j, b in enumerate(terms)]
+    pooled = spark.createDataFrame(rows, "spec string, i int, j int, term_i string, term_j string, est_i double, total double")
+    packed = L.pooled_matrix(pooled, ["spec"]).first()
+    assert (packed.terms, packed.est) == (terms, est)
+    assert packed["cov"] == [[0.0, 1.0, 2.0], [10.0, 11.0, 12.0], [20.0, 21.0, 22.0]]
+    assert L.slice_terms(L.pooled_matrix(pooled, ["spec"]), ["c", "a"]).first()["cov"] == [[22.0, 20.0], [2.0, 0.0]]
+
+
 def test_equal_imputations_have_no_between_variance(spark):
     rows = [("m", k, ["a"], [1.0], [[2.0]], 1.0, 5, 0.0) for k in range(20)]
     r = L.pool(fits_frame(spark, rows), ["spec"]).first()
