@@ -275,7 +275,7 @@ def likelihood_sums(series: DataFrame, by: list[str], model: ProcessModel, fits:
                         sums[c] = sums[c] + _likelihood(z["t"], z["n"], z["y"], z["x"], z["s"], z["u"], fit, model)
         out = [pd.DataFrame({**dict(zip(by, key)), "cand": c, "pos": np.arange(len(v)), "v": v}) for key, sums in totals.items() for c, v in enumerate(sums)]
         if out:
-            yield pa.RecordBatch.from_pandas(pd.concat(out, ignore_index=True).astype({"cand": np.int32, "pos": np.int32}), preserve_index=False)
+            yield pa.RecordBatch.from_pandas(pd.concat(out, ignore_index=True).astype({**{k: np.int32 for k in by if types[k] == "int"}, "cand": np.int32, "pos": np.int32}), preserve_index=False)
 
     rows = flat.mapInArrow(run, f"{head}, cand int, pos int, v double").groupBy(*by, "cand", "pos").agg(F.sum("v").alias("v")).collect()
     sums: dict[tuple, np.ndarray] = {}
