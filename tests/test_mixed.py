@@ -225,3 +225,43 @@ def test_subject_sums_are_unpacked_once_a_step(spark, monkeypatch):
 
     parts = X.likelihood_parts(Frame(), ["k"], 2, {(0,): thetas}, True)
     assert len(parts) == 10 and len(count) == 2
+
+
+def test_packed_sums_of_split_mothers_and_missing_keys(spark):
+    """One row a subject, in many small partitions and batches of two rows, gives the sums of a row per subject and key; keys may lack subjects."""
+    rows, by, terms = family_data(9, big=True), ["var", "imp"], D.intercept() | D.linear("x")
+    scores = [(v, *s) for v in "ab" for s in nested_scores(rows) if (s[1] + s[0] + (v == "a")) % 5]
+    df, s = frame(spark, rows).drop("imp"), spark.createDataFrame(scores, "var string, imp long, ID long, pc0 double, pc1 double")
+    thetas = {(v, k): X._stencil(np.array([-1.0 + 0.1 * k, -2.0, -1.5])) for v in "ab" for k in (0, 1)}
+    stats = X.scored_stats(df, s, by, terms, F.col("y"), ["pc0", "pc1"])
+    totals = {(r["var"], r["imp"]): (r["n"], r["s"], r["m"]) for r in stats.groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("s"), F.countDistinct("mom").alias("m")).collect()}
+    crossed = {(r["var"], r["imp"]): r["z"] for r in stats.groupBy(*by).agg(F.array(*[F.sum(F.col("zz")[i]) for i in range(15)]).alias("z")).collect()}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 13)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+        packed = X.packed_sums(df, s, by, terms, F.col("y"), ["pc0", "pc1"])
+        known, zz, opened = X.survey(packed, by, ["pc0", "pc1"], 2)
+        got = {t: X.packed_parts(packed, by, ["pc0", "pc1"], opened, 5, thetas, t) for t in (True, False)}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert known == totals and any(opened.values())
+    for key, z in zz.items():
+        assert z[np.triu_indices(5)] == pytest.approx(crossed[key])
+    placed = X.placed(stats.drop("zz"), by)
+    for t, parts in got.items():
+        want = X.likelihood_parts(placed, by, 5, thetas, t)
+        assert set(parts) == set(want)
+        for name, v in want.items():
+            assert parts[name] == pytest.approx(v, rel=1e-9, abs=1e-9)
+
+
+def test_a_step_solves_the_systems_of_all_keys_at_once(spark, monkeypatch):
+    """The driver's work a step must not be one small system per key and candidate."""
+    rows = family_data(5)
+    s = spark.createDataFrame(nested_scores(rows, keys=5), "imp long, ID long, pc0 double, pc1 double")
+    specs, calls, original = {"one": ["Intercept", "pc0"], "two": ["Intercept", "pc0", "pc1"]}, [], np.linalg.pinv
+    monkeypatch.setattr(np.linalg, "pinv", lambda *a, **k: calls.append(1) or original(*a, **k))
+    out = X.fit_scored(frame(spark, rows).drop("imp"), s, ["imp"], D.intercept(), F.col("y"), ["pc0", "pc1"], specs, max_steps=3)
+    assert out.count() == 10 and len(calls) <= 6
