@@ -174,12 +174,13 @@ def _sums(t, n, y, x, sd, ud, fit: ProcessFit, model: ProcessModel):
         q_scale = k0 + nugget[:, :, None] * inv * nugget[:, None, :]
         q_scale[:, at, at] -= nugget
         q_cross = across - nugget[:, :, None] * n_smooth.transpose(0, 2, 1)
-    else:  # the jitter follows the scale
-        scaled = q_scale = k
-        n_scale = np.broadcast_to(np.eye(t.shape[1]), k.shape)
-        q_cross = across
-    h_scale = n_scale * n_scale.transpose(0, 2, 1) + q_scale * inv
-    h_cross = n_scale * n_smooth.transpose(0, 2, 1) + q_cross * inv
+        h_scale = n_scale * n_scale.transpose(0, 2, 1) + q_scale * inv
+        h_cross = n_scale * n_smooth.transpose(0, 2, 1) + q_cross * inv
+    else:  # the jitter follows the scale: N is the identity
+        scaled, n_scale = k, np.broadcast_to(np.eye(t.shape[1]), k.shape)
+        h_scale, h_cross = k * inv, across * inv
+        h_scale[:, at, at] += 1
+        h_cross[:, at, at] += n_smooth[:, at, at]
     h_smooth = n_smooth * n_smooth.transpose(0, 2, 1) + (n_smooth @ across) * inv
     grad = [_slope(sd, alpha, scaled, n_scale), _slope(ud, alpha, smooth, n_smooth)]
     cross = _gram(sd, h_cross @ ud)
@@ -192,6 +193,38 @@ def _sums(t, n, y, x, sd, ud, fit: ProcessFit, model: ProcessModel):
     return np.concatenate([[value], grad_beta, info_beta.ravel(), *grad, info.ravel()])
 
 
+def _value(t, n, y, x, sd, ud, fit: ProcessFit, model: ProcessModel) -> np.ndarray:
+    """The first of :func:`_likelihood`, from one triangular factor a subject.
+
+    The residuals are a last row of the matrix, so that the factor's last row holds them solved for.
+    """
+    with np.errstate(all="ignore"):
+        gamma, delta, noise = fit.split(model)
+        s, u = np.exp(sd @ gamma), np.exp(ud @ delta)
+        m, at = t.shape[1], np.arange(t.shape[1])
+        size = s * u**0.25
+        mid, d = u[:, :, None] + u[:, None, :], t[:, :, None] - t[:, None, :]
+        mid /= 2
+        d *= d
+        d /= mid
+        d /= -2
+        np.exp(d, out=d)
+        d /= np.sqrt(mid, out=mid)
+        d *= size[:, :, None]
+        d *= size[:, None, :]
+        k = np.empty((len(t), m + 1, m + 1))
+        k[:, :m, :m] = d
+        k[:, at, at] += noise / n if model.noise else JITTER * s * s
+        k[:, m, :m] = y - x @ fit.beta
+        k[:, m, m] = np.finfo(float).max / 4  # beyond what the residuals take from it; nothing else reads it
+        try:
+            root = np.linalg.cholesky(k)
+        except np.linalg.LinAlgError:
+            return np.full(1, -np.inf)
+        value = -0.5 * (np.square(root[:, m, :m]).sum() + 2 * np.log(root[:, at, at]).sum() + t.size * np.log(2 * np.pi))
+    return np.full(1, value if np.isfinite(value) else -np.inf)
+
+
 def _times(m, v):
     """Product of each matrix of a stack with its vector."""
     return (m @ v[:, :, None])[:, :, 0]
@@ -245,10 +278,13 @@ def _stacks(offsets: np.ndarray, numbers: np.ndarray, model: ProcessModel):
             yield _unflat(numbers[offsets[at][:, None] + np.arange(m * wide)].reshape(len(at), m, wide), model)
 
 
-def likelihood_sums(series: DataFrame, by: list[str], model: ProcessModel, fits: dict[tuple, list[ProcessFit]]) -> dict[tuple, np.ndarray]:
+def likelihood_sums(
+    series: DataFrame, by: list[str], model: ProcessModel, fits: dict[tuple, list[ProcessFit]], whole: dict[tuple, bool] | None = None
+) -> dict[tuple, np.ndarray]:
     """Likelihood, gradients and information of every stratum's candidate parameters, in one job: by (*stratum, candidate).
 
-    ``series`` comes from :func:`subject_series`, or from :func:`flat_series` where it is read more than once.
+    ``series`` comes from :func:`subject_series`, or from :func:`flat_series` where it is read more than once. Strata
+    that ``whole`` says no to have values alone; their gradients and information are zero.
     """
     types = dict(series.dtypes)
     head = ", ".join(f"{k} {types[k]}" for k in by)
@@ -272,7 +308,8 @@ def likelihood_sums(series: DataFrame, by: list[str], model: ProcessModel, fits:
                 own = numbers[np.repeat(offsets[mine] - ends[:-1], lengths) + np.arange(ends[-1])] if len(which) > 1 else numbers[offsets[0] : offsets[-1]]
                 for z in _stacks(ends, own, model):
                     for c, fit in enumerate(fits[key]):
-                        sums[c] = sums[c] + _likelihood(z["t"], z["n"], z["y"], z["x"], z["s"], z["u"], fit, model)
+                        found = _likelihood if whole is None or whole[key] else _value
+                        sums[c] = sums[c] + found(z["t"], z["n"], z["y"], z["x"], z["s"], z["u"], fit, model)
         out = [pd.DataFrame({**dict(zip(by, key)), "cand": c, "pos": np.arange(len(v)), "v": v}) for key, sums in totals.items() for c, v in enumerate(sums)]
         if out:
             yield pa.RecordBatch.from_pandas(pd.concat(out, ignore_index=True).astype({**{k: np.int32 for k in by if types[k] == "int"}, "cand": np.int32, "pos": np.int32}), preserve_index=False)
@@ -366,6 +403,33 @@ def _identified(it: np.ndarray) -> bool:
     return bool(np.linalg.eigvalsh(it / np.outer(size, size)).min() > FLAT and size.min() > FLAT * size.max())
 
 
+def _best(series: DataFrame, by: list[str], model: ProcessModel, trials: dict[tuple, list[ProcessFit]], least: dict[tuple, float], extra: dict[tuple, dict]) -> dict[tuple, tuple]:
+    """The best of each stratum's trials, with its sums (see :func:`_unpack`), itself and its number.
+
+    Gradients and information cost several times what a value does, and only a trial that is taken needs them: one job finds the values of all
+    trials, a second the rest for the best of each stratum, if it is better than ``least``. One trial alone is worked out at once.
+    """
+    found: dict[tuple, list] = {k: [None] * len(t) for k, t in trials.items()}
+    done: set[tuple] = set()  # (stratum, trial) with gradients and information
+
+    def take(asked: dict[tuple, list[int]]):
+        whole = {k: len(numbers) == 1 for k, numbers in asked.items()}
+        sums = likelihood_sums(series, by, model, {k: [trials[k][c] for c in numbers] for k, numbers in asked.items()}, whole)
+        for k, numbers in asked.items():
+            for place, c in enumerate(numbers):
+                found[k][c] = (*_unpack(sums[(*k, place)], model, trials[k][c], extra.get(k)), trials[k][c], c)
+                if whole[k]:
+                    done.add((k, c))
+
+    take({k: list(range(len(t))) for k, t in trials.items()})
+    while True:
+        best = {k: max(f, key=lambda r: r[0] if np.isfinite(r[0]) else -np.inf) for k, f in found.items()}
+        missing = {k: [r[-1]] for k, r in best.items() if (k, r[-1]) not in done and np.isfinite(r[0]) and r[0] > least[k]}
+        if not missing:
+            return best
+        take(missing)
+
+
 def fit_process(
     series: DataFrame,
     by: list[str],
@@ -374,7 +438,7 @@ def fit_process(
     max_steps: int = 100,
     tolerance: float = 1e-3,
 ) -> dict[tuple, ProcessFit]:
-    """Damped Fisher scoring; all strata advance together, and one job tries several steps of each.
+    """Damped Fisher scoring; all strata advance together, and one job tries several steps of each (see :func:`_best`).
 
     ``converged`` means that no further gain is predicted; a fit that ran out of steps, or that no step improves although one
     should, is returned with ``converged`` false. ``identified`` is false where the likelihood is flat in some direction.
@@ -388,11 +452,10 @@ def fit_process(
             active = {k: s["trials"] for k, s in state.items() if s["trials"]}
             if not active:
                 break
-            sums = likelihood_sums(series, by, model, active)
-            for key, trials in active.items():
+            best_of = _best(series, by, model, active, {k: fits[k].llf for k in active}, extra)
+            for key in active:
                 s, old = state[key], fits[key]
-                found = [(*_unpack(sums[(*key, c)], model, t, extra.get(key)), t, c) for c, t in enumerate(trials)]
-                value, gb, ib, gt, it, best, c = max(found, key=lambda r: r[0] if np.isfinite(r[0]) else -np.inf)
+                value, gb, ib, gt, it, best, c = best_of[key]
                 first = s["at"] is None
                 if np.isfinite(value) and value > old.llf:
                     best.llf, best.trace, best.steps = value, [*old.trace, float(value)], old.steps + 1

@@ -254,3 +254,35 @@ def test_steps_read_arrays_of_numbers_and_small_stacks(spark):
     stacks = list(P._stacks(np.arange(subjects + 1) * m * 5, numbers, PLAIN))
     assert max(z["t"].size * m for z in stacks) <= P.CELLS
     assert np.concatenate([z["t"].ravel() for z in stacks]).tolist() == numbers[::5].tolist()
+
+
+@pytest.mark.parametrize("model", [PLAIN, NOISY])
+def test_values_alone_are_those_of_the_whole_sums(model):
+    rng = np.random.default_rng(4)
+    k, m = 4, 8
+    t, n, y = np.sort(rng.uniform(1, 10, (k, m)), 1), rng.integers(1, 4, (k, m)).astype(float), rng.normal(size=(k, m))
+    x, sd = np.stack([np.ones((k, m)), t], -1), np.stack([np.ones((k, m)), t / 10], -1)
+    ud = sd[:, :, : model.sizes[2]]
+    fit = P.ProcessFit(np.array([0.1, 0.2]), np.array([0.2, 0.4, -1.5, *([0.6] if model.sizes[2] == 2 else []), *([-1.0] if model.noise else [])]))
+    args = t, n, y, x, sd, ud
+    assert P._value(*args, fit, model) == pytest.approx(P._likelihood(*args, fit, model)[:1], rel=1e-9)
+    for bad in (800.0, np.nan):
+        assert P._value(*args, P.ProcessFit(fit.beta, np.append(bad, fit.theta[1:])), model)[0] == -np.inf
+
+
+def test_only_trials_that_are_taken_have_gradients(spark, monkeypatch):
+    """Several trials of a step are compared by their values; gradient and information are worked out for the best alone, and for none that is refused."""
+    rows = simulate(60, 0.3, 5, True)
+    df = frame(spark, rows)
+    series, extra = P.subject_series(df, ["g"], NOISY, "y"), P.within_age(df, ["g"], NOISY, "y")
+    asked, original = [], P.likelihood_sums
+
+    def recorded(series, by, model, fits, whole=None):
+        asked.extend((len(f), whole is None or whole[k]) for k, f in fits.items())
+        return original(series, by, model, fits, whole)
+
+    monkeypatch.setattr(P, "likelihood_sums", recorded)
+    fit = P.fit_process(series, ["g"], NOISY, extra)[(0,)]
+    assert fit.converged and fit.llf == pytest.approx(row_llf(rows, fit, NOISY), abs=1e-4)
+    assert any(n > 1 for n, _ in asked) and all(n == 1 for n, whole in asked if whole)
+    assert sum(whole for _, whole in asked) == len(fit.trace)
