@@ -260,10 +260,10 @@ def test_steps_read_arrays_of_numbers_and_small_stacks(spark):
 def test_values_alone_are_those_of_the_whole_sums(model):
     rng = np.random.default_rng(4)
     k, m = 4, 8
-    t, n, y = np.sort(rng.uniform(1, 10, (k, m)), 1), rng.integers(1, 4, (k, m)).astype(float), rng.normal(size=(k, m))
+    t, n, y = np.arange(1.0, m + 1) + rng.uniform(0, 0.5, (k, m)), rng.integers(1, 4, (k, m)).astype(float), rng.normal(size=(k, m))
     x, sd = np.stack([np.ones((k, m)), t], -1), np.stack([np.ones((k, m)), t / 10], -1)
     ud = sd[:, :, : model.sizes[2]]
-    fit = P.ProcessFit(np.array([0.1, 0.2]), np.array([0.2, 0.4, -1.5, *([0.6] if model.sizes[2] == 2 else []), *([-1.0] if model.noise else [])]))
+    fit = P.ProcessFit(np.array([0.1, 0.2]), np.array([0.2, 0.4, -1.0, *([0.6] if model.sizes[2] == 2 else []), *([-1.0] if model.noise else [])]))
     args = t, n, y, x, sd, ud
     assert P._value(*args, fit, model) == pytest.approx(P._likelihood(*args, fit, model)[:1], rel=1e-9)
     for bad in (800.0, np.nan):
